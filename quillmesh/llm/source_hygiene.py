@@ -47,6 +47,10 @@ ENCODED_SHARE = 0.45
 #: White space of minified code, in files of some length.
 MINIFIED_SPACE = 0.10
 
+# Every phrase above holds one of these, by which most heads are passed over.
+_GENERATED_STEMS = ("generat", "created", "produ", "emitted", "edit", "modif", "erzeugt", "erstellt", "genere", "généré", "generado", "nicht", "создан", "редакт", "written", "made", "refresh", "update", "lost", "compiler:")
+_COPIED_STEMS = ("vendored", "copy of", "copied", "taken", "imported", "mirrored", "upstream", "authors", "contributors")
+
 _COMMENT = r"(?im)^[ \t]*(?:#|//|/\*+!?|\*|--|;|<!--|\"\"\"|''')?[^\n\"'`=]{0,80}?(?:%s)"
 
 
@@ -60,6 +64,14 @@ def language(path: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1), F.lit("")))
 
 
+def _noticed(head: Column, stems: tuple[str, ...], phrases: tuple[str, ...]) -> Column:
+    low = F.lower(head)
+    some = F.lit(False)
+    for stem in stems:
+        some = some | low.contains(stem)
+    return F.when(some, head.rlike(_COMMENT % "|".join(phrases))).otherwise(False)
+
+
 def _bound(lang: Column, i: int) -> Column:
     out = F.lit(None).cast("double")
     for name, values in BOUNDS.items():
@@ -74,9 +86,21 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
     # A line's shape: strings, names and numbers reduced to one sign each.
     # Possessive groups: a repeated alternation would recurse once per character and exhaust the task's stack.
     shaped = F.regexp_replace(t, r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", "S")
-    shaped = F.regexp_replace(shaped, r"[\p{L}_$][\p{L}\p{N}_$]*", "w")
-    shaped = F.regexp_replace(F.regexp_replace(shaped, r"[0-9][\p{L}\p{N}_.]*", "9"), r"[ \t]+", "")
-    shapes = F.filter(F.split(shaped, "\n"), lambda s: F.length(s) > 1)
+    shaped = F.regexp_replace(shaped, r"[\p{L}_$][\p{L}\p{N}_$]*+[ \t]*+", "w")
+    shaped = F.regexp_replace(shaped, r"[0-9][\p{L}\p{N}_.]*+[ \t]*+|[ \t]++", "9")
+    no_keys = F.when(t.contains("-----BEGIN"), F.regexp_replace(t, r"-----BEGIN [^-]*+-----[^-]*+-----END [^-]*+-----", "")).otherwise(t)
+    # Each pass over the text is made once, in this projection; what follows reads its columns.
+    passes = base.select(
+        item,
+        "path",
+        "_t",
+        language(F.col("path")).alias("lang"),
+        F.length(t).cast("double").alias("size"),
+        F.transform(F.split(t, "\n"), lambda line: F.length(line)).alias("_lengths"),
+        F.array_sort(F.filter(F.split(shaped, "\n"), lambda s: F.length(s) > 1)).alias("_shapes"),
+        no_keys.alias("_no_keys"),
+        F.greatest(F.regexp_count(t, F.lit(r"\w++")), F.lit(1)).alias("_words"),
+    )
     # The longest run in the sorted shapes is the commonest shape.
     start = F.struct(F.lit("").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
@@ -84,31 +108,32 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         run = F.when(acc["at"] == s, acc["run"] + 1).otherwise(1)
         return F.struct(s.alias("at"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    lengths = F.transform(F.split(t, "\n"), lambda line: F.length(line))
-    no_keys = F.regexp_replace(t, r"-----BEGIN [^-]*-----[^-]*-----END [^-]*-----", "")
-    encoded = F.aggregate(F.regexp_extract_all(no_keys, F.lit(r"[A-Za-z0-9+/]{44,}={0,2}"), F.lit(0)), F.lit(0), lambda a, r: a + F.length(r))
-    words = F.greatest(F.regexp_count(t, F.lit(r"\w+")), F.lit(1))
-    size = F.length(t)
-    # One struct in one Generate: later filters on the statistics cannot be pushed below it and repeat the work.
-    statistics = F.struct(
-        language(F.col("path")).alias("lang"),
+    size, lengths, words = F.col("size"), F.col("_lengths"), F.col("_words")
+    encoded = F.aggregate(F.regexp_extract_all("_no_keys", F.lit(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}+={0,2}"), F.lit(0)), F.lit(0), lambda a, r: a + F.length(r))
+    pins = F.when(t.rlike("resolved|integrity|checksum"), F.regexp_count(t, F.lit(r"(?m)^\s*\"?(?:resolved|integrity|checksum)\"?\s*[:=]"))).otherwise(0)
+    stats = passes.select(
+        item,
+        "path",
+        "lang",
         F.slice(F.split(t, "\n"), 1, HEAD_LINES).alias("head"),
         F.array_max(lengths).alias("max_line"),
         (size / F.size(lengths)).alias("mean_line"),
-        (F.regexp_count(t, F.lit(r"\s")) / size).alias("space"),
-        (F.regexp_count(t, F.lit(r"[\p{L}\p{N}]")) / size).alias("alnum"),
-        (F.regexp_count(t, F.lit(r"(?<![\w.])(?:0x[0-9A-Fa-f]+|\d+(?:\.\d+)?)(?!\w)")) / words).alias("numbers"),
-        (F.regexp_count(no_keys, F.lit(r"\b[A-Za-z_$]{1,24}\d{1,6}(?:_[A-Za-z]\w{0,30})?\b")) / words).alias("numbered_names"),
-        F.regexp_count(t, F.lit(r"(?m)^/\*{3}/")).alias("module_marks"),
+        (1 - F.length(F.translate(t, " \t\n", "")) / size).alias("space"),
+        (F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]++", "")) / size).alias("alnum"),
+        (F.regexp_count(t, F.lit(r"(?<![\w.])(?:0x[0-9A-Fa-f]++|\d++(?:\.\d++)?+)(?!\w)")) / words).alias("numbers"),
+        (F.regexp_count("_no_keys", F.lit(r"\b[A-Za-z_$]{1,24}+\d{1,6}+(?:_[A-Za-z]\w{0,30}+)?+\b")) / words).alias("numbered_names"),
+        F.when(t.contains("/***/"), F.regexp_count(t, F.lit(r"(?m)^/\*{3}/"))).otherwise(0).alias("module_marks"),
         (encoded / size).alias("encoded"),
-        (F.regexp_count(t, F.lit(r"(?m)^\s*\"?(?:resolved|integrity|checksum)\"?\s*[:=]")) / F.size(lengths)).alias("pins"),
-        F.regexp_count(t, F.lit(r"(?m)^\s*\"?(?:resolved|integrity|checksum)\"?\s*[:=]")).alias("n_pins"),
-        size.alias("size"),
+        (pins / F.size(lengths)).alias("pins"),
+        pins.alias("n_pins"),
+        "size",
         F.size(lengths).alias("lines"),
-        F.aggregate(F.array_sort(shapes), start, step, lambda acc: acc["most"]).alias("same_shape"),
-        F.size(shapes).alias("shapes"),
+        F.aggregate("_shapes", start, step, lambda acc: acc["most"]).alias("same_shape"),
+        F.size("_shapes").alias("shapes"),
     )
-    return base.select(item, "path", F.inline(F.array(statistics)))
+    # One struct in one Generate: later filters on the statistics cannot be pushed below it and repeat the work.
+    names = [c for c in stats.columns if c not in (item, "path")]
+    return stats.select(item, "path", F.inline(F.array(F.struct(*names))))
 
 
 def not_handwritten(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
@@ -122,9 +147,9 @@ def not_handwritten(df: DataFrame, item: str, path: str, text: str) -> DataFrame
     head = F.array_join("head", "\n")
     lang = F.col("lang")
     shape_share = F.when(F.col("shapes") >= SHAPE_LINES, F.col("same_shape") / F.col("shapes")).otherwise(0.0)
-    copied = head.rlike(_COMMENT % "|".join(COPIED))
+    copied = _noticed(head, _COPIED_STEMS, COPIED)
     placed = F.col("path").rlike(rf"(?:^|/)(?:{PACKAGE_FOLDERS})/[^/]+/")
-    marked = head.rlike(_COMMENT % "|".join(GENERATED))
+    marked = _noticed(head, _GENERATED_STEMS, GENERATED)
     repeated = (shape_share >= _bound(lang, 0)) | (F.col("numbered_names") >= _bound(lang, 2)) & (F.col("size") > 400) | (F.col("module_marks") >= 4) | (F.col("n_pins") >= 3) & (F.col("pins") > 0.12)
     minified = (F.col("mean_line") >= _bound(lang, 3)) | (F.col("space") < MINIFIED_SPACE) & (F.col("max_line") > 500) & lang.isin("js", "py", "java", "c")
     data = (F.col("numbers") >= _bound(lang, 1)) & (F.col("size") > 500) | (F.col("encoded") >= ENCODED_SHARE) & (F.col("size") > 600)
