@@ -132,33 +132,46 @@ def _joined_passages(docs: DataFrame, doc: str, text: str, seeds: DataFrame, siz
     return found.select(doc, F.lit(0).alias("passage"), "passage_words", "seeds")
 
 
-def align(a: list[str], b: list[str], match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """(score, words matched on the best path's diagonal cells, longest run of equal words) of the best local alignment."""
+def align_all(pairs: list[tuple[list[str], list[str]]], match: int = 2, mismatch: int = -1, gap: int = -1, batch: int = 128) -> list[tuple[int, int, int]]:
+    """(score, words matched on the best path, longest run of equal words) of each pair's best local alignment.
+
+    Smith-Waterman over many pairs at once: pairs of like size share the rows of one array, so the cost of a
+    row is spread over the batch. Padding never equals anything.
+    """
     ids: dict[str, int] = {}
-    x = np.array([ids.setdefault(w, len(ids)) for w in a], dtype=np.int32)
-    y = np.array([ids.setdefault(w, len(ids)) for w in b], dtype=np.int32)
-    if not len(x) or not len(y):
-        return 0, 0, 0
-    if len(x) > len(y):
-        x, y = y, x
-    slope = -gap * np.arange(len(y) + 1)
+    code = [tuple(np.array([ids.setdefault(w, len(ids)) for w in side], dtype=np.int32) for side in sorted(pair, key=len)) for pair in pairs]
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (len(code[i][1]), len(code[i][0])))
     # Score and matches share one integer, so that the matches of the best path come with it.
-    unit = 1 << 20
-    row, run = np.zeros(len(y) + 1, dtype=np.int64), np.zeros(len(y) + 1, dtype=np.int32)
-    best, longest = 0, 0
-    for w in x:
-        same = y == w
-        step = np.where(same, match * unit + 1, mismatch * unit)
-        now = np.zeros_like(row)
-        now[1:] = np.maximum(row[:-1] + step, row[1:] + gap * unit)
-        np.maximum(now, 0, out=now)
-        now = np.maximum.accumulate(now + slope * unit) - slope * unit
-        np.maximum(now, 0, out=now)
-        now[now < unit] = 0
-        row = now
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best, longest = max(best, int(row.max())), max(longest, int(run.max()))
-    return best // unit, best % unit, longest
+    unit = 1 << 16
+    for at in range(0, len(order), batch):
+        these = order[at : at + batch]
+        rows, cols = max(len(code[i][0]) for i in these), max(len(code[i][1]) for i in these)
+        if not rows or not cols:
+            continue
+        x, y = np.full((len(these), rows), -1, dtype=np.int32), np.full((len(these), cols), -2, dtype=np.int32)
+        for k, i in enumerate(these):
+            x[k, : len(code[i][0])] = code[i][0]
+            y[k, : len(code[i][1])] = code[i][1]
+        slope = (-gap * unit * np.arange(cols + 1)).astype(np.int64)
+        row, run = np.zeros((len(these), cols + 1), dtype=np.int64), np.zeros((len(these), cols + 1), dtype=np.int32)
+        best, longest = np.zeros(len(these), dtype=np.int64), np.zeros(len(these), dtype=np.int32)
+        for r in range(rows):
+            same = y == x[:, r : r + 1]
+            now = np.zeros_like(row)
+            np.add(row[:, :-1], np.where(same, match * unit + 1, mismatch * unit), out=now[:, 1:])
+            np.maximum(now[:, 1:], row[:, 1:] + gap * unit, out=now[:, 1:])
+            now += slope
+            np.maximum.accumulate(now, axis=1, out=now)
+            now -= slope
+            now[now < unit] = 0
+            row = now
+            run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+            np.maximum(best, row.max(axis=1), out=best)
+            np.maximum(longest, run.max(axis=1), out=longest)
+        for k, i in enumerate(these):
+            out[i] = (int(best[k] // unit), int(best[k] % unit), int(longest[k]))
+    return out
 
 
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, size: int = SEED_WORDS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -185,11 +198,13 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [align(p.split(" "), w.split(" ")) for p, w in zip(batch["passage_words"], batch["item_words"])]
+            got = align_all([(p.split(" "), w.split(" ")) for p, w in zip(batch["passage_words"], batch["item_words"])])
             out = pd.DataFrame(got, columns=["score", "matched", "longest_run"], index=batch.index)
             yield pd.concat([batch[[doc, item, "rarest_df"]], out], axis=1)
 
-    scored = full.select(doc, item, "rarest_df", "passage_words", "item_words").mapInPandas(score, f"{doc} long, {item} long, rarest_df long, score long, matched long, longest_run long")
+    # The pairs are few bytes but much work: spread by number, as adaptive execution would join them by size.
+    spread = full.select(doc, item, "rarest_df", "passage_words", "item_words").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = spread.mapInPandas(score, f"{doc} long, {item} long, rarest_df long, score long, matched long, longest_run long")
     return scored.groupBy(doc, item).agg(*(F.max(c).alias(c) for c in ("score", "matched", "longest_run")), F.min("rarest_df").alias("rarest_df"))
 
 
