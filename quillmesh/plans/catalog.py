@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("lexical", "scalars")
+AREAS = ("lexical", "scalars", "graphs", "ledgers")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _area in AREAS:
