@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("lexical", "scalars", "graphs", "ledgers")
+AREAS = ("lexical", "scalars", "graphs", "ledgers", "packs")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _area in AREAS:
