@@ -114,6 +114,10 @@ def cost(text: str, before: str = "", after: str = "") -> float:
             total += 0 if pair == {"ascii", "latin"} else 0.2 if "wide" in pair else 1 if pair == {"russian", "cyrillic"} else 2
         elif p == k == "latin":
             total += 0.8
+        elif p in letters and line[i] in "±°§¦©¬®‚„":
+            total += 1
+        elif "sign" in pair and pair <= {"sign", "mark"} and line[i] != line[i - 1]:
+            total += 0.3
         elif "sign" in pair and pair & letters or ("box" in pair and pair & (letters | {"sign", "mark"})):
             total += 1.5
         elif pair & {"mark", "space"} and "latin" in pair and line[i - 1] + line[i] and line[i if k == "latin" else i - 1] in "ÂÃâÅÄÐÑÎÏ":
@@ -126,7 +130,9 @@ def cost(text: str, before: str = "", after: str = "") -> float:
 @lru_cache(maxsize=200_000)
 def _run(text: str, before: str, after: str) -> str:
     """A maximal run of non-ASCII characters with UTF-8 read as something else put right, or the run itself."""
-    if len(text) < 2 or all(_kind(c) == "russian" for c in text):
+    if len(text) < 2 or all(_kind(c) == "russian" for c in text) and not (before + after).isascii():
+        return text
+    if all(_kind(c) == "russian" for c in text) and not re.search("[A-Za-z]", before + after):
         return text
     best, least = text, cost(text, before, after)
     for encoding in READ_AS:
@@ -257,10 +263,13 @@ def _layer(text: str) -> str:
         head, core, rest = re.fullmatch(r"([\x00-\x7f]*)(.*?)([ \n]*)", m.group(), re.S).groups()
         return head + _dense(core) + rest if core else m.group()
 
+    # UTF-8 first: its strict form is not met by chance, while double-byte encodings accept almost anything.
+    fixed = _RUN.sub(lambda m: _run(m.group(), text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]), text)
+    if fixed != text:
+        return fixed
     if _C1.search(text) or re.search("[\xa1-\xffŒ-˜–-™][\x20-\x7e]?[\xa1-\xffŒ-˜–-™]", text):
         text = _CP1252_STRETCH.sub(dense, text)
         text = _HIGH_LATIN_WORDS.sub(lambda m: _high_latin(m.group()), text)
-    text = _RUN.sub(lambda m: _run(m.group(), text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]), text)
     if re.search(r"[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[а-яё][А-ЯЁЂ-Џђ-џ]", text):
         text = _CAPITAL_WORDS.sub(lambda m: _cyrillic(m.group()), text)
         text = _CYRILLIC_WORDS.sub(lambda m: _cyrillic(m.group()), text)

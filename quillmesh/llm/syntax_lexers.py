@@ -8,7 +8,11 @@ cannot mislead, then classes the remaining tokens and runs the delimiters throug
 
 from __future__ import annotations
 
+import ast
+import json
 import re
+import tomllib
+import warnings
 from collections.abc import Callable
 
 _MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$", re.M)
@@ -185,13 +189,12 @@ def _js(text: str) -> str | None:
 
 _JAVA_TOP = set("package import public private protected final abstract static class interface enum record sealed non strictfp".split())
 _JAVA_KEYS = dict.fromkeys(
-    "package import public private protected final abstract static class interface enum record sealed non strictfp extends implements permits throws new return throw instanceof "
+    "package import public private protected final abstract static class interface enum record sealed non strictfp extends implements permits throws new instanceof "
     "int long short byte char float double boolean void default synchronized volatile transient native var assert else do yield case".split(), "k"
-) | dict.fromkeys("if for while switch catch".split(), "I") | dict.fromkeys("try finally".split(), "T")
+) | dict.fromkeys("return throw break continue".split(), "S") | dict.fromkeys("if for while switch catch".split(), "I") | dict.fromkeys("try finally".split(), "T")
 _C_KEYS = dict.fromkeys(
-    "auto char const double enum extern float goto inline int long register restrict short signed sizeof static struct typedef union unsigned void volatile _Bool _Noreturn return else do case default".split(), "k"
-) | dict.fromkeys("if for while switch".split(), "I")
-_STATEMENT = re.compile(r"(?<![\w$.])(?:return|if|for|while|switch|break|continue|throw|try|goto)(?![\w$])")
+    "auto char const double enum extern float inline int long register restrict short signed sizeof static struct typedef union unsigned void volatile _Bool _Noreturn else do case default".split(), "k"
+) | dict.fromkeys("return break continue goto".split(), "S") | dict.fromkeys("if for while switch".split(), "I")
 _CLIKE_WRONG = re.compile(
     r"""[0][ \n]?a|"[ \n]?0|0[ \n]?"|0[ \n]0|[=+/%|?](?<!\+\+)[ \n]?[);\]]|(?<!\.)\.[ \n]?[);\]}]|,[ \n]?[;)]|={3}|=[ \n]?>|[(\[][ \n]?[,=%:?.](?!\.\.)|I(?![ \n]?\()|\bT(?![ \n]?[{(])|\\"""
 )
@@ -227,10 +230,8 @@ def _clike(text: str, lang: str) -> str | None:
     if wrong := _balance(code):
         return wrong
     signs = _NUMBER.sub("0", code)
-    signs = _STATEMENT.sub(lambda m: {"if": "I", "for": "I", "while": "I", "switch": "I", "try": "T"}.get(m.group(), "S"), signs)
     top = signs
-    keys = _JAVA_KEYS if lang == "java" else _C_KEYS
-    signs = _WORD.sub(lambda m: m.group() if m.group() in ("I", "S", "T") else keys.get(m.group(), "a"), signs)
+    signs = _WORD.sub(_classes(_JAVA_KEYS if lang == "java" else _C_KEYS), signs)
     signs = re.sub(r"\s*\n\s*", "\n", re.sub(r"[ \t\r\f\v\ufeff]+", " ", signs)).strip()
     if _CLIKE_WRONG.search(signs) or (_JAVA_WRONG if lang == "java" else _C_WRONG).search(signs):
         return "unexpected token"
@@ -407,6 +408,8 @@ def _python(text: str) -> str | None:
         elif soft:
             opened = flat.endswith(":")
             line = re.sub(r"^(?:match|case|type) ", "return ", line)
+        elif flat.endswith(":") or re.search(r"\blambda\b(?![^:]*:)", line):
+            return "unexpected token"
         elif ":" in flat and "lambda" not in flat and ":=" not in flat and not re.match(r"[\w.()\[\]]+ ?: ?[^:]+$", flat):
             return "unexpected token"
         signs = _WORD.sub(_classes(_PY_WORDS), _NUMBER.sub("0", line.replace("...", " a ")))
@@ -421,6 +424,8 @@ def _python(text: str) -> str | None:
             return "unexpected token"
         if body and body[-1] in "BN":
             return "premature end"
+        if not kind and " if " in line and " for " not in line and len(re.findall(r"\bif\b", line)) > len(re.findall(r"\belse\b", line)):
+            return "premature end"
     if opened or last_kind.get(0) == "try" or any(last_kind.get(i) == "try" for i in indents):
         return "premature end"
     return None
@@ -962,12 +967,35 @@ _LEXERS: dict[str, Callable[[str], str | None]] = {
 LANGUAGES = tuple(_LEXERS)
 
 
+def _not_a_number(constant: str) -> float:
+    raise ValueError(constant)
+
+
+#: Exact parsers that the library has, for what a lexer flagged: a construct that a lexer does not know is no error.
+_EXACT: dict[str, Callable[[str], object]] = {"py": ast.parse, "json": lambda t: json.loads(t, parse_constant=_not_a_number), "toml": tomllib.loads}
+
+
 def verdict(lang: str, text: str) -> str | None:
-    """None if ``text`` is valid as far as its lexer can tell, or if the language is not known; else the reason."""
+    """None if ``text`` is valid as far as its lexer can tell, or if the language is not known; else the reason.
+
+    Files that are flagged, and only those, are tried with an exact parser where there is one.
+    """
     lexer = _LEXERS.get(lang)
     if lexer is None or not text:
         return None
+    text = _clean(text)
     try:
-        return lexer(_clean(text))
+        reason = lexer(text)
     except _Broken as broken:
-        return str(broken)
+        reason = str(broken)
+    if reason and lang in _EXACT:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                _EXACT[lang](text)
+            return None
+        except (SyntaxError, ValueError):
+            return reason
+        except (RecursionError, MemoryError):
+            return reason
+    return reason
