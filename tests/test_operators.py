@@ -221,3 +221,25 @@ def test_complete_ranking_is_a_permutation(spark):
     universe = spark.createDataFrame([(1, k) for k in "abcd"], "q long, key string")
     ranking = spark.createDataFrame([(1, "c", 1), (1, "a", 2)], "q long, key string, rank int")
     assert [r["key"] for r in fusion.complete(ranking, universe, "q", "key").orderBy("rank").collect()] == ["c", "a", "b", "d"]
+
+
+def test_routes_and_providers(spark):
+    from quillmesh.operators import routing
+
+    assert routing.route_of(["command", "failure_excerpt"]) == "trace" and routing.route_of(["x"]) == "general"
+    rows = [(1, "semantic", k, r) for r, k in enumerate("abc", 1)] + [(1, "current", k, r) for r, k in enumerate("cba", 1)]
+    df = spark.createDataFrame(rows, "q long, ranking string, key string, rank int")
+    assert [r["key"] for r in routing.routed(df, "q", "key", "comment").orderBy("rank").collect()][:2] == ["a", "b"]
+    own = spark.createDataFrame([("a.py", "b.py"), ("a.go", "b.go")], "src string, dst string")
+    ext = spark.createDataFrame([("a.go", "c.go"), ("a.go", "zz.go")], "src string, dst string")
+    known = spark.createDataFrame([("a.py",), ("b.py",), ("a.go",), ("b.go",), ("c.go",)], "path string")
+    assert {tuple(r) for r in routing.provided(own, ext, ["go"], known).collect()} == {("a.py", "b.py", "internal"), ("a.go", "c.go", "external")}
+
+
+def test_inferred_layer(spark):
+    from quillmesh.operators import routing
+
+    reply = '{"concepts":[{"label":"Big idea","members":["h1","h9"]}],"edges":[{"source":"h1","target":"h2","relation":"Relates To"},{"source":"h1","target":"h1","relation":"x"},{"source":"h2","target":"h1","relation":"y"}]}'
+    handles = spark.createDataFrame([("h1", "a"), ("h2", "b")], "handle string, id string")
+    got = routing.inferred_layer(spark.createDataFrame([(reply,), ("no json",)], "reply string"), handles, spark.createDataFrame([("b", "a")], "source string, target string")).collect()
+    assert {(r["source"], r["target"], r["relation"]) for r in got} == {("a", "b", "relates_to"), ("concept:big-idea", "a", "groups")}
