@@ -118,7 +118,7 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         F.slice(F.split(t, "\n"), 1, HEAD_LINES).alias("head"),
         F.array_max(lengths).alias("max_line"),
         (size / F.size(lengths)).alias("mean_line"),
-        (1 - F.length(F.translate(t, " \t\n", "")) / size).alias("space"),
+        (1 - (F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))) - F.size(lengths) + 1) / size).alias("space"),
         (F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]++", "")) / size).alias("alnum"),
         (F.regexp_count(t, F.lit(r"(?<![\w.])(?:0x[0-9A-Fa-f]++|\d++(?:\.\d++)?+)(?!\w)")) / words).alias("numbers"),
         (F.regexp_count("_no_keys", F.lit(r"\b[A-Za-z_$]{1,24}+\d{1,6}+(?:_[A-Za-z]\w{0,30}+)?+\b")) / words).alias("numbered_names"),
