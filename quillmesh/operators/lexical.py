@@ -7,6 +7,7 @@ threshold. Scores combine map-side before they meet by key.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +42,19 @@ def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return docs.select(F.col(key).alias("_k"), *(c.alias(name) for name, c in fields.items())).mapInPandas(count, f"{key} {kind}, field string, term string, tf long")
 
 
+def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_terms, n_tokens, digest): how many terms a text has, how many distinct ones, and a hash of them in order."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = [T.term_list(t) for t in batch["_t"]]
+            digests = [hashlib.md5(" ".join(t).encode()).hexdigest() for t in lists]
+            yield pd.DataFrame({key: batch["_k"], "n_terms": [len(t) for t in lists], "n_tokens": [len(set(t)) for t in lists], "digest": digests})
+
+    return docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(work, f"{key} {kind}, n_terms long, n_tokens long, digest string")
+
+
 def cue_terms(cues: DataFrame, cue: str, text: str) -> DataFrame:
     """(cue, term, n_terms): the distinct terms of each cue and how many there are."""
     return cues.select(cue, T.tokens(F.col(text)).alias("_t")).select(cue, F.explode("_t").alias("term"), F.size("_t").cast("long").alias("n_terms"))

@@ -14,7 +14,8 @@ TOP = 10
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(tables.notes(spark, sf_dir), "path", tables.note_fields())
+    """The notes' index, written once: every later step reads it several times."""
+    return cut(lexical.postings(tables.notes(spark, sf_dir), "path", tables.note_fields()))
 
 
 def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +27,7 @@ def _count(df: DataFrame) -> DataFrame:
 
 
 def note_terms(spark, sf_dir):
-    from quillmesh.functions import text as T
-
-    n = tables.notes(spark, sf_dir).select("path", T.terms(F.col("body")).alias("t"))
-    return n.select("path", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
+    return lexical.profile(tables.notes(spark, sf_dir), "path", "body")
 
 
 def term_df(spark, sf_dir):
@@ -47,7 +45,7 @@ def overlap_rank(spark, sf_dir):
 
 def bm25f(spark, sf_dir):
     notes = tables.notes(spark, sf_dir)
-    scores = lexical.bm25f(_posts(spark, sf_dir), "path", _count(notes), _cues(spark, sf_dir), "cue_id")
+    scores = lexical.bm25f(_posts(spark, sf_dir), "path", _count(notes), cut(_cues(spark, sf_dir)), "cue_id")
     return lexical.ranked(scores, "cue_id", "path", TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -59,7 +57,7 @@ _NOTE_OVERLAP = f"SELECT cue_id, path, round(sum({S.weight(lexical.OVERLAP_WEIGH
 
 
 def _note_arms(spark, sf_dir) -> DataFrame:
-    notes, posts, cues = tables.notes(spark, sf_dir), cut(_posts(spark, sf_dir)), cut(_cues(spark, sf_dir))
+    notes, posts, cues = tables.notes(spark, sf_dir), _posts(spark, sf_dir), cut(_cues(spark, sf_dir))
     bm = lexical.ranked(lexical.bm25f(posts, "path", _count(notes), cues, "cue_id"), "cue_id", "path")
     ov = lexical.ranked(lexical.overlap(posts, "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS), "cue_id", "path")
     both = bm.select("cue_id", F.lit("bm25f").alias("ranking"), "path", "rank").unionByName(ov.select("cue_id", F.lit("overlap").alias("ranking"), "path", "rank"))
