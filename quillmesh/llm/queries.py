@@ -72,7 +72,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.redacted(table(spark, sf_dir, "source_records"), "record_id", "text")
+    files = secrets.redacted(table(spark, sf_dir, "source_records"), "record_id", "text").withColumnRenamed("record_id", "row_id").withColumn("src", F.lit("source_records"))
+    notes = secrets.redacted(table(spark, sf_dir, "notes"), "note_id", "body").withColumnRenamed("note_id", "row_id").withColumn("src", F.lit("notes"))
+    return files.unionByName(notes)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ BOUNDS = {
     "py": (0.75, 0.50, 0.14, 160.0),
     "js": (0.75, 0.50, 0.14, 120.0),
     "java": (0.37, 0.40, 0.16, 160.0),
-    "c": (0.40, 0.50, 0.14, 160.0),
+    "c": (0.42, 0.50, 0.14, 160.0),
     "sh": (0.60, 0.50, 0.18, 160.0),
     "toml": (0.60, 0.75, 0.40, 200.0),
     "yaml": (0.85, 0.75, 0.40, 200.0),
@@ -110,7 +110,7 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
 
     size, lengths, words = F.col("size"), F.col("_lengths"), F.col("_words")
     encoded = F.aggregate(F.regexp_extract_all("_no_keys", F.lit(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}+={0,2}"), F.lit(0)), F.lit(0), lambda a, r: a + F.length(r))
-    pins = F.when(t.rlike("resolved|integrity|checksum"), F.regexp_count(t, F.lit(r"(?m)^\s*\"?(?:resolved|integrity|checksum)\"?\s*[:=]"))).otherwise(0)
+    pins = F.when(t.rlike("resolved|integrity|checksum"), F.regexp_count(t, F.lit(r"(?m)^\s*[\"']?(?:resolved|integrity|checksum)[\"']?\s*[:=]"))).otherwise(0)
     stats = passes.select(
         item,
         "path",
