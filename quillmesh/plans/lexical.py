@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.operators import fusion, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.session import cut
+from quillmesh.session import cut, table
 
 TOP = 10
 
@@ -49,6 +49,15 @@ def bm25f(spark, sf_dir):
     return lexical.ranked(scores, "cue_id", "path", TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
+def document_search(spark, sf_dir):
+    """The flagship: the ten best documents for every held-out question, by BM25F over titles and texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", F.col("text").alias("body"))
+    posts = cut(lexical.postings(docs, "doc_id", {"title": F.col("title"), "body": F.col("body")}))
+    cues = cut(lexical.cue_terms(table(spark, sf_dir, "eval_items"), "item_id", "text"))
+    scores = lexical.bm25f(posts, "doc_id", _count(docs), cues, "item_id")
+    return lexical.ranked(scores, "item_id", "doc_id", TOP).withColumn("rank", F.col("rank").cast("long"))
+
+
 _CUE_SOURCE = "(SELECT note_id AS cue_id, concat_ws(' ', title, description) AS text FROM notes WHERE note_id % 100 = 0)"
 _NOTE_PRELUDE = f"WITH {S.NOTES}, {S.postings('notes1', 'path', S.NOTE_FIELDS)}"
 _N_NOTES = "SELECT count(*) FROM notes1"
@@ -171,11 +180,13 @@ scored AS (SELECT cue_id, 'bm25f' AS ranking, file, score * {_HALF} AS score FRO
 carms AS (SELECT *, row_number() OVER (PARTITION BY cue_id, ranking ORDER BY score DESC, file) AS rank FROM scored),
 cfus AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, file) AS rank FROM (SELECT cue_id, file, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM carms WHERE ranking <> 'overlap' GROUP BY ALL))"""
 
-QUERIES = {f.__name__: f for f in (note_terms, term_df, field_stats, overlap_rank, bm25f, rrf, protected_fusion, diverse_protected, complete_ranking, code_overlap_rank, exact_rank, code_bm25f, lexical_hybrid, hybrid, symbol_rank)}
+QUERIES = {f.__name__: f for f in (document_search, note_terms, term_df, field_stats, overlap_rank, bm25f, rrf, protected_fusion, diverse_protected, complete_ranking, code_overlap_rank, exact_rank, code_bm25f, lexical_hybrid, hybrid, symbol_rank)}
 
 _ASKED = f"""asked AS (SELECT cue_id, unnest(t) AS term, len(t) AS n FROM (SELECT cue_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT (regexp_full_match(w, '[a-z]+') AND length(w) <= 2))) AS t FROM {_CODE_CUE_SOURCE}))"""
 
 ORACLE = {
+    "document_search": f"""WITH {S.postings('documents', 'doc_id', {'title': 'title', 'body': 'text'})}, {S.cue_terms('eval_items', 'item_id', 'text')}, {S.bm25f('posts', 'doc_id', 'SELECT count(*) FROM documents', 'cues', 'item_id', lexical.BM25F_WEIGHTS)}
+SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= {TOP}""",
     "note_terms": f"WITH {S.NOTES}, t AS (SELECT path, {S.terms('body')} AS t FROM notes1) SELECT path, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM t",
     "term_df": f"{_NOTE_PRELUDE} SELECT term, count(DISTINCT path) AS df FROM posts GROUP BY term",
     "field_stats": f"{_NOTE_PRELUDE} SELECT field, count(*) AS docs, round(avg(len), 6) AS avg_len FROM (SELECT path, field, sum(tf) AS len FROM posts GROUP BY ALL) GROUP BY field",
