@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.session import small
 
 # What a match in each field is worth.
 OVERLAP_WEIGHTS = {"title": 3.0, "tags": 3.0, "description": 2.0, "headings": 2.0, "body": 1.0}
@@ -124,8 +125,9 @@ def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue:
     pool = labels.select(key, F.col(label).alias("name"), F.regexp_replace(F.lower(label), r"\(\)$", "").alias("low")).distinct()
     names = pool.groupBy("low").agg(F.count(F.lit(1)).alias("files"))
     total = pool.agg(F.count(F.lit(1)).alias("population"))
-    words = asked.select("term").distinct()
-    inside = names.join(F.broadcast(words), F.col("low").contains(F.col("term")))  # a stated set of terms against distinct names
+    asked = small(asked)
+    words = small(asked.select("term").distinct())
+    inside = names.join(words, F.col("low").contains(F.col("term")))  # a stated set of terms against distinct names
     idf = inside.groupBy("term").agg(F.sum("files").alias("df"))
     rarity = words.join(idf, "term", "left").crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("population") / (1 + F.coalesce("df", F.lit(0)))).alias("w"))
     tier = F.when(F.col("low") == F.col("term"), 1000.0).when(F.col("low").startswith(F.col("term")), 100.0).otherwise(0.0)
@@ -133,7 +135,7 @@ def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue:
         F.sum(tier * F.col("w")).alias("tiered"), F.sum(F.when(tier == 0, F.col("w")).otherwise(0.0)).alias("plain"), F.count(F.lit(1)).alias("matched"), F.max("n").alias("n")
     )
     files = pool.select(key).distinct()
-    by_path = files.join(F.broadcast(asked), F.lower(key).contains(F.col("term"))).join(rarity, "term").groupBy(cue, key).agg(F.sum(0.5 * F.col("w")).alias("place"))
+    by_path = files.join(asked, F.lower(key).contains(F.col("term"))).join(rarity, "term").groupBy(cue, key).agg(F.sum(0.5 * F.col("w")).alias("place"))
     share = F.pow(F.col("matched") / F.col("n"), F.lit(2.0))
     named = by_name.join(pool, "low").select(cue, key, "name", (F.col("plain") + F.when(F.col("tiered") > 0, F.col("tiered") * share).otherwise(0.0)).alias("s"))
     # A file that only its path speaks for has every name at that score; the shortest counts.

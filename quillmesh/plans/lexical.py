@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.operators import fusion, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.session import cut, table
+from quillmesh.session import cut, small, table
 
 TOP = 10
 
@@ -93,7 +93,7 @@ def diverse_protected(spark, sf_dir):
 def complete_ranking(spark, sf_dir):
     """Every note for every cue: the overlapping ones by rank, the rest in order of path."""
     arms = _note_arms(spark, sf_dir).where("ranking = 'overlap'")
-    universe = tables.note_cues(spark, sf_dir).select("cue_id").join(F.broadcast(tables.notes(spark, sf_dir).select("path")), how="cross")
+    universe = tables.notes(spark, sf_dir).select("path").join(small(tables.note_cues(spark, sf_dir).select("cue_id")), how="cross")  # a stated query set against all rows
     return fusion.complete(arms, universe, "cue_id", "path").withColumn("rank", F.col("rank").cast("long"))
 
 

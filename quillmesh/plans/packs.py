@@ -11,7 +11,7 @@ from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.graphs import _EDGES, note_edges, recall_topk
 from quillmesh.plans.lexical import _SOURCES, hybrid
-from quillmesh.session import cut, table
+from quillmesh.session import cut, small, table
 from quillmesh.sources import bundle, sinks
 
 
@@ -105,7 +105,7 @@ def semantic_seeds(spark, sf_dir):
     """What the semantic channel adds: twice the cosine above the floor of 0.3, for queried vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", T.cosine(F.col("q"), F.col("embedding")).alias("c"))
+    s = e.join(small(q, 2_000), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", T.cosine(F.col("q"), F.col("embedding")).alias("c"))
     return s.where("c > 0.3").select("query_id", "vec_id", F.round(2 * (F.col("c") - 0.3), 6).alias("seed"))
 
 

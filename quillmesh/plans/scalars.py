@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import text as T
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.session import table
+from quillmesh.session import small, table
 
 TODAY = "2026-06-30"
 
@@ -92,7 +92,7 @@ def cosine_topk(spark, sf_dir):
     """The ten nearest vectors of each queried one (ids divisible by 100), above the floor of 0.3 first."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # a stated query set against all rows
+    pairs = e.join(small(q, 2_000), F.col("vec_id") != F.col("query_id"))  # a stated query set against all rows
     scored = pairs.select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")).cast("long"))
     return scored.where("rank <= 10")

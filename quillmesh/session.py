@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
@@ -56,3 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is sent to every task.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` written once and, only if it has at most ``rows`` rows, marked to be broadcast; beyond that Catalyst
+    chooses, and a join without an equality runs in blocks of partitions."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
