@@ -24,6 +24,8 @@ CAPACITY = 8192
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Texts of one length that one task numbers; longer runs are spread over more tasks.
 ROWS_PER_BUCKET = 50_000
+#: Slots (patterns times their lengths) up to which they are sent to every task.
+SMALL_SLOTS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -126,12 +128,16 @@ def pack(df: DataFrame, item: str, text: str, capacity: int = CAPACITY, vocabula
     spread = pieces.withColumn("_b", F.pmod(F.xxhash64(item, "piece"), F.lit(buckets)))
     counts = spread.groupBy("tokens", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("tokens").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("tokens", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # What a length's bucket takes is one run of ranks, so its slots are looked up in an array instead of a range join.
+    offsets = counts.select("tokens", "_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # A length's bucket takes one run of ranks: it gets the slots that overlap it, so a row looks through few of them
+    # however many patterns its length is part of, and no range join is needed.
     runs = slots_df.groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct("first", "last", "each", "base", "slot0"))).alias("_runs"))
+    few = len(slots) <= SMALL_SLOTS
+    within = F.filter("_runs", lambda r: (r["last"] > F.col("_off")) & (r["first"] <= F.col("_off") + F.col("_n")))
+    slices = offsets.join(F.broadcast(runs) if few else runs, "tokens").select("tokens", "_b", "_off", within.alias("_runs"))
     numbered = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("tokens", "_b").orderBy(item, "piece")))
-    ranked = numbered.join(F.broadcast(offsets) if buckets == 1 else offsets, ["tokens", "_b"]).withColumn("_rank", F.col("_off") + F.col("_rn"))
-    placed = ranked.join(F.broadcast(runs), "tokens").withColumn("_run", F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") <= r["last"]))[0])
+    ranked = numbered.join(F.broadcast(slices) if few and buckets == 1 else slices, ["tokens", "_b"]).withColumn("_rank", F.col("_off") + F.col("_rn"))
+    placed = ranked.withColumn("_run", F.filter("_runs", lambda r: (r["first"] <= F.col("_rank")) & (F.col("_rank") <= r["last"]))[0])
     nth = F.col("_rank") - F.col("_run.first")
     return placed.select(
         item,
