@@ -4,7 +4,8 @@ A skip-chain conditional random field labels each document's candidate segments
 street-like and name-like token runs). Neighbouring segments form the chain; segments that repeat or share a
 rare token are joined by skip edges, and loopy message passing makes their labels agree across the document.
 The field is trained here, by pseudo-likelihood, on sentences made by the small grammar below. What tells a
-person's name from a service's is how often its words and word pairs occur in all documents.
+person's name from a service's is how often its words and word pairs occur in the distinct texts; that is evidence
+with a weight like any other, and a name that copies or its bearer's work make frequent stays a name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TRAINING_TEXTS, SEED = 2500, 7
 #: Shares of all documents (and least counts) from which a lower-case word, a capitalised word and a pair of
 #: capitalised words are common. At most words-per-document / share of each can be: a proven bound.
 LOWER_SHARE, WORD_SHARE, PAIR_SHARE, LEAST = 2e-4, 5e-3, 1e-4, (3, 25, 5)
+#: Share of a common pair's documents from which words beside it that speak for a person clear it of being common.
+PERSON_SHARE = 0.02
 
 # --- candidate segments -------------------------------------------------------------------------------------
 
@@ -69,6 +72,8 @@ _CUES = {
     "other": "row build ticket epoch counter part version port bytes rows files ran order invoice issue pr line page commit release builds number lane rack step id.",
 }
 _CUE = {w: k for k, ws in _CUES.items() for w in ws.split()}
+# Words beside a name that speak for a person; services take part in all other sentences as well.
+_BESIDE = (re.compile(r"(?i)\b(?:signed(?:[ ]off)?[ ]by|agreed[ ]with|ask|asked|told|thanks[ ]to|dear|regards,)[ (]*$"), re.compile(r"(?i)[ ](?:asked|told|said|wrote|thinks|signed|agreed|phoned)\b"))
 _UNITS = set("bytes rows files builds lines".split())
 _CUE["number"] = "numberword"
 _CUE["no"] = "numberword"
@@ -108,6 +113,10 @@ def _context(text: str, start: int, end: int) -> list[str]:
     return sorted(set(out)) + sorted({f"after:{_CUE[w]}" for w in after if w in _CUE})
 
 
+def _beside_person(text: str, start: int, end: int) -> bool:
+    return bool(_BESIDE[0].search(text[max(0, start - 24) : start]) or _BESIDE[1].match(text, end))
+
+
 def _name(m: re.Match, lexicon: Lexicon) -> tuple[list[str], frozenset[str]]:
     g = m.groupdict()
     form = "title" if g["title"] else "initial" if g["initial"] else "reversed" if g["last"] else "plain"
@@ -124,8 +133,16 @@ def _name(m: re.Match, lexicon: Lexicon) -> tuple[list[str], frozenset[str]]:
         out.append("family:lower")
     if family.casefold() in lexicon.words:
         out.append("family:common")
+    beside = "none"
+    if _beside_person(m.string, m.start(), m.end()):
+        beside = "person"
+    elif all(p.isupper() for p in parts) and re.search(r"\b[A-ZÀ-ÖØ-Þ]+[ ]$", m.string[max(0, m.start() - 24) : m.start()]):
+        beside = "capitals"
+    if beside == "person":
+        out.append("beside:person")
     if pair in lexicon.pairs:
-        out.append("pair:common")
+        extent = "all" if len(common) == len(parts) else "part"
+        out += ["pair:common", f"pair:common:{extent}", f"pair:common:{extent}:{beside}"]
     if family.isupper() and len(parts) > 1 and not all(p.isupper() for p in parts):
         out.append("case:mixed")
     if len(family) < 3:
@@ -208,7 +225,7 @@ def _skip(text: str, at: int) -> int:
 
 
 def _plausible_name(s: Segment) -> bool:
-    return not {"family:lower", "pair:common"} & set(s.features) and not any(f.endswith(("lower:1", "lower:2")) for f in s.features)
+    return not {"family:lower", "pair:common:all"} & set(s.features) and not any(f.endswith(("lower:1", "lower:2")) for f in s.features)
 
 
 # --- the field ----------------------------------------------------------------------------------------------
@@ -307,6 +324,10 @@ class Field:
 
 _FIRSTS = "Anna Boris Chiara Dmitri Elena Farid Greta Hugo Ines Jonas Kaito Lena Mateo Nora Omar Petra Quim Rosa Sven Tara Ugo Vera Wim Yara Zoe".split()
 _FAMILIES = "Abernethy Bellweather Castellan Dunmore Eckhart Farnsworth Gallagher Hofmann Ibsen Jablonski Kowalczyk Lindqvist Marchetti Novak Oyelaran Petrov Quiller Rasmussen Sørensen Thackeray Ullmann Villeneuve Whitcombe Yamamoto Zielinski".split()
+#: Recurring phrases in capitals, frequent as pairs.
+_PHRASES = ["REGRA GERAL", "GRANDE PAUSE", "ZONA LIBRE", "OBRA FINAL"]
+#: Persons that the training lexicon takes for as frequent as a service, with their words and as a pair.
+_FREQUENT = [("Greta", "Gallagher"), ("Omar", "Novak"), ("Lena", "Petrov")]
 _SERVICES = ["Silver Falcon", "Iron Valley", "Quiet Harvest", "Granite", "Nimbus", "Willow", "Emerald Coast", "Sierra", "Amber Lagoon", "CLEAR MEADOW"]
 _PHONES = ("+1 (555) 01{2}-{4}", "+1.202.555.{4}", "202 555 {4}", "555-{4}", "(0)161 496 {4}", "020 7946 {4}", "+44 7700 900{3}", "+447700900{3}", "+33 1 {2} {2} {2} {2}", "+49 30 {5} {3}", "(202) 555-{4}", "+46 8 {3} {2} {2}", "0{3}-{7}", "202-555-{4}", "+351 {3} {3} {3}")
 _IDS = ("{3} {2} {4}", "{3}-{2}-{4}", "{9}", "{6}-{4}", "QQ {2} {2} {2} C", "X{7}", "RC{6}F", "WCRQW{6}MI", "{8}T", "{8}-{4}", "{3}.{3}.{3}-{2}", "P{8}")
@@ -323,6 +344,8 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = SEED) -> list[tuple[str,
 
     def name() -> str:
         a, b, c = rng.choice(_FIRSTS), rng.choice(_FAMILIES), rng.choice("ABCDEFGHJKLMNPRST")
+        if rng.random() < 0.06:
+            a, b = rng.choice(_FREQUENT)
         out = rng.choice((f"{a} {b}", f"{a} {b}", f"{a} {c}. {b}", f"{c}. {b}", f"{b}, {a}", f"{rng.choice(('Mr', 'Mrs', 'Ms.', 'Dr.', 'Prof.'))} {b}"))
         return out.upper() if rng.random() < 0.08 and "." not in out else out
 
@@ -348,7 +371,7 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = SEED) -> list[tuple[str,
 
     def decoy() -> str:
         s, n = rng.choice(_SERVICES), _fill(rng.choice(_NUMBERS), rng)
-        return rng.choice((f"Row {n} is a part number.", f"Ticket {n} tracks this.", f"Build {n} took {_fill('{3} {3}', rng)} bytes.", f"The counter went from {_fill('{9}', rng)} to {_fill('{10}', rng)}.", f"Epoch {_fill('{10}', rng)} is the start.", f"It listens on 192.0.2.{rng.randint(1, 250)}:{rng.randint(1000, 9000)}.", f"Spoke with {s} about it.", f"{s} and {rng.choice(_SERVICES)} share one rule.", f"Per {s}, the rule stays.", f"Clone it from git@forge.example:{rng.choice(('a', 'b'))}/tool.git first.", f"Use postgres://reader@db.internal.example/main for checks.", f"mobile builds: {rng.randint(100, 900)} of {rng.randint(1000, 9000)}", f"It ran {rng.randint(1, 90)} {s} jobs.", f"{rng.choice(('The', 'Die', 'Our', 'Only', 'Das', 'Le'))} {rng.choice(('Brücke', 'Harbour', 'Station', 'Bericht', 'Granite', 'Relais'))} holds two files.", f"{rng.choice(('Only', 'Both', 'Per', 'The'))} {s} may wait.", f"The {_fill(rng.choice(('{7}', '{8}', '{9}', 'X{7}', '{6}')), rng)} entry holds.", f"READ ONLY since {rng.randint(2, 90)} days.", f"{s} holds two files.", f"Version {n} of {s}.", f"Invoice {n} for {s}.", f"Commit {n} by {s}."))
+        return rng.choice((f"Row {n} is a part number.", f"Ticket {n} tracks this.", f"Build {n} took {_fill('{3} {3}', rng)} bytes.", f"The counter went from {_fill('{9}', rng)} to {_fill('{10}', rng)}.", f"Epoch {_fill('{10}', rng)} is the start.", f"It listens on 192.0.2.{rng.randint(1, 250)}:{rng.randint(1000, 9000)}.", f"Spoke with {s} about it.", f"{s} and {rng.choice(_SERVICES)} share one rule.", f"Per {s}, the rule stays.", f"Clone it from git@forge.example:{rng.choice(('a', 'b'))}/tool.git first.", f"Use postgres://reader@db.internal.example/main for checks.", f"mobile builds: {rng.randint(100, 900)} of {rng.randint(1000, 9000)}", f"It ran {rng.randint(1, 90)} {s} jobs.", f"{rng.choice(('The', 'Die', 'Our', 'Only', 'Das', 'Le'))} {rng.choice(('Brücke', 'Harbour', 'Station', 'Bericht', 'Granite', 'Relais'))} holds two files.", f"{rng.choice(('Only', 'Both', 'Per', 'The'))} {s} may wait.", f"The {_fill(rng.choice(('{7}', '{8}', '{9}', 'X{7}', '{6}')), rng)} entry holds.", f"{rng.choice('AEO')} {rng.choice(_PHRASES)} holds two files.", f"READ ONLY since {rng.randint(2, 90)} days.", f"{s} holds two files.", f"Version {n} of {s}.", f"Invoice {n} for {s}.", f"Commit {n} by {s}."))
 
     out = []
     for _ in range(n):
@@ -360,7 +383,7 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = SEED) -> list[tuple[str,
                 continue
             kind = rng.choice(KINDS)
             before, value, after = case(kind)
-            text += before
+            text += before.upper() if value.isupper() and rng.random() < 0.3 else before
             spans.append((len(text), len(text) + len(value), kind))
             text += value + after + rng.choice((" ", "\n", "\n\n"))
             if rng.random() < 0.15:
@@ -374,8 +397,12 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = SEED) -> list[tuple[str,
 
 def _training_lexicon() -> Lexicon:
     lower = {w for t, _ in training_texts(300) for w in re.findall(r"(?<![\w@.+])[a-z]{2,}(?![\w@.+])", t)}
-    words = {w.casefold() for s in _SERVICES[:-2] for w in s.split()}  # the last two are common as pairs only
-    return Lexicon(frozenset(lower | set("read only since the die our only das le both per spoke call text use commit version invoice row build ticket clone copy".split())), frozenset(words), frozenset(s.casefold() for s in _SERVICES if " " in s))
+    words = {w.casefold() for s in _SERVICES for w in s.split()} | {w.casefold() for n in _FREQUENT for w in n} | {w.casefold() for w in _FIRSTS[::5] + _FAMILIES[::6]}
+    # Persons are seen with every mark of frequency: the pair alone, the words alone, and both.
+    pairs = {s.casefold() for s in _SERVICES + _PHRASES if " " in s}
+    named = [(a, b) for i, a in enumerate(_FIRSTS) for j, b in enumerate(_FAMILIES) if (i + j) % 5 == 0] + _FREQUENT
+    pairs |= {f"{a} {b}".casefold() for n in named for a, b in (n, n[::-1])}
+    return Lexicon(frozenset(lower | set("read only since the die our only das le both per spoke call text use commit version invoice row build ticket clone copy".split())), frozenset(words), frozenset(pairs))
 
 
 @lru_cache(maxsize=1)
@@ -412,10 +439,15 @@ def replace(text: str, lexicon: Lexicon, model: Field | None = None) -> str:
     return "".join(out) + text[at:]
 
 
+def distinct_texts(df: DataFrame, text: str) -> DataFrame:
+    """(text): every text once, however often it was copied or delivered; combined before the shuffle."""
+    return df.where(F.length(text) > 0).select(text).distinct()
+
+
 def lexicon_of(texts: DataFrame, text: str) -> Lexicon:
     """What is common over all documents of ``texts``: document counts per word, combined before the shuffle.
 
-    Only words and pairs above a share of the documents reach the driver, so their number is bounded by
+    Every row counts, so rows that may repeat a text go through ``distinct_texts`` first. Only words and pairs above a share of the documents reach the driver, so their number is bounded by
     (distinct words of a mean document) / share.
     """
 
@@ -430,7 +462,10 @@ def lexicon_of(texts: DataFrame, text: str) -> Lexicon:
                         keys.add("l" + w)
                     elif w[0].isupper():
                         keys.add("w" + w.casefold())
-                keys.update(f"p{a} {b}".casefold() for a, b in _PAIR.findall(t))
+                for m in _PAIR.finditer(t):
+                    keys.add(f"p{m[1]} {m[2]}".casefold())
+                    if _beside_person(t, m.start(), m.end(2)):
+                        keys.add(f"q{m[1]} {m[2]}".casefold())
                 for k in keys:
                     seen[k] += 1
             if len(seen) > 200_000:
@@ -444,7 +479,10 @@ def lexicon_of(texts: DataFrame, text: str) -> Lexicon:
     total = (counts.where("k = '#'").first() or {"n": 0})["n"]
     got: dict[str, set[str]] = {}
     for mark, share, least in zip("lwp", (LOWER_SHARE, WORD_SHARE, PAIR_SHARE), LEAST):
-        kept = counts.where(F.col("k").startswith(mark) & (F.col("n") >= max(least, share * total))).select(F.substring("k", 2, 200).alias("k"))
+        kept = counts.where(F.col("k").startswith(mark) & (F.col("n") >= max(least, share * total))).select(F.substring("k", 2, 200).alias("k"), "n")
+        if mark == "p":
+            persons = counts.where("startswith(k, 'q')").select(F.substring("k", 2, 200).alias("k"), F.col("n").alias("_beside"))
+            kept = kept.join(persons, "k", "left").where(F.coalesce("_beside", F.lit(0)) < PERSON_SHARE * F.col("n"))
         got[mark] = {r["k"] for r in kept.collect()}
     return Lexicon(frozenset(got["l"]), frozenset(got["w"]), frozenset(got["p"]))
 

@@ -40,12 +40,12 @@ def _pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _pii_texts(spark, sf_dir)
-    return pii.kinds_found(texts, ["src", "row_id"], "text", pii.lexicon_of(texts, "text")).distinct()
+    return pii.kinds_found(texts, ["src", "row_id"], "text", pii.lexicon_of(pii.distinct_texts(texts, "text"), "text")).distinct()
 
 
 def p3_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _pii_texts(spark, sf_dir)
-    return pii.replaced(texts, ["src", "row_id"], "text", pii.lexicon_of(texts, "text")).distinct()
+    return pii.replaced(texts, ["src", "row_id"], "text", pii.lexicon_of(pii.distinct_texts(texts, "text"), "text")).distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,35 @@ def test_lexicon_counts_documents(spark):
     df = spark.createDataFrame([("the Blue Harbor file, mail to rare@example.com",)] * 40 + [("Odd Name",)], "t string")
     lexicon = pii.lexicon_of(df, "t")
     assert "file" in lexicon.lower and "blue harbor" in lexicon.pairs and "odd name" not in lexicon.pairs and "rare" not in lexicon.lower
+
+
+def test_frequency_alone_makes_no_service():
+    lexicon = _lexicon()
+    words, pairs = lexicon.words | {"greta", "lindqvist"}, lexicon.pairs | {"greta lindqvist", "lindqvist greta"}
+    often, everywhere = pii.Lexicon(lexicon.lower, lexicon.words, pairs), pii.Lexicon(lexicon.lower, words, pairs)
+    for text in ("Spoke with Greta Lindqvist about it.", "Per Lindqvist, Greta, the rule stays."):
+        assert [k for _, _, k in pii.find(text, often)] == ["person_name"], text
+    for text in ("signed off by Greta Lindqvist", "Spoke with Ms. Lindqvist about it.", "Per G. Lindqvist, the rule stays.", "signed off by Greta Lindqvist. Later Greta Lindqvist drops it."):
+        assert {k for _, _, k in pii.find(text, everywhere)} == {"person_name"}, text
+    for text in ("Blue Harbor now drops files.", "Spoke with Blue Harbor about it."):
+        assert pii.find(text, everywhere) == [], text
+
+
+def test_copies_make_no_service(spark, tmp_path):
+    from quillmesh.llm import queries
+
+    notes = [(i, f"Row {i} of the files stays, blue item{chr(97 + i % 26)}.") for i in range(80)] + [(100 + i, "Spoke with Greta Lindqvist about it.") for i in range(40)]
+    spark.createDataFrame(notes, "note_id long, body string").write.parquet(f"{tmp_path}/notes.parquet")
+    events = [(7, "Spoke with Wim Petrov about files.")] * 30 + [(8, None)]
+    spark.createDataFrame(events, "event_id long, text string").write.parquet(f"{tmp_path}/feedback_events.parquet")
+    want = {*(("notes", 100 + i, "person_name") for i in range(40)), ("feedback_events", 7, "person_name")}
+    assert {tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()} == want
+    out = {r["row_id"]: r["text"] for r in queries.p3_replaced(spark, str(tmp_path)).collect()}
+    assert out[100] == "Spoke with [PERSON_NAME] about it." and out[7] == "Spoke with [PERSON_NAME] about files."
+
+
+def test_pairs_beside_a_persons_words_are_not_common(spark):
+    rows = [(f"Blue Harbor drops files{i}. Per Greta Lindqvist the rule stays{i}.",) for i in range(30)] + [("signed off by Greta Lindqvist",)]
+    lexicon = pii.lexicon_of(spark.createDataFrame(rows, "t string"), "t")
+    assert "blue harbor" in lexicon.pairs and {"greta", "lindqvist"} <= lexicon.words and "greta lindqvist" not in lexicon.pairs
+    assert [k for _, _, k in pii.find("Spoke with Greta Lindqvist about it.", pii.Lexicon(lexicon.lower | {"spoke", "with"}, lexicon.words, lexicon.pairs))] == ["person_name"]
