@@ -266,20 +266,27 @@ def _stream(text: str, ids: dict[str, int]) -> list[int]:
     return [ids.setdefault(t, len(ids)) for t in _TOKEN.findall(text)]
 
 
-def _fingerprints(text: str, length: int, every: int) -> list[tuple[int, int]]:
-    """(position, hash) of the windows that are least among ``every`` neighbours: any repeat of length + every
-    words shares one."""
+def _hashes(text: str, length: int, seed: int = 0) -> np.ndarray:
+    """The hash of every window of ``length`` words."""
     words = _TOKEN.findall(text)
-    n = len(words) - length + 1
-    if n <= 0:
-        return []
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    n = max(0, len(words) - length + 1)
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
     with np.errstate(over="ignore"):
         total = np.zeros(n, dtype=np.uint64)
         for k in range(length):
             total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
         total ^= total >> np.uint64(29)
         total *= np.uint64(0xBF58476D1CE4E5B9)
+    return total
+
+
+def _fingerprints(text: str, length: int, every: int) -> list[tuple[int, int]]:
+    """(position, hash) of the windows that are least among ``every`` neighbours: any repeat of length + every
+    words shares one."""
+    total = _hashes(text, length)
+    n = len(total)
+    if not n:
+        return []
     chosen = {int(i + np.argmin(total[i : i + every])) for i in range(max(1, n - every + 1))}
     return [(i, int(total[i].astype(np.int64))) for i in sorted(chosen)]
 
@@ -306,7 +313,7 @@ def clean(df: DataFrame, item: str, path: str, body: str, length: int = REPEAT_W
 
     A page is a path: the same page under another id repeats nothing, and rows that share path and body come
     out alike. Of a substring of at least ``length`` words on several pages of a host, the copy on the lowest
-    page of its block stays. Null and empty bodies are left out; a null path makes a host of its own kind.
+    page stays, whatever the size of the blocks. Null and empty bodies are left out; a null path makes a host of its own kind.
     """
     rows = df.where(F.length(body) > 0).select(F.col(item).cast("long").alias("_k"), F.coalesce(F.col(path), F.lit("")).alias("_p"), F.col(body).alias("_t"))
     rows = rows.withColumn("_host", F.substring_index("_p", "/", 1)).withColumn("_page", F.xxhash64("_p"))
@@ -319,30 +326,49 @@ def clean(df: DataFrame, item: str, path: str, body: str, length: int = REPEAT_W
         done = [convert(t) for t in pdf["_t"]]
         ids: dict[str, int] = {}
         hits = repeated_windows([_stream(t, ids) for _, t in done], pdf["_page"].tolist(), length)
-        text = [_remove(t, h.tolist(), length) for (_, t), h in zip(done, hits)]
-        return pd.DataFrame({item: pdf["_k"], "_host": pdf["_host"], "_page": pdf["_page"], "_block": pdf["_block"], "kinds": [k for k, _ in done], "text": text})
+        return pd.DataFrame({item: pdf["_k"], "_host": pdf["_host"], "_page": pdf["_page"], "_block": pdf["_block"], "kinds": [k for k, _ in done], "text": [t for _, t in done], "_hits": [h.tolist() for h in hits]})
 
-    made = placed.groupBy("_host", "_block").applyInPandas(block, f"{item} long, _host string, _page long, _block long, kinds array<string>, text string")
+    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            starts = [[*h, *([] if more is None else more)] for h, more in zip(batch["_hits"], batch["_more"])]
+            text = [_remove(t, s, length) for t, s in zip(batch["text"], starts)]
+            yield pd.DataFrame({item: batch[item], "kinds": batch["kinds"], "text": text})
+
+    made = placed.groupBy("_host", "_block").applyInPandas(block, f"{item} long, _host string, _page long, _block long, kinds array<string>, text string, _hits array<int>")
+    schema = f"{item} long, kinds array<string>, text string"
     if (hosts["m"] or 0) <= 1:
-        return made.select(item, "kinds", "text")
+        return made.withColumn("_more", F.lit(None).cast("array<int>")).mapInPandas(trim, schema)
 
-    made = cut(made)
-    every = max(2, length // 3)
+    # A window without a hit is on the lowest page of its block, so one row or page a block stands for it below, however
+    # many pages hold it, and the lowest page of the host is among them.
+    made = cut(made.withColumn("_h", F.xxhash64("text")))
+    row, every = [item, "_page", "_h"], max(2, length // 3)
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(k, h, b, i, f) for k, h, b, t in zip(batch[item], batch["_host"], batch["_block"], batch["text"]) for i, f in _fingerprints(t, length - every, every)]
-            yield pd.DataFrame(out, columns=[item, "_host", "_block", "_at", "_f"])
-
-    marks = made.select(item, "_host", "_block", "text").mapInPandas(prints, f"{item} long, _host string, _block long, _at int, _f long")
-    # min and max combine before the shuffle, so a fingerprint on a third of all pages costs no task more than others.
-    across = marks.groupBy("_host", "_f").agg(F.min("_block").alias("_first"), F.max("_block").alias("_last")).where("_first < _last")
-    gone = marks.join(across.select("_host", "_f", "_first"), ["_host", "_f"]).where(F.col("_block") > F.col("_first"))
-    starts = gone.groupBy(item).agg(F.sort_array(F.collect_set("_at")).alias("_starts"))
+            out = []
+            for *key, t, hits in batch[[*row, "_host", "_block", "text", "_hits"]].itertuples(index=False, name=None):
+                gone, last = set(hits), len(_TOKEN.findall(t)) - length
+                out += [(*key, i, f) for i, f in _fingerprints(t, length - every, every) if any(j not in gone for j in range(max(0, i - every), min(i, last) + 1))]
+            yield pd.DataFrame(out, columns=[*row, "_host", "_block", "_at", "_f"])
 
-    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [t if s is None else _remove(t, list(s), length - every) for t, s in zip(batch["text"], batch["_starts"])]
-            yield pd.DataFrame({item: batch[item], "kinds": batch["kinds"], "text": text})
-
-    return made.select(item, "kinds", "text").join(starts, item, "left").mapInPandas(trim, f"{item} long, kinds array<string>, text string")
+            out = []
+            for *key, t, hits, at in batch[[*row, "_host", "text", "_hits", "_ats"]].itertuples(index=False, name=None):
+                one, two = (_hashes(t, length, seed).astype(np.int64).tolist() for seed in (1, 2))
+                near = {j for i in at for j in range(max(0, i - every), min(i, len(one) - 1) + 1)} - set(hits)
+                out += [(*key, j, one[j], two[j]) for j in sorted(near)]
+            yield pd.DataFrame(out, columns=[*row, "_host", "_at", "_f", "_g"])
+
+    keyed = f"{item} long, _page long, _h long, _host string"
+    # Sampled prints of fewer words are candidates only: every repeat of ``length`` words shares one with its copies.
+    marks = made.select(*row, "_host", "_block", "text", "_hits").mapInPandas(prints, f"{keyed}, _block long, _at int, _f long")
+    # min and max combine before the shuffle, so a fingerprint on a third of all pages costs no task more than others.
+    shared = marks.groupBy("_host", "_f").agg(F.min("_block").alias("_first"), F.max("_block").alias("_last")).where("_first < _last")
+    near = marks.join(shared.select("_host", "_f"), ["_host", "_f"], "left_semi").groupBy(*row).agg(F.sort_array(F.collect_set("_at")).alias("_ats"))
+    # Then every window of ``length`` words around a candidate is compared whole, by two hashes of 64 bits.
+    whole = cut(made.select(*row, "_host", "text", "_hits").join(near, row).mapInPandas(windows, f"{keyed}, _at int, _f long, _g long"))
+    lowest = whole.groupBy("_host", "_f", "_g").agg(F.min("_page").alias("_first"), F.max("_page").alias("_last")).where("_first < _last").drop("_last")
+    more = whole.join(lowest, ["_host", "_f", "_g"]).where("_page > _first").groupBy(*row).agg(F.sort_array(F.collect_set("_at")).alias("_more"))
+    return made.select(*row, "kinds", "text", "_hits").join(more, row, "left").mapInPandas(trim, schema)

@@ -58,3 +58,21 @@ def test_boilerplate_goes_in_blocks_and_across(spark):
         kept = [i for i in range(12) if "word20" in got[i]]
         assert len(kept) == 1
     assert markup.clean(df.limit(0), "note_id", "path", "body").count() == 0
+
+
+def test_result_does_not_depend_on_the_size_of_blocks(spark):
+    rng = np.random.default_rng(11)
+    parts = [" ".join(f"part{k}x{i}" for i in range(n)) for k, n in enumerate([*range(16, 31), 60])]
+    rows = []
+    for i in range(60):
+        body = []
+        for j, k in enumerate(rng.choice(len(parts), 4, replace=False)):
+            body += [f"own{i}n{j}", parts[k]]
+        rows.append((i, f"host/p{i}.md", " ".join(body) + f" own{i}end"))
+    rows += [(100, "host/p0.md", rows[0][2]), (101, "host/long.md", parts[-1] + " tail"), (102, "host/cut.md", " ".join(parts[-1].split()[10:50]))]
+    df = spark.createDataFrame(rows, "note_id long, path string, body string")
+    whole, blocks = ({r["note_id"]: r["text"] for r in markup.clean(df, "note_id", "path", "body", block_chars=c).collect()} for c in (4_000_000, 1_500))
+    assert blocks == whole
+    for k, n in enumerate(range(16, 31)):
+        held, left = sum(parts[k] in body for _, _, body in rows), sum(parts[k] in t for t in blocks.values())
+        assert left == held if n < 24 else left <= 2 and not any(f"part{k}x" in t for t in blocks.values() if parts[k] not in t)
