@@ -38,6 +38,11 @@ _CYRILLIC_WORDS = re.compile(r"[Ѐ-ӿ]+(?:[ ,;:.!?()\-]+[Ѐ-ӿ]+)*")
 _CAPITAL_WORDS = re.compile(r"[Ѐ-ӿ]?[Ђ-Џ\u0410-Я]+(?:[ ,;:.!?()\-]+[Ѐ-ӿ]?[Ђ-Џ\u0410-Я]+)*")
 _CP1252_STRETCH = re.compile("[\x20-\x7e\x80-\xffŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]{4,}")
 
+# Accented letters that one language writes; a run of such letters is no double-byte text.
+_ALPHABETS = [frozenset(a + a.upper()) for a in ("äöüßéàç", "àâäæçéèêëîïôöœùûüÿ", "áéíóúüñçàèìòùïª", "áâãàçéêíóôõúüªº", "åäöæøéüô", "áéíóúýþæöð", "àèéìíîòóùúªº", "áčďéěíňóřšťúůýžäôľĺŕ")]
+#: Non-ASCII characters with the single ASCII trail bytes that a double-byte encoding allows between them.
+_DOUBLE_RUN = re.compile(r"[^\x00-\x7f](?:[\x40-\x7e]?[^\x00-\x7f]){2,}[\x40-\x7e]?")
+
 
 def _sloppy(text: str, encoding: str) -> bytes | None:
     """``text`` in ``encoding``; code points 80-9F stand for themselves, as readers of cp1252 leave them."""
@@ -243,6 +248,23 @@ def _dense(text: str) -> str:
     high = len(re.findall(r"[^\x00-\x7f]", text))
     if high < 4 or high < 0.34 * len(text):
         return text
+    return _double(text)
+
+
+def _short(m: re.Match) -> str:
+    """A run within other text: a double-byte encoding read as Western, if no language writes its letters, or signs
+    among letters, in this way."""
+    run = m.group()
+    letters = {c for c in run if ord(c) > 0x7F and unicodedata.category(c)[0] == "L"}
+    foreign = len(letters) > 1 and not any(letters <= a for a in _ALPHABETS) or letters and len(re.findall("[¢-¦¨©¬®¯±-¶¸¹¼-¾]", run)) > 1
+    if not foreign and not _C1.search(run) and len(re.findall("[ƒ‚][^\x00-\x3f]", run)) < 2:
+        return run
+    if (fixed := _double(run)) != run or run[-1] > "\x7f":
+        return fixed
+    return _double(run[:-1]) + run[-1]
+
+
+def _double(text: str) -> str:
     raw = _sloppy(text, "cp1252")
     if raw and len(raw.decode("utf-8", "ignore").encode()) > 0.9 * len(raw):
         return text
@@ -270,6 +292,7 @@ def _layer(text: str) -> str:
     if _C1.search(text) or re.search("[\xa1-\xffŒ-˜–-™][\x20-\x7e]?[\xa1-\xffŒ-˜–-™]", text):
         text = _CP1252_STRETCH.sub(dense, text)
         text = _HIGH_LATIN_WORDS.sub(lambda m: _high_latin(m.group()), text)
+        text = _DOUBLE_RUN.sub(_short, text)  # after Cyrillic, whose words double-byte encodings accept as well
     if re.search(r"[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[а-яё][А-ЯЁЂ-Џђ-џ]", text):
         text = _CAPITAL_WORDS.sub(lambda m: _cyrillic(m.group()), text)
         text = _CYRILLIC_WORDS.sub(lambda m: _cyrillic(m.group()), text)

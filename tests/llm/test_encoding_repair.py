@@ -53,3 +53,15 @@ def test_tables(spark):
     got = {r["doc_id"]: r["text"] for r in repaired(df, "doc_id", "text").collect()}
     assert got == {2: CLEAN[0], 6: "40 €"}
     assert repaired(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("meant,word", [("gb18030", "你好"), ("gb18030", "请保存"), ("cp932", "テスト"), ("cp932", "検索結果")])
+def test_short_double_byte_words_in_ascii_lines(meant, word):
+    garbled = "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in word.encode(meant))
+    line = "The note says {} in an otherwise plain English line, and then goes on."
+    assert repair(line.format(garbled)) == (line.format(word), 1, False)
+
+
+@pytest.mark.parametrize("text", ["Größe, Ä, Ö and ÄÖ are kept as they are in this line.", "Les «Été» et référé, dépêché in a long plain line.", "not SEM EXCEÇÃO, ações e opções in plain text", "±3 °C § 4 — “quoted” … 40 € ‚so‘ and ‚so‘ in a long plain line"])
+def test_accents_in_ascii_lines_stay(text):
+    assert repair(text) == (text, 0, False)
