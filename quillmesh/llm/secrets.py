@@ -2,7 +2,9 @@
 
 A keyword automaton runs over each whole text; only lines that hold a keyword are looked at by the
 issuer-format and assignment patterns, each hit is validated by its structure, and what remains is replaced
-by a placeholder of the same length and alphabet, so that the code around it still parses.
+by a placeholder of the same length and alphabet, so that the code around it still parses. Where an issuer has
+published how its tokens carry a checksum, it is computed and reported with the hit; a wrong one drops none,
+as a mistyped or retired token is still no text to train on.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import base64
 import binascii
 import json
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 KEYWORDS = (
     "pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "basic ", "dsn", "://", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "hbx-",
     "_live_", "_test_", "_prod_", "eyj", "aiza", "sg.", "npm_", "pypi-", "sk-", "begin ", "hooks.", "webhook", " -p", " -u ", "spare", "rotated", "pin ", "passwd", "cookie", "signature", "salt",
+    "xapp-", "dapi", "gocspx-", "ya29.", "shpat_", "shpca_", "shppa_", "shpss_", "sq0", "dop_v1_", "hf_", "hvs.", "lin_api_", "pmak-", "glsa_", "glc_", "nrak-", "age-secret", "atatt3", "rubygems_", "tfp_", "pat_", "-----",
 )
 # What issuers' credentials look like.
 ISSUERS = re.compile(
@@ -36,6 +41,12 @@ ISSUERS = re.compile(
     r"|(?P<mail_key>SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{30,})"
     r"|(?P<registry_token>npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{40,})"
     r"|(?P<model_key>sk-(?:[a-z]+-)?[A-Za-z0-9]{32,})"
+    r"|(?P<app_token>xapp-\d-[A-Z0-9]{8,}-\d{8,}-[A-Za-z0-9]{32,})"
+    r"|(?P<workspace_token>dapi[0-9a-f]{32}(?:-\d)?)"
+    r"|(?P<oauth_secret>GOCSPX-[A-Za-z0-9_-]{28}|ya29\.[A-Za-z0-9_-]{30,})"
+    r"|(?P<shop_token>shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|sq0[a-z]{3}-[A-Za-z0-9_-]{22,})"
+    r"|(?P<host_token>dop_v1_[0-9a-f]{64}|hf_[A-Za-z]{34}|hvs\.[A-Za-z0-9_-]{24,}|lin_api_[A-Za-z0-9]{40}|PMAK-[0-9a-f]{24}-[0-9a-f]{34}|glsa_[A-Za-z0-9]{32}_[0-9a-f]{8}|glc_[A-Za-z0-9+/]{32,}={0,2}|NRAK-[A-Z0-9]{27}|ATATT3[A-Za-z0-9_=-]{60,}|rubygems_[0-9a-f]{48})"
+    r"|(?P<age_key>AGE-SECRET-KEY-1[0-9A-Z]{58})"
     r")"
 )
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -51,7 +62,7 @@ _BARE = re.compile(r"[^\s,;\"'`()\[\]{}<>|&]+(?=[\s,;|&)\]}]|$)")
 _CALL = re.compile(r"\b(?P<name>[A-Za-z_]\w*)\(\s*(?=[\"'])")
 _HOLDER = re.compile(r"\b(?:class|struct|enum|object)\s+(?P<name>\w+)\s*\{[^\"'\n]*=\s*(?=[\"'])")
 _NEXT_PART = re.compile(r"[ \t]*(?:\+|\.|\\)?[ \t]*\r?\n[ \t]*(?:\+[ \t]*)?(?=[\"'`])")
-_SAID = re.compile(r"(?i)\b(?:password|passwd|passphrase|secret|token|credentials?|login|api[ _-]?key|access[ _-]?key|key|bearer)\b[^\n]{0,48}?(?:\bis\b|\bwas\b|:|=|\b(?:token|login|password|key|credential|secret))\s+[\"'`(]?(?P<value>[^\s\"'`,;()<>]{8,})")
+_SAID = re.compile(r"(?i)\b(?:password|passwd|passphrase|secret|token|credentials?|login|api[ _-]?key|access[ _-]?key|key|bearer)\b(?:[^\n]{0,48}?(?:\bis\b|\bwas\b|:|=|\b(?:token|login|password|key|credential|secret)))?\s+[\"'`(]?(?P<value>[^\s\"'`,;()<>]{8,})")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Names of secrets, and names that only speak of them.
 _SECRET_WORDS = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "secret", "secrets", "token", "apikey", "bearer", "credential", "credentials", "pgpassword", "apitoken", "authtoken", "accesskey", "secretkey", "privatekey"}
@@ -81,16 +92,19 @@ def _groups(value: str) -> int:
     return bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search(r"\d", value)) + bool(re.search(r"[^A-Za-z0-9]", value))
 
 
-@lru_cache(maxsize=100_000)
 def plausible(value: str, least: int = 8) -> bool:
     """Whether ``value`` can be a live secret: no placeholder, reference, hash, word or path."""
     if len(value) < least or re.search(r"\s", value) or _PLACEHOLDER.search(value) or _REFERENCE.search(value) or _HASHED.match(value) or _SPLIT_ID.match(value):
         return False
     if not re.search(r"\d", value):
-        return len(value) >= 16 and _groups(value) >= 2 and bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value)) and not re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*", value)
+        if re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*", value):
+            # Letters alone are random only where their case turns more often than at the words of a name.
+            turns = sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha())
+            return len(value) >= 16 and turns >= 0.4 * (len(value) - 1)
+        return len(value) >= 16 and _groups(value) >= 2 and bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value))
     if re.fullmatch(r"[\d.,:_/-]+", value) or re.fullmatch(r"(?:[A-Za-z]+[_.-])*[A-Za-z]+[_.-]?\d{1,3}", value) and value == value.lower():
         return False
-    if len(set(value)) < max(4, len(value) // 8):
+    if len(set(value)) < max(4, min(16, len(value) // 8)):
         return False
     return _groups(value) >= 3 or len(value) >= 12 and _groups(value) >= 2
 
@@ -136,11 +150,63 @@ def _literal(text: str, at: int) -> tuple[str, list[tuple[int, int]]] | None:
     m = _STRING.match(text, at)
     if not m:
         return None
-    value, spans = m.group()[1:-1], [(m.start() + 1, m.end() - 1)]
-    while (join := _NEXT_PART.match(text, m.end())) and (m := _STRING.match(text, join.end())) and len(spans) < 64:
-        value += m.group()[1:-1]
+    parts, spans = [m.group()[1:-1]], [(m.start() + 1, m.end() - 1)]
+    while (join := _NEXT_PART.match(text, m.end())) and (m := _STRING.match(text, join.end())):
+        parts.append(m.group()[1:-1])
         spans.append((m.start() + 1, m.end() - 1))
-    return value, spans
+    return "".join(parts), spans
+
+
+_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)[ \t]*:")
+_EDGES = " \t\r\"'`,;#*>|()[]+\\"
+_KEY_CHARS = re.compile(r"(?<!\\)[A-Za-z0-9+/=]+")
+
+
+def _key_lines(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
+    """(end, spans) of the key material that follows a BEGIN line at ``at`` and has no END line: as long as lines hold
+    nothing but key characters, however many; headers and a blank line after them may come first."""
+    end, spans = at, []
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop].strip(_EDGES)
+        plain = re.sub(r"\\[nrt]", " ", line).strip(_EDGES)
+        if not plain:
+            if spans:
+                break
+        elif not (_HEADER.match(plain) and not spans):
+            if not re.fullmatch(r"[A-Za-z0-9+/= \t\\]+", plain):
+                break
+            groups = plain.split()  # words of prose seldom hold a digit
+            if 2 * sum(bool(re.search(r"[0-9+/=]|[A-Za-z]{24}", g)) for g in groups) < len(groups):
+                break
+            spans += [m.span() for m in _KEY_CHARS.finditer(text, at, stop)]
+            end = stop
+        at = stop + 1
+    return end, spans
+
+
+def _base62(number: int, width: int) -> str:
+    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    out = ""
+    while number:
+        number, d = divmod(number, 62)
+        out = digits[d] + out
+    return out.rjust(width, "0")
+
+
+def checksum(value: str) -> str | None:
+    """'valid' or 'invalid' for a token whose issuer has published its checksum, None for any other.
+
+    Tokens of 36 letters and digits after ``gh?_`` or ``npm_`` end in six base-62 digits of the CRC-32 of the rest; a
+    signed token's three parts must be whole base-64 texts, the first two of them JSON objects.
+    """
+    if m := re.fullmatch(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})", value):
+        return "valid" if _base62(zlib.crc32(m[1].encode()), 6) == m[2] else "invalid"
+    if value.startswith("eyJ") and value.count(".") == 2:
+        head, body, _ = value.split(".")
+        return "valid" if _jwt(head) and _jwt(body) else "invalid"
+    return None
 
 
 def find(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -156,12 +222,17 @@ def find(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             last = len(text) if last < 0 else last
             starts.append((start, last))
     found: list[tuple[str, list[tuple[int, int]]]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint and in order
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(taken, (a, a))
+        return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b)
 
     def add(kind: str, spans: list[tuple[int, int]]) -> None:
-        if not any(a < y and x < b for a, b in spans for x, y in taken[-40:]):
+        if all(free(a, b) for a, b in spans):
             found.append((kind, spans))
-            taken.extend(spans)
+            for span in spans:
+                taken.insert(bisect_right(taken, span), span)
 
     key_end = -1
     for start, stop in starts:
@@ -172,11 +243,14 @@ def find(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             body = start + m.end()
             end = _END.search(text, body)
             following = _BEGIN.search(text, body)
-            inside = text[body : end.start()] if end and (not following or end.start() < following.start()) else text[body : body + 4000].split("\n\n")[0]
-            if len(re.findall(r"[A-Za-z0-9+/]", inside)) >= 40 and "..." not in inside:
-                rows = [(body + r.start(), body + r.end()) for r in re.finditer(r"[A-Za-z0-9+/=]{4,}", inside)]
+            if end and (not following or end.start() < following.start()):
+                stop = end.start()
+                rows = [r.span() for r in _KEY_CHARS.finditer(text, body, stop) if not _HEADER.match(text, text.rfind("\n", 0, r.start()) + 1)]
+            else:
+                stop, rows = _key_lines(text, body)
+            if sum(b - a for a, b in rows) >= 40 and "..." not in text[body:stop]:
                 add("private_key", [(start + m.start(), start + m.end()), *rows])
-                key_end = body + len(inside)
+                key_end = stop
             continue
         for m in ISSUERS.finditer(line):
             if m.lastgroup == "jwt" and not _jwt(m.group()) or _PLACEHOLDER.search(m.group()):
@@ -212,8 +286,9 @@ def find(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                     value, spans = literal
                 elif pattern is _ASSIGN and (bare := _BARE.match(text, at, stop)):
                     value, spans = bare.group(), [bare.span()]
-                    if text[bare.end() : bare.end() + 1] in "([":
-                        continue
+                    after = text[bare.end() : bare.end() + 1]
+                    if after in ("(", "[") or after == ";" and re.fullmatch(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+", value):
+                        continue  # a call, a subscript, or a member in a statement
                 else:
                     continue
                 if plausible(value):
@@ -240,27 +315,33 @@ def _mask(value: str) -> str:
     return re.sub("[A-Z]", "X", re.sub("[a-z]", "x", re.sub(r"\d", "0", value)))
 
 
-def redact(text: str) -> str:
-    """``text`` with every credential masked; armour lines of private keys stay."""
-    spans = [(a, b) for kind, s in find(text) for a, b in (s[1:] if kind == "private_key" else s)]
+def redact(text: str) -> tuple[str, int]:
+    """(``text`` with every credential masked, how many there are); armour lines of private keys stay."""
+    found = find(text)
+    spans = [(a, b) for kind, s in found for a, b in (s[1:] if kind == "private_key" else s)]
     out, at = [], 0
     for a, b in sorted(spans):
         if a >= at:
             out += [text[at:a], _mask(text[a:b])]
             at = b
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], len(found)
 
 
 def credentials(df: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, line_no, kind, length): each credential at the line on which it begins. Null and empty texts have none."""
+    """(item, line_no, kind, length, checksum): each credential at the line on which it begins, and what its issuer's
+    checksum says where one is known. Null and empty texts have none."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(key, value.count("\n", 0, spans[0][0]) + 1, kind, sum(b - a for a, b in spans)) for key, value in zip(batch["_k"], batch["_t"]) for kind, spans in find(value)]
-            yield pd.DataFrame(rows, columns=[item, "line_no", "kind", "length"])
+            rows = [
+                (key, value.count("\n", 0, spans[0][0]) + 1, kind, sum(b - a for a, b in spans), checksum("".join(value[a:b] for a, b in spans)))
+                for key, value in zip(batch["_k"], batch["_t"])
+                for kind, spans in find(value)
+            ]
+            yield pd.DataFrame(rows, columns=[item, "line_no", "kind", "length", "checksum"])
 
     rows = df.where(F.length(text) > 0).select(F.col(item).cast("long").alias("_k"), F.col(text).alias("_t"))
-    return rows.mapInPandas(work, f"{item} long, line_no long, kind string, length long")
+    return rows.mapInPandas(work, f"{item} long, line_no long, kind string, length long, checksum string")
 
 
 def redacted(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -268,7 +349,7 @@ def redacted(df: DataFrame, item: str, text: str) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n = [len(find(t)) if t else 0 for t in batch["_t"]]
-            yield pd.DataFrame({item: batch["_k"], "text": [redact(t) if k else t for t, k in zip(batch["_t"], n)], "n": n})
+            done = [redact(t) if t else (t, 0) for t in batch["_t"]]
+            yield pd.DataFrame({item: batch["_k"], "text": [t for t, _ in done], "n": [n for _, n in done]})
 
     return df.select(F.col(item).cast("long").alias("_k"), F.col(text).alias("_t")).mapInPandas(work, f"{item} long, text string, n int")
