@@ -3,8 +3,10 @@
 Each body becomes a token stream in one form of notation: ``#`` headings, ``-`` lists, ``|`` tables, fenced
 code, ``$`` formulas. The streams of a host (the top folder of the notes' paths) are concatenated, a suffix
 array over their words finds long substrings that repeat on distinct pages, and what they cover is removed
-from all pages but the first. A host's array is built over blocks of bounded size; what repeats across blocks
-is found by window fingerprints, counted by a combinable aggregate.
+from all pages but the first. A host's array is built over blocks of bounded size, to which rows and not pages are
+dealt, so neither a large host nor a page that holds a third of all rows meets in one task. What repeats across
+blocks is sought by sampled fingerprints, counted by a combinable aggregate, and then compared whole: the size of
+the blocks changes no text.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +28,6 @@ from quillmesh.session import cut
 REPEAT_WORDS = 24
 #: Characters of the bodies that one suffix array covers.
 BLOCK_CHARS = 4_000_000
-#: Hosts whose block numbers are sent to every task; more are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
 
 # The elements of HTML, by what they become.
 _BLOCK_TAGS = "p|div|section|article|header|footer|main|nav|aside|blockquote|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|form|fieldset|figure|figcaption|center|address|details|summary|hr"
@@ -45,7 +46,7 @@ _SPAN = re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+?)(?<!`)\1(?!`)")
 _ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----", re.S)
 
 _DISPLAY = re.compile(r"\\\[(.+?)\\\]|\$\$(.+?)\$\$|\\begin\{(equation|align|gather|multline|displaymath|eqnarray|math)(\*?)\}(.*?)\\end\{\3\4\}", re.S)
-_INLINE_MATH = re.compile(r"\\\((.+?)\\\)|(?<![\\$\w])\$(?=[^\s$])([^$\n]{1,200}?)(?<=[^\s\\$])\$(?![\d\w$])", re.S)
+_INLINE_MATH = re.compile(r"\\\((.+?)\\\)|(?<![\\$\w])\$(?=[^\s$])([^$\n]+?)(?<=[^\s\\$])\$(?![\d\w$])", re.S)
 _MATHS = re.compile(r"\\[A-Za-z]+|[\^_](?:\{|[A-Za-z0-9])|^[A-Za-z](?:\s*[=<>+\-*/]\s*[\w.\\]+)*$")
 # The commands of LaTeX that stand in running text.
 _SECTION = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?(?:\[[^\]]*\])?\{([^{}]*)\}")
@@ -164,7 +165,9 @@ def convert(body: str) -> tuple[list[str], str]:
                 return mark("wiki", hold("\n".join(rows)))
 
             text = _WIKI_TABLE.sub(table, text)
-        text = _TEMPLATE.sub(lambda m: mark("wiki", ""), text)
+        n = 1
+        while n:
+            text, n = _TEMPLATE.subn(lambda m: mark("wiki", ""), text)
         text = _WIKI_HEADING.sub(lambda m: mark("wiki", hold(f"{'#' * len(m[1])} {m[2]}")), text)
         text = re.sub(r"^([ \t]*)[-*+][ \t]+(?=[^\n]*\[\[[^\n]*\]\])", lambda m: mark("markdown", f"{m[1]}- "), text, flags=re.M)
         text = _WIKI_LINK.sub(lambda m: mark("wiki", m[1].strip()), text)
@@ -176,10 +179,9 @@ def convert(body: str) -> tuple[list[str], str]:
         levels = {"part": 1, "chapter": 1, "title": 1, "section": 1, "subsection": 2, "subsubsection": 3}
         text = _SECTION.sub(lambda m: mark("latex", hold(f"{'#' * levels.get(m[1], 4)} {m[2]}")), text)
         text = _HREF.sub(lambda m: mark("latex", m[1]), text)
-        for _ in range(4):
+        n = 1
+        while n:  # from the inside out, however deep; each step takes signs away
             text, n = _STYLE.subn(lambda m: mark("latex", m[1]), text)
-            if not n:
-                break
         text = _MENTION.sub(lambda m: mark("latex", ""), text)
         text = _ITEM.sub(lambda m: mark("latex", f"\ue002 {m[1] + ' ' if m[1] else ''}"), text)
         text = _ENVIRONMENT.sub(lambda m: mark("latex", ""), text)
@@ -217,9 +219,7 @@ def convert(body: str) -> tuple[list[str], str]:
         text = text.replace("~", " ")
 
     text = text.replace("\ue002", "-")
-    for _ in range(3):
-        if "\ue000" not in text:
-            break
+    while "\ue000" in text:  # what is held refers to what was held before it only
         text = re.sub("\ue000(\\d+)\ue001", lambda m: held[int(m[1])], text)
     text = re.sub(r"[ \t]+\n", "\n", text.replace("\xa0", " "))
     return sorted(kinds), re.sub(r"\n{3,}", "\n\n", text).strip()
@@ -227,23 +227,48 @@ def convert(body: str) -> tuple[list[str], str]:
 
 # --- repeated substrings ------------------------------------------------------------------------------------
 
+_TOKEN = re.compile(r"\S+")
+
+
+class Streams:
+    """The words of several texts as one array of codes, each text being a slice of it."""
+
+    def __init__(self, texts: list[str]) -> None:
+        words = [t.split() for t in texts]
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.codes, self.vocabulary = pd.factorize(np.array([*chain.from_iterable(words), ""], dtype=object))
+        self.codes = self.codes[:-1].astype(np.int64)
 
-def repeated_windows(streams: list[list[int]], pages: list[int], length: int) -> list[np.ndarray]:
-    """For each stream, the positions at which ``length`` tokens begin that stand on a lower page too.
+    def hashes(self, length: int, seed: int = 0) -> np.ndarray:
+        """The hash of the ``length`` words from each position on; those that run over a text's end mean nothing."""
+        each = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.vocabulary], dtype=np.uint64)
+        of = np.concatenate((each[self.codes], np.zeros(length, dtype=np.uint64)))
+        n = len(self.codes)
+        with np.errstate(over="ignore"):
+            total = np.zeros(n, dtype=np.uint64)
+            for k in range(length):
+                total = total * np.uint64(0x9E3779B97F4A7C15) + of[k : k + n]
+            total ^= total >> np.uint64(29)
+            total *= np.uint64(0xBF58476D1CE4E5B9)
+        return total
 
-    A suffix array by prefix doubling, carried on until suffixes are ranked by their first ``length`` tokens:
-    those of equal rank share them. Streams are separated by tokens of their own, so none is overrun.
+
+def repeated_windows(streams: Streams, pages: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each text, the positions at which ``length`` words begin that stand on a lower page too.
+
+    A suffix array by prefix doubling, carried on until suffixes are ranked by their first ``length`` words:
+    those of equal rank share them. Texts are separated by codes of their own, so none is overrun.
     """
-    sizes = [len(s) for s in streams]
-    flat = np.empty(sum(sizes) + len(streams), dtype=np.int64)
-    owner = np.empty(len(flat), dtype=np.int64)
-    at, starts = 0, []
-    for i, s in enumerate(streams):
-        starts.append(at)
-        flat[at : at + len(s)] = s
-        flat[at + len(s)] = -1 - i
-        owner[at : at + len(s) + 1] = pages[i]
-        at += len(s) + 1
+    count, total = len(streams.sizes), len(streams.codes)
+    at = streams.starts[:-1] + np.arange(count)
+    flat = np.empty(total + count, dtype=np.int64)
+    ends = streams.starts[1:] + np.arange(count)
+    inside = np.ones(len(flat), dtype=bool)
+    inside[ends] = False
+    flat[inside] = streams.codes
+    flat[ends] = -1 - np.arange(count)
+    owner = np.repeat(pages, streams.sizes + 1)
     rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
     reach = 1
     while reach < length:
@@ -255,45 +280,22 @@ def repeated_windows(streams: list[list[int]], pages: list[int], length: int) ->
     first = np.full(int(rank.max()) + 1 if len(rank) else 1, np.iinfo(np.int64).max)
     np.minimum.at(first, rank, owner)
     hit = owner > first[rank]
-    # A window that runs over its stream's end holds the separator and is of one stream only.
-    return [np.flatnonzero(hit[a : a + n]) for a, n in zip(starts, sizes)]
-
-
-_TOKEN = re.compile(r"\S+")
-
-
-def _stream(text: str, ids: dict[str, int]) -> list[int]:
-    return [ids.setdefault(t, len(ids)) for t in _TOKEN.findall(text)]
+    # A window that runs over its text's end holds the separator and is of one text only.
+    return [np.flatnonzero(hit[a : a + n]) for a, n in zip(at, streams.sizes)]
 
 
-def _hashes(text: str, length: int, seed: int = 0) -> np.ndarray:
-    """The hash of every window of ``length`` words."""
-    words = _TOKEN.findall(text)
-    n = max(0, len(words) - length + 1)
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(length):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-        total ^= total >> np.uint64(29)
-        total *= np.uint64(0xBF58476D1CE4E5B9)
-    return total
-
-
-def _fingerprints(text: str, length: int, every: int) -> list[tuple[int, int]]:
-    """(position, hash) of the windows that are least among ``every`` neighbours: any repeat of length + every
-    words shares one."""
-    total = _hashes(text, length)
-    n = len(total)
-    if not n:
-        return []
-    chosen = {int(i + np.argmin(total[i : i + every])) for i in range(max(1, n - every + 1))}
-    return [(i, int(total[i].astype(np.int64))) for i in sorted(chosen)]
+def fingerprints(total: np.ndarray, every: int) -> np.ndarray:
+    """The positions of hashes that are least among ``every`` neighbours: equal stretches of that many share one."""
+    if not len(total):
+        return np.zeros(0, dtype=np.int64)
+    every = min(every, len(total))
+    seen = np.lib.stride_tricks.sliding_window_view(total, every)
+    return np.unique(np.arange(len(seen)) + seen.argmin(axis=1))
 
 
 def _remove(text: str, starts: list[int], length: int) -> str:
     """``text`` without the words of the windows that begin at ``starts``."""
-    if not starts:
+    if not len(starts):
         return text
     words = [m.span() for m in _TOKEN.finditer(text)]
     covered = np.zeros(len(words) + 1, dtype=np.int8)
@@ -313,62 +315,72 @@ def clean(df: DataFrame, item: str, path: str, body: str, length: int = REPEAT_W
 
     A page is a path: the same page under another id repeats nothing, and rows that share path and body come
     out alike. Of a substring of at least ``length`` words on several pages of a host, the copy on the lowest
-    page stays, whatever the size of the blocks. Null and empty bodies are left out; a null path makes a host of its own kind.
+    page stays, whatever the size of the blocks. Null and empty bodies are left out; a null path is the page of a
+    host without a name, to which all such rows belong.
     """
     rows = df.where(F.length(body) > 0).select(F.col(item).cast("long").alias("_k"), F.coalesce(F.col(path), F.lit("")).alias("_p"), F.col(body).alias("_t"))
-    rows = rows.withColumn("_host", F.substring_index("_p", "/", 1)).withColumn("_page", F.xxhash64("_p"))
-    sizes = rows.groupBy("_host").agg(F.sum(F.length("_t")).alias("_chars")).select("_host", F.ceil(F.col("_chars") / block_chars).alias("_blocks"))
+    rows = rows.withColumn("_host", F.xxhash64(F.substring_index("_p", "/", 1))).withColumn("_page", F.xxhash64("_p"))
+    sizes = rows.groupBy("_host").agg(F.ceil(F.sum(F.length("_t")) / block_chars).alias("_blocks"))
     sizes = cut(sizes)
-    hosts = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("_blocks").alias("m")).first()
-    placed = rows.join(F.broadcast(sizes) if hosts["n"] <= BROADCAST_HOSTS else sizes, "_host").withColumn("_block", F.pmod("_page", "_blocks"))
+    placed = rows.join(sizes, "_host").withColumn("_block", F.pmod(F.xxhash64("_k"), "_blocks")).drop("_p")
+    window = max(1, length // 2)
+    every = length - window + 1
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = [convert(t) for t in pdf["_t"]]
-        ids: dict[str, int] = {}
-        hits = repeated_windows([_stream(t, ids) for _, t in done], pdf["_page"].tolist(), length)
-        return pd.DataFrame({item: pdf["_k"], "_host": pdf["_host"], "_page": pdf["_page"], "_block": pdf["_block"], "kinds": [k for k, _ in done], "text": [t for _, t in done], "_hits": [h.tolist() for h in hits]})
+        once = {t: convert(t) for t in set(pdf["_t"])}
+        done = [once[t] for t in pdf["_t"]]
+        texts = [t for _, t in done]
+        hits = repeated_windows(Streams(texts), pdf["_page"].to_numpy(), length)
+        return pd.DataFrame({item: pdf["_k"], "_host": pdf["_host"], "_page": pdf["_page"], "_block": pdf["_block"], "kinds": [k for k, _ in done], "text": texts, "_hits": [h.tolist() for h in hits]})
 
-    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            starts = [[*h, *([] if more is None else more)] for h, more in zip(batch["_hits"], batch["_more"])]
-            text = [_remove(t, s, length) for t, s in zip(batch["text"], starts)]
-            yield pd.DataFrame({item: batch[item], "kinds": batch["kinds"], "text": text})
-
-    made = placed.groupBy("_host", "_block").applyInPandas(block, f"{item} long, _host string, _page long, _block long, kinds array<string>, text string, _hits array<int>")
-    schema = f"{item} long, kinds array<string>, text string"
-    if (hosts["m"] or 0) <= 1:
-        return made.withColumn("_more", F.lit(None).cast("array<int>")).mapInPandas(trim, schema)
+    made = placed.groupBy("_host", "_block").applyInPandas(block, f"{item} long, _host long, _page long, _block long, kinds array<string>, text string, _hits array<int>")
+    made = cut(made.withColumn("_row", F.monotonically_increasing_id()))
 
     # A window without a hit is on the lowest page of its block, so one row or page a block stands for it below, however
     # many pages hold it, and the lowest page of the host is among them.
-    made = cut(made.withColumn("_h", F.xxhash64("text")))
-    row, every = [item, "_page", "_h"], max(2, length // 3)
-
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for *key, t, hits in batch[[*row, "_host", "_block", "text", "_hits"]].itertuples(index=False, name=None):
-                gone, last = set(hits), len(_TOKEN.findall(t)) - length
-                out += [(*key, i, f) for i, f in _fingerprints(t, length - every, every) if any(j not in gone for j in range(max(0, i - every), min(i, last) + 1))]
-            yield pd.DataFrame(out, columns=[*row, "_host", "_block", "_at", "_f"])
+            streams = Streams(batch["text"].tolist())
+            total, parts = streams.hashes(window), []
+            for row, host, blk, hits, a, n in zip(batch["_row"], batch["_host"], batch["_block"], batch["_hits"], streams.starts, streams.sizes):
+                if n < length:
+                    continue
+                at = fingerprints(total[a : a + n - window + 1], every)
+                if len(hits):
+                    gone = np.zeros(n - length + 2, dtype=np.int64)
+                    gone[np.asarray(hits) + 1] = 1
+                    low, high = np.maximum(0, at - every + 1), np.minimum(at, n - length) + 1
+                    counts = np.cumsum(gone)
+                    at = at[counts[high] - counts[low] < high - low]
+                # The host goes into the hash, so repeats never reach beyond it.
+                parts.append((np.full(len(at), row), np.full(len(at), blk), at, (total[a + at] ^ np.uint64(host & (2**64 - 1))).astype(np.int64)))
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, dtype=np.int64)] * 4
+            yield pd.DataFrame(dict(zip(("_row", "_block", "_at", "_f"), columns)))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for *key, t, hits, at in batch[[*row, "_host", "text", "_hits", "_ats"]].itertuples(index=False, name=None):
-                one, two = (_hashes(t, length, seed).astype(np.int64).tolist() for seed in (1, 2))
-                near = {j for i in at for j in range(max(0, i - every), min(i, len(one) - 1) + 1)} - set(hits)
-                out += [(*key, j, one[j], two[j]) for j in sorted(near)]
-            yield pd.DataFrame(out, columns=[*row, "_host", "_at", "_f", "_g"])
-
-    keyed = f"{item} long, _page long, _h long, _host string"
+            streams = Streams(batch["text"].tolist())
+            one, two, out = streams.hashes(length, 1).astype(np.int64), streams.hashes(length, 2).astype(np.int64), []
+            for row, host, page, hits, ats, a, n in zip(batch["_row"], batch["_host"], batch["_page"], batch["_hits"], batch["_ats"], streams.starts, streams.sizes):
+                near = {j for i in ats for j in range(max(0, i - every + 1), min(i, n - length) + 1)} - set(hits)
+                out += [(row, page, host, j, one[a + j], two[a + j]) for j in sorted(near)]
+            yield pd.DataFrame(out, columns=["_row", "_page", "_host", "_at", "_f", "_g"])
+
+    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            starts = [[*h, *([] if more is None else more)] for h, more in zip(batch["_hits"], batch["_more"])]
+            text = [_remove(t, s, length) for t, s in zip(batch["text"], starts)]
+            yield pd.DataFrame({item: batch[item], "kinds": batch["kinds"], "text": text})
+
     # Sampled prints of fewer words are candidates only: every repeat of ``length`` words shares one with its copies.
-    marks = made.select(*row, "_host", "_block", "text", "_hits").mapInPandas(prints, f"{keyed}, _block long, _at int, _f long")
+    # Hosts of one block are whole already and sample nothing.
+    several = made.join(sizes.where("_blocks > 1").select("_host"), "_host", "left_semi")
+    marks = cut(several.select("_row", "_host", "_block", "text", "_hits").mapInPandas(prints, "_row long, _block long, _at int, _f long"))
     # min and max combine before the shuffle, so a fingerprint on a third of all pages costs no task more than others.
-    shared = marks.groupBy("_host", "_f").agg(F.min("_block").alias("_first"), F.max("_block").alias("_last")).where("_first < _last")
-    near = marks.join(shared.select("_host", "_f"), ["_host", "_f"], "left_semi").groupBy(*row).agg(F.sort_array(F.collect_set("_at")).alias("_ats"))
+    shared = marks.groupBy("_f").agg(F.min("_block").alias("_first"), F.max("_block").alias("_last")).where("_first < _last")
+    near = marks.join(shared.select("_f"), "_f", "left_semi").groupBy("_row").agg(F.sort_array(F.collect_set("_at")).alias("_ats"))
     # Then every window of ``length`` words around a candidate is compared whole, by two hashes of 64 bits.
-    whole = cut(made.select(*row, "_host", "text", "_hits").join(near, row).mapInPandas(windows, f"{keyed}, _at int, _f long, _g long"))
+    whole = cut(made.select("_row", "_page", "_host", "text", "_hits").join(near, "_row").mapInPandas(windows, "_row long, _page long, _host long, _at int, _f long, _g long"))
     lowest = whole.groupBy("_host", "_f", "_g").agg(F.min("_page").alias("_first"), F.max("_page").alias("_last")).where("_first < _last").drop("_last")
-    more = whole.join(lowest, ["_host", "_f", "_g"]).where("_page > _first").groupBy(*row).agg(F.sort_array(F.collect_set("_at")).alias("_more"))
-    return made.select(*row, "kinds", "text", "_hits").join(more, row, "left").mapInPandas(trim, schema)
+    more = whole.join(lowest, ["_host", "_f", "_g"]).where("_page > _first").groupBy("_row").agg(F.sort_array(F.collect_set("_at")).alias("_more"))
+    return made.select("_row", item, "kinds", "text", "_hits").join(more, "_row", "left").mapInPandas(trim, f"{item} long, kinds array<string>, text string")

@@ -38,11 +38,37 @@ def test_repeats_against_brute_force():
     rng = np.random.default_rng(3)
     streams = [rng.integers(0, 4, rng.integers(0, 40)).tolist() for _ in range(12)]
     pages = [int(p) for p in rng.integers(0, 6, 12)]
-    got = markup.repeated_windows(streams, pages, 5)
+    got = markup.repeated_windows(markup.Streams([" ".join(map(str, x)) for x in streams]), np.array(pages), 5)
     for s, p, g in zip(streams, pages, got):
         want = [i for i in range(len(s) - 4) if any(q < p and t[j : j + 5] == s[i : i + 5] for t, q in zip(streams, pages) for j in range(len(t) - 4))]
         assert g.tolist() == want
-    assert markup.repeated_windows([[], []], [1, 2], 5)[0].tolist() == []
+    assert markup.repeated_windows(markup.Streams(["", ""]), np.array([1, 2]), 5)[0].tolist() == []
+
+
+def test_fingerprints_are_shared_by_equal_stretches():
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 99, 9)
+    a, b = np.concatenate((rng.integers(0, 99, 30), shared)), np.concatenate((rng.integers(0, 99, 17), shared, rng.integers(0, 99, 40)))
+    assert {int(i) - 30 for i in markup.fingerprints(a, 9)} & {int(i) - 17 for i in markup.fingerprints(b, 9)} & set(range(9))
+    assert markup.fingerprints(np.array([3, 1, 2]), 9).tolist() == [1] and not len(markup.fingerprints(np.zeros(0), 4))
+
+
+def test_depth_has_no_bound():
+    body = "\\textbf{" * 9 + "deep" + "}" * 9 + " and ${" + "x+" * 300 + "y}$"
+    kinds, text = markup.convert(body)
+    assert kinds == ["latex"] and text.startswith("deep and $") and "textbf" not in text
+    nested = "{{a|" * 6 + "x" + "}}" * 6 + " rest"
+    assert markup.convert(nested) == (["wiki"], "rest")
+    code = "<pre>" + "".join(f"<code>a{i}</code> `b` $x_{i}$ " for i in range(5)) + "</pre>"
+    assert "\ue000" not in markup.convert(code)[1]
+
+
+def test_a_page_with_most_rows_is_dealt_to_all_blocks(spark):
+    boiler = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, "host/hot.md" if i % 3 else f"host/p{i}.md", f"own{i} {boiler} tail{i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "note_id long, path string, body string")
+    one, many = ({r["note_id"]: r["text"] for r in markup.clean(df, "note_id", "path", "body", block_chars=c).collect()} for c in (4_000_000, 900))
+    assert one == many and len({p for (i, p, _) in rows if boiler in one[i]}) == 1
 
 
 def test_boilerplate_goes_in_blocks_and_across(spark):
