@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = source_hygiene.not_handwritten(table(spark, sf_dir, "source_records"), "record_id", "path", "text")
-    return kinds.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("files"))
+    return kinds.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("files"), F.count("layout").alias("by_layout"), F.count("notice").alias("by_notice"))
 
 
 def _pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Problem 2: files that are not hand-written source of their repository.
 
-Layout statistics of the whole text, thresholded per language, with the notices and places by which tools and
-copies give themselves away. Everything is a Catalyst expression, so no text leaves the JVM and nothing is
-shuffled.
+Layout statistics of the whole text, thresholded per language: line lengths, white space, letters and digits,
+numbers, encoded runs and repeated lines. Copies of other projects are laid out like hand-written source, and short
+output may be too; these are told by the notices in their comments and by their folders, and the result says
+which of the two spoke. Everything is a Catalyst expression, so no text leaves the JVM and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines at the top of a file in which a notice counts.
+#: Lines at the top of a file in which a notice needs no comment sign; further down it needs one.
 HEAD_LINES = 15
 #: Least lines for a repeated line shape to tell anything.
 SHAPE_LINES = 8
@@ -31,21 +32,20 @@ COPIED = (
 PACKAGE_FOLDERS = "_vendor|vendor|third[_-]?party|node_modules|site-packages|bower_components|bundled|deps|ext|external|contrib/upstream|Godeps|Pods|jspm_packages"
 
 # Fixed values per language: a file is output or data where its statistic passes the bound.
-#: share of lines of the commonest shape, number share, share of numbered identifiers, mean line length.
+#: share of lines of the commonest shape, number share, share of numbered identifiers, mean line length, share of
+#: letters and digits, white space (a lower bound, in files with a line above LONG_LINE), share of encoded runs.
 BOUNDS = {
-    "py": (0.75, 0.50, 0.14, 160.0),
-    "js": (0.75, 0.50, 0.14, 120.0),
-    "java": (0.37, 0.40, 0.16, 160.0),
-    "c": (0.42, 0.50, 0.14, 160.0),
-    "sh": (0.60, 0.50, 0.18, 160.0),
-    "toml": (0.60, 0.75, 0.40, 200.0),
-    "yaml": (0.85, 0.75, 0.40, 200.0),
-    "json": (0.85, 0.75, 0.40, 2000.0),
+    "py": (0.75, 0.50, 0.14, 160.0, 0.86, 0.10, 0.45),
+    "js": (0.75, 0.50, 0.14, 120.0, 0.86, 0.10, 0.45),
+    "java": (0.37, 0.40, 0.16, 160.0, 0.86, 0.10, 0.45),
+    "c": (0.42, 0.50, 0.14, 160.0, 0.86, 0.10, 0.45),
+    "sh": (0.60, 0.50, 0.18, 160.0, 0.86, 0.06, 0.50),
+    "toml": (0.60, 0.75, 0.40, 200.0, 0.90, 0.04, 0.60),
+    "yaml": (0.85, 0.75, 0.40, 200.0, 0.92, 0.04, 0.60),
+    "json": (0.85, 0.75, 0.40, 2000.0, 0.86, 0.02, 0.60),
 }
-#: Long encoded runs as a share of the text, private keys apart.
-ENCODED_SHARE = 0.45
-#: White space of minified code, in files of some length.
-MINIFIED_SPACE = 0.10
+#: Characters of a line that hand-written code seldom has; least characters of a file whose shares tell anything.
+LONG_LINE, SOME_TEXT = 500, 500
 
 # Every phrase above holds one of these, by which most heads are passed over.
 _GENERATED_STEMS = ("generat", "created", "produ", "emitted", "edit", "modif", "erzeugt", "erstellt", "genere", "généré", "generado", "nicht", "создан", "редакт", "written", "made", "refresh", "update", "lost", "compiler:")
@@ -89,6 +89,8 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
     shaped = F.regexp_replace(shaped, r"[\p{L}_$][\p{L}\p{N}_$]*+[ \t]*+", "w")
     shaped = F.regexp_replace(shaped, r"[0-9][\p{L}\p{N}_.]*+[ \t]*+|[ \t]++", "9")
     no_keys = F.when(t.contains("-----BEGIN"), F.regexp_replace(t, r"-----BEGIN [^-]*+-----[^-]*+-----END [^-]*+-----", "")).otherwise(t)
+    # Comment lines of the whole text, without their signs.
+    comments = F.regexp_extract_all(t, F.lit(r"(?m)^[ \t]*+(?:#|//|/\*++!?|\*|--|;|<!--)([^\n]*+)"), F.lit(1))
     # Each pass over the text is made once, in this projection; what follows reads its columns.
     passes = base.select(
         item,
@@ -99,6 +101,7 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         F.transform(F.split(t, "\n"), lambda line: F.length(line)).alias("_lengths"),
         F.array_sort(F.filter(F.split(shaped, "\n"), lambda s: F.length(s) > 1)).alias("_shapes"),
         no_keys.alias("_no_keys"),
+        comments.alias("_comments"),
         F.greatest(F.regexp_count(t, F.lit(r"\w++")), F.lit(1)).alias("_words"),
     )
     # The longest run in the sorted shapes is the commonest shape.
@@ -115,7 +118,7 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         item,
         "path",
         "lang",
-        F.slice(F.split(t, "\n"), 1, HEAD_LINES).alias("head"),
+        F.array_join(F.concat(F.slice(F.split(t, "\n"), 1, HEAD_LINES), "_comments"), "\n").alias("head"),
         F.array_max(lengths).alias("max_line"),
         (size / F.size(lengths)).alias("mean_line"),
         (1 - (F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))) - F.size(lengths) + 1) / size).alias("space"),
@@ -137,21 +140,25 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
 
 
 def not_handwritten(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
-    """(item, path, lang, kind, statistics): files that were produced, minified, copied or hold data as code.
+    """(item, path, lang, kind, layout, notice, statistics): files that were produced, minified, copied or hold data.
 
-    ``kind`` is the first that applies of third_party, generated, minified, data. Files of other languages are
-    judged by notices and places only. Null and empty texts are never cases; a null path has no language and
-    no place. Repeated files under other ids are judged alike.
+    ``layout`` is what the statistics say alone (minified, data or generated), ``notice`` what comments and folders
+    say (third_party or generated), null where they say nothing; ``kind`` is the notice's third_party, else its
+    generated, else the layout's. Files of other languages are judged by notices and places only. Null and
+    empty texts are never cases; a null path has no language and no place. Repeated files under other ids are
+    judged alike.
     """
     m = layout(df, item, path, text)
-    head = F.array_join("head", "\n")
-    lang = F.col("lang")
+    head, lang = F.col("head"), F.col("lang")
+    some = F.col("size") > SOME_TEXT
     shape_share = F.when(F.col("shapes") >= SHAPE_LINES, F.col("same_shape") / F.col("shapes")).otherwise(0.0)
     copied = _noticed(head, _COPIED_STEMS, COPIED)
     placed = F.col("path").rlike(rf"(?:^|/)(?:{PACKAGE_FOLDERS})/[^/]+/")
     marked = _noticed(head, _GENERATED_STEMS, GENERATED)
     repeated = (shape_share >= _bound(lang, 0)) | (F.col("numbered_names") >= _bound(lang, 2)) & (F.col("size") > 400) | (F.col("module_marks") >= 4) | (F.col("n_pins") >= 3) & (F.col("pins") > 0.12)
-    minified = (F.col("mean_line") >= _bound(lang, 3)) | (F.col("space") < MINIFIED_SPACE) & (F.col("max_line") > 500) & lang.isin("js", "py", "java", "c")
-    data = (F.col("numbers") >= _bound(lang, 1)) & (F.col("size") > 500) | (F.col("encoded") >= ENCODED_SHARE) & (F.col("size") > 600)
-    kind = F.when(copied | placed, "third_party").when(marked, "generated").when(minified, "minified").when(data, "data").when(repeated, "generated")
-    return m.withColumn("kind", kind).withColumn("shape_share", shape_share).where(F.col("kind").isNotNull()).drop("head", "same_shape", "shapes", "n_pins")
+    minified = (F.col("mean_line") >= _bound(lang, 3)) | (F.col("space") < _bound(lang, 5)) & (F.col("max_line") > LONG_LINE)
+    data = ((F.col("numbers") >= _bound(lang, 1)) | (F.col("alnum") >= _bound(lang, 4)) | (F.col("encoded") >= _bound(lang, 6))) & some
+    by_layout = F.when(minified, "minified").when(data, "data").when(repeated, "generated")
+    by_notice = F.when(F.coalesce(copied | placed, copied), "third_party").when(marked, "generated")
+    out = m.withColumn("layout", by_layout).withColumn("notice", by_notice).withColumn("kind", F.coalesce("notice", "layout"))
+    return out.withColumn("shape_share", shape_share).where(F.col("kind").isNotNull()).drop("head", "same_shape", "shapes", "n_pins")

@@ -24,3 +24,15 @@ def test_crlf_and_empty(spark):
     df = spark.createDataFrame([(1, "a.py", HAND.replace("\n", "\r\n"))], "record_id long, path string, text string")
     assert not_handwritten(df, "record_id", "path", "text").count() == 0
     assert not_handwritten(df.limit(0), "record_id", "path", "text").count() == 0
+
+
+def test_notices_anywhere_in_comments_and_what_spoke(spark):
+    licence = "\n".join(f"# licence line {i} of the project" for i in range(60))
+    rows = [
+        (1, "a.py", licence + "\n# @generated\n" + HAND, "generated"), (2, "b.py", HAND * 3 + "\n# Code generated by tool. DO NOT EDIT.\n", "generated"),
+        (3, "c.py", HAND * 3 + "\nprint('Code generated by tool. DO NOT EDIT.')\n", None), (4, "vendor/z/a.py", HAND, "third_party"), (5, "d.js", "q" * 1200, None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "record_id long, path string, text string")
+    got = {r["record_id"]: (r["notice"], r["layout"], r["alnum"]) for r in not_handwritten(df, "record_id", "path", "text").collect()}
+    assert {k: n for k, (n, _, _) in got.items()} == {1: "generated", 2: "generated", 4: "third_party", 5: None}
+    assert got[4][1] is None and got[5][1] == "minified" and got[5][2] == 1.0
