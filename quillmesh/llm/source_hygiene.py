@@ -33,7 +33,7 @@ PACKAGE_FOLDERS = "_vendor|vendor|third[_-]?party|node_modules|site-packages|bow
 
 # Fixed values per language: a file is output or data where its statistic passes the bound.
 #: share of lines of the commonest shape, number share, share of numbered identifiers, mean line length, share of
-#: letters and digits, white space (a lower bound, in files with a line above LONG_LINE), share of encoded runs.
+#: letters, digits and underscores, white space (a lower bound, in files with a line above LONG_LINE), share of encoded runs.
 BOUNDS = {
     "py": (0.75, 0.50, 0.14, 160.0, 0.86, 0.10, 0.45),
     "js": (0.75, 0.50, 0.14, 120.0, 0.86, 0.10, 0.45),
@@ -102,7 +102,7 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         F.array_sort(F.filter(F.split(shaped, "\n"), lambda s: F.length(s) > 1)).alias("_shapes"),
         no_keys.alias("_no_keys"),
         comments.alias("_comments"),
-        F.greatest(F.regexp_count(t, F.lit(r"\w++")), F.lit(1)).alias("_words"),
+        F.regexp_replace(t, r"\w++", "\x01").alias("_signs"),  # each word one sign: tells their number and their length
     )
     # The longest run in the sorted shapes is the commonest shape.
     start = F.struct(F.lit("").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("most"))
@@ -111,9 +111,11 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         run = F.when(acc["at"] == s, acc["run"] + 1).otherwise(1)
         return F.struct(s.alias("at"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
 
-    size, lengths, words = F.col("size"), F.col("_lengths"), F.col("_words")
+    size, lengths = F.col("size"), F.col("_lengths")
+    others = F.length(F.replace("_signs", F.lit("\x01"), F.lit("")))
+    words = F.greatest(F.length("_signs") - others, F.lit(1))
     encoded = F.aggregate(F.regexp_extract_all("_no_keys", F.lit(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}+={0,2}"), F.lit(0)), F.lit(0), lambda a, r: a + F.length(r))
-    pins = F.when(t.rlike("resolved|integrity|checksum"), F.regexp_count(t, F.lit(r"(?m)^\s*[\"']?(?:resolved|integrity|checksum)[\"']?\s*[:=]"))).otherwise(0)
+    pins = F.when(t.contains("resolved") | t.contains("integrity") | t.contains("checksum"), F.regexp_count(t, F.lit(r"(?m)^\s*[\"']?(?:resolved|integrity|checksum)[\"']?\s*[:=]"))).otherwise(0)
     stats = passes.select(
         item,
         "path",
@@ -122,8 +124,8 @@ def layout(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
         F.array_max(lengths).alias("max_line"),
         (size / F.size(lengths)).alias("mean_line"),
         (1 - (F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))) - F.size(lengths) + 1) / size).alias("space"),
-        (F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]++", "")) / size).alias("alnum"),
-        (F.regexp_count(t, F.lit(r"(?<![\w.])(?:0x[0-9A-Fa-f]++|\d++(?:\.\d++)?+)(?!\w)")) / words).alias("numbers"),
+        (1 - others / size).alias("alnum"),
+        (F.regexp_count(t, F.lit(r"\b(?<!\.)(?:0x[0-9A-Fa-f]++|\d++(?:\.\d++)?+)(?!\w)")) / words).alias("numbers"),
         (F.regexp_count("_no_keys", F.lit(r"\b[A-Za-z_$]{1,24}+\d{1,6}+(?:_[A-Za-z]\w{0,30}+)?+\b")) / words).alias("numbered_names"),
         F.when(t.contains("/***/"), F.regexp_count(t, F.lit(r"(?m)^/\*{3}/"))).otherwise(0).alias("module_marks"),
         (encoded / size).alias("encoded"),
