@@ -1,17 +1,19 @@
 """Problem 7: oversized texts cut at natural boundaries, with overlap between consecutive pieces.
 
-Lexical-cohesion segmentation: at every line boundary the words of the block before are compared with those
-of the block after; where the similarity has a valley the topic changes. Each piece ends at the deepest
-valley in the window in which it may end.
+Lexical-cohesion segmentation: at every boundary the words of the block before are compared with those of the
+block after; where the similarity has a valley the topic changes. Boundaries are the ends of lines and, inside
+long lines, of sentences. Each piece ends at the deepest valley in the window in which it may end, between lines
+if the window has such a boundary, else between sentences.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,37 +21,77 @@ from pyspark.sql import functions as F
 MAX_TOKENS = 800
 OVERLAP_LINES = 2
 OVERLAP_CHARS = 40
-#: Lines on either side of a boundary whose words are compared.
+#: Lines (or sentences) on either side of a boundary whose words are compared.
 BLOCK = 6
+#: What a blank line before a boundary and an unindented line after it add to a valley: they settle near-equal
+#: ones, while a valley of cohesion (up to 2) decides.
+BLANK_LINE, UNINDENTED = 0.1, 0.05
+#: Characters of a line from which its sentences are units of their own.
+LONG_LINE = 400
 
 _WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|\d+|[぀-ヿ一-鿿]")
 _SOFT = re.compile(r"[\s,;)\]}。、]")
+_SENTENCE = re.compile(r"[.!?;:}][\"')\]]*(?:\s+|(?<=[;}])(?=\S))|[。！？]")
 
 
-def valley_depths(lines: list[str], block: int = BLOCK) -> list[float]:
-    """Depth of the cohesion valley at the boundary before each line; 0.5 more before a line that follows a
-    blank one and 0.25 more before an unindented line, so that equal valleys fall on visible breaks."""
-    bags = [Counter(w.lower() for w in _WORD.findall(line)) for line in lines]
-    n = len(lines)
-    similarity = [1.0] * (n + 1)
-    left: Counter = Counter()
-    right: Counter = Counter()
-    for b in bags[:block]:
-        right.update(b)
-    dot = 0
+def units(lines: list[str], long_line: int = LONG_LINE) -> tuple[list[str], list[bool]]:
+    """(parts, whether each ends its line): the lines, long ones in sentences."""
+    parts, ends = [], []
+    for line in lines:
+        at = 0
+        if len(line) > long_line:
+            for m in _SENTENCE.finditer(line):
+                if m.end() - at >= long_line // 8 and m.end() < len(line):
+                    parts.append(line[at : m.end()])
+                    ends.append(False)
+                    at = m.end()
+        parts.append(line[at:])
+        ends.append(True)
+    return parts, ends
+
+
+def cohesion(parts: list[str], block: int = BLOCK) -> list[float]:
+    """The cosine of the words of the ``block`` parts before each part and of the ``block`` parts from it on.
+
+    Counts move by one part at a time, and products and norms with them, so the cost is that of the words.
+    """
+    number: dict[str, int] = defaultdict(lambda: len(number))
+    bags = [[number[w.lower()] for w in _WORD.findall(p)] for p in parts]
+    n = len(parts)
+    left, right = [0] * len(number), [0] * len(number)
+    dot = square_left = square_right = 0
+    for bag in bags[:block]:
+        for w in bag:
+            square_right += 2 * right[w] + 1
+            right[w] += 1
+    out = [1.0] * (n + 1)
     for i in range(1, n):
-        # The boundary moves over line i-1; bags leave at one end and enter at the other.
-        moved = bags[i - 1]
-        left.update(moved)
-        right.subtract(moved)
-        if i - 1 - block >= 0:
-            left.subtract(bags[i - 1 - block])
+        for w in bags[i - 1]:
+            # From the right side to the left one.
+            square_right -= 2 * right[w] - 1
+            dot -= left[w]
+            right[w] -= 1
+            square_left += 2 * left[w] + 1
+            dot += right[w]
+            left[w] += 1
+        if i - 1 >= block:
+            for w in bags[i - 1 - block]:
+                square_left -= 2 * left[w] - 1
+                dot -= right[w]
+                left[w] -= 1
         if i - 1 + block < n:
-            right.update(bags[i - 1 + block])
-        left, right = +left, +right
-        dot = sum(c * right[w] for w, c in left.items() if w in right)
-        norm = math.sqrt(sum(c * c for c in left.values()) * sum(c * c for c in right.values()))
-        similarity[i] = dot / norm if norm else 0.0
+            for w in bags[i - 1 + block]:
+                square_right += 2 * right[w] + 1
+                dot += left[w]
+                right[w] += 1
+        norm = math.sqrt(square_left * square_right)
+        out[i] = dot / norm if norm else 0.0
+    return out
+
+
+def valley_depths(parts: list[str], block: int = BLOCK) -> list[float]:
+    """Depth of the cohesion valley at the boundary before each part, visible breaks settling near-equal ones."""
+    similarity, n = cohesion(parts, block), len(parts)
     depths = [0.0] * (n + 1)
     rising = [0.0] * (n + 1)
     for i in range(1, n):
@@ -59,8 +101,8 @@ def valley_depths(lines: list[str], block: int = BLOCK) -> list[float]:
         falling[i] = max(similarity[i], falling[i + 1] if similarity[i + 1] >= similarity[i] and i + 1 < n else 0)
     for i in range(1, n):
         depth = rising[i] + falling[i] - 2 * similarity[i]
-        depth += 0.5 if not lines[i - 1].strip() else 0
-        depths[i] = depth + (0.25 if lines[i].strip() and not lines[i][0].isspace() else 0)
+        depth += BLANK_LINE if not parts[i - 1].strip() else 0
+        depths[i] = depth + (UNINDENTED if parts[i].strip() and not parts[i][0].isspace() else 0)
     return depths
 
 
@@ -74,44 +116,48 @@ def split_text(text: str, max_tokens: int = MAX_TOKENS, overlap_lines: int = OVE
     limit = max_tokens * 4
     if len(text.encode("utf-8", "surrogatepass")) <= limit:
         return [(0, len(text))]
-    size = [0]
-    for ch in text:
-        o = ord(ch)
-        size.append(size[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    size = [0, *np.cumsum(width).tolist()]
     lines = text.splitlines(keepends=True) if "\n" not in text else re.findall(r"[^\n]*\n|[^\n]+", text)
+    parts, closes = units(lines)
     ends = [0]
-    for line in lines:
-        ends.append(ends[-1] + len(line))
-    depths = valley_depths([line.rstrip("\r\n") for line in lines])
+    for part in parts:
+        ends.append(ends[-1] + len(part))
+    line_ends = [0, *(e for e, c in zip(ends[1:], closes) if c)]
+    line_of = {e: i for i, e in enumerate(line_ends)}
+    depths = valley_depths([p.rstrip("\r\n") for p in parts])
     spans, start, shared = [], 0, 0  # shared: where the part that is not yet in a piece begins
-    line = 0
+    unit = 0
     while True:
         if size[-1] - size[start] <= limit:
             spans.append((start, len(text)))
             return spans
-        while line < len(lines) and ends[line] <= shared:
-            line += 1
+        while unit < len(parts) and ends[unit] <= shared:
+            unit += 1
         fits = []
-        k = line
+        k = unit
         while k < len(ends) and size[ends[k]] - size[start] <= limit:
             fits.append(k)
             k += 1
-        # A boundary must leave the next piece room for the overlap and for the line that follows.
-        window = [k for k in fits if size[ends[k]] - size[start] >= limit // 2] or fits[-1:]
+        # The second half of the piece is the window; a boundary between lines goes before one between sentences.
+        late = [k for k in fits if size[ends[k]] - size[start] >= limit // 2]
+        window = [k for k in late if ends[k] in line_of] or late or [k for k in fits if ends[k] in line_of][-1:] or fits[-1:]
         if window:
-            cut_line = max(window, key=lambda k: (round(depths[k], 6), k))
-            end = ends[cut_line]
+            best = max(window, key=lambda k: (round(depths[k], 6), k))
+            end = ends[best]
             nxt = end
-            for back in range(overlap_lines, 0, -1):
-                at = ends[max(0, cut_line - back)]
-                room = size[min(ends[cut_line + 1], len(text))] - size[at]
-                if at > start and (room <= limit or size[end] - size[at] <= limit // 2):
-                    nxt = at
-                    break
+            if end in line_of:
+                line = line_of[end]
+                for back in range(overlap_lines, 0, -1):
+                    at = line_ends[max(0, line - back)]
+                    room = size[line_ends[min(line + 1, len(line_ends) - 1)]] - size[at]
+                    if at > start and (room <= limit or size[end] - size[at] <= limit // 2):
+                        nxt = at
+                        break
             if nxt == end:
                 nxt = max(end - overlap_chars, start + 1)
         else:
-            end = start + 1
             low, high = shared + 1, len(text)
             while low < high:
                 middle = (low + high + 1) // 2

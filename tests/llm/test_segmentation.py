@@ -1,7 +1,11 @@
+import math
+import random
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillmesh.llm.segmentation import pieces, split_text, valley_depths
+from quillmesh.llm.segmentation import cohesion, pieces, split_text, units, valley_depths
 
 
 def _check(text, limit):
@@ -37,6 +41,30 @@ def test_cuts_at_the_topic_change():
     assert max(range(3, 22), key=lambda i: depths[i]) == 12
 
 
+def test_cohesion_against_a_model():
+    rng = random.Random(2)
+    parts = [" ".join(rng.choice(["amber", "belfry", "charter", "docket", "ember"]) for _ in range(rng.randint(0, 5))) for _ in range(40)]
+    got = cohesion(parts, 4)
+    for i in range(1, 40):
+        a, b = Counter(" ".join(parts[max(0, i - 4) : i]).split()), Counter(" ".join(parts[i : i + 4]).split())
+        norm = math.sqrt(sum(c * c for c in a.values()) * sum(c * c for c in b.values()))
+        assert abs(got[i] - (sum(c * b[w] for w, c in a.items()) / norm if norm else 0)) < 1e-12
+
+
+def test_long_lines_are_cut_between_sentences_where_the_topic_changes():
+    first = "".join(f"The ledger replays every event of clock number {i} once more. " for i in range(35))
+    second = "".join(f"Some kitchen recipe wants onion with butter, portion {i} again. " for i in range(35))
+    text = first + second  # one line
+    spans = _check(text, 800)
+    assert spans[0][1] == len(first) and spans[0][1] - spans[1][0] == 40
+    # A paragraph a line, each more than half of a piece: lines end no piece in its window, sentences do.
+    paragraphs = [first[:2000].rsplit(". ", 1)[0] + ".", second[:2000].rsplit(". ", 1)[0] + "."] * 2
+    for a, b in _check("\n".join(paragraphs), 400)[:-1]:
+        assert "\n".join(paragraphs)[b - 2 : b] in (". ", ".\n") or "\n".join(paragraphs)[b - 1] == "\n"
+    parts, ends = units(["short. line\n", first + "\n", "x;" * 400])
+    assert "".join(parts) == "short. line\n" + first + "\n" + "x;" * 400 and sum(ends) == 3 and len(parts) > 30
+
+
 def test_tables(spark):
     rows = [(1, "short\ntext", 5), (2, "a b c\n" * 1000, 10), (3, None, 1), (4, "", 1), (5, "x" * 4000, None), (1, "short\ntext", 5)]
     df = spark.createDataFrame(rows, "excerpt_id long, text string, start_line int").selectExpr("*", "7 AS piece")
