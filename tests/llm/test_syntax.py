@@ -30,6 +30,25 @@ BAD = {
 }
 
 
+MORE_GOOD = {
+    "py": ["x: Foo() = 3\n", "f().x = f()[0] = 1\n", "x = 'a' == y\n", "f(a=1)\n"], "java": ["class A { Class<?> c = A.class; int x = 1; record B(int a) {} }\n"], "js": ["o.return = 3; const { a = 1 } = { return: 2 };\n"],
+    "c": ["int (*f)(void) = 0;\n"], "yml": ["a: 1\n"], "ts": ["const f = <T>(a: T[]): Map<string, T> => { return /[(]/.test(`${a}`) ? x : y; };\n"], "go": ["package a\nfunc f() string { return `{` + \"}\" + string('{') }\n"],
+    "rs": ["fn f<'a>(x: &'a str) -> char { let s = r#\"{\"\"#; '}' }\n"], "cpp": ["auto s = R\"x({)\"})x\"; char c = '{';\n"], "cs": ["var s = @\"{\"\"\"; // }\n"], "rb": ["x = %q{(}\n"], "h": ["/* { */\n#define A \"(\"\n"],
+}
+MORE_BAD = {
+    "py": ["return = 3\n", "1 = x\n", "f() = 3\n", "x = None = 2\n"], "java": ["public void class X {}\n", "class A { int = 3; }\n", "class { }\n"], "js": ["return = 3;\n", "if = 2;\n"], "c": ["int = 3;\n", "struct int x;\n"], "yml": ["a: [1\n"],
+    "ts": ["function f(a: number {\n}\n"], "go": ["func f() {\n", "x := `a\n"], "rs": ["fn f() { (] }\n"], "cpp": ["int x; /* a\n"], "rb": ["<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n"], "h": ["<<<<<<< ours\nint x;\n"],
+}
+
+
+def test_more_grammar_and_more_languages():
+    for cases, valid in ((MORE_GOOD, True), (MORE_BAD, False)):
+        for lang, texts in cases.items():
+            for t in texts:
+                assert (verdict(lang, t) is None) == valid, (lang, t, verdict(lang, t))
+    assert verdict("js", "`${" * 5000) and verdict("md", "<<<<<<< x") is None
+
+
 @pytest.mark.parametrize("lang", sorted(GOOD))
 def test_lexers(lang):
     for t in GOOD[lang]:
