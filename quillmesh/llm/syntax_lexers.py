@@ -307,6 +307,10 @@ _PY_WRONG = re.compile(
 #: A call or a literal before "=" at the top of a statement.
 _PY_TARGET = re.compile(r"[\w\])] ?\(\) ?=(?!=)|(?:^|[,=] ?)(?:\d[\w.]*|\"+|None|True|False) ?=(?!=)")
 _PY_COMPOUND = re.compile(r"(?:async )?(if|elif|else|while|for|with|def|class|try|except|finally)\b")
+_PY_SOFT = re.compile(r"(?:match|case) [^=].*:$|type \w+ ?(?:\[\])? ?=|case .*:")
+_PY_BLANKS = re.compile(r"[ \t]+")
+_PY_STAR = re.compile(r"(?<=[(,\[{ =k])\*{1,2}(?=[ ]?[a(\"{\[])|^\*(?=a)")
+_PY_BARE = re.compile(r"from\b(?! [.\w ]+ import (?:\(|\*|\w))|import\b(?! ?\w)|(?:def|class|del|global|nonlocal|import|assert|for|with|while|if|elif) *$")
 _PY_DEF = re.compile(r"(?:async )?def \w+ ?(?:\[\] ?)?\(\) ?(?:->[^:]*)?:")
 _PY_CLASS = re.compile(r"class \w+ ?(?:\[\] ?)?(?:\(\) ?)?:")
 _PY_LEAD = re.compile(r"[ \t]*")
@@ -399,7 +403,7 @@ def _python(text: str) -> str | None:
             return "unexpected token"
         last_kind[width] = kind
         opened = False
-        soft = re.match(r"(?:match|case) [^=].*:$|type \w+ ?(?:\[\])? ?=|case .*:", flat)
+        soft = _PY_SOFT.match(flat)
         if head:
             if kind == "def":
                 end = _PY_DEF.match(flat)
@@ -417,23 +421,24 @@ def _python(text: str) -> str | None:
         elif soft:
             opened = flat.endswith(":")
             line = re.sub(r"^(?:match|case|type) ", "return ", line)
-        elif flat.endswith(":") or re.search(r"\blambda\b(?![^:]*:)", line):
+        elif flat.endswith(":") or "lambda" in line and re.search(r"\blambda\b(?![^:]*:)", line):
             return "unexpected token"
         elif ":" in flat and "lambda" not in flat and ":=" not in flat and not re.match(r"[\w.()\[\]]+ ?: ?[^:]+$", flat):
             return "unexpected token"
         elif ":" not in flat.split("=")[0] and _PY_TARGET.search(flat):
             return "unexpected token"
         signs = _WORD.sub(_classes(_PY_WORDS), _NUMBER.sub("0", line.replace("...", " a ")))
-        signs = re.sub(r"[ \t]+", " ", _PY_OP.sub("O", signs))
+        signs = _PY_BLANKS.sub(" ", _PY_OP.sub("O", signs))
         if signs[0] == "@":
             signs = signs[1:].strip()
-        signs = re.sub(r"(?<=[(,\[{ =k])\*{1,2}(?=[ ]?[a(\"{\[])|^\*(?=a)", "", signs).replace("(/,", "(").replace("/)", ")").replace("/,", "").replace("(*,", "(").replace(",*,", ",").replace(", *,", ",")
+        if "*" in signs or "/" in signs:
+            signs = _PY_STAR.sub("", signs).replace("(/,", "(").replace("/)", ")").replace("/,", "").replace("(*,", "(").replace(",*,", ",").replace(", *,", ",")
         body = signs.rstrip(":").rstrip() if signs.endswith(":") else signs
         if body and _PY_WRONG.search(body):
             return "unexpected token"
-        if re.match(r"from\b", line) and not re.match(r"from [.\w ]+ import (?:\(|\*|\w)", line) or re.match(r"import\b(?! ?\w)", line) or re.match(r"(?:def|class|del|global|nonlocal|import|assert|for|with|while|if|elif) *$", line):
+        if _PY_BARE.match(line):
             return "unexpected token"
-        if body and body[-1] in "BN":
+        if body and (body[-1] in "BN" or body[-1] == "k" and re.search(r"\b(?:from|import|del|assert|global|nonlocal|await|lambda|as) *$", line)):
             return "premature end"
         if not kind and " if " in line and " for " not in line and len(re.findall(r"\bif\b", line)) > len(re.findall(r"\belse\b", line)):
             return "premature end"

@@ -36,7 +36,7 @@ MORE_GOOD = {
     "rs": ["fn f<'a>(x: &'a str) -> char { let s = r#\"{\"\"#; '}' }\n"], "cpp": ["auto s = R\"x({)\"})x\"; char c = '{';\n"], "cs": ["var s = @\"{\"\"\"; // }\n"], "rb": ["x = %q{(}\n"], "h": ["/* { */\n#define A \"(\"\n"],
 }
 MORE_BAD = {
-    "py": ["return = 3\n", "1 = x\n", "f() = 3\n", "x = None = 2\n"], "java": ["public void class X {}\n", "class A { int = 3; }\n", "class { }\n"], "js": ["return = 3;\n", "if = 2;\n"], "c": ["int = 3;\n", "struct int x;\n"], "yml": ["a: [1\n"],
+    "py": ["return = 3\n", "1 = x\n", "f() = 3\n", "x = None = 2\n", "try:\n    x\nexcept E as e:\n    raise V(e) from\n"], "java": ["public void class X {}\n", "class A { int = 3; }\n", "class { }\n"], "js": ["return = 3;\n", "if = 2;\n"], "c": ["int = 3;\n", "struct int x;\n"], "yml": ["a: [1\n"],
     "ts": ["function f(a: number {\n}\n"], "go": ["func f() {\n", "x := `a\n"], "rs": ["fn f() { (] }\n"], "cpp": ["int x; /* a\n"], "rb": ["<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b\n"], "h": ["<<<<<<< ours\nint x;\n"],
 }
 
