@@ -2,7 +2,8 @@
 
 Round-trip repair: a stretch is re-encoded under a legacy encoding that can have been used by mistake and
 strictly decoded as the encoding that can have been meant; the result is kept when its garbling cost is
-lower, and the step is repeated for nested layers. Texts without a non-ASCII character never leave the JVM.
+lower, and the step is repeated for nested layers, however many, until none lowers the cost. Texts without a
+non-ASCII character never leave the JVM.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ RUSSIAN = dict(
     о=110, е=85, а=80, и=74, н=67, т=63, с=55, р=47, в=45, л=44, к=35, м=32, д=30, п=28, у=26, я=20, ы=19,
     ь=17, г=17, з=17, б=16, ч=14, й=12, х=10, ж=9, ш=7, ю=6, ц=5, щ=4, э=3, ф=3, ъ=0.4, ё=2,
 )
-LAYERS = 4
+#: Characters up to which what became of a stretch is remembered; 64 times the entries bound the memory.
+REMEMBERED = 64
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _C1 = re.compile(r"[\x80-\x9f]")
@@ -132,7 +134,17 @@ def cost(text: str, before: str = "", after: str = "") -> float:
     return total
 
 
-@lru_cache(maxsize=200_000)
+def _remembered(entries: int):
+    """Short stretches repeat and are looked up; long ones seldom do and are worked out each time."""
+
+    def wrap(f):
+        short = lru_cache(maxsize=entries)(f)
+        return lambda text, *rest: (short if len(text) <= REMEMBERED else f)(text, *rest)
+
+    return wrap
+
+
+@_remembered(100_000)
 def _run(text: str, before: str, after: str) -> str:
     """A maximal run of non-ASCII characters with UTF-8 read as something else put right, or the run itself."""
     if len(text) < 2 or all(_kind(c) == "russian" for c in text) and not (before + after).isascii():
@@ -211,7 +223,7 @@ def _russian_cost(text: str) -> float:
     return total / max(1, n)
 
 
-@lru_cache(maxsize=100_000)
+@_remembered(50_000)
 def _cyrillic(text: str) -> str:
     """Cyrillic read as another Cyrillic encoding."""
     best, least = text, _russian_cost(text) - 0.5
@@ -301,9 +313,10 @@ def _layer(text: str) -> str:
 
 def repair(text: str) -> tuple[str, int, bool]:
     """(text put right, layers undone, whether characters are lost for good) of one text."""
-    layers = 0
-    while layers < LAYERS and (fixed := _layer(text)) != text:
+    layers, seen = 0, {text}
+    while (fixed := _layer(text)) not in seen:
         text, layers = fixed, layers + 1
+        seen.add(text)
     return text, layers, bool(_LOST.search(text) or _C1.search(text))
 
 

@@ -65,3 +65,11 @@ def test_short_double_byte_words_in_ascii_lines(meant, word):
 @pytest.mark.parametrize("text", ["Größe, Ä, Ö and ÄÖ are kept as they are in this line.", "Les «Été» et référé, dépêché in a long plain line.", "not SEM EXCEÇÃO, ações e opções in plain text", "±3 °C § 4 — “quoted” … 40 € ‚so‘ and ‚so‘ in a long plain line"])
 def test_accents_in_ascii_lines_stay(text):
     assert repair(text) == (text, 0, False)
+
+
+def test_layers_have_no_bound():
+    for want in ("Über die Brücke führt ein schöner Weg", "Déjà vu à l’été"):
+        text = want
+        for n in range(1, 9):
+            text = text.encode("utf-8").decode("latin-1")
+            assert repair(text)[:2] == (want, n)
