@@ -2,7 +2,8 @@
 
 A skip-chain conditional random field labels each document's candidate segments (number groups, mail-like,
 street-like and name-like token runs). Neighbouring segments form the chain; segments that repeat or share a
-rare token are joined by skip edges, and loopy message passing makes their labels agree across the document.
+rare token are joined by skip edges, and loopy message passing, carried on until no message moves, makes their
+labels agree across the document.
 The field is trained here, by pseudo-likelihood, on sentences made by the small grammar below. What tells a
 person's name from a service's is how often its words and word pairs occur in the distinct texts; that is evidence
 with a weight like any other, and a name that copies or its bearer's work make frequent stays a name.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,8 +31,14 @@ LABELS = ("O", *KINDS)
 #: Sentences of the grammar on which the field is trained, and the grammar's seed.
 TRAINING_TEXTS, SEED = 2500, 7
 #: Shares of all documents (and least counts) from which a lower-case word, a capitalised word and a pair of
-#: capitalised words are common. At most words-per-document / share of each can be: a proven bound.
+#: capitalised words are common.
 LOWER_SHARE, WORD_SHARE, PAIR_SHARE, LEAST = 2e-4, 5e-3, 1e-4, (3, 25, 5)
+#: The most entries of each kind that a lexicon can have. A word counts as common only from the share of all counts
+#: that as many words at most can reach, so the bound holds for documents of any length and nothing is cut off.
+LEXICON = 200_000
+#: Messages are final when none moves by more; a loop that has not settled after so many rounds is damped, and left
+#: as it stands after LAST rounds beyond the longest chain.
+STILL, DAMPED, LAST = 1e-4, 30, 200
 #: Share of a common pair's documents from which words beside it that speak for a person clear it of being common.
 PERSON_SHARE = 0.02
 
@@ -43,17 +51,22 @@ _NUMBER = re.compile(r"(?<![\w.+#$-])(?:\+|\(0\)|\()?\d[\d().\-/ ‑–]{3,24}\d
 _CODE = re.compile(r"(?<![\w./=+-])(?:[A-Z]{1,5}\d{5,9}[A-Z]{0,3}|[A-Z]{2}(?:[ ]\d\d){3}[ ][A-Z]|[A-Z]{2}\d{6}[A-Z]|\d{5,9}[A-Z])(?![\w/=+-])")
 # Words by which streets and dwellings are known.
 _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Court|Ct|Boulevard|Blvd|Way|Terrace|Place|Pl|Square|Sq|Crescent|Row|Hill|Gardens|Grove|Mews|Parkway|Highway"
-_CAP = r"[A-ZÀ-ÖØ-Þ][\w'’.-]*"
-_CITY = r"[A-ZÀ-ÖØ-Þ][\w'’-]*(?:[ ][A-ZÀ-ÖØ-Þ][\w'’-]*(?=,?[ ]\d{4,6}\b))?"
+# Capital and small letters of the scripts that have them; Latin letters beyond the first block count as either.
+_UP, _LOW = "A-ZÀ-ÖØ-ÞĀ-žΆ-ΏΑ-ΫЀ-Я", "a-zß-öø-ÿĀ-žά-ώа-џ"
+_CAP = rf"[{_UP}][\w'’.-]*"
+_CITY = rf"[{_UP}][\w'’-]*(?:[ ][{_UP}][\w'’-]*(?=,?[ ]\d{{4,6}}\b))?"
 _ADDRESS = re.compile(
     rf"(?:(?:Flat|Apt|Apartment|Unit|Suite|Room)\.?[ ]\w{{1,5}},[ ])?\b\d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{1,3}}(?:{_STREETS})\b\.?(?:,?[ ](?:Flat|Apt|Apartment|Unit|Suite)\.?[ ]\w{{1,5}})?(?:,[ ]{_CITY})?(?:,?[ ]\d{{4,6}}\b)?"
     rf"|\b\d{{1,5}},?[ ](?:bis[ ])?(?:rue|avenue|boulevard|place|chemin|impasse|quai|allée|route)[ ](?:(?:des|du|de la|de l['’]|de|la|les)[ ]?)?{_CITY}(?:,[ ]\d{{4,5}}[ ]{_CITY})?"
     rf"|\b[A-ZÄÖÜ][\wäöüß-]*(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer)[ ]\d{{1,4}}[a-z]?\b(?:,[ ]\d{{4,5}}[ ]{_CITY})?"
-    rf"|\b(?:calle|via|rua|avenida|plaza)[ ]{_CAP}(?:[ ]{_CAP})?,?[ ]\d{{1,4}}\b(?:,[ ]\d{{4,5}}[ ]{_CITY})?"
+    rf"|\b(?:[Cc]alle|[Vv]ia|[Rr]ua|[Aa]venida|[Pp]laza|[Pp]iazza|[Vv]iale|[Cc]orso)[ ]{_CAP}(?:[ ]{_CAP})?,?[ ]\d{{1,4}}\b(?:,[ ]\d{{4,5}}[ ]{_CITY})?"
+    rf"|\b\d{{1,4}},?[ ](?:[Cc]alle|[Vv]ia|[Rr]ua|[Aa]venida|[Pp]laza|[Pp]iazza|[Vv]iale|[Cc]orso)[ ]{_CAP}(?:[ ]{_CAP})?(?:,[ ]\d{{4,5}}[ ]{_CITY})?"
+    rf"|\b(?:ул\.|улица|пр\.|проспект|пер\.|переулок)[ ]{_CAP}(?:[ ]{_CAP})?,?[ ](?:д(?:ом|\.)?[ ]?)?\d{{1,4}}(?:,?[ ](?:кв|оф)\.?[ ]?\d{{1,4}})?"
+    r"|[一-鿿]{2,12}(?:路|街|道|巷|胡同)\d{1,5}[号號](?:\d{1,4}[室栋楼])?|[一-鿿ヶ]{2,12}(?:町|丁目|番地)\d{1,4}(?:[-−]\d{1,4}){0,2}(?:番地|号)?"
 )
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Dame|Herr|Frau|Mme|M|Señor|Señora|Sr|Sra)"
-_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-ÖØ-Þ]+)*)"
-_INITIAL = r"[A-ZÀ-ÖØ-Þ]\."
+_WORD = rf"(?:[{_UP}][{_LOW}'’]+(?:[-'’][{_UP}][{_LOW}]+)*|[{_UP}]{{2,}}(?:[-'’][{_UP}]+)*)"
+_INITIAL = rf"[{_UP}]\."
 _PARTICLE = r"(?:(?:van|von|de|der|den|del|di|da|la|le|al|bin)[ ]){0,2}"
 _NAME = re.compile(
     rf"(?<![\w@/.+=-])(?:(?P<title>{_TITLE})\.?[ ](?:{_INITIAL}[ ]?){{0,2}}{_PARTICLE}(?P<tf>{_WORD})(?:[ ](?P<tl>{_WORD}))?"
@@ -61,6 +74,12 @@ _NAME = re.compile(
     rf"|(?P<last>{_WORD}),[ ](?P<first>{_WORD}|{_INITIAL})(?:[ ]{_INITIAL})?"
     rf"|(?P<one>{_WORD})[ ](?:{_INITIAL}[ ]){{0,2}}{_PARTICLE}(?P<two>{_WORD}))(?![\w@/=+%-])"
 )
+# Frequent Chinese family names, and words beside a Chinese or Japanese name.
+_WIDE_FAMILIES = "王李张張刘劉陈陳杨楊赵趙黄黃周吴吳徐孙孫胡朱高林何郭马馬罗羅梁宋郑鄭谢謝韩韓唐冯馮于董萧程曹袁邓鄧许許傅沈曾彭吕呂苏蘇卢盧蒋蔡贾丁魏薛叶葉阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+_WIDE_AFTER = "先生|女士|小姐|老师|教授|经理|工程师|医生|同志|さん|様|さま|氏|君|部長|課長"
+_WIDE_NAME = re.compile(
+    rf"(?:(?P<cue>(?:姓名|联系人|经办人|负责人|担当|氏名)[:：]?[ ]?)|(?<!\w))(?P<wide>[{_WIDE_FAMILIES}][一-鿿]{{1,2}}?)(?:(?P<after>{_WIDE_AFTER})|(?!\w))"
+)
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _JOINED = re.compile(r"\S*[@/\\_+]\S*|\S+\.\w\S*|\S+(?=[ ]?(?:@|[\[(]at[\])]|at \S+ dot ))")
 _PAIR = re.compile(rf"(?<![\w@/])({_WORD}),?[ ](?=({_WORD})\b)")
@@ -77,7 +96,7 @@ _BESIDE = (re.compile(r"(?i)\b(?:signed(?:[ ]off)?[ ]by|agreed[ ]with|ask|asked|
 _UNITS = set("bytes rows files builds lines".split())
 _CUE["number"] = "numberword"
 _CUE["no"] = "numberword"
-_NOT_NAMES = set(f"{_STREETS}|Flat|Apt|Apartment|Unit|Suite|Room|The|A|An|I|It|We|He|She|They|You|This|That|These|Those|In|On|At|By|For|From|To|With|And|Or|Not|No|Yes|If|When|Per|Ask|See|Via|Re|Please|Do|Use|Our|Two|Only|Both|Keep|Call|Text|Send|Copy".split("|"))
+_NOT_NAMES = set(f"{_STREETS}|Flat|Apt|Apartment|Unit|Suite|Room|The|A|An|I|It|We|He|She|They|You|This|That|These|Those|In|On|At|By|For|From|To|With|And|Or|Not|No|Yes|If|When|Per|Ask|See|Via|Re|Please|Do|Use|Our|Two|Only|Both|Keep|Call|Text|Send|Copy|My|Your|Their|His|Her|SSN|Box|PO|Unter|Über|Auf|Bei|Nach|Von|Am|Im|Zum|Zur".split("|"))
 
 
 @dataclass
@@ -153,10 +172,15 @@ def _name(m: re.Match, lexicon: Lexicon) -> tuple[list[str], frozenset[str]]:
 def segments(text: str, lexicon: Lexicon) -> list[Segment]:
     """The candidates of a text in order, none inside another that was found before it."""
     found: list[Segment] = []
-    taken = np.zeros(0, dtype=bool)
+    taken: list[tuple[int, int]] = []  # disjoint and in order
 
     def free(a: int, b: int) -> bool:
-        return not any(s.start < b and a < s.end for s in found)
+        i = bisect_left(taken, (a, a))
+        return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b)
+
+    def take(segment: Segment) -> None:
+        found.append(segment)
+        insort(taken, (segment.start, segment.end))
 
     if "@" in text or " at " in text or "(at)" in text.lower() or "[at]" in text.lower():
         for m in _EMAIL.finditer(text):
@@ -170,11 +194,11 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
                 out.append("email:joined")
             if " at " in value.lower() and " dot " not in value.lower() and "dot" not in value.lower():
                 out.append("email:words")
-            found.append(Segment(m.start(), m.end(), "email", value, out, frozenset([re.sub(_AT, "@", value.lower())])))
+            take(Segment(m.start(), m.end(), "email", value, out, frozenset([re.sub(_AT, "@", value.lower())])))
     if re.search(r"\d", text):
         for m in _ADDRESS.finditer(text):
             if free(m.start(), m.end()):
-                found.append(Segment(m.start(), m.end(), "address", m.group(), ["shape:address", *_context(text, m.start(), m.end())[:1]], frozenset([m.group().lower()])))
+                take(Segment(m.start(), m.end(), "address", m.group(), ["shape:address", *_context(text, m.start(), m.end())[:1]], frozenset([m.group().lower()])))
         for pattern, shape in ((_CODE, "code"), (_NUMBER, "number")):
             for m in pattern.finditer(text):
                 value = m.group().rstrip(" (.-/")
@@ -193,17 +217,17 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
                     out.append("number:address of a host")
                 if re.match(r"(?:19|20)\d\d-\d\d\b", value):
                     out.append("number:date")
-                found.append(Segment(a, b, shape, value, out, frozenset([re.sub(r"\D", "", value)])))
+                take(Segment(a, b, shape, value, out, frozenset([re.sub(r"\D", "", value)])))
     for m in _NAME.finditer(text):
         span = m.span()
-        if "-----" in text[text.rfind("\n", 0, span[0]) + 1 : span[0]]:
+        if m["if"] == "Box" or "-----" in text[text.rfind("\n", 0, span[0]) + 1 : span[0]]:
             continue
         if m.group("tl") and (m.group("tl").lower() in lexicon.lower or m.group("tl") in _NOT_NAMES):
             span = (span[0], m.end("tf"))
         while span:
             if free(*span):
                 out, keys = _name(m, lexicon)
-                found.append(Segment(*span, "name", text[span[0] : span[1]], ["shape:name", *out], keys))
+                take(Segment(*span, "name", text[span[0] : span[1]], ["shape:name", *out], keys))
             # A run of capitalised words is read again from its second word: any pair in it may be the name.
             step = m.end("title") if m.group("title") else (m.end("one") if m.group("one") else m.end("last") if m.group("last") else m.end("initial") if m.group("initial") else m.end())
             again = _NAME.match(text, _skip(text, step)) if step < m.end() else None
@@ -213,7 +237,14 @@ def segments(text: str, lexicon: Lexicon) -> list[Segment]:
             if found and found[-1].shape == "name" and found[-1].end > span[0]:
                 if _plausible_name(found[-1]):
                     break
-                found.pop()
+                gone = found.pop()
+                del taken[bisect_left(taken, (gone.start, gone.end))]
+    if not text.isascii():
+        for m in _WIDE_NAME.finditer(text):
+            # Two characters alone are too often a word.
+            if (m["after"] or m["cue"] or len(m["wide"]) > 2) and free(*m.span("wide")):
+                beside = "title" if m["after"] else "cue" if m["cue"] else "none"
+                take(Segment(*m.span("wide"), "name", m["wide"], ["shape:name", "form:wide", f"form:wide:{beside}"], frozenset([m["wide"]])))
     found.sort(key=lambda s: s.start)
     return found
 
@@ -287,37 +318,52 @@ class Field:
             self.pair[kind] = (both + both.T) / 2
         return self
 
-    def label(self, segs: list[Segment], rounds: int = 6) -> list[int]:
-        """Labels of the greatest marginals after loopy message passing (exact where there are no skip edges)."""
+    def label_all(self, docs: list[list[Segment]]) -> list[list[int]]:
+        """Labels of the greatest marginals of each document, after loopy message passing until nothing moves.
+
+        All messages of all documents are passed at once, as arrays; a document whose messages rest takes no
+        further part. Where there are no skip edges the result is exact.
+        """
         k = len(LABELS)
-        unary = np.zeros((len(segs), k))
-        for i, s in enumerate(segs):
-            for f in s.features:
-                j = self.index.get(f)
-                if j is not None:
-                    unary[i] += self.weights[j]
-        links = edges(segs)
-        if not links:
-            return [int(a) for a in unary.argmax(axis=1)]
-        messages = {(i, j, kind, way): np.zeros(k) for i, j, kind in links for way in (0, 1)}
-        into: dict[int, list[tuple]] = defaultdict(list)
-        for i, j, kind in links:
-            into[j].append((i, j, kind, 0))
-            into[i].append((i, j, kind, 1))
-        longest = max(rounds, min(len(segs), 40) if len(links) == len(segs) - 1 else rounds)
-        for _ in range(longest):
-            moved = 0.0
-            for key in messages:
-                i, j, kind, way = key
-                source, back = (i, (i, j, kind, 1)) if way == 0 else (j, (i, j, kind, 0))
-                belief = unary[source] + sum((messages[m] for m in into[source] if m != back), np.zeros(k))
-                new = np.logaddexp.reduce(belief[:, None] + self.pair[kind], axis=0)
-                new -= new.max()
-                moved = max(moved, float(np.abs(new - messages[key]).max()))
-                messages[key] = new
-            if moved < 1e-3:
-                break
-        return [int((unary[i] + sum((messages[m] for m in into[i]), np.zeros(k))).argmax()) for i in range(len(segs))]
+        segs = [s for d in docs for s in d]
+        if not segs:
+            return [[] for _ in docs]
+        at = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+        # One more row of weights, of zeros, for features that training did not see.
+        weights = np.vstack([self.weights, np.zeros((1, k))])
+        flat = np.array([self.index.get(f, -1) for s in segs for f in s.features], dtype=np.int64)
+        starts = np.concatenate(([0], np.cumsum([len(s.features) for s in segs])[:-1]))
+        unary = np.add.reduceat(weights[flat], starts, axis=0)
+        links = [(at[n] + i, at[n] + j, kind == "skip", n) for n, d in enumerate(docs) for i, j, kind in edges(d)]
+        belief = unary.copy()
+        if links:
+            i, j, skip, owner = (np.array(c, dtype=np.int64) for c in zip(*links))
+            source, target, kind, owner = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((skip, skip)), np.concatenate((owner, owner))
+            half = len(links)
+            back = np.concatenate((np.arange(half) + half, np.arange(half)))
+            pair = np.stack([self.pair["chain"], self.pair["skip"]])
+            messages = np.zeros((2 * half, k))
+            active = np.arange(2 * half)
+            for n in range(LAST + max(len(d) for d in docs)):
+                told = (belief[source[active]] - messages[back[active]])[:, :, None] + pair[kind[active]]
+                top = told.max(axis=1, keepdims=True)
+                new = np.log(np.exp(told - top).sum(axis=1)) + top[:, 0, :]
+                new -= new.max(axis=1, keepdims=True)
+                if n >= DAMPED:
+                    new = (new + messages[active]) / 2
+                moved = np.abs(new - messages[active]).max(axis=1)
+                np.add.at(belief, target[active], new - messages[active])
+                messages[active] = new
+                restless = np.zeros(len(docs), dtype=bool)
+                restless[owner[active[moved > STILL]]] = True
+                active = active[restless[owner[active]]]
+                if not len(active):
+                    break
+        best = belief.argmax(axis=1)
+        return [best[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    def label(self, segs: list[Segment]) -> list[int]:
+        return self.label_all([segs])[0]
 
 
 # --- training sentences -------------------------------------------------------------------------------------
@@ -330,7 +376,7 @@ _PHRASES = ["REGRA GERAL", "GRANDE PAUSE", "ZONA LIBRE", "OBRA FINAL"]
 _FREQUENT = [("Greta", "Gallagher"), ("Omar", "Novak"), ("Lena", "Petrov")]
 _SERVICES = ["Silver Falcon", "Iron Valley", "Quiet Harvest", "Granite", "Nimbus", "Willow", "Emerald Coast", "Sierra", "Amber Lagoon", "CLEAR MEADOW"]
 _PHONES = ("+1 (555) 01{2}-{4}", "+1.202.555.{4}", "202 555 {4}", "555-{4}", "(0)161 496 {4}", "020 7946 {4}", "+44 7700 900{3}", "+447700900{3}", "+33 1 {2} {2} {2} {2}", "+49 30 {5} {3}", "(202) 555-{4}", "+46 8 {3} {2} {2}", "0{3}-{7}", "202-555-{4}", "+351 {3} {3} {3}")
-_IDS = ("{3} {2} {4}", "{3}-{2}-{4}", "{9}", "{6}-{4}", "QQ {2} {2} {2} C", "X{7}", "RC{6}F", "WCRQW{6}MI", "{8}T", "{8}-{4}", "{3}.{3}.{3}-{2}", "P{8}")
+_IDS = ("{3} {2} {4}", "{3}-{2}-{4}", "{9}", "{6}-{4}", "QQ {2} {2} {2} C", "X{7}", "RC{6}F", "KLMNP{6}QR", "{8}T", "{8}-{4}", "{3}.{3}.{3}-{2}", "P{8}")
 _NUMBERS = ("{3}-{2}-{3}", "{4}-{2}-{4}", "{9}", "{10}", "{1}.{3}.{4}", "{3} {3}", "2026-{2}-{4}", "192.0.2.{3}", "{8}", "{3} {3} {3}", "{7}", "{6}-{4}")
 
 
@@ -371,7 +417,7 @@ def training_texts(n: int = TRAINING_TEXTS, seed: int = SEED) -> list[tuple[str,
 
     def decoy() -> str:
         s, n = rng.choice(_SERVICES), _fill(rng.choice(_NUMBERS), rng)
-        return rng.choice((f"Row {n} is a part number.", f"Ticket {n} tracks this.", f"Build {n} took {_fill('{3} {3}', rng)} bytes.", f"The counter went from {_fill('{9}', rng)} to {_fill('{10}', rng)}.", f"Epoch {_fill('{10}', rng)} is the start.", f"It listens on 192.0.2.{rng.randint(1, 250)}:{rng.randint(1000, 9000)}.", f"Spoke with {s} about it.", f"{s} and {rng.choice(_SERVICES)} share one rule.", f"Per {s}, the rule stays.", f"Clone it from git@forge.example:{rng.choice(('a', 'b'))}/tool.git first.", f"Use postgres://reader@db.internal.example/main for checks.", f"mobile builds: {rng.randint(100, 900)} of {rng.randint(1000, 9000)}", f"It ran {rng.randint(1, 90)} {s} jobs.", f"{rng.choice(('The', 'Die', 'Our', 'Only', 'Das', 'Le'))} {rng.choice(('Brücke', 'Harbour', 'Station', 'Bericht', 'Granite', 'Relais'))} holds two files.", f"{rng.choice(('Only', 'Both', 'Per', 'The'))} {s} may wait.", f"The {_fill(rng.choice(('{7}', '{8}', '{9}', 'X{7}', '{6}')), rng)} entry holds.", f"{rng.choice('AEO')} {rng.choice(_PHRASES)} holds two files.", f"READ ONLY since {rng.randint(2, 90)} days.", f"{s} holds two files.", f"Version {n} of {s}.", f"Invoice {n} for {s}.", f"Commit {n} by {s}."))
+        return rng.choice((f"Row {n} is a part number.", f"Ticket {n} tracks this.", f"Build {n} took {_fill('{3} {3}', rng)} bytes.", f"The counter went from {_fill('{9}', rng)} to {_fill('{10}', rng)}.", f"Epoch {_fill('{10}', rng)} is the start.", f"It listens on 192.0.2.{rng.randint(1, 250)}:{rng.randint(1000, 9000)}.", f"Spoke with {s} about it.", f"{s} and {rng.choice(_SERVICES)} share one rule.", f"Per {s}, the rule stays.", f"Clone it from git@code.example:{rng.choice(('a', 'b'))}/tool.git first.", f"Use postgres://reader@db.internal.example/main for checks.", f"mobile builds: {rng.randint(100, 900)} of {rng.randint(1000, 9000)}", f"It ran {rng.randint(1, 90)} {s} jobs.", f"{rng.choice(('The', 'Die', 'Our', 'Only', 'Das', 'Le'))} {rng.choice(('Fähre', 'Harbour', 'Station', 'Bericht', 'Granite', 'Relais'))} holds two files.", f"{rng.choice(('Only', 'Both', 'Per', 'The'))} {s} may wait.", f"The {_fill(rng.choice(('{7}', '{8}', '{9}', 'X{7}', '{6}')), rng)} entry holds.", f"{rng.choice('AEO')} {rng.choice(_PHRASES)} holds two files.", f"READ ONLY since {rng.randint(2, 90)} days.", f"{s} holds two files.", f"Version {n} of {s}.", f"Invoice {n} for {s}.", f"Commit {n} by {s}."))
 
     out = []
     for _ in range(n):
@@ -420,19 +466,28 @@ def trained() -> Field:
 # --- documents ----------------------------------------------------------------------------------------------
 
 
+def find_all(texts: list[str], lexicon: Lexicon, model: Field | None = None) -> list[list[tuple[int, int, str]]]:
+    """(start, end, kind) of the personal information in each text."""
+    docs = [segments(t, lexicon) for t in texts]
+    return [_named(segs, labels) for segs, labels in zip(docs, (model or trained()).label_all(docs))]
+
+
 def find(text: str, lexicon: Lexicon, model: Field | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal information in one text."""
-    segs = segments(text, lexicon)
-    if not segs:
-        return []
-    labels = (model or trained()).label(segs)
+    return find_all([text], lexicon, model)[0]
+
+
+def _named(segs: list[Segment], labels: list[int]) -> list[tuple[int, int, str]]:
     return [(s.start, s.end, LABELS[l]) for s, l in zip(segs, labels) if l and (s.shape in ("number", "code") or {"email": "email", "address": "address", "name": "person_name"}[s.shape] == LABELS[l])]
 
 
 def replace(text: str, lexicon: Lexicon, model: Field | None = None) -> str:
     """``text`` with each piece of personal information replaced by ``[KIND]``."""
+    return _replaced(text, find(text, lexicon, model))
+
+
+def _replaced(text: str, found: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for a, b, kind in find(text, lexicon, model):
+    for a, b, kind in found:
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
             at = b
@@ -447,8 +502,8 @@ def distinct_texts(df: DataFrame, text: str) -> DataFrame:
 def lexicon_of(texts: DataFrame, text: str) -> Lexicon:
     """What is common over all documents of ``texts``: document counts per word, combined before the shuffle.
 
-    Every row counts, so rows that may repeat a text go through ``distinct_texts`` first. Only words and pairs above a share of the documents reach the driver, so their number is bounded by
-    (distinct words of a mean document) / share.
+    Every row counts, so rows that may repeat a text go through ``distinct_texts`` first. Only what is common reaches
+    the driver, at most LEXICON entries of each kind: each has that share of the kind's counts or more.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -476,12 +531,13 @@ def lexicon_of(texts: DataFrame, text: str) -> Lexicon:
 
     rows = texts.where(F.length(text) > 0).select(F.col(text).alias("_t"))
     counts = cut(rows.mapInPandas(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")))
-    total = (counts.where("k = '#'").first() or {"n": 0})["n"]
+    mass = {r["mark"]: r["n"] for r in counts.groupBy(F.left("k", F.lit(1)).alias("mark")).agg(F.sum("n").alias("n")).collect()}
+    total = mass.get("#", 0)
     got: dict[str, set[str]] = {}
     for mark, share, least in zip("lwp", (LOWER_SHARE, WORD_SHARE, PAIR_SHARE), LEAST):
-        kept = counts.where(F.col("k").startswith(mark) & (F.col("n") >= max(least, share * total))).select(F.substring("k", 2, 200).alias("k"), "n")
+        kept = counts.where(F.col("k").startswith(mark) & (F.col("n") >= max(least, share * total, mass.get(mark, 0) / LEXICON))).select(F.expr("substr(k, 2)").alias("k"), "n")
         if mark == "p":
-            persons = counts.where("startswith(k, 'q')").select(F.substring("k", 2, 200).alias("k"), F.col("n").alias("_beside"))
+            persons = counts.where("startswith(k, 'q')").select(F.expr("substr(k, 2)").alias("k"), F.col("n").alias("_beside"))
             kept = kept.join(persons, "k", "left").where(F.coalesce("_beside", F.lit(0)) < PERSON_SHARE * F.col("n"))
         got[mark] = {r["k"] for r in kept.collect()}
     return Lexicon(frozenset(got["l"]), frozenset(got["w"]), frozenset(got["p"]))
@@ -496,7 +552,8 @@ def kinds_found(df: DataFrame, keys: list[str], text: str, lexicon: Lexicon) ->
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, model = sent.value
         for batch in batches:
-            rows = [(*key, kind) for *key, value in batch[[*keys, "_t"]].itertuples(index=False, name=None) for kind in sorted({k for _, _, k in find(value, lexicon, model)})]
+            found = find_all(batch["_t"].tolist(), lexicon, model)
+            rows = [(*key, kind) for key, spans in zip(batch[keys].itertuples(index=False, name=None), found) for kind in sorted({k for _, _, k in spans})]
             yield pd.DataFrame(rows, columns=[*keys, "kind"])
 
     return df.where(F.length(text) > 0).select(*keys, F.col(text).alias("_t")).mapInPandas(work, f"{', '.join(fields)}, kind string")
@@ -510,6 +567,7 @@ def replaced(df: DataFrame, keys: list[str], text: str, lexicon: Lexicon) -> Dat
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, model = sent.value
         for batch in batches:
-            yield batch.assign(text=[replace(t, lexicon, model) if t else t for t in batch["_t"]])[[*keys, "text"]]
+            found = find_all([t or "" for t in batch["_t"]], lexicon, model)
+            yield batch.assign(text=[_replaced(t, spans) if spans else t for t, spans in zip(batch["_t"], found)])[[*keys, "text"]]
 
     return df.select(*keys, F.col(text).alias("_t")).mapInPandas(work, f"{', '.join(fields)}, text string")

@@ -91,3 +91,56 @@ def test_pairs_beside_a_persons_words_are_not_common(spark):
     lexicon = pii.lexicon_of(spark.createDataFrame(rows, "t string"), "t")
     assert "blue harbor" in lexicon.pairs and {"greta", "lindqvist"} <= lexicon.words and "greta lindqvist" not in lexicon.pairs
     assert [k for _, _, k in pii.find("Spoke with Greta Lindqvist about it.", pii.Lexicon(lexicon.lower | {"spoke", "with"}, lexicon.words, lexicon.pairs))] == ["person_name"]
+
+
+def test_other_scripts_and_what_is_no_name():
+    empty = pii.Lexicon()
+    for text, want in (
+        ("12 Via Roma, 00184 Roma", "address"), ("ул. Ленина, 12", "address"), ("北京市朝阳区建国路88号", "address"), ("Spoke with Иван Петров about it.", "person_name"),
+        ("联系人：王小明，电话。", "person_name"), ("王小明先生来了", "person_name"),
+    ):
+        assert [k for _, _, k in pii.find(text, empty)] == [want], text
+    for text in ("My SSN is here", "P.O. Box 12", "Unter den Linden is a street", "高兴 的 日子 方法"):
+        assert pii.find(text, empty) == [], text
+
+
+def test_messages_are_exact_on_chains_and_rest_in_loops():
+    import itertools
+
+    import numpy as np
+
+    model, k = pii.trained(), len(pii.LABELS)
+    text = "SSN 951-76-1071 and +1 (555) 010-2233, row 474-56-678. Spoke with Greta Lindqvist."
+    segs = pii.segments(text, _lexicon())
+    assert 3 <= len(segs) <= 5 and all(kind == "chain" for _, _, kind in pii.edges(segs))
+    unary = [sum((model.weights[model.index[f]] for f in s.features if f in model.index), np.zeros(k)) for s in segs]
+    total = np.zeros((len(segs), k))
+    for labels in itertools.product(range(k), repeat=len(segs)):
+        score = sum(u[a] for u, a in zip(unary, labels)) + sum(model.pair[kind][labels[i], labels[j]] for i, j, kind in pii.edges(segs))
+        for i, a in enumerate(labels):
+            total[i, a] += np.exp(score)
+    assert model.label(segs) == total.argmax(axis=1).tolist()
+    # The cue stands at the last of many mentions; all of them follow it, however far away.
+    repeated = "951-76-1071 again.\n" * 40 + "SSN 951-76-1071 is on file.\n"
+    assert set(model.label(pii.segments(repeated, _lexicon()))) == {pii.LABELS.index("id_number")}
+    many = [pii.segments(t, _lexicon()) for t, _ in TEXTS]
+    assert model.label_all(many) == [model.label(s) for s in many]
+
+
+def test_time_follows_the_length():
+    import time
+
+    def seconds(n):
+        text = "".join(f"Call +1 (555) {i % 900 + 100}-{i % 9000 + 1000} if it stays down.\n" for i in range(n))
+        start = time.process_time()
+        assert len(pii.find(text, _lexicon())) >= n
+        return time.process_time() - start
+
+    seconds(200)
+    assert seconds(6000) < 12 * max(seconds(1500), 0.05)
+
+
+def test_the_lexicon_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LEXICON", 10)
+    df = spark.createDataFrame([(" ".join(f"word{chr(97 + i)}" for i in range(26)),)] * 5 + [("worda only",)] * 40, "t string")
+    assert pii.lexicon_of(df, "t").lower == {"worda", "only"}
