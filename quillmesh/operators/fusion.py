@@ -24,9 +24,12 @@ def reciprocal_rank(rankings: DataFrame, query: str, key: str, weights: dict[str
     return rankings.groupBy(query, key).agg(F.round(F.sum(weight / (constant + F.col("rank"))), 12).alias("score"))
 
 
-def fused(rankings: DataFrame, query: str, key: str, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
-    """(query, key, score, rank) of the fused ranking; equal scores in the order of their keys."""
-    out = reciprocal_rank(rankings, query, key, weights)
+def fused(rankings: DataFrame, query: str, key: str, weights: dict[str, float] | None = None, limit: int | None = None, unique: bool = False) -> DataFrame:
+    """(query, key, score, rank) of the fused ranking; equal scores in the order of their keys.
+
+    A key counts once in each ranking and its repeats take no rank; ``unique`` says that there are none.
+    """
+    out = reciprocal_rank(rankings if unique else first_ranks(rankings, query, key), query, key, weights)
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), key)))
     return out.where(F.col("rank") <= limit) if limit else out
 

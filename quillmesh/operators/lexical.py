@@ -58,7 +58,7 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def cue_terms(cues: DataFrame, cue: str, text: str) -> DataFrame:
     """(cue, term, n_terms): the distinct terms of each cue and how many there are."""
-    return cues.select(cue, T.tokens(F.col(text)).alias("_t")).select(cue, F.explode("_t").alias("term"), F.size("_t").cast("long").alias("n_terms"))
+    return cues.select(cue, T.tokens(F.col(text), compose=True).alias("_t")).select(cue, F.explode("_t").alias("term"), F.size("_t").cast("long").alias("n_terms"))
 
 
 def _weight(field: Column, weights: dict[str, float], other: float = 0.0) -> Column:

@@ -47,6 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one; the driver's file system removes it when the driver ends."""
+    path = f"{shared_dir(spark)}/quillmesh-{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _OWNED.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what the application has cut so far; DataFrames that read it are of no more use."""
+    path = _own_dir(spark)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _OWNED.discard(path)
+
+
+_OWNED: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -54,7 +78,7 @@ def cut(df: DataFrame) -> DataFrame:
     later pass sees the same rows in the same partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

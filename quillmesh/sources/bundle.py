@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Bounds that fail a bundle rather than truncate it.
 NOTE_BYTES, BUNDLE_BYTES, BUNDLE_NOTES = 8 * 2**20, 64 * 2**20, 20_000
+#: The name of a bundle's own list of files to pass over.
+EXCLUSION_FILE = ".bundleignore"
 RESERVED = ("index.md", "log.md")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?$|[+-]?\d+[eE][+-]?\d+$")
 
@@ -70,22 +72,24 @@ def frontmatter(text: str) -> tuple[dict, str]:
     return (header, text[m.end() :]) if header else ({}, text)
 
 
-def read_notes(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+def read_notes(spark: SparkSession, root: str, exclude: list[str] | None = None, bounded: bool = True) -> DataFrame:
     """(path, type, title, description, tags, status, pinned, supersedes, stale_after, meta, body) of a folder's notes.
 
     Hidden folders and reserved files are passed over; ``exclude`` names files and, with a slash at the end,
-    trees. Texts that are no UTF-8 are read with replacements. Past a bound the read fails.
+    trees; the folder's own exclusion file, one such name a line, counts as well. Texts that are no UTF-8 are read with
+    replacements. Past a bound the read fails; ``bounded=False`` lifts the bounds on a bundle's notes and bytes,
+    which protect a single machine and not a cluster.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/")
     rel = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
     files = files.select(rel.alias("path"), "length", "content").where(~F.col("path").rlike(r"(?:^|/)\.") & ~F.element_at(F.split("path", "/"), -1).isin(*RESERVED))
-    for e in exclude or []:
+    for e in [*(exclude or []), *_exclusion_file(spark, base)]:
         if e.startswith("/") or ".." in e.split("/") or "*" in e:
             raise ValueError(f"not an exclusion: {e}")
         files = files.where(~F.col("path").startswith(e) if e.endswith("/") else F.col("path") != e)
     size = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), F.max("length").alias("most")).first()
-    if size["n"] > BUNDLE_NOTES or (size["bytes"] or 0) > BUNDLE_BYTES or (size["most"] or 0) > NOTE_BYTES:
+    if bounded and (size["n"] > BUNDLE_NOTES or (size["bytes"] or 0) > BUNDLE_BYTES) or (size["most"] or 0) > NOTE_BYTES:
         raise ValueError(f"bundle beyond its bounds: {size['n']} notes, {size['bytes']} bytes")
 
     def listed(value: object) -> list[str]:
@@ -105,13 +109,22 @@ def read_notes(spark: SparkSession, root: str, exclude: list[str] | None = None)
     return files.select("path", "content").mapInPandas(work, schema)
 
 
+def _exclusion_file(spark: SparkSession, base: str) -> list[str]:
+    """Names in the folder's exclusion file, without blank lines and comments; none where there is no such file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{EXCLUSION_FILE}")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return []
+    lines = (r["value"].strip() for r in spark.read.text(f"{base}/{EXCLUSION_FILE}").limit(10_000).collect())
+    return [line for line in lines if line and not line.startswith("#")]
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, kind, note, session, ts, valence, sync_clock, sync_id, payload) of a JSON-lines ledger in file order.
 
     Blank lines, lines that are no JSON and values that are no object are passed over; unknown fields stay in
     ``payload``.
     """
-    lines = spark.read.text(path, wholetext=False).withColumn("ordinal", F.monotonically_increasing_id()).where("value LIKE '{%'")
+    lines = spark.read.text(path, wholetext=False).withColumn("ordinal", F.monotonically_increasing_id()).where("ltrim(value) LIKE '{%'")
     schema = "kind string, note string, session string, ts double, valence double, sync_clock long, sync_id string"
     parsed = lines.select("ordinal", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"), F.col("value").alias("payload"), F.try_parse_json("value").alias("v"))
     return parsed.where("v IS NOT NULL").select("ordinal", "e.*", "payload")

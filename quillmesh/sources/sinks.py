@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.operators.positions import number_rows
+from quillmesh.session import cut
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``; an unreachable store is an error and not an empty table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where) and len(files.listStatus(where)) > 0
+
 
 def write_postings(postings: DataFrame, name: str, buckets: int = 64) -> None:
     """The inverted index as a table bucketed and sorted by term: a cue's terms read only their buckets."""
@@ -41,12 +51,11 @@ def append_events(events: DataFrame, path: str, now_ms: int) -> DataFrame:
     The clock is above all that was seen and at least ``now_ms``; run again with the same events it adds none.
     """
     spark = events.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # no ledger yet
-        old = None
+    old = spark.read.parquet(path) if has_files(spark, path) else None
     new = events if old is None else events.join(old.select("sync_id"), "sync_id", "left_anti")
     seen = 0 if old is None else (old.agg(F.max("sync_clock")).first()[0] or 0)
-    stamped = new.withColumn("sync_clock", F.lit(max(seen + 1, now_ms) - 1) + F.row_number().over(Window.orderBy("ts", "sync_id")))
+    # Numbered over range partitions, so no task sees the whole batch.
+    numbered = number_rows(new.withColumn("_all", F.lit(0)), "_all", [F.col("ts"), F.col("sync_id")], "_n", hot_rows=0).drop("_all")
+    stamped = cut(numbered.withColumn("sync_clock", F.lit(max(seen + 1, now_ms) - 1) + F.col("_n")).drop("_n"))
     stamped.write.mode("append").parquet(path)
     return stamped

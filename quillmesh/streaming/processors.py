@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillmesh.sources.sinks import has_files
 from quillmesh.operators.ledger import DEBOUNCE, SESSION_GAP
 
 
@@ -65,10 +66,8 @@ def idempotent_append(stream: DataFrame, path: str, checkpoint: str) -> DataStre
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["sync_id"])
-        try:
+        if has_files(spark, path):
             fresh = fresh.join(spark.read.parquet(path).select("sync_id"), "sync_id", "left_anti")
-        except Exception:  # nothing written yet
-            pass
         fresh.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

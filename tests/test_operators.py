@@ -39,6 +39,8 @@ def test_fusion_orders_and_protection(spark):
     assert kept[:2] == ["d", "c"] and sorted(kept) == list("abcd")
     both = [r["key"] for r in fusion.diverse_protected([df.where("ranking = 'x'"), df.where("ranking = 'y'")], df, "q", "key", keep=1).orderBy("rank").collect()]
     assert both[:2] == ["a", "d"]
+    twice = spark.createDataFrame([(1, "x", "a", 1), (1, "x", "a", 2), (1, "x", "b", 3)], "q long, ranking string, key string, rank int")
+    assert {r["key"]: r["score"] for r in fusion.fused(twice, "q", "key").collect()} == {"a": round(1 / 61, 12), "b": round(1 / 62, 12)}
     dup = spark.createDataFrame([(1, "x", "a", 1), (1, "x", "a", 2), (1, "x", "b", 3)], "q long, ranking string, key string, rank int")
     assert sorted((r["key"], r["rank"]) for r in fusion.first_ranks(dup, "q", "key").collect()) == [("a", 1), ("b", 2)]
 
@@ -105,6 +107,12 @@ def test_strength_fold(spark):
     # used once: 0.3 + 0.04; a recall then raises the ceiling by 0.01; the outcome captures 0.5; a tick decays
     assert got[1, "a"]["strength"] == pytest.approx(round(min(0.35 + 0.5, 0.85) * 0.98, 4))
     assert got[1, "a"]["captured"] == pytest.approx(0.49)
+    ticks = ledger.StrengthFold()
+    ticks.apply("touch", "a", 0.0)
+    ticks.apply("outcome", None, 0.7)
+    for _ in range(3):
+        ticks.apply("tick", None, 0.0)
+    assert ticks.entries["a"]["captured"] == 0.3294
     assert got[2, "a"]["strength"] == 0.5
     assert got[2, "b"]["strength"] == pytest.approx(round((0.34 + 0.27) * 0.25, 4))
 
@@ -163,11 +171,40 @@ def test_transcripts(spark):
     assert [tuple(r) for r in merging.episodes(turns, "d").collect()] == [(1, 2, "Fix it now\n[scrubbed]")]
 
 
-def test_cues_of_a_question():
-    got = recall.question_cues('Where does "the blue door" lead, and who painted port 7433?')
-    assert got[0][2] == "query" and ("the blue door", 0.9, "quote") in got
-    assert any(o == "clause" for _, _, o in got) and any(o == "rare" for _, _, o in got)
-    assert recall.question_cues("") == []
+def test_cues_of_a_question(spark):
+    rows = [(1, 'Where does "the blue door" lead, and who painted port 7433?'), (2, ""), (3, None), (4, "one two\nthree four; three four and five six seven eighth ninth"), (5, "Ledger ledgers")]
+    got: dict = {}
+    for r in recall.cues(spark.createDataFrame(rows, "q long, text string"), "q", "text").orderBy("q", "n").collect():
+        got.setdefault(r["q"], []).append((r["cue"], r["weight"], r["origin"]))
+    assert got[1][0] == (rows[0][1], 1.0, "query") and ("the blue door", 0.9, "quote") in got[1]
+    assert ("who painted port 7433?", 0.7, "clause") not in got[1] and ("painted port 7433", 0.7, "clause") not in got[1] and ("who painted port 7433", 0.7, "clause") in got[1]
+    assert any(o == "rare" for _, _, o in got[1])
+    assert 2 not in got and 3 not in got and got[5] == [("Ledger ledgers", 1.0, "query")]
+    assert [c for c, _, o in got[4] if o == "clause"] == ["one two", "three four", "five six seven eighth ninth"]
+    assert [c for c, _, o in got[4] if o == "rare"] == ["seven eighth ninth", "three"]
+    assert recall.cues(spark.createDataFrame(rows, "q long, text string"), "q", "text", limit=2).where("n >= 2").count() == 0
+
+
+def test_choice_by_coverage(spark):
+    rows = [(1, f"p{i}", 1.0 - i / 100, f" Title{i % 7} " if i % 2 else f"title{i % 7}", [f"f{i % 5}"] if i else []) for i in range(30)]
+    df = spark.createDataFrame(rows, "q long, path string, score double, title string, facets array<string>")
+
+    def model(k):
+        taken, seen, titles = [], set(), set()
+        for i, (_, _, _, t, f) in enumerate(rows):
+            if len(taken) < k and (not i or set(f) - seen):
+                taken.append(i)
+                titles.add(t.strip().lower())
+            seen |= set(f)
+        for i, (_, _, _, t, _) in enumerate(rows):
+            if len(taken) < k and i not in taken and t.strip().lower() not in titles:
+                taken.append(i)
+                titles.add(t.strip().lower())
+        return [rows[i][1] for i in sorted(taken)]
+
+    for k in (1, 3, 8, 20):
+        for pool in (50, None):
+            assert [r["path"] for r in recall.cover_select(df, "q", "path", k, pool).orderBy("position").collect()] == model(k), (k, pool)
 
 
 def test_packs_stay_within_budget():
@@ -180,6 +217,8 @@ def test_packs_stay_within_budget():
 def test_excerpt_grows_around_the_definition():
     text = "\n".join(f"x = {i}" for i in range(30)) + "\ndef load_ledger():\n    return 1\n"
     a, b = recall.excerpt(text, set(T.term_list("load ledger")), [("load_ledger", 31)], 40)
+    assert recall.excerpt("a b\nc d\ne f", set(), [], 1) == (1, 1) and recall.excerpt("q\nw\ne\nr\nt", set(), [], 1, frozenset([3])) == (2, 3)
+    assert recall.excerpt("x" * 900, set(), [], 10) == (1, 1)
     assert a <= 31 <= b and sum(len(line) + 1 for line in text.split("\n")[a - 1 : b]) <= 160
 
 
@@ -226,7 +265,12 @@ def test_complete_ranking_is_a_permutation(spark):
 def test_routes_and_providers(spark):
     from quillmesh.operators import routing
 
-    assert routing.route_of(["command", "failure_excerpt"]) == "trace" and routing.route_of(["x"]) == "general"
+    asked = [(["command", "failure_excerpt", "path"], "trace"), (["x"], "general"), ([], "general"), (["anchor_diff", "anchor_file"], "ripple"), (["review_comment", "path"], "comment"), (["review_comment"], "general"), (["implementation_files"], "code"), (["command"], "general")]
+    routes = spark.createDataFrame(asked, "parts array<string>, want string").select("want", routing.route_of(F.col("parts")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in routes) and len(routes) == len(asked)
+    qs = spark.createDataFrame([(1, "b.py", None, "see `src/A.py`, and src/a.py."), (2, None, None, "")], "q long, x string, y string, t string")
+    paths = spark.createDataFrame([("src/a.py",), ("b.py",)], "path string")
+    assert [(r["q"], r["anchor"]) for r in routing.anchors_of(qs, "q", ["x", "y"], "t", paths, "path").orderBy("q", "n").collect()] == [(1, "b.py"), (1, "src/a.py")]
     rows = [(1, "semantic", k, r) for r, k in enumerate("abc", 1)] + [(1, "current", k, r) for r, k in enumerate("cba", 1)]
     df = spark.createDataFrame(rows, "q long, ranking string, key string, rank int")
     assert [r["key"] for r in routing.routed(df, "q", "key", "comment").orderBy("rank").collect()][:2] == ["a", "b"]
