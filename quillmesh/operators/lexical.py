@@ -12,11 +12,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.session import small
+from quillmesh.session import cut, small
 
 # What a match in each field is worth.
 OVERLAP_WEIGHTS = {"title": 3.0, "tags": 3.0, "description": 2.0, "headings": 2.0, "body": 1.0}
@@ -86,33 +86,128 @@ def document_frequency(posts: DataFrame, key: str) -> DataFrame:
     return posts.groupBy("term", key).agg(F.max("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25f(posts: DataFrame, key: str, n_docs: DataFrame, cues: DataFrame, cue: str, weights: dict[str, float] = BM25F_WEIGHTS, have_all_fields: bool = True) -> DataFrame:
-    """(cue, key, score): BM25 over field-weighted, length-normalised term frequencies.
+#: Distinct terms of a cue set up to which they are sent to the pass that reads the documents.
+BROADCAST_TERMS = 1_000_000
+#: One row for a document and a term: in which fields it occurs, how often, and how many terms those fields have.
+_HITS = "term string, fields array<struct<field: string, tf: bigint, len: bigint>>"
+
+
+def lookup(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame | None) -> DataFrame:
+    """(key, term, fields) of the documents that hold a term of ``terms`` (term), or any term if it is None, and rows
+    without a key and term whose ``fields`` add up to the terms of all documents by field.
+
+    Documents are read and split into words once, and only hits leave the pass: no postings are written or
+    shuffled for a query. ``key`` is unique. A set of more than BROADCAST_TERMS meets the hits by a join.
+    """
+    names = list(fields)
+    kind = docs.schema[key].dataType.simpleString()
+    known = None
+    if terms is not None:
+        few = [r["term"] for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()]
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(few)) if len(few) <= BROADCAST_TERMS else None
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = known.value if known is not None else None
+        for batch in batches:
+            rows: list[tuple] = []
+            totals = dict.fromkeys(names, (0, 0))
+            for k, *texts in zip(batch["_k"], *(batch[n] for n in names)):
+                of: dict[str, list[dict]] = {}
+                for name, text in zip(names, texts):
+                    words = T.term_list(text)
+                    if not words:
+                        continue
+                    size = len(words)
+                    totals[name] = (totals[name][0] + 1, totals[name][1] + size)
+                    counted = Counter(words) if wanted is None else Counter(w for w in words if w in wanted)
+                    for term, n in counted.items():
+                        of.setdefault(term, []).append({"field": name, "tf": n, "len": size})
+                rows += [(k, term, places) for term, places in of.items()]
+            rows.append((None, None, [{"field": n, "tf": d, "len": size} for n, (d, size) in totals.items()]))
+            yield pd.DataFrame(rows, columns=[key, "term", "fields"])
+
+    out = docs.select(F.col(key).alias("_k"), *(c.alias(name) for name, c in fields.items())).mapInPandas(work, f"{key} {kind}, {_HITS}")
+    if terms is not None and known is None:
+        out = out.where("term IS NULL").unionByName(out.join(terms.select("term").distinct(), "term").select(*out.columns))
+    return out
+
+
+def write_index(docs: DataFrame, key: str, fields: dict[str, Column], name: str, buckets: int = 64) -> None:
+    """The hits of all terms as a table bucketed and sorted by term, the totals as a small one beside it."""
+    found = cut(lookup(docs, key, fields, None))
+    found.where("term IS NOT NULL").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").format("parquet").saveAsTable(name)
+    found.where("term IS NULL").write.mode("overwrite").format("parquet").saveAsTable(f"{name}_totals")
+
+
+def read_index(spark: SparkSession, name: str, terms: DataFrame, literal: int = 400) -> DataFrame:
+    """What ``lookup`` gives, from a written index: few terms prune its buckets and row groups, more are joined with it
+    bucket by bucket, so the index is not shuffled."""
+    wanted = terms.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(literal + 1).collect()]
+    hits = spark.table(name)
+    hits = hits.where(F.col("term").isin(few)) if len(few) <= literal else hits.join(wanted, "term", "left_semi")
+    return hits.unionByName(spark.table(f"{name}_totals"))
+
+
+def bm25f(hits: DataFrame, key: str, n_docs: DataFrame, cues: DataFrame, cue: str, weights: dict[str, float] = BM25F_WEIGHTS, have_all_fields: bool = True) -> DataFrame:
+    """(cue, key, score): BM25 over field-weighted, length-normalised term frequencies, from the hits of ``lookup``.
 
     ``n_docs`` has one row with the number of documents, ``n``. With ``have_all_fields`` an absent field counts
     as an empty one in the mean length, else only documents that have the field do.
     """
-    lens = posts.groupBy(key, "field").agg(F.sum("tf").alias("len"))
-    stats = lens.groupBy("field").agg(F.sum("len").alias("total"), F.count(F.lit(1)).alias("having")).crossJoin(F.broadcast(n_docs))
-    mean = F.col("total") / (F.col("n") if have_all_fields else F.col("having"))
-    stats = stats.select("field", mean.alias("avg_len"))
-    hits = posts.join(cues.select("term").distinct(), "term")  # only terms that some cue asks for
-    df = hits.groupBy("term", key).agg(F.max("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))
-    idf = df.select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    norm = 1 - B + B * F.col("len") / F.col("avg_len")
-    tf = F.sum(_weight(F.col("field"), weights, 1.0) * F.col("tf") / norm)
-    weighted = hits.join(lens, [key, "field"]).join(F.broadcast(stats), "field").groupBy("term", key).agg(tf.alias("wtf"))
-    part = F.col("idf") * (K1 + 1) * F.col("wtf") / (K1 + F.col("wtf"))
-    parts = weighted.join(idf, "term").select("term", key, part.alias("part"))
+    totals = hits.where("term IS NULL").select(F.explode("fields").alias("f")).groupBy("f.field").agg(F.sum("f.tf").alias("having"), F.sum("f.len").alias("total"))
+    mean = F.col("total") / (F.col("n") if have_all_fields else F.greatest("having", F.lit(1)))
+    means = totals.crossJoin(F.broadcast(n_docs)).agg(F.map_from_entries(F.collect_list(F.struct("field", mean.alias("m")))).alias("_means"), F.max("n").alias("_n"))  # one row
+    found = hits.where("term IS NOT NULL")
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def part(f: Column) -> Column:
+        return _weight(f["field"], weights, 1.0) * f["tf"] / (1 - B + B * f["len"] / F.element_at("_means", f["field"]))
+
+    weighted = found.crossJoin(F.broadcast(means)).select(key, "term", "_n", F.aggregate("fields", F.lit(0.0), lambda acc, f: acc + part(f)).alias("wtf"))
+    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    parts = weighted.join(df, "term").select("term", key, (idf * (K1 + 1) * F.col("wtf") / (K1 + F.col("wtf"))).alias("part"))
     return parts.join(cues, "term").groupBy(cue, key).agg(F.round(F.sum("part"), ROUND).alias("score"))
 
 
+def overlap_hits(hits: DataFrame, key: str, cues: DataFrame, cue: str, weights: dict[str, float], mean: bool = True) -> DataFrame:
+    """``overlap`` from the hits of ``lookup``."""
+    worth = F.aggregate("fields", F.lit(0.0), lambda acc, f: acc + _weight(f["field"], weights))
+    per = hits.where("term IS NOT NULL").select(key, "term", worth.alias("w")).where("w > 0").join(cues, "term").groupBy(cue, key).agg(F.sum("w").alias("s"), F.max("n_terms").alias("n"))
+    return per.select(cue, key, (F.round(F.col("s") / F.col("n"), ROUND) if mean else F.round("s", ROUND)).alias("score"))
+
+
 def ranked(scores: DataFrame, cue: str, key: str, top: int | None = None) -> DataFrame:
     """Adds ``rank``: 1 for the best score of a cue, keys in order where scores tie; only ``top`` are kept if given."""
     out = scores.withColumn("rank", F.row_number().over(Window.partitionBy(cue).orderBy(F.col("score").desc(), key)))
     return out.where(F.col("rank") <= top) if top else out
 
 
+def _holding(texts: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """``texts`` with each ``term`` of ``words`` that its ``text`` contains: an automaton of all terms runs over each text
+    once. Terms beyond BROADCAST_TERMS are taken in as many passes as they need."""
+    terms = [r["term"] for r in words.select("term").distinct().toLocalIterator()]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    out = None
+    for at in range(0, max(1, len(terms)), BROADCAST_TERMS):
+        sent = texts.sparkSession.sparkContext.broadcast(terms[at : at + BROADCAST_TERMS])
+
+        def work(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t in sent.value:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for batch in batches:
+                held = [sorted({t for _, t in automaton.iter(v)}) if sent.value and v else [] for v in batch[text]]
+                yield batch.assign(term=held).explode("term").dropna(subset=["term"])
+
+        part = texts.mapInPandas(work, f"{fields}, term string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue: str, text: str) -> DataFrame:
     """(cue, key, score, length): each file's best definition name for a cue.
 
@@ -127,7 +222,7 @@ def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue:
     total = pool.agg(F.count(F.lit(1)).alias("population"))
     asked = small(asked)
     words = small(asked.select("term").distinct())
-    inside = names.join(words, F.col("low").contains(F.col("term")))  # a stated set of terms against distinct names
+    inside = _holding(names, "low", words)
     idf = inside.groupBy("term").agg(F.sum("files").alias("df"))
     rarity = words.join(idf, "term", "left").crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("population") / (1 + F.coalesce("df", F.lit(0)))).alias("w"))
     tier = F.when(F.col("low") == F.col("term"), 1000.0).when(F.col("low").startswith(F.col("term")), 100.0).otherwise(0.0)
@@ -135,7 +230,7 @@ def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue:
         F.sum(tier * F.col("w")).alias("tiered"), F.sum(F.when(tier == 0, F.col("w")).otherwise(0.0)).alias("plain"), F.count(F.lit(1)).alias("matched"), F.max("n").alias("n")
     )
     files = pool.select(key).distinct()
-    by_path = files.join(asked, F.lower(key).contains(F.col("term"))).join(rarity, "term").groupBy(cue, key).agg(F.sum(0.5 * F.col("w")).alias("place"))
+    by_path = _holding(files.withColumn("_low", F.lower(key)), "_low", words).drop("_low").join(asked, "term").join(rarity, "term").groupBy(cue, key).agg(F.sum(0.5 * F.col("w")).alias("place"))
     share = F.pow(F.col("matched") / F.col("n"), F.lit(2.0))
     named = by_name.join(pool, "low").select(cue, key, "name", (F.col("plain") + F.when(F.col("tiered") > 0, F.col("tiered") * share).otherwise(0.0)).alias("s"))
     # A file that only its path speaks for has every name at that score; the shortest counts.

@@ -153,7 +153,7 @@ def arm_fusion(spark, sf_dir):
     """Excerpts fused over the arms that found them, per repository."""
     x = table(spark, sf_dir, "code_excerpts").select("repository", "excerpt_id", F.explode("arms").alias("a")).select("repository", "excerpt_id", F.col("a.arm").alias("ranking"), F.col("a.rank").cast("long").alias("rank"))
     weights = {"dependency": 0.5, "exact": 1.0, "bm25f": 1.0}
-    return fusion.fused(x, "repository", "excerpt_id", weights, limit=20).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.fused(x, "repository", "excerpt_id", weights, limit=20, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def ledger_union(spark, sf_dir):

@@ -40,21 +40,27 @@ def field_stats(spark, sf_dir):
 
 def overlap_rank(spark, sf_dir):
     """Every note that a cue overlaps, by weighted fields."""
-    return lexical.overlap(_posts(spark, sf_dir), "path", _cues(spark, sf_dir), "cue_id", lexical.OVERLAP_WEIGHTS)
+    cues = cut(_cues(spark, sf_dir))
+    return lexical.overlap_hits(_note_hits(spark, sf_dir, cues), "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS)
+
+
+def _note_hits(spark: SparkSession, sf_dir: str, cues: DataFrame) -> DataFrame:
+    """Where the notes hold the cues' terms, in one pass over the notes."""
+    return cut(lexical.lookup(tables.notes(spark, sf_dir), "path", tables.note_fields(), cues))
 
 
 def bm25f(spark, sf_dir):
-    notes = tables.notes(spark, sf_dir)
-    scores = lexical.bm25f(_posts(spark, sf_dir), "path", _count(notes), cut(_cues(spark, sf_dir)), "cue_id")
+    notes, cues = tables.notes(spark, sf_dir), cut(_cues(spark, sf_dir))
+    scores = lexical.bm25f(_note_hits(spark, sf_dir, cues), "path", _count(notes), cues, "cue_id")
     return lexical.ranked(scores, "cue_id", "path", TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
 def document_search(spark, sf_dir):
     """The flagship: the ten best documents for every held-out question, by BM25F over titles and texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "title", F.col("text").alias("body"))
-    posts = cut(lexical.postings(docs, "doc_id", {"title": F.col("title"), "body": F.col("body")}))
     cues = cut(lexical.cue_terms(table(spark, sf_dir, "eval_items"), "item_id", "text"))
-    scores = lexical.bm25f(posts, "doc_id", _count(docs), cues, "item_id")
+    hits = cut(lexical.lookup(docs, "doc_id", {"title": F.col("title"), "body": F.col("body")}, cues))
+    scores = lexical.bm25f(hits, "doc_id", _count(docs), cues, "item_id")
     return lexical.ranked(scores, "item_id", "doc_id", TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -66,16 +72,17 @@ _NOTE_OVERLAP = f"SELECT cue_id, path, round(sum({S.weight(lexical.OVERLAP_WEIGH
 
 
 def _note_arms(spark, sf_dir) -> DataFrame:
-    notes, posts, cues = tables.notes(spark, sf_dir), _posts(spark, sf_dir), cut(_cues(spark, sf_dir))
-    bm = lexical.ranked(lexical.bm25f(posts, "path", _count(notes), cues, "cue_id"), "cue_id", "path")
-    ov = lexical.ranked(lexical.overlap(posts, "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS), "cue_id", "path")
+    notes, cues = tables.notes(spark, sf_dir), cut(_cues(spark, sf_dir))
+    hits = _note_hits(spark, sf_dir, cues)
+    bm = lexical.ranked(lexical.bm25f(hits, "path", _count(notes), cues, "cue_id"), "cue_id", "path")
+    ov = lexical.ranked(lexical.overlap_hits(hits, "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS), "cue_id", "path")
     both = bm.select("cue_id", F.lit("bm25f").alias("ranking"), "path", "rank").unionByName(ov.select("cue_id", F.lit("overlap").alias("ranking"), "path", "rank"))
     return cut(both)  # every fusion reads the arms several times
 
 
 def rrf(spark, sf_dir):
     """BM25F and overlap, fused."""
-    return fusion.fused(_note_arms(spark, sf_dir), "cue_id", "path", limit=TOP).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.fused(_note_arms(spark, sf_dir), "cue_id", "path", limit=TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def protected_fusion(spark, sf_dir):
@@ -103,10 +110,6 @@ UNION ALL SELECT cue_id, 'overlap', path, row_number() OVER (PARTITION BY cue_id
 fus AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, path) AS rank FROM (SELECT cue_id, path, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM arms GROUP BY ALL))"""
 
 
-def _code_posts(spark, sf_dir):
-    return lexical.postings(tables.sources(spark, sf_dir), "file", tables.source_fields())
-
-
 def _code_cues(spark, sf_dir):
     return lexical.cue_terms(tables.code_cues(spark, sf_dir), "cue_id", "text")
 
@@ -118,41 +121,43 @@ def _halve_tests(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.when(T.is_test_source(path), F.col("score") * 0.5).otherwise(F.col("score")))
 
 
-def code_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cue_id, ranking, file, rank): BM25F, exact, overlap and symbol rankings of source files."""
-    files, posts, cues = tables.sources(spark, sf_dir), cut(_code_posts(spark, sf_dir)), cut(_code_cues(spark, sf_dir))
+def code_arms(spark: SparkSession, sf_dir: str, arms: tuple[str, ...] = ("bm25f", "exact"), top: int | None = None) -> DataFrame:
+    """(cue_id, ranking, file, score, rank) of the arms asked for, whole or the ``top`` of each cue, from one pass over the
+    source files."""
+    files, cues = tables.sources(spark, sf_dir), cut(_code_cues(spark, sf_dir))
+    hits = cut(lexical.lookup(files, "file", tables.source_fields(), cues))
     scored = {
-        "bm25f": lexical.bm25f(posts, "file", _count(files), cues, "cue_id"),
-        "exact": lexical.overlap(posts, "file", cues, "cue_id", lexical.EXACT_WEIGHTS, mean=False),
-        "overlap": lexical.overlap(posts, "file", cues, "cue_id", lexical.CODE_WEIGHTS),
+        "bm25f": lambda: lexical.bm25f(hits, "file", _count(files), cues, "cue_id"),
+        "exact": lambda: lexical.overlap_hits(hits, "file", cues, "cue_id", lexical.EXACT_WEIGHTS, mean=False),
+        "overlap": lambda: lexical.overlap_hits(hits, "file", cues, "cue_id", lexical.CODE_WEIGHTS),
     }
     out = None
-    for name, scores in scored.items():
-        arm = lexical.ranked(_halve_tests(scores), "cue_id", "file").select("cue_id", F.lit(name).alias("ranking"), "file", "score", "rank")
+    for name in arms:
+        arm = lexical.ranked(_halve_tests(scored[name]()), "cue_id", "file", top).select("cue_id", F.lit(name).alias("ranking"), "file", "score", "rank")
         out = arm if out is None else out.unionByName(arm)
     return cut(out)
 
 
 def code_overlap_rank(spark, sf_dir):
-    return code_arms(spark, sf_dir).where(f"ranking = 'overlap' AND rank <= {TOP}").select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
+    return code_arms(spark, sf_dir, ("overlap",), TOP).select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def exact_rank(spark, sf_dir):
-    return code_arms(spark, sf_dir).where(f"ranking = 'exact' AND rank <= {TOP}").select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
+    return code_arms(spark, sf_dir, ("exact",), TOP).select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def code_bm25f(spark, sf_dir):
-    return code_arms(spark, sf_dir).where(f"ranking = 'bm25f' AND rank <= {TOP}").select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
+    return code_arms(spark, sf_dir, ("bm25f",), TOP).select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def lexical_hybrid(spark, sf_dir):
-    arms = code_arms(spark, sf_dir).where("ranking <> 'overlap'").drop("score")
-    return fusion.fused(arms, "cue_id", "file", limit=TOP).withColumn("rank", F.col("rank").cast("long"))
+    arms = code_arms(spark, sf_dir).drop("score")
+    return fusion.fused(arms, "cue_id", "file", limit=TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def hybrid(spark, sf_dir):
     """The default code search: the best BM25F file stays in front, the rest is fused with the exact ranking."""
-    arms = code_arms(spark, sf_dir).where("ranking <> 'overlap'").drop("score")
+    arms = code_arms(spark, sf_dir).drop("score")
     out = fusion.protected(arms.where("ranking = 'bm25f'"), arms, "cue_id", "file", keep=1)
     return out.where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
 

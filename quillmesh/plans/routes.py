@@ -19,7 +19,7 @@ TOP = 10
 def _graph_arm(spark, sf_dir, arms):
     e = graph.unique_owner_edges(*_references(spark, sf_dir)).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    top = arms.where("ranking IN ('bm25f', 'exact') AND rank <= 10").select("cue_id", "ranking", "file", "rank")
+    top = arms.where("rank <= 10").select("cue_id", "ranking", "file", "rank")
     seeds = fusion.fused(top, "cue_id", "file", limit=15).select("cue_id", F.col("file").alias("node"), F.col("score").alias("amount"))
     reached = graph.walk(seeds, graph.shares(both), factors=[0.6, 0.36], query="cue_id").withColumn("walk", F.round("walk", 12))
     return reached.select("cue_id", F.lit("graph").alias("ranking"), F.col("node").alias("file"), F.row_number().over(Window.partitionBy("cue_id").orderBy(F.col("walk").desc(), "node")).alias("rank"))
@@ -33,21 +33,21 @@ def _symbol_arm(spark, sf_dir):
 def graph_fusion(spark, sf_dir):
     """BM25F and exact rankings fused with two steps over the dependencies, at half weight."""
     arms = code_arms(spark, sf_dir)
-    all_arms = arms.where("ranking <> 'overlap'").select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms))
+    all_arms = arms.select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms))
     return fusion.fused(all_arms, "cue_id", "file", {"graph": 0.5}, TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
 def structural_fusion(spark, sf_dir):
     """The same with the symbol ranking at full weight."""
     arms = code_arms(spark, sf_dir)
-    all_arms = arms.where("ranking <> 'overlap'").select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms)).unionByName(_symbol_arm(spark, sf_dir))
+    all_arms = arms.select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms)).unionByName(_symbol_arm(spark, sf_dir))
     return fusion.fused(all_arms, "cue_id", "file", {"graph": 0.5}, TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
 def routed_comment(spark, sf_dir):
     """The comment route over our rankings: overlap stands for the current one, BM25F for the semantic, exact for the map."""
     name = F.when(F.col("ranking") == "overlap", "current").when(F.col("ranking") == "bm25f", "semantic").otherwise("repo_map")
-    arms = code_arms(spark, sf_dir).select("cue_id", name.alias("ranking"), "file", "rank")
+    arms = code_arms(spark, sf_dir, ("bm25f", "exact", "overlap")).select("cue_id", name.alias("ranking"), "file", "rank")
     return routing.routed(cut(arms), "cue_id", "file", "comment").where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -10,13 +10,20 @@ from quillmesh.functions import text as T
 from quillmesh.operators import extract, fusion, graph, learning, ledger, lexical, merging, positions, recall, relations
 
 
-def test_bm25f_against_a_model(spark):
+def test_bm25f_against_a_model(spark, monkeypatch):
     docs = {"a": ("ledger replay", "ledger ledger note"), "b": ("session", "note " * 50), "c": ("", None)}
     df = spark.createDataFrame([(k, t, b) for k, (t, b) in docs.items()], "key string, title string, body string")
-    posts = lexical.postings(df, "key", {"title": F.col("title"), "body": F.col("body")})
     cues = lexical.cue_terms(spark.createDataFrame([(1, "ledger notes"), (2, "")], "q long, text string"), "q", "text")
     n = df.agg(F.count(F.lit(1)).alias("n"))
-    got = {(r["q"], r["key"]): r["score"] for r in lexical.bm25f(posts, "key", n, cues, "q").collect()}
+    hits = lexical.lookup(df, "key", {"title": F.col("title"), "body": F.col("body")}, cues)
+    got = {(r["q"], r["key"]): r["score"] for r in lexical.bm25f(hits, "key", n, cues, "q").collect()}
+    # The same from a written index, by literal terms and by a join, and past the size of a broadcast.
+    lexical.write_index(df, "key", {"title": F.col("title"), "body": F.col("body")}, "hits_of_docs", 4)
+    for literal in (400, 0):
+        again = lexical.bm25f(lexical.read_index(spark, "hits_of_docs", cues, literal), "key", n, cues, "q").collect()
+        assert {(r["q"], r["key"]): r["score"] for r in again} == got
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert {(r["q"], r["key"]): r["score"] for r in lexical.bm25f(lexical.lookup(df, "key", {"title": F.col("title"), "body": F.col("body")}, cues), "key", n, cues, "q").collect()} == got
     fields = {k: {"title": T.term_list(t), "body": T.term_list(b)} for k, (t, b) in docs.items()}
     avg = {f: sum(len(d[f]) for d in fields.values()) / 3 for f in ("title", "body")}
     for k, d in fields.items():
