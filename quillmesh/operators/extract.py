@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.session import spread
+
 #: (label, kind, line, body, parent label or "")
 Node = tuple[str, str, int, str, str]
 #: (source label or "", target label, relation)
@@ -223,7 +225,7 @@ def facts(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
                 out += [(k, "link", i, source, relation, 0, "", target) for i, (source, target, relation) in enumerate(links) if source in labels]
             yield pd.DataFrame(out, columns=[key, "part", "n", "label", "kind", "line", "body", "other"])
 
-    return rows.mapInPandas(work, f"{key} {kind}, part string, n int, label string, kind string, line int, body string, other string")
+    return spread(rows).mapInPandas(work, f"{key} {kind}, part string, n int, label string, kind string, line int, body string, other string")
 
 
 def symbols(nodes: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.session import cut, small
+from quillmesh.session import cut, small, spread
 
 # What a match in each field is worth.
 OVERLAP_WEIGHTS = {"title": 3.0, "tags": 3.0, "description": 2.0, "headings": 2.0, "body": 1.0}
@@ -40,7 +40,7 @@ def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "field", "term", "tf"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_k"), *(c.alias(name) for name, c in fields.items())).mapInPandas(count, f"{key} {kind}, field string, term string, tf long")
+    return spread(docs.select(F.col(key).alias("_k"), *(c.alias(name) for name, c in fields.items()))).mapInPandas(count, f"{key} {kind}, field string, term string, tf long")
 
 
 def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,8 +57,15 @@ def profile(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def cue_terms(cues: DataFrame, cue: str, text: str) -> DataFrame:
-    """(cue, term, n_terms): the distinct terms of each cue and how many there are."""
-    return cues.select(cue, T.tokens(F.col(text), compose=True).alias("_t")).select(cue, F.explode("_t").alias("term"), F.size("_t").cast("long").alias("n_terms"))
+    """(cue, term, n_terms): the distinct terms of each cue and how many there are, found as the documents' terms are."""
+    kind = cues.schema[cue].dataType.simpleString()
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, term, len(terms)) for k, t in zip(batch["_k"], batch["_t"]) for terms in [dict.fromkeys(T.term_list(t))] for term in terms]
+            yield pd.DataFrame(rows, columns=[cue, "term", "n_terms"])
+
+    return cues.select(F.col(cue).alias("_k"), F.col(text).alias("_t")).mapInPandas(work, f"{cue} {kind}, term string, n_terms long")
 
 
 def _weight(field: Column, weights: dict[str, float], other: float = 0.0) -> Column:
@@ -126,7 +133,7 @@ def lookup(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFram
             rows.append((None, None, [{"field": n, "tf": d, "len": size} for n, (d, size) in totals.items()]))
             yield pd.DataFrame(rows, columns=[key, "term", "fields"])
 
-    out = docs.select(F.col(key).alias("_k"), *(c.alias(name) for name, c in fields.items())).mapInPandas(work, f"{key} {kind}, {_HITS}")
+    out = spread(docs.select(F.col(key).alias("_k"), *(c.alias(name) for name, c in fields.items()))).mapInPandas(work, f"{key} {kind}, {_HITS}")
     if terms is not None and known is None:
         out = out.where("term IS NULL").unionByName(out.join(terms.select("term").distinct(), "term").select(*out.columns))
     return out

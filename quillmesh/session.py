@@ -83,6 +83,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a partition from which a pass in Python is worth a task of its own.
+TASK_BYTES = 64 * 2**20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is estimated to be too small to have them by its size: a
+    pass in Python over a small table would else run in one task. A large table stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * TASK_BYTES else df
+
+
 #: Rows up to which a side of a join is sent to every task.
 SMALL_ROWS = 100_000
 
