@@ -112,13 +112,3 @@ def co_use(touches: DataFrame, session: str, note: str, order: str) -> DataFrame
     seen = firsts.select(session, F.col(note).alias("_other"), "_first")
     pairs = touches.select(session, note, order).join(seen, session).where((F.col("_first") < F.col(order)) & (F.col("_other") != F.col(note)))
     return pairs.groupBy(F.least(note, "_other").alias("a"), F.greatest(note, "_other").alias("b")).agg(F.count(F.lit(1)).alias("w"))
-
-
-def unique_owner_edges(references: DataFrame, definitions: DataFrame, limit: int = 1, per_file: int = 100) -> DataFrame:
-    """(src, dst, symbol): a reference (scope, src, symbol) leads to the files that define its symbol (scope, file,
-    symbol), if at most ``limit`` do; a file keeps its first ``per_file`` by target and symbol."""
-    owners = definitions.select("scope", "symbol", "file").distinct()
-    counted = owners.groupBy("scope", "symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= limit)
-    edges = references.select("scope", "src", "symbol").distinct().join(owners.join(counted, ["scope", "symbol"], "left_semi"), ["scope", "symbol"]).where("src <> file")
-    order = Window.partitionBy("src").orderBy("dst", "symbol")
-    return edges.select("src", F.col("file").alias("dst"), "symbol").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_file).drop("_r")

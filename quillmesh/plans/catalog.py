@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("lexical", "scalars", "graphs", "ledgers", "packs", "routes")
+AREAS = ("lexical", "scalars", "graphs", "dependencies", "ledgers", "packs", "routes")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _area in AREAS:

@@ -9,7 +9,7 @@ from quillmesh.functions import text as T
 from quillmesh.operators import graph, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_OVERLAP, _NOTE_PRELUDE, _SOURCES, _cues, _posts
+from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_OVERLAP, _NOTE_PRELUDE, _cues, _note_hits
 from quillmesh.session import cut, table
 
 
@@ -59,7 +59,8 @@ def graph_degrees(spark, sf_dir):
 
 def activate(spark, sf_dir):
     """The complete scorer: lexical seeds of each cue, three damped steps over the merged graph, bounded blend."""
-    lex = cut(lexical.overlap(_posts(spark, sf_dir), "path", _cues(spark, sf_dir), "cue_id", lexical.OVERLAP_WEIGHTS)).select(F.col("cue_id").alias("query_id"), F.col("path").alias("node"), F.col("score").alias("amount"))
+    cues = cut(_cues(spark, sf_dir))
+    lex = cut(lexical.overlap_hits(_note_hits(spark, sf_dir, cues), "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS)).select(F.col("cue_id").alias("query_id"), F.col("path").alias("node"), F.col("score").alias("amount"))
     flow = graph.shares(graph.adjacency(graph.merged(note_edges(spark, sf_dir))))
     return graph.blend(lex, graph.walk(lex, flow))
 
@@ -78,54 +79,7 @@ def co_use(spark, sf_dir):
     return graph.co_use(touches, "l_orderkey", "l_partkey", "pos")
 
 
-def _references(spark, sf_dir):
-    base = lambda c: F.regexp_replace(c, "_[a-z]{4}$", "")
-    files = tables.sources(spark, sf_dir)
-    defined = files.select(F.col("repository").alias("scope"), "file", F.explode("symbols").alias("symbol")).withColumn("symbol", base("symbol"))
-    said = table(spark, sf_dir, "code_excerpts").select(F.col("repository").alias("scope"), F.concat("repository", F.lit(":"), T.clean_path(F.col("path"))).alias("src"), F.explode("relations").alias("r"))
-    return said.select("scope", "src", F.col("r.symbol").alias("symbol")), defined.select("scope", "symbol", "file")
-
-
-def dependencies(spark, sf_dir):
-    """Files that use a symbol which one file of their repository alone defines."""
-    return graph.unique_owner_edges(*_references(spark, sf_dir))
-
-
-def imports_resolve(spark, sf_dir):
-    """How many files import each module, and from how many repositories."""
-    files = tables.sources(spark, sf_dir)
-    return files.select("file", "repository", F.explode("imports").alias("module")).groupBy("module").agg(F.countDistinct("file").alias("files"), F.countDistinct("repository").alias("repositories"))
-
-
-def dependency_walk(spark, sf_dir):
-    """Two steps over the dependencies from the files of the records whose id is divisible by 100."""
-    e = graph.unique_owner_edges(*_references(spark, sf_dir)).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    seeds = tables.sources(spark, sf_dir).where("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), F.col("file").alias("node"), F.lit(1.0).alias("amount"))
-    reached = graph.walk(seeds, graph.shares(both), factors=[0.6, 0.36]).join(seeds.select("query_id", "node"), ["query_id", "node"], "left_anti")
-    return reached.select("query_id", "node", F.round("walk", 9).alias("score"))
-
-
-def directory_neighborhood(spark, sf_dir):
-    """The neighbourhood of anchors (record ids divisible by 100): the file itself 100, files of its stem 50, files of
-    its folder 1; the best counts."""
-    f = tables.sources(spark, sf_dir).select("repository", "file", T.directory(F.col("path")).alias("folder"), T.stem_name(F.col("path")).alias("stem"), "record_id")
-    a = f.where("record_id % 100 = 0").select("repository", F.col("record_id").alias("anchor"), F.col("file").alias("own"), F.col("folder").alias("af"), F.col("stem").alias("ast"))
-    near = f.join(a, "repository").where((F.col("folder") == F.col("af")) | (F.col("stem") == F.col("ast")))
-    score = F.when(F.col("file") == F.col("own"), 100.0).when(F.col("stem") == F.col("ast"), 50.0).otherwise(1.0)
-    return near.groupBy("anchor", "file").agg(F.max(score).alias("score"))
-
-
-def symbol_walk(spark, sf_dir):
-    """One hop from anchors over symbols: files that define what the anchor's excerpts mention, first found first."""
-    refs, defs = _references(spark, sf_dir)
-    owners = defs.distinct()
-    hop = refs.distinct().join(owners, ["scope", "symbol"]).where("src <> file")
-    order = Window.partitionBy("src", "symbol").orderBy("file")
-    return hop.withColumn("r", F.row_number().over(order)).where("r <= 50").groupBy("src", "file").agg(F.count(F.lit(1)).alias("symbols"), F.min("symbol").alias("first"))
-
-
-QUERIES = {f.__name__: f for f in (wiki_links, typed_links, links_resolve, backlinks, merged_graph, graph_summary, graph_degrees, activate, recall_topk, co_use, dependencies, imports_resolve, dependency_walk, directory_neighborhood, symbol_walk)}
+QUERIES = {f.__name__: f for f in (wiki_links, typed_links, links_resolve, backlinks, merged_graph, graph_summary, graph_degrees, activate, recall_topk, co_use)}
 
 _MASK = r"regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '(?ms)^(?:```|~~~)[^\n]*\n.*?^(?:```|~~~)[ \t]*$', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
 _NN = r"lower(regexp_replace(trim({}), '\s+', ' ', 'g'))"
@@ -154,12 +108,6 @@ sd AS (SELECT cue_id AS query_id, path AS node, score AS amount FROM ov), {_walk
 tp AS (SELECT query_id, max(amount) AS top FROM sd GROUP BY ALL),
 bl AS (SELECT query_id, node, round(CASE WHEN d > 0 AND w > 0 THEN d * (1 + 0.5 * w / (w + d)) WHEN d > 0 THEN d WHEN t > 0 THEN least(w, t * 0.4) ELSE w END, 6) AS score
 FROM (SELECT query_id, node, coalesce(amount, 0) AS d, coalesce(walk, 0) AS w, coalesce(top, 0) AS t FROM sd FULL JOIN wk USING (query_id, node) LEFT JOIN tp USING (query_id)))"""
-_REFS = r"""df AS (SELECT DISTINCT repository AS scope, regexp_replace(s, '_[a-z]{4}$', '') AS symbol, file FROM (SELECT repository, file, unnest(symbols) AS s FROM src)),
-rf AS (SELECT DISTINCT repository AS scope, repository || ':' || regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS src, r.symbol AS symbol FROM (SELECT repository, path, unnest(relations) AS r FROM code_excerpts)),
-dp AS (SELECT src, file AS dst, symbol FROM rf JOIN df USING (scope, symbol) JOIN (SELECT scope, symbol FROM df GROUP BY ALL HAVING count(*) <= 1) USING (scope, symbol) WHERE src <> file QUALIFY row_number() OVER (PARTITION BY src ORDER BY file, symbol) <= 100)"""
-_FOLDER = r"regexp_extract(p, '^(.*)/[^/]*$', 1)"
-_STEM = r"regexp_replace(regexp_replace(lower(CASE WHEN regexp_matches(split_part(p, '/', -1), '.\.[^.]*$') THEN regexp_extract(split_part(p, '/', -1), '^(.+)\.[^.]*$', 1) ELSE split_part(p, '/', -1) END), '^(test|tests)[_.-]+', ''), '[_.-]+(test|tests|spec)$', '')"
-
 ORACLE = {
     "wiki_links": f"WITH {S.NOTES}, {_LINKS} SELECT * FROM wl",
     "typed_links": f"WITH {S.NOTES}, {_TYPED} SELECT * FROM tl",
@@ -176,12 +124,4 @@ SELECT DISTINCT path, target FROM al JOIN un USING (name) WHERE path <> target""
 SELECT * FROM (SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM bl WHERE score > 0 AND NOT starts_with(node, '#') AND node NOT IN (SELECT path FROM sup)) WHERE rank <= 10""",
     "co_use": """WITH t AS (SELECT l_orderkey AS s, l_partkey AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS pos FROM lineitem), f AS (SELECT s, n AS o, min(pos) AS first FROM t GROUP BY ALL)
 SELECT least(n, o) AS a, greatest(n, o) AS b, count(*) AS w FROM t JOIN f USING (s) WHERE first < pos AND n <> o GROUP BY 1, 2""",
-    "dependencies": f"WITH {_SOURCES}, {_REFS} SELECT * FROM dp",
-    "imports_resolve": f"WITH {_SOURCES} SELECT module, count(DISTINCT file) AS files, count(DISTINCT repository) AS repositories FROM (SELECT file, repository, unnest(imports) AS module FROM src) GROUP BY module",
-    "dependency_walk": f"""WITH {_SOURCES}, {_REFS}, e AS (SELECT src, dst, count(*) AS w FROM dp GROUP BY ALL), bo AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY ALL),
-fl AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM bo), sd AS (SELECT record_id AS query_id, file AS node, 1.0::DOUBLE AS amount FROM src WHERE record_id % 100 = 0), {_walk_sql('sd', 'fl', [0.6, 0.36])}
-SELECT query_id, node, round(walk, 9) AS score FROM wk WHERE (query_id, node) NOT IN (SELECT (query_id, node) FROM sd)""",
-    "directory_neighborhood": f"""WITH {_SOURCES}, f AS (SELECT repository, file, {_FOLDER} AS folder, {_STEM} AS stem, record_id FROM src)
-SELECT a.record_id AS anchor, f.file, max(CASE WHEN f.file = a.file THEN 100.0 WHEN f.stem = a.stem THEN 50.0 ELSE 1.0 END)::DOUBLE AS score FROM f JOIN f a ON f.repository = a.repository AND a.record_id % 100 = 0 AND (f.folder = a.folder OR f.stem = a.stem) GROUP BY ALL""",
-    "symbol_walk": f"""WITH {_SOURCES}, {_REFS} SELECT src, file, count(*) AS symbols, min(symbol) AS first FROM (SELECT src, file, symbol FROM rf JOIN df USING (scope, symbol) WHERE src <> file QUALIFY row_number() OVER (PARTITION BY src, symbol ORDER BY file) <= 50) GROUP BY ALL""",
 }

@@ -46,8 +46,7 @@ def dormant(spark, sf_dir):
 
 def last_touched_12(spark, sf_dir):
     """For every strong outcome of a user, the user's last twelve notes before it."""
-    e = events(spark, sf_dir).withColumn("valence", F.when(F.col("kind") == "outcome", F.col("valence") * 100).otherwise(F.col("valence")))
-    return ledger.captures(e, "user_id")
+    return ledger.captures(events(spark, sf_dir), "user_id")
 
 
 def sessions_30m(spark, sf_dir):
@@ -201,7 +200,7 @@ ORACLE = {
     "strongest": f"{_PRI} SELECT * FROM (SELECT *, row_number() OVER (ORDER BY priority DESC, note) AS rank FROM pr) WHERE rank <= 10",
     "recent": f"{_USE} SELECT note, last FROM us ORDER BY last DESC LIMIT 10",
     "dormant": f"{_PRI} SELECT count_if(priority < 0.15)::BIGINT AS dormant, count_if(priority >= 0.15)::BIGINT AS active FROM pr",
-    "last_touched_12": f"""WITH {_EV}, t AS (SELECT user_id, note, ordinal FROM ev WHERE kind IN ('touch', 'encode')), o AS (SELECT user_id, ordinal AS outcome FROM ev WHERE kind = 'outcome' AND abs(valence) * 100 >= 0.5),
+    "last_touched_12": f"""WITH {_EV}, t AS (SELECT user_id, note, ordinal FROM ev WHERE kind IN ('touch', 'encode')), o AS (SELECT user_id, ordinal AS outcome FROM ev WHERE kind = 'outcome' AND abs(valence) >= 0.5),
 l AS (SELECT outcome, note, max(t.ordinal) AS seen FROM o JOIN t ON o.user_id = t.user_id AND t.ordinal < outcome GROUP BY ALL) SELECT * FROM (SELECT outcome, note, row_number() OVER (PARTITION BY outcome ORDER BY seen DESC) AS rank FROM l) WHERE rank <= 12""",
     "sessions_30m": f"""WITH {_EV}, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 1800000000 THEN 1 ELSE 0 END AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, ordinal)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, ordinal)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS events, min(ordinal) AS first, max(ordinal) AS last FROM s GROUP BY ALL""",

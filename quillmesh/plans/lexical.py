@@ -175,7 +175,7 @@ _SOURCES = r"""src AS (SELECT *, repository || ':' || p AS file FROM (SELECT *,
 FROM (SELECT *, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS p FROM source_records WHERE path IS NOT NULL)) WHERE rn = 1)"""
 _SOURCE_FIELDS = {"path": "p", "symbols": "array_to_string(symbols, ' ')", "documentation": "documentation", "body": "text"}
 _CODE_CUE_SOURCE = "(SELECT note_id AS cue_id, title AS text FROM notes WHERE note_id % 100 = 0 AND length(title) > 0)"
-_IS_TEST = r"(regexp_matches(lower(split_part(file, ':', 2)), '(^|/)(test|tests|__tests__|spec|specs|testing|fixtures|testdata)/') OR regexp_matches(lower(split_part(file, ':', 2)), '(^|/)(test_[^/]*|[^/]*_test\.py|conftest\.py)$'))"
+_IS_TEST = r"(regexp_matches(lower(split_part(file, ':', 2)), '(^|/)(test|tests|testing|qa|e2e|scenarios|fixtures)/') OR regexp_matches(lower(split_part(file, ':', 2)), '(^|/)(test_[^/]*|[^/]*_test\.py|conftest\.py)$'))"
 _HALF = f"CASE WHEN {_IS_TEST} THEN 0.5 ELSE 1.0 END"
 _CODE = f"""WITH {_SOURCES}, {S.postings('src', 'file', _SOURCE_FIELDS)}, {S.cue_terms(_CODE_CUE_SOURCE, 'cue_id', 'text')},
 {S.bm25f('posts', 'file', 'SELECT count(*) FROM src', 'cues', 'cue_id', lexical.BM25F_WEIGHTS)},

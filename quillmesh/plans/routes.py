@@ -9,7 +9,8 @@ from quillmesh.functions import text as T
 from quillmesh.operators import fusion, graph, routing
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.plans.graphs import _REFS, _references, _walk_sql
+from quillmesh.plans.dependencies import source_graph
+from quillmesh.plans.graphs import _walk_sql
 from quillmesh.plans.lexical import _CODE, code_arms, symbol_rank
 from quillmesh.session import cut, table
 
@@ -17,8 +18,7 @@ TOP = 10
 
 
 def _graph_arm(spark, sf_dir, arms):
-    e = graph.unique_owner_edges(*_references(spark, sf_dir)).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = graph.adjacency(cut(source_graph(spark, sf_dir)))
     top = arms.where("rank <= 10").select("cue_id", "ranking", "file", "rank")
     seeds = fusion.fused(top, "cue_id", "file", limit=15).select("cue_id", F.col("file").alias("node"), F.col("score").alias("amount"))
     reached = graph.walk(seeds, graph.shares(both), factors=[0.6, 0.36], query="cue_id").withColumn("walk", F.round("walk", 12))
@@ -66,6 +66,10 @@ def overlapping_claims(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (graph_fusion, structural_fusion, routed_comment, eligible_entities, overlapping_claims)}
 
+# The source table's relations name symbols as its files declare them; a symbol of one file alone makes an edge.
+_REFS = r"""df AS (SELECT DISTINCT repository AS scope, s AS symbol, file FROM (SELECT repository, file, unnest(symbols) AS s FROM src)),
+rf AS (SELECT DISTINCT repository AS scope, repository || ':' || regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS src, r.symbol AS symbol FROM (SELECT repository, path, unnest(relations) AS r FROM code_excerpts)),
+dp AS (SELECT src, file AS dst, symbol FROM rf JOIN df USING (scope, symbol) JOIN (SELECT scope, symbol FROM df GROUP BY ALL HAVING count(*) <= 1) USING (scope, symbol) WHERE src <> file)"""
 _GRAPH = f"""{_CODE}, {_REFS}, e AS (SELECT src, dst, count(*) AS w FROM dp GROUP BY ALL), bo AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY ALL),
 fl AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM bo),
 sd AS (SELECT cue_id AS query_id, file AS node, score AS amount FROM (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, file) AS r FROM (SELECT cue_id, file, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM carms WHERE ranking <> 'overlap' AND rank <= 10 GROUP BY ALL)) WHERE r <= 15),

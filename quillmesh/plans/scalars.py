@@ -110,7 +110,8 @@ QUERIES = {f.__name__: f for f in (slugs, scrub, clips, token_estimates, test_pa
 
 _SUPERSEDED = f"WITH {S.NOTES}, sup AS (SELECT DISTINCT path FROM (SELECT unnest(supersedes) AS path FROM notes1 UNION ALL SELECT path FROM notes1 WHERE lower(trim(status)) = 'deprecated') WHERE path IN (SELECT path FROM notes1))"
 _P = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
-_TF = "test|tests|__tests__|spec|specs|testing|fixtures|testdata"
+_TF = "test|tests|testing|qa|e2e|scenarios|fixtures"
+_NTF = "test|tests|spec|specs|testdata|testing|__tests__|test_apps|fixtures|qa|scenarios|e2e"
 _SLUG = "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-')"
 _WHOLE = "concat_ws(' ', title, array_to_string(tags, ' '), description, body)"
 _SAFE = r"trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(title, ''), '[\x00-\x1f\x7f]+', ' ', 'g')), '[\[\]|#()]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -128,7 +129,7 @@ CASE WHEN length(l) <= 60 THEN l ELSE rtrim(left(l, 59)) || '…' END AS line,
 CASE WHEN length(b) <= 120 THEN b ELSE CASE WHEN contains(head, chr(10)) THEN regexp_extract(head, '(?s)^(.*)\n[^\n]*$', 1) ELSE head END || chr(10) || '[... truncated]' END AS lines FROM c""",
     "token_estimates": "SELECT excerpt_id, greatest(1, length(text) // 4)::BIGINT AS prose, ((strlen(text) + 3) // 4)::BIGINT AS code FROM code_excerpts WHERE text IS NOT NULL",
     "test_paths": f"""SELECT record_id, regexp_matches(lower(p), '(^|/)({_TF})/') OR regexp_matches(lower(p), '(^|/)(test_[^/]*|[^/]*_test\\.py|conftest\\.py)$') AS source_rule,
-regexp_matches(lower(p), '(^|/)({_TF})/') OR regexp_matches(st, '(Test|Tests|TestCase|Spec)$') OR regexp_full_match(lower(st), 'test[_-].*|test|.*[_-](test|tests|spec)') OR contains(lower(nm), '.test.') OR contains(lower(nm), '.spec.') AS note_rule
+regexp_matches(lower(p), '(^|/)({_NTF})/') OR regexp_matches(st, '(Test|Tests|TestCase|Spec)$') OR regexp_full_match(lower(st), 'test[_-].*|test|.*[_-](test|tests|spec)') OR contains(lower(nm), '.test.') OR contains(lower(nm), '.spec.') AS note_rule
 FROM (SELECT record_id, p, nm, CASE WHEN regexp_matches(nm, '.\\.[^.]*$') THEN regexp_extract(nm, '^(.+)\\.[^.]*$', 1) ELSE nm END AS st FROM (SELECT record_id, {_P} AS p, split_part({_P}, '/', -1) AS nm FROM source_records))""",
     "name_tokens": rf"""SELECT note_id, lower(regexp_replace(trim(coalesce(title, '')), '\s+', ' ', 'g')) AS name, {_SAFE} AS safe, CASE WHEN r = '' THEN 'relates_to' ELSE r END AS relation FROM (SELECT *, trim(lower(regexp_replace({_SAFE}, '\s+', '_', 'g')), '_') AS r FROM notes)""",
     "code_keys": f"""SELECT DISTINCT repository, path, 'code:' || left(sha256(lower(repository)), 20) || ':' || {_P} AS key, code_key = 'code:' || left(sha256(lower(repository)), 20) || ':' || {_P} AS same, regexp_extract({_P}, '^(.*)/[^/]*$', 1) AS folder,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,41 @@ def source_fields() -> dict:
     return {"path": F.col("path"), "symbols": F.array_join("symbols", " "), "documentation": F.col("documentation"), "body": F.col("text")}
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, file, path, symbols, imports): the order tables as a source tree, since the source table has no file that
+    uses another: a table's rows are files that import the rows they point to, in the manner of one language each.
+    """
+    t = lambda name: table(spark, sf_dir, name)
+
+    def files(df: DataFrame, path: str, symbol: str, imported: str | None) -> DataFrame:
+        imports = F.expr(f"array({imported})") if imported else F.array().cast("array<string>")
+        return df.select(F.lit("shop").alias("scope"), F.expr(path).alias("file"), F.expr(path).alias("path"), F.expr(f"array({symbol})").alias("symbols"), imports.alias("imports"))
+
+    parts = [
+        files(t("region"), "concat('lib/geo/regions/r', r_regionkey, '.py')", "r_name", None),
+        files(t("nation"), "concat('lib/geo/nations/n', n_nationkey, '.py')", "n_name", "concat('..regions.r', n_regionkey)"),
+        files(t("customer"), "concat('crm/customers/c', c_custkey, '.js')", "c_name", "concat('../../lib/geo/nations/n', c_nationkey)"),
+        files(t("supplier"), "concat('erp/suppliers/s', s_suppkey, '.java')", "s_name", "concat('geo.nations.n', s_nationkey), 'java.util.List'"),
+        files(t("part"), "concat('erp/parts/p', p_partkey, '.c')", "p_brand", None),
+        files(t("orders"), "concat('shop/orders/o', o_orderkey, '.py')", "concat('Order#', o_orderkey)", "concat('crm.customers.c', o_custkey), 'os'"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def record_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, file, label, target, at): an order's lines call their supplier and their part's brand by name, a supplier
+    and a customer their nation, a nation its region."""
+    t = lambda name: table(spark, sf_dir, name)
+    n, r, lines = t("nation"), t("region"), t("lineitem")
+    sold = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    order = sold.select(F.expr("concat('shop/orders/o', l_orderkey, '.py')").alias("file"), F.expr("concat('Order#', l_orderkey, '.line', l_linenumber)").alias("label"), F.explode(F.array("s_name", "p_brand")).alias("target"), F.col("l_linenumber").cast("long").alias("at"))
+    one = F.lit(1).cast("long").alias("at")
+    supplier = t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.expr("concat('erp/suppliers/s', s_suppkey, '.java')").alias("file"), F.col("s_name").alias("label"), F.col("n_name").alias("target"), one)
+    customer = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.expr("concat('crm/customers/c', c_custkey, '.js')").alias("file"), F.col("c_name").alias("label"), F.col("n_name").alias("target"), one)
+    nation = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.expr("concat('lib/geo/nations/n', n_nationkey, '.py')").alias("file"), F.col("n_name").alias("label"), F.col("r_name").alias("target"), one)
+    return reduce(DataFrame.unionByName, (order, supplier, customer, nation)).withColumn("scope", F.lit("shop"))
+
+
 def code_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cue_id, text): the stated query set for code, titles of the notes whose id is divisible by 100."""
     return table(spark, sf_dir, "notes").where("note_id % 100 = 0 AND length(title) > 0").select(F.col("note_id").alias("cue_id"), F.col("title").alias("text"))
