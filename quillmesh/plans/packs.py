@@ -9,7 +9,7 @@ from quillmesh.functions import text as T
 from quillmesh.operators import extract, graph, lexical, recall
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.plans.graphs import _EDGES, note_edges, recall_topk
+from quillmesh.plans.graphs import _EDGES, _USED, note_edges, recall_topk, used_with
 from quillmesh.plans.lexical import _SOURCES, hybrid
 from quillmesh.session import cut, small, table
 from quillmesh.sources import bundle, sinks
@@ -81,11 +81,10 @@ def relation_hits(spark, sf_dir):
 
 
 def export_graph(spark, sf_dir):
-    """The fused graph as node-link rows, ends without a note of their own included as names."""
-    e = cut(note_edges(spark, sf_dir))
-    ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
-    links = e.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("kind").alias("relation"))
-    return sinks.node_link(ids, links)
+    """The notes and what joins them, links, supersessions and common use, as node-link rows."""
+    used = used_with(spark, sf_dir).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("used_with").alias("relation"))
+    links = note_edges(spark, sf_dir).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("kind").alias("relation")).unionByName(used)
+    return sinks.node_link(tables.notes(spark, sf_dir).select(F.col("path").alias("id")), cut(links))
 
 
 def note_index(spark, sf_dir):
@@ -137,8 +136,8 @@ ORACLE = {
 SELECT path, i - 1 AS n, length(regexp_extract(hs[i], '^(#+)', 1)) AS level, regexp_replace(regexp_replace(hs[i], '^#+[ \t]+', ''), '[ \t]*$', '') AS heading FROM u""",
     "symbol_table": f"WITH {_SOURCES} SELECT file, s.symbol AS symbol, s.line::BIGINT AS line FROM (SELECT file, unnest(symbol_locations) AS s FROM src)",
     "relation_hits": f"WITH {S.NOTES}, {_TYPED} SELECT path AS seed, relation, 'out' AS direction, name AS answer, weight FROM tl UNION ALL SELECT name, relation, 'in', path, weight FROM tl",
-    "export_graph": f"""WITH {S.NOTES}, {_EDGES}, ids AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed) SELECT 'node' AS part, '{{"id":' || to_json(id) || '}}' AS json FROM ids
-UNION ALL SELECT 'link', '{{"source":' || to_json(src) || ',"target":' || to_json(dst) || ',"relation":"' || kind || '"}}' FROM ed""",
+    "export_graph": f"""WITH {S.NOTES}, {_EDGES}, {_USED} SELECT 'node' AS part, '{{"id":' || to_json(path) || '}}' AS json FROM notes1
+UNION ALL SELECT 'link', '{{"source":' || to_json(src) || ',"target":' || to_json(dst) || ',"relation":"' || kind || '"}}' FROM (SELECT src, dst, kind FROM ed UNION ALL SELECT a, b, 'used_with' FROM uw)""",
     "note_index": f"WITH {S.NOTES} SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS folder, path, '* [' || coalesce(title, '') || '](/' || path || ')' || CASE WHEN length(description) > 0 THEN ' - ' || description ELSE '' END AS line FROM notes1",
     "repository_sizes": f"WITH {_SOURCES} SELECT repository, count(*) AS files, sum(coalesce(length(text), 0))::BIGINT AS chars, sum(len(symbols))::BIGINT AS symbols FROM src GROUP BY repository",
     "semantic_seeds": "SELECT q.vec_id AS query_id, e.vec_id, round(2 * (list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) - 0.3), 6) AS seed FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) > 0.3",
