@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import extract, graph, lexical, recall
+from quillmesh.operators import activation, extract, fusion, graph, lexical, packs, recall
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.plans.graphs import _EDGES, _USED, note_edges, recall_topk, used_with
-from quillmesh.plans.lexical import _SOURCES, hybrid
+from quillmesh.plans.graphs import _ACTIVATE, _EDGES, _STATE, _USED, _activated, note_edges, note_state, used_with
+from quillmesh.plans.lexical import _SOURCES, code_arms, hybrid
+from quillmesh.plans.scalars import superseded
 from quillmesh.session import cut, small, table
 from quillmesh.sources import bundle, sinks
 
@@ -23,25 +24,63 @@ def facet_recall(spark, sf_dir):
     """Notes for each held-out question over all its cues, weighted."""
     c = recall.cues(tables.note_cues(spark, sf_dir), "cue_id", "text")
     facet = c.select(F.concat_ws(":", "cue_id", "n").alias("facet_id"), "cue", "weight", "cue_id")
-    posts = cut(lexical.postings(tables.notes(spark, sf_dir), "path", tables.note_fields()))
-    s = lexical.overlap(posts, "path", lexical.cue_terms(facet, "facet_id", "cue"), "facet_id", lexical.OVERLAP_WEIGHTS).join(facet.drop("cue"), "facet_id")
+    terms = cut(lexical.cue_terms(facet, "facet_id", "cue"))
+    hits = lexical.lookup(tables.notes(spark, sf_dir), "path", tables.note_fields(), terms)
+    s = lexical.overlap_hits(hits, "path", terms, "facet_id", lexical.OVERLAP_WEIGHTS).join(facet.drop("cue"), "facet_id")
     return s.groupBy("cue_id", "path").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"), F.count(F.lit(1)).alias("facets"))
 
 
 def _chosen(spark, sf_dir):
-    top = cut(recall_topk(spark, sf_dir))
+    """The notes that cover most facets among all current notes that a cue reached, with why they were recalled."""
+    scored = cut(_activated(spark, sf_dir, carriers=True))
+    current = scored.where("score > 0").join(superseded(spark, sf_dir).withColumnRenamed("path", "node"), "node", "left_anti")
     n = tables.notes(spark, sf_dir).select(F.col("path").alias("node"), "title", "body", "tags")
-    rows = top.join(n, "node").withColumn("facets", F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.substring_index("node", "/", 1))))
-    picked = recall.cover_select(rows.select("query_id", "node", "score", "title", "facets"), "query_id", "node")
-    return picked.join(rows.select("query_id", "node", "score", "title", "body"), ["query_id", "node"])
+    facets = F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.substring_index("node", "/", 1)))
+    rows = current.join(n.select("node", "title", facets.alias("facets")), "node")
+    picked = cut(recall.cover_select(rows.select("query_id", "node", "score", "title", "facets"), "query_id", "node", pool=None))
+    why = activation.why(scored.join(picked.select("query_id", "node"), ["query_id", "node"], "left_semi"), "query_id")
+    return picked.join(current.select("query_id", "node", "score"), ["query_id", "node"]).join(why, ["query_id", "node"]).join(n.select("node", "title", "body"), "node")
 
 
 def cover_select(spark, sf_dir):
     return _chosen(spark, sf_dir).select("query_id", "node", "position", "score")
 
 
+def _marks(spark, sf_dir, limit=packs.PACK_BUDGET):
+    state = note_state(spark, sf_dir).where("strength > 0").select("node", "strength")
+    return packs.landmarks(tables.notes(spark, sf_dir), state, graph.degrees(note_edges(spark, sf_dir)), superseded(spark, sf_dir), limit)
+
+
+def landmarks(spark, sf_dir):
+    """The forty notes that an index shows first."""
+    return _marks(spark, sf_dir, 40).select(F.col("n").cast("long").alias("n"), "path", "superseded")
+
+
+def _packs(spark, sf_dir, compact=False):
+    n = tables.notes(spark, sf_dir)
+    rows = _chosen(spark, sf_dir).withColumnRenamed("node", "path")
+    cues = tables.note_cues(spark, sf_dir).withColumnRenamed("cue_id", "query_id")
+    return packs.context_packs(cues, rows, "query_id", shown=_marks(spark, sf_dir), notes=n.count(), compact=compact)
+
+
 def context_pack(spark, sf_dir):
-    return recall.context_packs(_chosen(spark, sf_dir), "query_id")
+    return _packs(spark, sf_dir)
+
+
+def compact_pack(spark, sf_dir):
+    """The same without an index, by whole blocks that speak to the cue."""
+    return _packs(spark, sf_dir, compact=True)
+
+
+def code_pack(spark, sf_dir):
+    """The five best files of the hybrid ranking for each question, as one page of excerpts."""
+    arms = code_arms(spark, sf_dir, ("bm25f", "exact"))
+    best = cut(fusion.protected(arms.where("ranking = 'bm25f'").drop("score"), arms.drop("score"), "cue_id", "file", keep=1).where("rank <= 5"))
+    found = arms.join(best.select("cue_id", "file"), ["cue_id", "file"], "left_semi").groupBy("cue_id", "file").agg(F.array_sort(F.collect_list(F.struct(F.col("ranking").alias("arm"), F.col("rank").cast("int").alias("rank")))).alias("arms"))
+    ranked = best.join(found, ["cue_id", "file"]).select("cue_id", F.col("file").alias("path"), "rank", "arms")
+    files = tables.sources(spark, sf_dir).select(F.col("file").alias("path"), "text", F.transform("symbol_locations", lambda s: F.struct(s["symbol"].alias("symbol"), s["line"].alias("line"))).alias("symbols"))
+    out = packs.code_packs(tables.code_cues(spark, sf_dir).select("cue_id", F.col("text").alias("question")), ranked, files, "cue_id", 5)
+    return out.select("cue_id", "context", "tokens", F.array_join("packed", ",").alias("packed"), F.array_join("omitted", ",").alias("omitted"))
 
 
 def code_excerpt(spark, sf_dir):
@@ -124,7 +163,7 @@ def guard_hits(spark, sf_dir):
     return up.join(g, ["repository", "guard"]).groupBy("repository", "guard").agg(F.countDistinct("excerpt_id").alias("excerpts"))
 
 
-QUERIES = {f.__name__: f for f in (query_cues, facet_recall, cover_select, context_pack, code_excerpt, extract_graph, extract_summary, note_headings, symbol_table, relation_hits, export_graph, note_index, source_fingerprint, repository_sizes, semantic_seeds, duplicate_slugs, guard_hits)}
+QUERIES = {f.__name__: f for f in (query_cues, facet_recall, cover_select, landmarks, context_pack, compact_pack, code_pack, code_excerpt, extract_graph, extract_summary, note_headings, symbol_table, relation_hits, export_graph, note_index, source_fingerprint, repository_sizes, semantic_seeds, duplicate_slugs, guard_hits)}
 
 from quillmesh.plans.graphs import _MASK, _TYPED  # noqa: E402
 
@@ -132,6 +171,15 @@ _SLUG = "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-')"
 _CP = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
 
 ORACLE = {
+    "landmarks": f"""WITH {S.NOTES}, {_EDGES}, {_STATE}, dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY node)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY CASE WHEN strength > 0 THEN strength END DESC NULLS LAST, coalesce(list_contains(tags, 'test'), false), coalesce(degree, 0) DESC, path) AS n, path, path IN (SELECT path FROM sup) AS superseded
+FROM notes1 LEFT JOIN ns ON ns.node = path LEFT JOIN dg ON dg.node = path WHERE strength > 0 OR note_type IS DISTINCT FROM 'import') WHERE n <= 40""",
+    # A pick by facets: the first row, rows that bring a facet no earlier row has, then rows of new titles; five in all.
+    "cover_select": f"""{_ACTIVATE}, cu AS (SELECT query_id, node, score, lower(trim(coalesce(title, ''))) AS t, list_distinct(list_append(coalesce(tags, []), split_part(node, '/', 1))) AS f, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS r FROM bl JOIN notes1 ON node = path WHERE score > 0 AND node NOT IN (SELECT path FROM sup)),
+ff AS (SELECT query_id, min(r) AS r FROM (SELECT query_id, r, unnest(f) AS x FROM cu) GROUP BY query_id, x), ld AS (SELECT * FROM (SELECT DISTINCT query_id, r FROM ff) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 5),
+ot AS (SELECT query_id, min(r) AS r FROM cu c WHERE NOT EXISTS (SELECT 1 FROM ld WHERE ld.query_id = c.query_id AND ld.r = c.r) AND NOT EXISTS (SELECT 1 FROM ld JOIN cu d ON d.query_id = ld.query_id AND d.r = ld.r WHERE ld.query_id = c.query_id AND d.t = c.t) GROUP BY query_id, t),
+al AS (SELECT query_id, r, 0 AS g FROM ld UNION ALL SELECT query_id, r, 1 FROM ot), pk AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY g, r) <= 5)
+SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS position FROM pk JOIN cu USING (query_id, r)""",
     "note_headings": rf"""WITH {S.NOTES}, h AS (SELECT path, regexp_extract_all({_MASK}, '(?m)^#{{1,6}}[ \t]+\S[^\n]*$') AS hs FROM notes1), u AS (SELECT path, unnest(range(1, len(hs) + 1)) AS i, hs FROM h)
 SELECT path, i - 1 AS n, length(regexp_extract(hs[i], '^(#+)', 1)) AS level, regexp_replace(regexp_replace(hs[i], '^#+[ \t]+', ''), '[ \t]*$', '') AS heading FROM u""",
     "symbol_table": f"WITH {_SOURCES} SELECT file, s.symbol AS symbol, s.line::BIGINT AS line FROM (SELECT file, unnest(symbol_locations) AS s FROM src)",

@@ -214,13 +214,6 @@ def test_choice_by_coverage(spark):
             assert [r["path"] for r in recall.cover_select(df, "q", "path", k, pool).orderBy("position").collect()] == model(k), (k, pool)
 
 
-def test_packs_stay_within_budget():
-    rows = [(f"T{i}", 1.0 + i, "line\n" * 400) for i in range(5)]
-    for budget in (20, 100, 900):
-        assert len(recall.pack(rows, budget)) <= budget * 4
-    assert recall.pack([], 100) == "## Compact index"
-
-
 def test_excerpt_grows_around_the_definition():
     text = "\n".join(f"x = {i}" for i in range(30)) + "\ndef load_ledger():\n    return 1\n"
     a, b = recall.excerpt(text, set(T.term_list("load ledger")), [("load_ledger", 31)], 40)
