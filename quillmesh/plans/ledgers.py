@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import fusion, learning, ledger, merging
+from quillmesh.operators import fusion, learning, ledger, merging, notebook
 from quillmesh.plans import sqltext as S
 from quillmesh.session import table
 
@@ -103,14 +103,59 @@ def hit_rate(spark, sf_dir):
 
 
 def feedback_clusters(spark, sf_dir):
+    f = table(spark, sf_dir, "feedback_events").groupBy("event_id").agg(*(F.min_by(c, "received_at").alias(c) for c in ("text", "domain", "polarity", "session_id", "ts")))
+    return learning.feedback_clusters(f.withColumnRenamed("session_id", "session")).drop("words")
+
+
+def _clusters(spark, sf_dir):
     f = table(spark, sf_dir, "feedback_events").groupBy("event_id").agg(*(F.min_by(c, "received_at").alias(c) for c in ("text", "domain", "polarity", "session_id", "ts")))
     return learning.feedback_clusters(f.withColumnRenamed("session_id", "session"))
 
 
+def _evolution(spark, sf_dir):
+    registry = spark.createDataFrame([], "domain string, rule_id string, polarity int, text string, words array<string>, status string, ts double")
+    return learning.evolved(_clusters(spark, sf_dir), registry)
+
+
+def rule_evolution(spark, sf_dir):
+    """What all feedback makes of an empty registry of rules."""
+    return _evolution(spark, sf_dir).select("domain", "action", "rule_id", "polarity", "count", "sessions", F.size("words").cast("long").alias("n_words"), F.md5("text").alias("digest"))
+
+
+def rule_pages(spark, sf_dir):
+    """The rules of each domain as a page."""
+    made = _evolution(spark, sf_dir).where("action <> 'candidate'").groupBy("domain", "rule_id").agg(F.max_by(F.struct("text", "count", "sessions", F.when(F.col("action") == "demoted", "superseded").otherwise("active").alias("status"), F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd").alias("since")), F.struct("ts", "action")).alias("r"))
+    return notebook.rule_pages(made.select("domain", "rule_id", "r.*"))
+
+
+def seen_before(spark, sf_dir):
+    """How long ago each user did the same to the same note."""
+    e = ledger.last_seen(events(spark, sf_dir), ["user_id", "kind", "note"], "ts", "ordinal")
+    return e.where("seen IS NOT NULL").select("ordinal", T.age((F.unix_micros("ts") - F.unix_micros("seen")) / 1_000_000).alias("ago"))
+
+
+def session_reviews(spark, sf_dir):
+    """What a user's days teach: the cue of a day is the title of the note that has the user's number."""
+    daily = _daily(spark, sf_dir)
+    titles = table(spark, sf_dir, "notes").select(F.col("note_id").alias("user_id"), F.col("title").alias("text"))
+    cues = daily.select("session", "user_id").distinct().join(titles, "user_id").select("session", "text")
+    none = spark.createDataFrame([], "session string, note string, term string")
+    r = learning.reviews(daily, "session", cues, none, none)
+    return r.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"), F.count("term").alias("terms"))
+
+
 def rule_promotion(spark, sf_dir):
     return learning.promoted_rules(feedback_clusters(spark, sf_dir))
 
 
+def pin_registers(spark, sf_dir):
+    """Pins, supersessions and goals as last writers left them: a note's encodes pin it by their value, its errors replace it."""
+    e = events(spark, sf_dir)
+    kind = F.when(F.col("kind") == "encode", "pin").when(F.col("kind") == "outcome", "supersede").when(F.col("kind") == "recall", "goal")
+    said = e.select("note", kind.alias("kind"), (F.col("valence") - 0.5).alias("valence"), "ordinal").where("kind IS NOT NULL")
+    return ledger.pins(said).join(ledger.goals(said), "note", "left").select("note", "pinned", "superseded", F.round("weight", 6).alias("goal"))
+
+
 def feedback_domains(spark, sf_dir):
     """Feedback by domain in one spelling and polarity, deliveries of one event counted once."""
     f = table(spark, sf_dir, "feedback_events").groupBy("event_id").agg(F.min("domain").alias("domain"), F.min("polarity").alias("polarity"), F.min("session_id").alias("session_id"))
@@ -180,7 +225,7 @@ def transcript_episodes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        usage, priorities, strongest, recent, dormant, last_touched_12, sessions_30m, waste_streak, pin_state, intents_active, decay_ticks, note_strength, debounced_touches, session_metrics, hit_rate,
+        usage, priorities, strongest, recent, dormant, last_touched_12, pin_registers, rule_evolution, rule_pages, seen_before, session_reviews, sessions_30m, waste_streak, pin_state, intents_active, decay_ticks, note_strength, debounced_touches, session_metrics, hit_rate,
         feedback_clusters, rule_promotion, feedback_domains, assoc_learn, personalized_rank, directory_routes, relation_memory, arm_fusion, ledger_union, legacy_union, transcripts, transcript_episodes,
     )
 }
@@ -206,6 +251,13 @@ l AS (SELECT outcome, note, max(t.ordinal) AS seen FROM o JOIN t ON o.user_id =
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, ordinal)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS events, min(ordinal) AS first, max(ordinal) AS last FROM s GROUP BY ALL""",
     "waste_streak": f"WITH {_EV}, l AS (SELECT note, coalesce(max(CASE WHEN kind IN ('touch', 'encode') THEN ordinal END), -1) AS used FROM ev GROUP BY note) SELECT note, count_if(kind = 'recall' AND ordinal > used)::BIGINT AS streak FROM ev JOIN l USING (note) GROUP BY note",
     "pin_state": f"WITH {_EV} SELECT note, arg_max(kind, ordinal) AS kind FROM ev GROUP BY note",
+    "pin_registers": f"""WITH {_EV}, r AS (SELECT note, arg_max(CASE WHEN kind = 'encode' THEN valence - 0.5 END, CASE WHEN kind = 'encode' THEN ordinal END) AS p, count_if(kind = 'outcome') AS s, arg_max(CASE WHEN kind = 'recall' THEN valence - 0.5 END, CASE WHEN kind = 'recall' THEN ordinal END) AS g FROM ev GROUP BY note)
+SELECT note, coalesce(p > 0, false) AS pinned, s > 0 AS superseded, CASE WHEN g > 0 THEN round(least(1.0, g), 6) END AS goal FROM r WHERE p IS NOT NULL OR s > 0""",
+    "seen_before": f"""WITH {_EV}, l AS (SELECT ordinal, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, kind, note ORDER BY ordinal))) // 1000000 AS s FROM ev)
+SELECT ordinal, CASE WHEN s < 3600 THEN greatest(1, s // 60) || 'm' WHEN s < 86400 THEN s // 3600 || 'h' ELSE s // 86400 || 'd' END AS ago FROM l WHERE s IS NOT NULL""",
+    "session_reviews": f"""{_DAY}, k AS (SELECT d.session, len(t) AS n FROM (SELECT DISTINCT session, user_id FROM d) d JOIN (SELECT note_id, list_distinct({S.terms('title')}) AS t FROM notes) ON note_id = user_id WHERE len(t) >= 2),
+o AS (SELECT session, note, CASE WHEN s AND u THEN 'hit' WHEN u THEN 'miss' ELSE 'waste' END AS outcome FROM n WHERE s OR u), m AS (SELECT session, note FROM o WHERE outcome = 'miss' QUALIFY row_number() OVER (PARTITION BY session ORDER BY note) <= 5), w AS (SELECT m.session, least(16, k.n) AS n FROM m JOIN k USING (session))
+SELECT outcome, count(*) + CASE WHEN outcome = 'miss' THEN coalesce((SELECT sum(n) FROM w), 0)::BIGINT ELSE 0 END AS n, count(DISTINCT session) AS sessions, CASE WHEN outcome = 'miss' THEN coalesce((SELECT sum(n) FROM w), 0)::BIGINT ELSE 0 END AS terms FROM o GROUP BY outcome""",
     "intents_active": f"WITH {_EV} SELECT user_id, epoch_us(seen) AS since FROM (SELECT user_id, max(ts) AS seen FROM ev WHERE kind = 'session-begin' GROUP BY user_id) WHERE epoch_us(seen) + 86400000000 > (SELECT epoch_us(max(ts)) FROM ev)",
     "decay_ticks": f"WITH {_EV} SELECT user_id, least(3, d)::BIGINT AS ticks, round(power(0.98, least(3, d)), 6) AS factor FROM (SELECT user_id, (((SELECT epoch_us(max(ts)) FROM ev) - epoch_us(max(ts))) // 86400000000) AS d FROM ev GROUP BY user_id)",
     "session_metrics": f"{_DAY} SELECT * FROM sm",

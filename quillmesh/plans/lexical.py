@@ -171,8 +171,7 @@ def symbol_rank(spark, sf_dir):
     return scores.where("score > 0")
 
 
-_SOURCES = r"""src AS (SELECT *, repository || ':' || p AS file FROM (SELECT *, row_number() OVER (PARTITION BY repository, p ORDER BY indexed_at DESC, record_id DESC) AS rn
-FROM (SELECT *, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS p FROM source_records WHERE path IS NOT NULL)) WHERE rn = 1)"""
+_SOURCES = S.SOURCES
 _SOURCE_FIELDS = {"path": "p", "symbols": "array_to_string(symbols, ' ')", "documentation": "documentation", "body": "text"}
 _CODE_CUE_SOURCE = "(SELECT note_id AS cue_id, title AS text FROM notes WHERE note_id % 100 = 0 AND length(title) > 0)"
 _IS_TEST = r"(regexp_matches(lower(split_part(file, ':', 2)), '(^|/)(test|tests|testing|qa|e2e|scenarios|fixtures)/') OR regexp_matches(lower(split_part(file, ':', 2)), '(^|/)(test_[^/]*|[^/]*_test\.py|conftest\.py)$'))"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.operators import notebook, routing
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.session import small, table
@@ -99,14 +100,39 @@ def cosine_topk(spark, sf_dir):
 
 
 def query_routes(spark, sf_dir):
-    """The route of each code excerpt's query, by which of its parts are present."""
-    d = table(spark, sf_dir, "code_excerpts")
-    arms = F.transform(F.col("arms"), lambda a: a["arm"])
-    route = F.when(F.array_contains(arms, "dependency") & F.array_contains(arms, "exact"), "trace").when(F.array_contains(arms, "dependency"), "ripple").when(F.size("relations") > 0, "code").otherwise("general")
-    return d.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    """The route of each question: its kind tells the parts that a tool would send with it."""
+    parts = {"ops": ["command", "failure_excerpt"], "link": ["anchor_file", "anchor_diff"], "correction": ["review_comment", "path"], "pinned": ["changed_file"]}
+    sent = F.array().cast("array<string>")
+    for kind, names in parts.items():
+        sent = F.when(F.col("kind") == kind, F.array(*map(F.lit, names))).otherwise(sent)
+    return table(spark, sf_dir, "eval_items").groupBy(routing.route_of(sent).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (slugs, scrub, clips, token_estimates, test_paths, name_tokens, code_keys, stale_notes, lifecycle, superseded, current_notes, goal_alignment, cosine_topk, query_routes)}
+def note_types(spark, sf_dir):
+    """Types as notes declare them or their folders tell, and how long each has been stale."""
+    n = tables.notes(spark, sf_dir)
+    late = F.unix_timestamp(F.lit(TODAY), "yyyy-MM-dd") - F.unix_timestamp(F.left("stale_after", F.lit(10)), "yyyy-MM-dd")
+    return n.select("path", T.note_type(F.when(F.col("note_id") % 2 == 0, F.col("note_type")), F.col("path")).alias("type"), F.when(late > 0, T.age(late)).alias("stale_for"), T.ledger_path(F.regexp_replace("path", r"\.md$", "")).alias("key"))
+
+
+def observed_notes(spark, sf_dir):
+    """Which source file each excerpt's path means, seen from another checkout; a file stands for a note of its path."""
+    files = tables.sources(spark, sf_dir).select(F.col("file").alias("path"), F.col("path").alias("resource"))
+    seen = table(spark, sf_dir, "code_excerpts").select("excerpt_id", F.concat(F.lit("/home/x/checkout/"), T.clean_path(F.col("path"))).alias("seen"))
+    return notebook.observed_notes(seen, "excerpt_id", "seen", files)
+
+
+def notes_from_graph(spark, sf_dir):
+    """Source files' symbols as notes with the other symbols of their file as connections."""
+    f = tables.sources(spark, sf_dir).select("record_id", "file", F.posexplode("symbols").alias("i", "label")).withColumn("id", F.concat_ws("#", "file", "label"))
+    nodes = f.groupBy("id").agg(F.min("record_id").alias("ordinal"), F.first("label").alias("label")).withColumn("folder", F.lit("code")).withColumn("body", F.lit(""))
+    other = f.select("file", F.col("id").alias("target"), F.col("i").alias("n"))
+    links = f.where("i = 0").select("file", F.col("id").alias("source")).distinct().join(other, "file").where("source <> target").select("source", "target", F.lit("defined with").alias("relation"), F.lit("extracted").alias("confidence"), "n").distinct()
+    made = notebook.notes_from_graph(nodes, links, tables.notes(spark, sf_dir).select("path", "title", "provenance", "body"))
+    return made.select("id", "path", "state", F.md5("body").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (slugs, scrub, clips, token_estimates, test_paths, name_tokens, code_keys, stale_notes, lifecycle, superseded, current_notes, goal_alignment, cosine_topk, query_routes, note_types, observed_notes, notes_from_graph)}
 
 _SUPERSEDED = f"WITH {S.NOTES}, sup AS (SELECT DISTINCT path FROM (SELECT unnest(supersedes) AS path FROM notes1 UNION ALL SELECT path FROM notes1 WHERE lower(trim(status)) = 'deprecated') WHERE path IN (SELECT path FROM notes1))"
 _P = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
@@ -144,5 +170,15 @@ h AS (SELECT path, unnest(al) AS term, pl FROM d)
 SELECT goal_id, path, count(*) AS matched FROM h JOIN g USING (term) GROUP BY ALL HAVING count(*) >= 2 OR count_if(list_contains(pl, term)) >= 1""",
     "cosine_topk": """SELECT * FROM (SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM
 (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
-    "query_routes": """SELECT CASE WHEN list_contains(a, 'dependency') AND list_contains(a, 'exact') THEN 'trace' WHEN list_contains(a, 'dependency') THEN 'ripple' WHEN len(relations) > 0 THEN 'code' ELSE 'general' END AS route, count(*) AS n FROM (SELECT *, list_transform(arms, lambda x: x.arm) AS a FROM code_excerpts) GROUP BY 1""",
+    "query_routes": "SELECT CASE kind WHEN 'ops' THEN 'trace' WHEN 'link' THEN 'ripple' WHEN 'correction' THEN 'comment' WHEN 'pinned' THEN 'code' ELSE 'general' END AS route, count(*) AS n FROM eval_items GROUP BY 1",
+    "note_types": f"""WITH {S.NOTES} SELECT path, coalesce(nullif(lower(trim(CASE WHEN note_id % 2 = 0 THEN note_type END)), ''), CASE lower(split_part(path, '/', 1)) WHEN 'people' THEN 'person' WHEN 'companies' THEN 'company' WHEN 'funds' THEN 'fund' WHEN 'meetings' THEN 'meeting' ELSE '' END) AS type,
+CASE WHEN left(stale_after, 10) < '{TODAY}' THEN datediff('day', left(stale_after, 10)::DATE, DATE '{TODAY}') || 'd' END AS stale_for, path AS key FROM notes1""",
+    "observed_notes": rf"""WITH {S.SOURCES}, r AS (SELECT p, min(file) AS file FROM src GROUP BY p), x AS (SELECT excerpt_id, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS p FROM code_excerpts)
+SELECT excerpt_id, file AS path FROM x JOIN r ON contains(r.p, '/') AND (x.p = r.p OR ends_with(x.p, '/' || r.p)) QUALIFY row_number() OVER (PARTITION BY excerpt_id ORDER BY length(r.p) DESC, r.p) = 1""",
+    "notes_from_graph": f"""WITH {S.SOURCES}, f AS (SELECT record_id, file, unnest(range(1, len(symbols) + 1)) - 1 AS i, symbols FROM src), g AS (SELECT record_id, file, i, symbols[i + 1] AS label, file || '#' || symbols[i + 1] AS id FROM f),
+nd AS (SELECT id, min(record_id) AS o, any_value(label) AS label FROM g GROUP BY id), sl AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unnamed') AS s FROM nd),
+pa AS (SELECT id, label, 'code/' || s || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS path FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o, id) AS n FROM sl)), am AS (SELECT lower(label) AS k FROM pa GROUP BY 1 HAVING count(*) > 1),
+li AS (SELECT DISTINCT a.id AS source, b.id AS target, b.i AS n FROM g a JOIN g b USING (file) WHERE a.i = 0 AND a.id <> b.id), ln AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY n, target) AS r, '- defined with [[' || CASE WHEN lower(p.label) IN (SELECT k FROM am) THEN p.path || '|' || p.label ELSE p.label END || ']] (extracted)' AS line FROM li JOIN pa p ON target = id),
+bd AS (SELECT source, '## Connections' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY r) AS body FROM ln WHERE r <= 30 GROUP BY source)
+SELECT id, path, 'new' AS state, md5(coalesce(body, label)) AS digest FROM pa LEFT JOIN bd ON source = id""",
 }

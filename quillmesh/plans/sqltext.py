@@ -28,6 +28,9 @@ def terms(expr: str) -> str:
 
 #: One row per note path: the latest version.
 NOTES = "notes1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY generated_at DESC, note_id DESC) AS rn FROM notes) WHERE rn = 1)"
+#: One row per repository and normal path: the latest scan.
+SOURCES = r"""src AS (SELECT *, repository || ':' || p AS file FROM (SELECT *, row_number() OVER (PARTITION BY repository, p ORDER BY indexed_at DESC, record_id DESC) AS rn
+FROM (SELECT *, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS p FROM source_records WHERE path IS NOT NULL)) WHERE rn = 1)"""
 _HEADINGS = r"array_to_string(regexp_extract_all(coalesce(body, ''), '(?m)^#+\s+(.*)$', 1), ' ')"
 NOTE_FIELDS = {"title": "title", "tags": "array_to_string(tags, ' ')", "description": "description", "headings": _HEADINGS, "body": "body"}
 
