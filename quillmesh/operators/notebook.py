@@ -29,7 +29,7 @@ def header_value(value: Column) -> Column:
     """A text as a header line holds it: quoted where it would be read as something else."""
     plain = T.control_free(value)
     quoted = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit("'")), F.lit('"'))
-    special = plain.rlike(r"""^[\s\[\]{}"'#&*!|>%@`,-]|[:#]|\s$|^(?i)(?:true|false|null|[+-]?\d+(?:\.\d*)?)$""") | (plain == "")
+    special = plain.rlike(r"""^[\s\[\]{}"'#&*!|>%@`,-]|[:#,]|\s$|^(?i)(?:true|false|null|[+-]?\d+(?:\.\d*)?)$""") | (plain == "")
     return F.when(special, quoted).otherwise(plain)
 
 
