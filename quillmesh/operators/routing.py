@@ -88,19 +88,33 @@ def provided(internal: DataFrame, external: DataFrame, extensions: list[str], kn
     return ours.withColumn("provider", F.lit("internal")).unionByName(theirs.withColumn("provider", F.lit("external")))
 
 
-def eligible_entities(notes: DataFrame, cues: DataFrame, cue: str, text: str) -> DataFrame:
-    """(cue, path): notes whose whole title, of two words or more, stands in a cue, and whose title no other note has.
+# Words of names that tell no one apart.
+GENERIC = ("capital", "company", "corp", "corporation", "fund", "group", "holdings", "inc", "labs", "limited", "llc", "ltd", "meeting", "partners", "ventures")
 
-    A cue's word runs meet titles by equality, so neither side is scanned for the other.
+
+def eligible_entities(notes: DataFrame, cues: DataFrame, cue: str, text: str, types: tuple[str, ...] = (), component: int = 4) -> DataFrame:
+    """(cue, path): notes that a cue certainly names: their whole title, of two words or more, stands in it and no other
+    note has it; or a word of their title does, of ``component`` letters or more, that only one note's title has, is
+    no generic word, and has no capitalised neighbour in the cue that is not of that title.
+
+    ``types`` restricts the notes by ``note_type``. A cue's word runs meet titles by equality, so neither side is
+    scanned for the other.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    titled = notes.select("path", words(F.coalesce("title", F.lit(""))).alias("w")).where("size(w) >= 2").select("path", F.array_join("w", " ").alias("identity"), F.size("w").alias("n"))
-    owners = titled.groupBy("identity", "n").agg(F.min("path").alias("path"), F.max("path").alias("other")).where("path = other").drop("other")
+    split = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    known = notes.where(F.col("note_type").isin(*types)) if types else notes
+    titled = known.select("path", split(F.lower("title")).alias("w")).where("size(w) >= 1").select("path", "w", F.array_join("w", " ").alias("identity"), F.size("w").alias("n"))
+    owners = titled.where("n >= 2").groupBy("identity", "n").agg(F.min("path").alias("path"), F.max("path").alias("other")).where("path = other").drop("other")
     lengths = owners.agg(F.max("n").alias("most"))
-    spoken = cues.select(cue, words(F.col(text)).alias("w")).crossJoin(F.broadcast(lengths))
-    starts = spoken.select(cue, "w", "most", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("i"))
+    spoken = cues.select(cue, split(F.col(text)).alias("o")).withColumn("w", F.transform("o", F.lower))
+    starts = spoken.crossJoin(F.broadcast(lengths)).select(cue, "w", "most", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("i"))
     runs = starts.select(cue, F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.coalesce("most", F.lit(2)))), lambda k: F.struct(F.array_join(F.slice("w", F.col("i"), k), " ").alias("identity"), F.size(F.slice("w", F.col("i"), k)).alias("n"), k.alias("k")))).alias("r"))
-    return runs.where("r.n = r.k").select(cue, "r.identity").distinct().join(owners, "identity").select(cue, "path").distinct()
+    whole = runs.where("r.n = r.k").select(cue, "r.identity").distinct().join(owners, "identity").select(cue, "path")
+    parts = titled.select("path", "w", F.explode(F.array_distinct("w")).alias("word")).where((F.length("word") >= component) & ~F.col("word").isin(*GENERIC))
+    alone = parts.groupBy("word").agg(F.min(F.struct("path", "w")).alias("p"), F.countDistinct("path").alias("n")).where("n = 1").select("word", "p.path", F.col("p.w").alias("own"))
+    said = spoken.select(cue, "o", F.posexplode("w").alias("i", "word"))
+    said = said.select(cue, "word", F.filter(F.array(F.get("o", F.col("i") - 1), F.get("o", F.col("i") + 1)), lambda x: x.isNotNull() & x.rlike(r"^\p{Lu}")).alias("near"))
+    single = said.join(alone, "word").where(F.size(F.array_except(F.transform("near", F.lower), "own")) == 0).select(cue, "path")
+    return whole.unionByName(single).distinct()
 
 
 def inferred_layer(replies: DataFrame, handles: DataFrame, existing: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def priorities(spark, sf_dir):
 
 def strongest(spark, sf_dir):
     """The ten notes of highest priority, earlier ones first where equal."""
-    return priorities(spark, sf_dir).withColumn("rank", F.row_number().over(Window.orderBy(F.col("priority").desc(), "note")).cast("long")).where("rank <= 10")
+    best = priorities(spark, sf_dir).orderBy(F.col("priority").desc(), "note").limit(10)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("priority").desc(), "note")).cast("long"))  # of ten rows
 
 
 def recent(spark, sf_dir):
@@ -260,6 +261,8 @@ o AS (SELECT session, note, CASE WHEN s AND u THEN 'hit' WHEN u THEN 'miss' ELSE
 SELECT outcome, count(*) + CASE WHEN outcome = 'miss' THEN coalesce((SELECT sum(n) FROM w), 0)::BIGINT ELSE 0 END AS n, count(DISTINCT session) AS sessions, CASE WHEN outcome = 'miss' THEN coalesce((SELECT sum(n) FROM w), 0)::BIGINT ELSE 0 END AS terms FROM o GROUP BY outcome""",
     "intents_active": f"WITH {_EV} SELECT user_id, epoch_us(seen) AS since FROM (SELECT user_id, max(ts) AS seen FROM ev WHERE kind = 'session-begin' GROUP BY user_id) WHERE epoch_us(seen) + 86400000000 > (SELECT epoch_us(max(ts)) FROM ev)",
     "decay_ticks": f"WITH {_EV} SELECT user_id, least(3, d)::BIGINT AS ticks, round(power(0.98, least(3, d)), 6) AS factor FROM (SELECT user_id, (((SELECT epoch_us(max(ts)) FROM ev) - epoch_us(max(ts))) // 86400000000) AS d FROM ev GROUP BY user_id)",
+    "debounced_touches": f"""WITH RECURSIVE {_EV}, e AS (SELECT user_id, kind, ordinal, epoch_us(ts) / 1e6 AS t FROM ev WHERE kind IN ('touch', 'encode', 'outcome')), nx AS (SELECT a.user_id, a.kind, a.ordinal, arg_min(b.ordinal, (b.t, b.ordinal)) AS next FROM e a JOIN e b ON a.user_id = b.user_id AND a.kind = b.kind AND b.t - a.t >= 60 AND b.t >= a.t GROUP BY ALL),
+k AS (SELECT user_id, kind, arg_min(ordinal, (t, ordinal)) AS ordinal FROM e GROUP BY ALL UNION ALL SELECT k.user_id, k.kind, nx.next FROM k JOIN nx ON nx.ordinal = k.ordinal) SELECT * FROM k""",
     "session_metrics": f"{_DAY} SELECT * FROM sm",
     "hit_rate": f"{_DAY} SELECT sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, round(sum(hits) / nullif(sum(hits) + sum(misses), 0), 6) AS rate FROM sm",
     "feedback_domains": "SELECT coalesce(nullif(lower(trim(domain)), ''), 'general') AS domain, polarity, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (SELECT event_id, min(domain) AS domain, min(polarity) AS polarity, min(session_id) AS session_id FROM feedback_events GROUP BY event_id) GROUP BY ALL",

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import fusion, graph, routing
+from quillmesh.operators import fusion, graph, relations, routing
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.dependencies import source_graph
@@ -52,9 +52,27 @@ def routed_comment(spark, sf_dir):
 
 
 def eligible_entities(spark, sf_dir):
-    """Notes whose whole title stands in another note's body."""
-    n = tables.notes(spark, sf_dir)
-    return routing.eligible_entities(n, n.select(F.col("path").alias("cue"), F.coalesce("body", F.lit("")).alias("text")), "cue", "text")
+    """Notes that a question about the title of each queried note certainly names."""
+    cues = table(spark, sf_dir, "notes").where("note_id % 100 = 0").select(F.col("note_id").alias("cue_id"), F.concat(F.lit("What do we know about "), F.coalesce("title", F.lit("it")), F.lit(" today?")).alias("text"))
+    return routing.eligible_entities(tables.notes(spark, sf_dir), cues, "cue_id", "text")
+
+
+def _people(spark, sf_dir):
+    """(path, type, title, body): customers as people whose notes tell at which nation, a company here, they work or worked."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    verb = F.when(F.col("c_acctbal") < 0, " formerly worked at ").otherwise(" works at ")
+    people = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("people/c"), "c_custkey", F.lit(".md")).alias("path"), F.lit("person").alias("type"), F.col("c_name").alias("title"), F.concat(F.lit("[["), "c_name", F.lit("]]"), verb, F.lit("[["), "n_name", F.lit("]].")).alias("body"))
+    return people.unionByName(n.select(F.concat(F.lit("companies/n"), "n_nationkey", F.lit(".md")), F.lit("company"), F.col("n_name"), F.lit("")).toDF("path", "type", "title", "body"))
+
+
+def relation_answers(spark, sf_dir):
+    """Who works, and who used to work, at each nation, by what the people's notes say."""
+    notes = cut(_people(spark, sf_dir))
+    names = cut(graph.identities(notes, notes.select("path").limit(0)))
+    table_ = relations.edges(notes.limit(0).select("path", F.lit("").alias("relation"), F.lit("").alias("target")), notes.select("path", "type"), relations.named_ends(relations.from_prose(notes, "path", "body"), names))
+    n = table(spark, sf_dir, "nation")
+    asked = n.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Who currently works at "), "n_name", F.lit("?")).alias("text")).unionByName(n.select((F.col("n_nationkey") + 100).alias("query_id"), F.concat(F.lit("Who used to work at "), "n_name", F.lit("?")).alias("text")))
+    return relations.hits(table_, names.withColumnRenamed("target", "path"), relations.requests(asked, "query_id", "text"), types=notes.select("path", "type")).select("query_id", "path")
 
 
 def overlapping_claims(spark, sf_dir):
@@ -64,7 +82,7 @@ def overlapping_claims(spark, sf_dir):
     return routing.overlapping_claims(claims, changed)
 
 
-QUERIES = {f.__name__: f for f in (graph_fusion, structural_fusion, routed_comment, eligible_entities, overlapping_claims)}
+QUERIES = {f.__name__: f for f in (graph_fusion, structural_fusion, routed_comment, eligible_entities, relation_answers, overlapping_claims)}
 
 # The source table's relations name symbols as its files declare them; a symbol of one file alone makes an edge.
 _REFS = r"""df AS (SELECT DISTINCT repository AS scope, s AS symbol, file FROM (SELECT repository, file, unnest(symbols) AS s FROM src)),
@@ -82,8 +100,12 @@ ORACLE = {
     "graph_fusion": f"{_GRAPH} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, file) AS rank FROM (SELECT cue_id, file, round(sum(CASE WHEN ranking = 'graph' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM gall GROUP BY ALL)) WHERE rank <= {TOP}",
     "routed_comment": f"""{_CODE}, wt AS (SELECT cue_id, file, round(sum(CASE ranking WHEN 'bm25f' THEN 1.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM carms GROUP BY ALL)
 SELECT * FROM (SELECT cue_id, w.file, row_number() OVER (PARTITION BY cue_id ORDER BY CASE WHEN b.rank <= 2 THEN b.rank ELSE 1e9 END, score DESC, w.file) AS rank FROM wt w LEFT JOIN (SELECT cue_id, file, rank FROM carms WHERE ranking = 'bm25f') b USING (cue_id, file)) WHERE rank <= {TOP}""",
-    "eligible_entities": f"""WITH {S.NOTES}, i AS (SELECT path, array_to_string({_W.format("coalesce(title, '')")}, ' ') AS identity FROM notes1 WHERE len({_W.format("coalesce(title, '')")}) >= 2), o AS (SELECT identity, min(path) AS path FROM i GROUP BY identity HAVING count(DISTINCT path) = 1)
-SELECT n.path AS cue, o.path FROM notes1 n JOIN o ON contains(' ' || array_to_string({_W.format("coalesce(body, '')")}, ' ') || ' ', ' ' || identity || ' ')""",
+    "eligible_entities": rf"""WITH {S.NOTES}, i AS (SELECT path, {_W.format("coalesce(title, '')")} AS w FROM notes1), ow AS (SELECT array_to_string(w, ' ') AS identity, min(path) AS path FROM i WHERE len(w) >= 2 GROUP BY 1 HAVING count(DISTINCT path) = 1),
+c AS (SELECT note_id AS cue_id, regexp_extract_all('What do we know about ' || coalesce(title, 'it') || ' today?', '[\p{{L}}\p{{N}}]+') AS o FROM notes WHERE note_id % 100 = 0), cw AS (SELECT cue_id, o, list_transform(o, lambda x: lower(x)) AS l FROM c),
+pt AS (SELECT path, w, unnest(list_distinct(w)) AS word FROM i), al AS (SELECT word, min(path) AS path, any_value(w) AS own FROM pt WHERE length(word) >= 4 AND word NOT IN ('capital', 'company', 'corp', 'corporation', 'fund', 'group', 'holdings', 'inc', 'labs', 'limited', 'llc', 'ltd', 'meeting', 'partners', 'ventures') GROUP BY word HAVING count(DISTINCT path) = 1),
+sa AS (SELECT cue_id, l[k] AS word, list_filter([o[k - 1], o[k + 1]], lambda x: x IS NOT NULL AND regexp_matches(x, '^\p{{Lu}}')) AS near FROM (SELECT cue_id, o, l, unnest(range(1, len(l) + 1)) AS k FROM cw))
+SELECT cue_id, path FROM cw JOIN ow ON contains(' ' || array_to_string(l, ' ') || ' ', ' ' || identity || ' ') UNION SELECT cue_id, path FROM sa JOIN al USING (word) WHERE len(list_filter(near, lambda x: NOT list_contains(own, lower(x)))) = 0""",
+    "relation_answers": "SELECT n_nationkey + CASE WHEN c_acctbal < 0 THEN 100 ELSE 0 END AS query_id, 'people/c' || c_custkey || '.md' AS path FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "overlapping_claims": r"""WITH c AS (SELECT DISTINCT repository AS owner, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS path FROM code_excerpts), m AS (SELECT DISTINCT regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS mine FROM source_records WHERE record_id % 100 = 0 AND path IS NOT NULL)
 SELECT owner, path, mine FROM c JOIN m ON path = mine OR (contains(mine, '/') AND ends_with(path, '/' || mine)) OR (contains(path, '/') AND ends_with(mine, '/' || path))""",
 }

@@ -138,6 +138,34 @@ def test_captures_take_twelve_latest(spark):
     assert [r["note"] for r in sorted(got, key=lambda r: r["rank"])] == list(dict.fromkeys(latest))[:12]
 
 
+def test_sessions_of_hot_actors(spark):
+    import datetime
+
+    rng, t0 = random.Random(9), datetime.datetime(2026, 1, 1)
+    rows = [(1 if rng.random() < 0.7 else 2, i, t0 + datetime.timedelta(seconds=rng.choice([0, 100, 1800, 1801, 5000]) + i * 700)) for i in range(80)]
+    df = spark.createDataFrame(rows, "u long, i long, ts timestamp")
+    want = {}
+    for u in (1, 2):
+        last, n = None, 0
+        for _, i, t in sorted((r for r in rows if r[0] == u), key=lambda r: (r[2], r[1])):
+            n += last is None or (t - last).total_seconds() > 1800
+            last, want[i] = t, n
+    for hot in (10**9, 5):
+        assert {r["i"]: r["session"] for r in ledger.sessions(df, "u", "ts", "i", hot_rows=hot).collect()} == want
+
+
+def test_entities_are_named_for_certain(spark):
+    from quillmesh.operators import routing
+
+    notes = spark.createDataFrame([("a.md", "Ada Lovelace", "person"), ("b.md", "Grace Hopper", "person"), ("c.md", "Grace Murray", "person"), ("d.md", "Acme Labs", "company"), ("e.md", "Twin Name", "person"), ("f.md", "Twin Name", "person"), ("g.md", None, "person"), ("h.md", "Odd Note", "note")], "path string, title string, note_type string")
+    asked = ["ask ada lovelace", "did Lovelace come", "did Byron Lovelace come", "and grace came", "Grace Hopper", "the labs of Acme", "twin name", "odd note", None, ""]
+    cues = spark.createDataFrame(list(enumerate(asked)), "q long, t string")
+    got: dict = {}
+    for r in routing.eligible_entities(notes, cues, "q", "t", ("person", "company")).collect():
+        got.setdefault(r["q"], set()).add(r["path"])
+    assert got == {0: {"a.md"}, 1: {"a.md"}, 4: {"b.md"}, 5: {"d.md"}}
+
+
 def test_feedback_clusters_against_a_model(spark):
     words = "alpha bravo charlie delta echo foxtrot golf hotel".split()
     rng = random.Random(3)
