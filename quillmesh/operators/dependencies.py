@@ -37,8 +37,10 @@ def module_names(path: Column) -> Column:
 
 def tails(name: Column) -> Column:
     """What follows each dot or slash of a name, if anything does."""
-    signs = F.filter(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(1)).isin(".", "/") & (i < F.length(name)))
-    return F.transform(signs, lambda i: F.substring(name, i + 1, F.length(name)))
+    parts = F.split(name, "[./]")
+    before = lambda i: F.length(F.array_join(F.slice(parts, 1, i), ".")) + 1
+    inner = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(inner, lambda i: F.substring(name, before(i) + 1, F.length(name))), lambda t: t != "")
 
 
 def import_probes(path: Column, imported: Column) -> Column:
@@ -156,23 +158,32 @@ def symbol_ranking(nodes: DataFrame, calls: DataFrame, anchors: DataFrame, query
     """
     node = F.struct("file", "label")
     known = nodes.select("scope", node.alias("node"), "label")
-    alias = known.select("scope", "node", F.explode(F.array_distinct(F.array("label", F.element_at(F.split("label", r"::|\."), -1)))).alias("target")).distinct()
+    targets = calls.select("scope", F.struct("file", "label").alias("at"), "target").distinct()
+    called = targets.select("scope", "target").distinct()
+    alias = known.select("scope", "node", F.explode(F.array_distinct(F.array("label", F.element_at(F.split("label", r"::|\."), -1)))).alias("target")).join(called, ["scope", "target"], "left_semi").distinct()
     if cap:  # a name's first symbols are enough for every caller, itself included
         alias = alias.withColumn("_r", F.row_number().over(Window.partitionBy("scope", "target").orderBy("node"))).where(F.col("_r") <= cap + 1).drop("_r")
-    targets = calls.select("scope", F.struct("file", "label").alias("at"), "target").distinct()
-    steps = targets.join(alias, ["scope", "target"]).where("at <> node").groupBy("at", "node").agg(F.min("target").alias("target"))
-    if cap:
-        steps = steps.withColumn("_r", F.row_number().over(Window.partitionBy("at").orderBy("target", "node"))).where(F.col("_r") <= cap)
-    steps = cut(steps.select("at", "node"))
-    degree = targets.groupBy("at").agg(F.count(F.lit(1)).alias("degree"))
-    busiest = nodes.select("file", node.alias("at")).distinct().join(degree, "at", "left")
+    alias = cut(alias)
+
+    def steps(from_: DataFrame) -> DataFrame:
+        """(at, node): the neighbours of the nodes that a walk has come to, not of all."""
+        here = targets.join(from_.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
+        out = here.join(alias, ["scope", "target"]).where("at <> node").groupBy("at", "node").agg(F.min("target").alias("target"))
+        if cap:
+            out = out.withColumn("_r", F.row_number().over(Window.partitionBy("at").orderBy("target", "node"))).where(F.col("_r") <= cap)
+        return out.select("at", F.col("node").alias("to"))
+
+    # Only the anchors' files are looked at for their busiest symbols.
+    own = nodes.join(anchors.select("file").distinct(), "file", "left_semi").select("file", node.alias("at")).distinct()
+    degree = targets.join(own.select("at"), "at", "left_semi").groupBy("at").agg(F.count(F.lit(1)).alias("degree"))
+    busiest = own.join(degree, "at", "left")
     order = Window.partitionBy("file").orderBy(F.coalesce("degree", F.lit(0)).desc(), "at")
     busiest = busiest.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_anchor).select("file", "at")
     start = anchors.groupBy(query, "file").agg(F.min("rank").alias("rank")).join(busiest, "file")
     seen = cut(start.select(query, F.col("at").alias("node"), (1.0 / F.col("rank")).alias("score"), F.lit(0).alias("hop")))
     frontier = seen
     for hop in range(1, depth + 1):
-        reached = frontier.join(steps, frontier["node"] == steps["at"]).select(query, steps["node"].alias("node"), (F.col("score") * (1.0 / (1 + hop))).alias("score"))
+        reached = frontier.join(steps(frontier), F.col("node") == F.col("at")).select(query, F.col("to").alias("node"), (F.col("score") * (1.0 / (1 + hop))).alias("score"))
         fresh = reached.groupBy(query, "node").agg(F.max("score").alias("score")).join(seen.select(query, "node"), [query, "node"], "left_anti")
         frontier = cut(fresh.withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)

@@ -27,20 +27,37 @@ def reciprocal_rank(rankings: DataFrame, query: str, key: str, weights: dict[str
 def fused(rankings: DataFrame, query: str, key: str, weights: dict[str, float] | None = None, limit: int | None = None, unique: bool = False) -> DataFrame:
     """(query, key, score, rank) of the fused ranking; equal scores in the order of their keys.
 
-    A key counts once in each ranking and its repeats take no rank; ``unique`` says that there are none.
+    A key counts once in each ranking and its repeats take no rank; ``unique`` says that there are none. With a
+    ``limit`` only keys that can be among the best are fused, with all their ranks.
     """
-    out = reciprocal_rank(rankings if unique else first_ranks(rankings, query, key), query, key, weights)
+    each = rankings if unique else first_ranks(rankings, query, key)
+    out = reciprocal_rank(_contenders(each, query, key, weights, limit) if limit else each, query, key, weights)
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), key)))
     return out.where(F.col("rank") <= limit) if limit else out
 
 
-def protected(primary: DataFrame, rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
+def _contenders(rankings: DataFrame, query: str, key: str, weights: dict[str, float] | None, limit: int) -> DataFrame:
+    """The ranks of keys that some ranking has in front, as far as it must be looked at for the best ``limit`` of the fused
+    ranking to be among them.
+
+    If any ranking has ``limit`` keys, the last of the best scores its weight / (constant + limit) or more; a key that
+    all rankings have beyond place R scores at most all weights / (constant + R). If none has so many, all are in.
+    """
+    names = [r["ranking"] for r in rankings.select("ranking").distinct().collect()]  # a few
+    each = [float((weights or {}).get(n, 1.0)) for n in names]
+    if len(names) > 100 or not each or min(each) <= 0:
+        return rankings
+    depth = int(sum(each) / min(each) * (RANK_CONSTANT + limit)) - RANK_CONSTANT + 1
+    return rankings.join(rankings.where(F.col("rank") <= depth).select(query, key).distinct(), [query, key], "left_semi")
+
+
+def protected(primary: DataFrame, rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
     """The first ``keep`` keys of ``primary`` stay in front, the fused rest follows."""
-    return diverse_protected([primary], rankings, query, key, keep, weights)
+    return diverse_protected([primary], rankings, query, key, keep, weights, limit)
 
 
-def diverse_protected(sources: list[DataFrame], rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query, key, rank): ``keep`` new keys of each source in turn, then the fused rest.
+def diverse_protected(sources: list[DataFrame], rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
+    """(query, key, rank): ``keep`` new keys of each source in turn, then the fused rest; only the first ``limit`` if given.
 
     A source's keys that an earlier source already brought are passed over, however many they are.
     """
@@ -51,11 +68,12 @@ def diverse_protected(sources: list[DataFrame], rankings: DataFrame, query: str,
         new = new.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy("rank", key))).where(F.col("pos") <= keep)
         new = new.select(query, key, (F.lit(n * keep) + F.col("pos")).alias("pos"))
         front = new if front is None else front.unionByName(new)
-    rest = fused(rankings, query, key, weights)
+    rest = fused(rankings, query, key, weights, limit + keep * len(sources) if limit else None)
     all_keys = reduce(DataFrame.unionByName, [rest.select(query, key), front.select(query, key)]).distinct()
     placed = all_keys.join(front, [query, key], "left").join(rest.select(query, key, F.col("rank").alias("r")), [query, key], "left")
     order = Window.partitionBy(query).orderBy(F.coalesce("pos", F.lit(2**31)), F.coalesce("r", F.lit(2**31)), key)
-    return placed.select(query, key, F.row_number().over(order).alias("rank"))
+    out = placed.select(query, key, F.row_number().over(order).alias("rank"))
+    return out.where(F.col("rank") <= limit) if limit else out
 
 
 def complete(ranking: DataFrame, universe: DataFrame, query: str, key: str) -> DataFrame:

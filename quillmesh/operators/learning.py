@@ -33,7 +33,7 @@ def hit_rate(metrics: DataFrame) -> DataFrame:
 
 def associations(used: DataFrame, session: str, note: str, cue: Column, limit: int = 16) -> DataFrame:
     """(note, tokens, w): what a session's cue should have found: its longest tokens, half a point per session, at most 1."""
-    pairs = used.select(note, F.explode(T.tokens(cue)).alias("token"), session)
+    pairs = _tokens_of(used.select(note, session, cue.alias("_t")), [note, session])
     per = pairs.groupBy(note, "token").agg(F.count(F.lit(1)).alias("_n"))
     rank = F.row_number().over(Window.partitionBy(note).orderBy(F.length("token").desc(), "token"))
     kept = per.withColumn("_r", rank).where(F.col("_r") <= limit).groupBy(note).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "token"))), lambda x: x["token"]), " ").alias("tokens"))
@@ -41,6 +41,17 @@ def associations(used: DataFrame, session: str, note: str, cue: Column, limit: i
     return kept.join(weight, note)
 
 
+def _tokens_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token): the distinct terms of each row's ``_t``, found as the documents' terms are."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(*k, token) for *k, t in batch[[*keys, "_t"]].itertuples(index=False, name=None) for token in dict.fromkeys(T.term_list(t))], columns=[*keys, "token"])
+
+    return rows.mapInPandas(work, f"{fields}, token string")
+
+
 class _Clusters:
     """The clusters of one domain and polarity, first match first; an index by token finds the candidates."""
 

@@ -9,7 +9,7 @@ from quillmesh.operators import dependencies as D
 from quillmesh.operators import graph
 from quillmesh.plans import tables
 from quillmesh.plans.lexical import _SOURCES
-from quillmesh.session import cut, table
+from quillmesh.session import cut, snapshot, table
 
 SEED_FILES = 10
 
@@ -20,6 +20,10 @@ def imports_resolve(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
+    return snapshot(spark, sf_dir, "record_edges", lambda: _record_edges(spark, sf_dir))
+
+
+def _record_edges(spark, sf_dir):
     files = tables.records(spark, sf_dir)
     calls = tables.record_calls(spark, sf_dir).select("scope", F.col("file").alias("src"), "at", F.lit("calls").alias("relation"), F.col("target").alias("symbol"))
     defined = files.select("scope", F.explode("symbols").alias("symbol"), "file")
@@ -85,6 +89,10 @@ def source_edges(spark, sf_dir):
 
 def source_graph(spark, sf_dir):
     """(a, b, weight, kind): the undirected graph of the source files' dependencies."""
+    return snapshot(spark, sf_dir, "source_graph", lambda: _source_graph(spark, sf_dir))
+
+
+def _source_graph(spark, sf_dir):
     pairs = D.weighted(source_edges(spark, sf_dir))
     return graph.merged(pairs.select("src", "dst", "weight", F.lit("dependency").alias("kind")))
 

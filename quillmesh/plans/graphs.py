@@ -10,7 +10,7 @@ from quillmesh.operators import activation, graph, learning, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_OVERLAP, _NOTE_PRELUDE, _cues, _note_hits
-from quillmesh.session import cut, small, table
+from quillmesh.session import cut, small, snapshot, table
 
 
 def wiki_links(spark, sf_dir):
@@ -42,6 +42,10 @@ def backlinks(spark, sf_dir):
 
 def note_edges(spark, sf_dir):
     """(src, dst, weight, kind): links between notes; typed links carry their confidence."""
+    return snapshot(spark, sf_dir, "note_edges", lambda: _note_edges(spark, sf_dir))
+
+
+def _note_edges(spark, sf_dir):
     n, names = _names(spark, sf_dir)
     typed = graph.typed_links(n, "path", "body").select("path", F.col("name").alias("wiki"), F.lit(None).cast("string").alias("markdown"), "weight")
     plain = graph.note_links(n, "path", "body").withColumn("weight", F.lit(1.0))
@@ -61,6 +65,10 @@ def used_with(spark, sf_dir):
 
 def merged_graph(spark, sf_dir):
     """Links and common use between current notes, undirected, the heaviest of a pair."""
+    return snapshot(spark, sf_dir, "merged_graph", lambda: _merged_graph(spark, sf_dir))
+
+
+def _merged_graph(spark, sf_dir):
     from quillmesh.plans.scalars import superseded
 
     gone = superseded(spark, sf_dir)
@@ -81,6 +89,10 @@ def graph_degrees(spark, sf_dir):
 
 def note_state(spark, sf_dir):
     """(node, strength, streak): what the ledger says of each note; the stream's note k stands for the notes whose id ends in k."""
+    return snapshot(spark, sf_dir, "note_state", lambda: _note_state(spark, sf_dir))
+
+
+def _note_state(spark, sf_dir):
     from quillmesh.plans.ledgers import priorities, waste_streak
 
     n = tables.notes(spark, sf_dir).select(F.col("path").alias("node"), (F.col("note_id") % 100).cast("string").alias("note"), F.coalesce("pinned", F.lit(False)).alias("pinned"))
@@ -91,6 +103,10 @@ def note_state(spark, sf_dir):
 
 def goal_relevance(spark, sf_dir):
     """(node, goal): how well each note answers the goal it answers best, of those it is about."""
+    return snapshot(spark, sf_dir, "goal_relevance", lambda: _goal_relevance(spark, sf_dir))
+
+
+def _goal_relevance(spark, sf_dir):
     from quillmesh.plans.scalars import goal_alignment
 
     goals = table(spark, sf_dir, "notes").where("note_id % 100 = 0 AND length(title) > 0").select(F.col("note_id").alias("goal_id"), F.col("title").alias("text"))
@@ -100,6 +116,13 @@ def goal_relevance(spark, sf_dir):
     return r.join(aligned, ["goal_id", "path"], "left_semi").groupBy(F.col("path").alias("node")).agg(F.max("score").alias("goal"))
 
 
+def _learned(spark, sf_dir):
+    """(node, term, w): what positive feedback taught of the note that has its number."""
+    f = table(spark, sf_dir, "feedback_events").where("polarity > 0 AND text IS NOT NULL").select(F.col("event_id").alias("note_id"), "session_id", "text").distinct()
+    said = f.join(tables.notes(spark, sf_dir).select("note_id", F.col("path").alias("node")), "note_id")
+    return learning.associations(said.withColumn("session_id", F.coalesce("session_id", F.lit(""))), "session_id", "node", F.col("text")).select("node", F.explode(F.split("tokens", " ")).alias("term"), "w")
+
+
 def _activated(spark, sf_dir, carriers=False):
     from quillmesh.plans.scalars import superseded
 
@@ -110,12 +133,10 @@ def _activated(spark, sf_dir, carriers=False):
     asked = small(tables.note_cues(spark, sf_dir).select(F.col("cue_id").alias("query_id")).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q")), 2_000)
     held = n.join(vectors, F.col("note_id") == F.col("vec_id")).select(F.col("path").alias("node"), "embedding")
     near = held.join(asked).select("query_id", "node", F.lit(1.0).alias("weight"), T.cosine(F.col("q"), F.col("embedding")).alias("cosine"))  # a stated query set against all rows
-    f = table(spark, sf_dir, "feedback_events").where("polarity > 0 AND text IS NOT NULL").select(F.col("event_id").alias("note_id"), "session_id", "text").distinct()
-    said = f.join(n.select("note_id", F.col("path").alias("node")), "note_id")
-    learned = learning.associations(said.withColumn("session_id", F.coalesce("session_id", F.lit(""))), "session_id", "node", F.col("text")).select("node", F.explode(F.split("tokens", " ")).alias("term"), "w")
+    learned = snapshot(spark, sf_dir, "learned", lambda: _learned(spark, sf_dir))
     seeded = activation.seeds(lex, "query_id", superseded(spark, sf_dir).withColumnRenamed("path", "node"), activation.semantic(near, "query_id"), activation.associated(cues.withColumnRenamed("cue_id", "query_id"), learned, "query_id"))
-    state = cut(note_state(spark, sf_dir))
-    return activation.activate(seeded, cut(merged_graph(spark, sf_dir)), "query_id", state.select("node", "strength"), goal_relevance(spark, sf_dir), state.where(f"streak >= {activation.WASTE_RUN}").select("node"), carriers=carriers)
+    state = note_state(spark, sf_dir)
+    return activation.activate(seeded, merged_graph(spark, sf_dir), "query_id", state.select("node", "strength"), goal_relevance(spark, sf_dir), state.where(f"streak >= {activation.WASTE_RUN}").select("node"), carriers=carriers)
 
 
 def activate(spark, sf_dir):

@@ -87,14 +87,14 @@ def rrf(spark, sf_dir):
 
 def protected_fusion(spark, sf_dir):
     arms = _note_arms(spark, sf_dir)
-    out = fusion.protected(arms.where("ranking = 'overlap'"), arms, "cue_id", "path", keep=2)
-    return out.where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
+    out = fusion.protected(arms.where("ranking = 'overlap'"), arms, "cue_id", "path", keep=2, limit=TOP)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def diverse_protected(spark, sf_dir):
     arms = _note_arms(spark, sf_dir)
-    out = fusion.diverse_protected([arms.where("ranking = 'bm25f'"), arms.where("ranking = 'overlap'")], arms, "cue_id", "path", keep=2)
-    return out.where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
+    out = fusion.diverse_protected([arms.where("ranking = 'bm25f'"), arms.where("ranking = 'overlap'")], arms, "cue_id", "path", keep=2, limit=TOP)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def complete_ranking(spark, sf_dir):
@@ -158,8 +158,8 @@ def lexical_hybrid(spark, sf_dir):
 def hybrid(spark, sf_dir):
     """The default code search: the best BM25F file stays in front, the rest is fused with the exact ranking."""
     arms = code_arms(spark, sf_dir).drop("score")
-    out = fusion.protected(arms.where("ranking = 'bm25f'"), arms, "cue_id", "file", keep=1)
-    return out.where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
+    out = fusion.protected(arms.where("ranking = 'bm25f'"), arms, "cue_id", "file", keep=1, limit=TOP)
+    return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def symbol_rank(spark, sf_dir):

@@ -34,14 +34,14 @@ def graph_fusion(spark, sf_dir):
     """BM25F and exact rankings fused with two steps over the dependencies, at half weight."""
     arms = code_arms(spark, sf_dir)
     all_arms = arms.select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms))
-    return fusion.fused(all_arms, "cue_id", "file", {"graph": 0.5}, TOP).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.fused(cut(all_arms), "cue_id", "file", {"graph": 0.5}, TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def structural_fusion(spark, sf_dir):
     """The same with the symbol ranking at full weight."""
     arms = code_arms(spark, sf_dir)
     all_arms = arms.select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms)).unionByName(_symbol_arm(spark, sf_dir))
-    return fusion.fused(all_arms, "cue_id", "file", {"graph": 0.5}, TOP).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.fused(cut(all_arms), "cue_id", "file", {"graph": 0.5}, TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def routed_comment(spark, sf_dir):

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import notebook, routing
+from quillmesh.operators import lexical, notebook, routing
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.session import small, table
+from quillmesh.session import cut, small, snapshot, table
 
 TODAY = "2026-06-30"
 
@@ -65,6 +65,10 @@ def lifecycle(spark, sf_dir):
 
 def superseded(spark, sf_dir):
     """Paths that another note replaces or that are deprecated."""
+    return snapshot(spark, sf_dir, "superseded", lambda: _superseded(spark, sf_dir))
+
+
+def _superseded(spark, sf_dir):
     n = tables.notes(spark, sf_dir)
     named = n.select(F.explode("supersedes").alias("path"))
     deprecated = n.where(F.lower(F.trim("status")) == "deprecated").select("path")
@@ -78,14 +82,12 @@ def current_notes(spark, sf_dir):
 def goal_alignment(spark, sf_dir):
     """Notes that a goal (the title of a pinned note whose id is divisible by 100) is about: two terms in common, or
     one that stands outside addresses."""
-    goals = table(spark, sf_dir, "notes").where("note_id % 100 = 0 AND length(title) > 0").select(F.col("note_id").alias("goal_id"), T.tokens(F.col("title")).alias("goal"))
-    n = tables.notes(spark, sf_dir)
+    goals = table(spark, sf_dir, "notes").where("note_id % 100 = 0 AND length(title) > 0").select(F.col("note_id").alias("goal_id"), "title")
+    terms = cut(lexical.cue_terms(goals, "goal_id", "title"))
     whole = F.concat_ws(" ", "title", F.array_join("tags", " "), "description", "body")
     plain = F.array_join(F.filter(F.split(whole, r"\s+"), lambda w: ~w.contains("/") & ~F.lower(w).startswith("www.")), " ")
-    docs = n.select("path", T.tokens(whole).alias("all"), T.tokens(plain).alias("plain"))
-    terms = goals.select("goal_id", F.explode("goal").alias("term"))
-    hits = docs.select("path", F.explode("all").alias("term"), "plain").join(terms, "term")  # by term, not all against all
-    per = hits.groupBy("goal_id", "path").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.array_contains("plain", F.col("term"))).alias("outside"))
+    hits = lexical.lookup(tables.notes(spark, sf_dir), "path", {"all": whole, "plain": plain}, terms).where("term IS NOT NULL").join(terms, "term")  # by term, not all against all
+    per = hits.groupBy("goal_id", "path").agg(F.count_if(F.exists("fields", lambda f: f["field"] == "all")).alias("matched"), F.count_if(F.exists("fields", lambda f: f["field"] == "plain")).alias("outside"))
     return per.where("matched >= 2 OR outside >= 1").select("goal_id", "path", "matched")
 
 

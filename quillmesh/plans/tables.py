@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.session import table
+from quillmesh.session import snapshot, table
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per note path: the latest version."""
     latest = Window.partitionBy("path").orderBy(F.col("generated_at").desc(), F.col("note_id").desc())
-    return table(spark, sf_dir, "notes").withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
+    return snapshot(spark, sf_dir, "notes", lambda: table(spark, sf_dir, "notes").withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn"))
 
 
 NOTE_FIELDS = {"title": F.col, "tags": F.col}
@@ -26,6 +26,10 @@ def note_fields() -> dict:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per repository and normal path: the latest scan; ``file`` joins both."""
+    return snapshot(spark, sf_dir, "sources", lambda: _sources(spark, sf_dir))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "source_records").where(F.col("path").isNotNull()).withColumn("path", T.clean_path(F.col("path")))
     latest = Window.partitionBy("repository", "path").orderBy(F.col("indexed_at").desc(), F.col("record_id").desc())
     rows = rows.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")

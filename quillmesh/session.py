@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,7 @@ def release(spark: SparkSession) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     _OWNED.discard(path)
+    _SNAPSHOTS.clear()
 
 
 _OWNED: set[str] = set()
@@ -83,6 +85,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SNAPSHOTS: dict[tuple, DataFrame] = {}
+
+
+def snapshot(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` derives from the tables of ``folder`` alone, whatever is asked of it, written once for a session and
+    the state of the folder's files, as an index is; a file that changes makes it anew."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+    key = (spark.sparkContext.applicationId, folder, name, state)
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = cut(build())
+    return _SNAPSHOTS[key]
+
+
 #: Bytes of a partition from which a pass in Python is worth a task of its own.
 TASK_BYTES = 64 * 2**20
 
