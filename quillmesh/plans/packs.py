@@ -96,6 +96,12 @@ def extract_graph(spark, sf_dir):
     return extract.facts(tables.sources(spark, sf_dir), "file", "path", "text")
 
 
+def symbol_relations(spark, sf_dir):
+    """How many names the definitions of each file call or inherit."""
+    r = extract.symbol_relations(extract_graph(spark, sf_dir), "file")
+    return r.groupBy("file", "relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
+
+
 def extract_summary(spark, sf_dir):
     return extract_graph(spark, sf_dir).groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
 
@@ -163,7 +169,7 @@ def guard_hits(spark, sf_dir):
     return up.join(g, ["repository", "guard"]).groupBy("repository", "guard").agg(F.countDistinct("excerpt_id").alias("excerpts"))
 
 
-QUERIES = {f.__name__: f for f in (query_cues, facet_recall, cover_select, landmarks, context_pack, compact_pack, code_pack, code_excerpt, extract_graph, extract_summary, note_headings, symbol_table, relation_hits, export_graph, note_index, source_fingerprint, repository_sizes, semantic_seeds, duplicate_slugs, guard_hits)}
+QUERIES = {f.__name__: f for f in (query_cues, facet_recall, cover_select, landmarks, context_pack, compact_pack, code_pack, code_excerpt, extract_graph, extract_summary, symbol_relations, note_headings, symbol_table, relation_hits, export_graph, note_index, source_fingerprint, repository_sizes, semantic_seeds, duplicate_slugs, guard_hits)}
 
 from quillmesh.plans.graphs import _MASK, _TYPED  # noqa: E402
 

@@ -260,6 +260,27 @@ def test_extraction_never_fails_a_table(spark):
     assert not any(r["path"] in ("b.py", "f.txt", "g.py") for r in got)
 
 
+def test_extraction_of_more_forms(spark):
+    files = [
+        ("a.py", "# Says what\n# it does.\ndef helper(): pass\nclass Base: pass\nclass C(Base):\n    def go(self):\n        self.run(); helper()\n    def run(self): pass\n"),
+        ("b.js", "/** Loads. */\nexport function load(a) { return parse(a) /* gone(1) */ }\nclass Xa extends Ya {\n  m() {}\n}\n"), ("c.java", "class Ab implements Bc {\n  int x;\n}\n"), ("d.rs", "pub fn start() { stop(); }\nimpl Thing {}\n"), ("e.md", "Top\n===\ntext [a](b.md#x) [w](https://x.example)\nSub\n---\n"),
+        ("f.sql", "CREATE OR REPLACE VIEW v AS SELECT * FROM t JOIN u ON 1=1; -- create table no (x int)\nCREATE TEMP TABLE t (id int, n numeric(3, 2), PRIMARY KEY (id))"), ("g.toml", "[[dep]]\nname = 'a'\n[[dep]]\nname = 'b'\n"), ("h.yaml", "- name: x\n  run: |\n    not: key\n  'q k': 1\n"), ("i.rst", "Head\n====\n\nSee :ref:`the thing <x>` and ``code``.\n"),
+        ("package-lock.json", "{\"a\": 1}"), ("x.min.js", "function f() {}"), (".hid.py", "def f(): pass"), ("n.py", "def f(): pass\x00"),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    rows = extract.facts(df, "path", "path", "text").collect()
+    nodes = {(r["path"], r["label"], r["kind"]): r["body"] for r in rows if r["part"] == "node"}
+    links = {(r["path"], r["label"], r["kind"], r["other"]) for r in rows if r["part"] == "link"}
+    assert nodes["a.py", "helper", "function"] == "Says what it does." and {("a.py", "C", "inherits", "Base"), ("a.py", "C.go", "calls", "C.run"), ("a.py", "C.go", "calls", "helper")} <= links
+    assert nodes["b.js", "load", "function"] == "Loads." and {("b.js", "load", "calls", "parse"), ("b.js", "", "exports", "load"), ("b.js", "Xa", "inherits", "Ya"), ("c.java", "Ab", "inherits", "Bc"), ("d.rs", "start", "calls", "stop")} <= links and not any(x[3] == "gone" for x in links)
+    assert {("e.md", "Top", "heading"), ("e.md", "Sub", "heading"), ("f.sql", "v", "view"), ("f.sql", "t.n", "column"), ("g.toml", "dep[1].name", "key"), ("h.yaml", "name", "key"), ("h.yaml", "q k", "key"), ("d.rs", "Thing", "impl")} <= set(nodes)
+    assert ("e.md", "Top", "references", "b.md") in links and ("f.sql", "v", "references", "u") in links and ("h.yaml", "run.not", "key") not in nodes and ("f.sql", "no", "table") not in nodes and nodes["i.rst", "Head", "heading"] == "See the thing and code."
+    assert not {p for p, *_ in nodes} & {"package-lock.json", "x.min.js", ".hid.py", "n.py"}
+    assert {tuple(r)[1:] for r in extract.symbol_relations(extract.facts(df, "path", "path", "text"), "path").where("path = 'a.py'").collect()} == {("C::go", "calls", "C::run"), ("C::go", "calls", "helper"), ("C", "inherits", "Base")}
+    many = spark.createDataFrame([("m.py", "\n".join(f"def f{i:03d}(): pass" for i in range(300)))], "path string, text string")
+    assert extract.facts(many, "path", "path", "text").count() == 200 and extract.facts(many, "path", "path", "text", None).count() == 300
+
+
 def test_relation_answers(spark):
     typed = spark.createDataFrame([("people/ada", "works-at", "companies/acme"), ("companies/acme", "founder of", "people/ada"), ("people/lin", "attended", "meetings/review"), ("people/ada", "likes", "people/lin")], "path string, relation string, target string")
     types = spark.createDataFrame([("people/ada", "person"), ("people/lin", "person"), ("companies/acme", "company"), ("meetings/review", "meeting")], "path string, type string")
