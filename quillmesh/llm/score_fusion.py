@@ -18,7 +18,9 @@ from quillmesh.session import cut
 def principal_loadings(shares: DataFrame, scores: list[str]) -> list[float]:
     """Loadings of the first component, each with the sign of its score's direction (all point upwards here).
 
-    A score without variance has correlation 0 with the rest. If the first component is not unique, no score
+    The direction that a caller declares holds: a score that the component would count against it counts for it, at
+    the same weight, so the result is then no longer the component's own projection. (In the project's tables all
+    four point the same way.) A score without variance has correlation 0 with the rest. If the first component is not unique, no score
     is preferred: the loadings are then equal.
     """
     sums = [F.sum(F.col(s) - 0.5).alias(f"s_{s}") for s in scores]
