@@ -139,11 +139,11 @@ def lookup(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFram
     return out
 
 
-def write_index(docs: DataFrame, key: str, fields: dict[str, Column], name: str, buckets: int = 64) -> None:
-    """The hits of all terms as a table bucketed and sorted by term, the totals as a small one beside it."""
+def write_index(docs: DataFrame, key: str, fields: dict[str, Column], name: str, folder: str, buckets: int = 64) -> None:
+    """The hits of all terms as a table ``name`` in ``folder``, bucketed and sorted by term, the totals as a small one beside it."""
     found = cut(lookup(docs, key, fields, None))
-    found.where("term IS NOT NULL").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").format("parquet").saveAsTable(name)
-    found.where("term IS NULL").write.mode("overwrite").format("parquet").saveAsTable(f"{name}_totals")
+    found.where("term IS NOT NULL").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").format("parquet").option("path", f"{folder}/{name}").saveAsTable(name)
+    found.where("term IS NULL").write.mode("overwrite").format("parquet").option("path", f"{folder}/{name}_totals").saveAsTable(f"{name}_totals")
 
 
 def read_index(spark: SparkSession, name: str, terms: DataFrame, literal: int = 400) -> DataFrame:

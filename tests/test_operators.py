@@ -10,7 +10,7 @@ from quillmesh.functions import text as T
 from quillmesh.operators import extract, fusion, graph, learning, ledger, lexical, merging, positions, recall, relations
 
 
-def test_bm25f_against_a_model(spark, monkeypatch):
+def test_bm25f_against_a_model(spark, monkeypatch, tmp_path):
     docs = {"a": ("ledger replay", "ledger ledger note"), "b": ("session", "note " * 50), "c": ("", None)}
     df = spark.createDataFrame([(k, t, b) for k, (t, b) in docs.items()], "key string, title string, body string")
     cues = lexical.cue_terms(spark.createDataFrame([(1, "ledger notes"), (2, "")], "q long, text string"), "q", "text")
@@ -18,7 +18,7 @@ def test_bm25f_against_a_model(spark, monkeypatch):
     hits = lexical.lookup(df, "key", {"title": F.col("title"), "body": F.col("body")}, cues)
     got = {(r["q"], r["key"]): r["score"] for r in lexical.bm25f(hits, "key", n, cues, "q").collect()}
     # The same from a written index, by literal terms and by a join, and past the size of a broadcast.
-    lexical.write_index(df, "key", {"title": F.col("title"), "body": F.col("body")}, "hits_of_docs", 4)
+    lexical.write_index(df, "key", {"title": F.col("title"), "body": F.col("body")}, "hits_of_docs", str(tmp_path), 4)
     for literal in (400, 0):
         again = lexical.bm25f(lexical.read_index(spark, "hits_of_docs", cues, literal), "key", n, cues, "q").collect()
         assert {(r["q"], r["key"]): r["score"] for r in again} == got
