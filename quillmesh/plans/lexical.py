@@ -188,6 +188,14 @@ QUERIES = {f.__name__: f for f in (document_search, note_terms, term_df, field_s
 
 _ASKED = f"""asked AS (SELECT cue_id, unnest(t) AS term, len(t) AS n FROM (SELECT cue_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT (regexp_full_match(w, '[a-z]+') AND length(w) <= 2))) AS t FROM {_CODE_CUE_SOURCE}))"""
 
+_SYMBOLS = f"""pool AS (SELECT DISTINCT file, label AS name, regexp_replace(lower(label), '\\(\\)$', '') AS low FROM (SELECT file, unnest(list_append(coalesce(symbols, []), split_part(p, '/', -1))) AS label FROM src)), {_ASKED},
+words AS (SELECT DISTINCT term FROM asked), pop AS (SELECT count(*) AS n FROM pool),
+rarity AS (SELECT w.term, ln(1 + (SELECT n FROM pop) / (1.0 + count(p.low))) AS w FROM words w LEFT JOIN pool p ON contains(p.low, w.term) GROUP BY w.term),
+cand AS (SELECT a.cue_id, p.file, p.name, a.n, CASE WHEN low = a.term THEN 1000.0 WHEN starts_with(low, a.term) THEN 100.0 ELSE 0.0 END AS tier, contains(low, a.term) AS inside, contains(lower(p.file), a.term) AS place, w
+FROM asked a JOIN rarity USING (term) JOIN pool p ON contains(p.low, a.term) OR contains(lower(p.file), a.term)),
+byname AS (SELECT cue_id, file, name, sum(CASE WHEN inside THEN tier * w ELSE 0 END) AS tiered, sum(CASE WHEN inside AND tier = 0 THEN w ELSE 0 END) + sum(CASE WHEN place THEN 0.5 * w ELSE 0 END) AS plain, sum(CASE WHEN inside THEN 1 ELSE 0 END) AS matched, max(n) AS n FROM cand GROUP BY ALL),
+sc AS (SELECT cue_id, file, length(name) AS length, round(plain + CASE WHEN tiered > 0 THEN tiered * power(matched / n, 2) ELSE 0 END, 6) AS score FROM byname)"""
+
 ORACLE = {
     "document_search": f"""WITH {S.postings('documents', 'doc_id', {'title': 'title', 'body': 'text'})}, {S.cue_terms('eval_items', 'item_id', 'text')}, {S.bm25f('posts', 'doc_id', 'SELECT count(*) FROM documents', 'cues', 'item_id', lexical.BM25F_WEIGHTS)}
 SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= {TOP}""",
@@ -211,12 +219,5 @@ SELECT c.cue_id, n.path, row_number() OVER (PARTITION BY c.cue_id ORDER BY coale
     "lexical_hybrid": f"{_CODE} SELECT cue_id, file, score, rank FROM cfus WHERE rank <= {TOP}",
     "hybrid": f"""{_CODE} SELECT * FROM (SELECT cue_id, file, row_number() OVER (PARTITION BY cue_id ORDER BY CASE WHEN b.rank = 1 THEN 1 ELSE 2 END, f.rank) AS rank
 FROM cfus f LEFT JOIN (SELECT cue_id, file, rank FROM carms WHERE ranking = 'bm25f') b USING (cue_id, file)) WHERE rank <= {TOP}""",
-    "symbol_rank": f"""WITH {_SOURCES}, pool AS (SELECT DISTINCT file, label AS name, regexp_replace(lower(label), '\\(\\)$', '') AS low FROM (SELECT file, unnest(list_append(coalesce(symbols, []), split_part(p, '/', -1))) AS label FROM src)), {_ASKED},
-words AS (SELECT DISTINCT term FROM asked), pop AS (SELECT count(*) AS n FROM pool),
-rarity AS (SELECT w.term, ln(1 + (SELECT n FROM pop) / (1.0 + count(p.low))) AS w FROM words w LEFT JOIN pool p ON contains(p.low, w.term) GROUP BY w.term),
-cand AS (SELECT a.cue_id, p.file, p.name, a.n, CASE WHEN low = a.term THEN 1000.0 WHEN starts_with(low, a.term) THEN 100.0 ELSE 0.0 END AS tier, contains(low, a.term) AS inside, contains(lower(p.file), a.term) AS place, w
-FROM asked a JOIN rarity USING (term) JOIN pool p ON contains(p.low, a.term) OR contains(lower(p.file), a.term)),
-byname AS (SELECT cue_id, file, name, sum(CASE WHEN inside THEN tier * w ELSE 0 END) AS tiered, sum(CASE WHEN inside AND tier = 0 THEN w ELSE 0 END) + sum(CASE WHEN place THEN 0.5 * w ELSE 0 END) AS plain, sum(CASE WHEN inside THEN 1 ELSE 0 END) AS matched, max(n) AS n FROM cand GROUP BY ALL),
-sc AS (SELECT cue_id, file, length(name) AS length, round(plain + CASE WHEN tiered > 0 THEN tiered * power(matched / n, 2) ELSE 0 END, 6) AS score FROM byname)
-SELECT cue_id, file, max(score) AS score, arg_max(length, (score, -length))::BIGINT AS length FROM sc GROUP BY ALL""",
+    "symbol_rank": f"WITH {_SOURCES}, {_SYMBOLS} SELECT cue_id, file, max(score) AS score, arg_max(length, (score, -length))::BIGINT AS length FROM sc GROUP BY ALL",
 }

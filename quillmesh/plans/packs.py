@@ -10,7 +10,7 @@ from quillmesh.operators import activation, extract, fusion, graph, lexical, pac
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.graphs import _ACTIVATE, _EDGES, _STATE, _USED, _activated, note_edges, note_state, used_with
-from quillmesh.plans.lexical import _SOURCES, code_arms, hybrid
+from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_PRELUDE, _SOURCES, code_arms, hybrid
 from quillmesh.plans.scalars import superseded
 from quillmesh.session import cut, small, table
 from quillmesh.sources import bundle, sinks
@@ -27,7 +27,7 @@ def facet_recall(spark, sf_dir):
     terms = cut(lexical.cue_terms(facet, "facet_id", "cue"))
     hits = lexical.lookup(tables.notes(spark, sf_dir), "path", tables.note_fields(), terms)
     s = lexical.overlap_hits(hits, "path", terms, "facet_id", lexical.OVERLAP_WEIGHTS).join(facet.drop("cue"), "facet_id")
-    return s.groupBy("cue_id", "path").agg(F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"), F.count(F.lit(1)).alias("facets"))
+    return s.groupBy("cue_id", "path").agg(F.sum(F.col("weight").cast("decimal(2,1)") * F.col("score").cast("decimal(18,6)")).cast("double").alias("score"), F.count(F.lit(1)).alias("facets"))
 
 
 def _chosen(spark, sf_dir):
@@ -176,7 +176,22 @@ from quillmesh.plans.graphs import _MASK, _TYPED  # noqa: E402
 _SLUG = "trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-')"
 _CP = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
 
+def _cue_parts(source: str, key: str) -> str:
+    """CTEs ending in ``cp`` (key, n, cue, weight, origin): the parts of questions; these have no quotations in the tables."""
+    words = rf"regexp_extract_all(lower(whole), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}_.-]*')"
+    rare = f"NOT list_contains({S.STOP}, w) AND (length(w) >= 5 OR regexp_matches(w, '[0-9]'))"
+    runs = f"list_transform(string_split(array_to_string(list_transform({words}, lambda w: CASE WHEN {rare} THEN w ELSE chr(1) END), ' '), chr(1)), lambda r: list_filter(string_split(trim(r), ' '), lambda x: x <> ''))"
+    return rf"""qq AS (SELECT {key}, text AS raw, trim(regexp_replace(text, '\s+', ' ', 'g')) AS whole FROM {source} WHERE text IS NOT NULL), cl AS (SELECT {key}, flatten(list_transform(regexp_split_to_array(raw, '[.?!;\n]+'), lambda s: regexp_split_to_array(s, '(?i),|\b(?:and|or|but|versus|vs)\b'))) AS c FROM qq),
+rr AS (SELECT {key}, unnest(r) AS run, unnest(range(1, len(r) + 1)) AS i FROM (SELECT {key}, {runs} AS r FROM qq)), ra AS (SELECT {key}, array_to_string(run[1:3], ' ') AS cue, row_number() OVER (PARTITION BY {key} ORDER BY len(run) DESC, i) AS i FROM rr WHERE len(run) > 0 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY len(run) DESC, i) <= 4),
+pa AS (SELECT {key}, 0 AS k, 0 AS i, whole AS cue, 1.0 AS weight, 'query' AS origin, 1 AS least FROM qq UNION ALL SELECT {key}, 2, i, trim(regexp_replace(c[i], '\s+', ' ', 'g')), 0.7, 'clause', 2 FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM cl WHERE len(c) > 1) UNION ALL SELECT {key}, 3, i, cue, 0.5, 'rare', 1 FROM ra),
+pt AS (SELECT *, list_sort(list_distinct({S.terms('cue')})) AS t FROM pa), pf AS (SELECT * FROM pt WHERE len(t) >= least QUALIFY row_number() OVER (PARTITION BY {key}, t ORDER BY k, i) = 1),
+cp AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY k, i) - 1 AS n, cue, weight::DOUBLE AS weight, origin, t FROM pf QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY k, i) <= 10)"""
+
+
 ORACLE = {
+    "query_cues": f"WITH {_cue_parts('eval_items', 'item_id')} SELECT item_id, n, cue, weight, origin FROM cp",
+    "facet_recall": f"""{_NOTE_PRELUDE}, {_cue_parts(_CUE_SOURCE, 'cue_id')}, cf AS (SELECT cue_id, n, weight, unnest(t) AS term, len(t) AS size FROM cp), sf AS (SELECT cue_id, n, path, max(weight) AS weight, round(sum({S.weight(lexical.OVERLAP_WEIGHTS)}) / max(size), 6) AS score FROM posts JOIN cf USING (term) GROUP BY ALL)
+SELECT cue_id, path, sum(weight::DECIMAL(2,1) * score::DECIMAL(18,6))::DOUBLE AS score, count(*) AS facets FROM sf GROUP BY ALL""",
     "landmarks": f"""WITH {S.NOTES}, {_EDGES}, {_STATE}, dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM ed UNION ALL SELECT dst FROM ed) GROUP BY node)
 SELECT * FROM (SELECT row_number() OVER (ORDER BY CASE WHEN strength > 0 THEN strength END DESC NULLS LAST, coalesce(list_contains(tags, 'test'), false), coalesce(degree, 0) DESC, path) AS n, path, path IN (SELECT path FROM sup) AS superseded
 FROM notes1 LEFT JOIN ns ON ns.node = path LEFT JOIN dg ON dg.node = path WHERE strength > 0 OR note_type IS DISTINCT FROM 'import') WHERE n <= 40""",

@@ -11,7 +11,7 @@ from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.dependencies import source_graph
 from quillmesh.plans.graphs import _walk_sql
-from quillmesh.plans.lexical import _CODE, code_arms, symbol_rank
+from quillmesh.plans.lexical import _CODE, _SYMBOLS, code_arms, symbol_rank
 from quillmesh.session import cut, table
 
 TOP = 10
@@ -98,6 +98,8 @@ _W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 ORACLE = {
     "graph_fusion": f"{_GRAPH} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, file) AS rank FROM (SELECT cue_id, file, round(sum(CASE WHEN ranking = 'graph' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM gall GROUP BY ALL)) WHERE rank <= {TOP}",
+    "structural_fusion": f"""{_GRAPH}, {_SYMBOLS}, sy AS (SELECT cue_id, file, max(score) AS score, arg_max(length, (score, -length)) AS length FROM sc GROUP BY ALL), st AS (SELECT cue_id, 'symbol' AS ranking, file, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, length, file) AS rank FROM sy WHERE score > 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY score DESC, file) AS rank FROM (SELECT cue_id, file, round(sum(CASE WHEN ranking = 'graph' THEN 0.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM gall UNION ALL SELECT * FROM st) GROUP BY ALL)) WHERE rank <= {TOP}""",
     "routed_comment": f"""{_CODE}, wt AS (SELECT cue_id, file, round(sum(CASE ranking WHEN 'bm25f' THEN 1.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 12) AS score FROM carms GROUP BY ALL)
 SELECT * FROM (SELECT cue_id, w.file, row_number() OVER (PARTITION BY cue_id ORDER BY CASE WHEN b.rank <= 2 THEN b.rank ELSE 1e9 END, score DESC, w.file) AS rank FROM wt w LEFT JOIN (SELECT cue_id, file, rank FROM carms WHERE ranking = 'bm25f') b USING (cue_id, file)) WHERE rank <= {TOP}""",
     "eligible_entities": rf"""WITH {S.NOTES}, i AS (SELECT path, {_W.format("coalesce(title, '')")} AS w FROM notes1), ow AS (SELECT array_to_string(w, ' ') AS identity, min(path) AS path FROM i WHERE len(w) >= 2 GROUP BY 1 HAVING count(DISTINCT path) = 1),
