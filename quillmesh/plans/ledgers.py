@@ -166,7 +166,7 @@ def feedback_domains(spark, sf_dir):
 
 def assoc_learn(spark, sf_dir):
     """What each positive feedback's session should associate with its domain."""
-    f = table(spark, sf_dir, "feedback_events").where("polarity > 0 AND text IS NOT NULL AND session_id IS NOT NULL AND domain IS NOT NULL").select("event_id", "session_id", F.lower(F.trim("domain")).alias("note"), "text").distinct()
+    f = table(spark, sf_dir, "feedback_events").where("polarity > 0 AND text IS NOT NULL").select("event_id", F.coalesce("session_id", F.lit("")).alias("session_id"), F.coalesce(F.nullif(F.lower(F.trim("domain")), F.lit("")), F.lit("general")).alias("note"), "text").distinct()
     return learning.associations(f, "session_id", "note", F.col("text"))
 
 
@@ -266,7 +266,7 @@ k AS (SELECT user_id, kind, arg_min(ordinal, (t, ordinal)) AS ordinal FROM e GRO
     "session_metrics": f"{_DAY} SELECT * FROM sm",
     "hit_rate": f"{_DAY} SELECT sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, round(sum(hits) / nullif(sum(hits) + sum(misses), 0), 6) AS rate FROM sm",
     "feedback_domains": "SELECT coalesce(nullif(lower(trim(domain)), ''), 'general') AS domain, polarity, count(*) AS n, count(DISTINCT session_id) AS sessions FROM (SELECT event_id, min(domain) AS domain, min(polarity) AS polarity, min(session_id) AS session_id FROM feedback_events GROUP BY event_id) GROUP BY ALL",
-    "assoc_learn": f"""WITH f AS (SELECT DISTINCT event_id, session_id, lower(trim(domain)) AS note, text FROM feedback_events WHERE polarity > 0 AND text IS NOT NULL AND session_id IS NOT NULL AND domain IS NOT NULL),
+    "assoc_learn": f"""WITH f AS (SELECT DISTINCT event_id, coalesce(session_id, '') AS session_id, coalesce(nullif(lower(trim(domain)), ''), 'general') AS note, text FROM feedback_events WHERE polarity > 0 AND text IS NOT NULL),
 t AS (SELECT DISTINCT note, token FROM (SELECT note, unnest(list_distinct({S.terms('text')})) AS token FROM f)), r AS (SELECT *, row_number() OVER (PARTITION BY note ORDER BY length(token) DESC, token) AS r FROM t)
 SELECT note, string_agg(token, ' ' ORDER BY r) AS tokens, (SELECT least(1.0, count(DISTINCT session_id) * 0.5)::DOUBLE FROM f WHERE f.note = r.note) AS w FROM r WHERE r <= 16 GROUP BY note""",
     "personalized_rank": """WITH o AS (SELECT query_id, evidence_id, arg_max(base_rank, logged_at) AS rank, arg_max(strength, logged_at) AS st, arg_max(association, logged_at) AS a, arg_max(co_use, logged_at) AS c, arg_max(wasted, logged_at) AS w FROM code_memory_evidence GROUP BY ALL),

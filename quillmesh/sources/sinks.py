@@ -16,11 +16,6 @@ def has_files(spark: SparkSession, path: str) -> bool:
     return files.exists(where) and len(files.listStatus(where)) > 0
 
 
-def write_postings(postings: DataFrame, name: str, buckets: int = 64) -> None:
-    """The inverted index as a table bucketed and sorted by term: a cue's terms read only their buckets."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").format("parquet").saveAsTable(name)
-
-
 def index_lines(notes: DataFrame) -> DataFrame:
     """(folder, line) of an index: one line a note, in order of path within its top folder."""
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(F.lit(""))

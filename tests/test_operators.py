@@ -195,6 +195,14 @@ def test_ledger_union(spark):
     df = spark.createDataFrame([("x", "l1", 2.0), ("x", "l1", 1.0), ("y", "a", 1.0), ("y", "b", 1.0)], "id string, line string, ts double")
     got = {r["id"]: (r["line"], r["copies"], r["conflict"]) for r in merging.union_identified(df, "id", [F.col("ts")], F.col("line")).collect()}
     assert got == {"x": ("l1", 2, False), "y": ("a", 2, True)}
+    with pytest.raises(ValueError):
+        merging.union_identified(df, "id", [F.col("ts")], F.col("line"), refuse=True)
+    assert merging.union_identified(df.where("id = 'x'"), "id", [F.col("ts")], F.col("line"), refuse=True).count() == 1
+    lines = spark.createDataFrame([(1, 0, "b"), (1, 1, "a"), (1, 2, "a"), (2, 0, "c"), (2, 1, "a"), (3, 0, "0")], "r int, o int, l string")
+    assert merging.legacy_order(lines, "r", "o", "l") == [("0", 1), ("b", 1), ("c", 1), ("a", 1), ("a", 2)]
+    for bad in (lambda: merging.legacy_order(lines.union(spark.createDataFrame([(4, 0, "a"), (4, 1, "b")], lines.schema)), "r", "o", "l"), lambda: merging.legacy_order(lines, "r", "o", "l", most=3)):
+        with pytest.raises(ValueError):
+            bad()
     rep = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "r int, l string")
     assert sorted((r["l"], r["occurrence"]) for r in merging.union_legacy(rep, "r", "l").collect()) == [("a", 1), ("a", 2), ("b", 1)]
 
