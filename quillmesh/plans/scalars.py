@@ -113,7 +113,7 @@ def query_routes(spark, sf_dir):
 def note_types(spark, sf_dir):
     """Types as notes declare them or their folders tell, and how long each has been stale."""
     n = tables.notes(spark, sf_dir)
-    late = F.unix_timestamp(F.lit(TODAY), "yyyy-MM-dd") - F.unix_timestamp(F.left("stale_after", F.lit(10)), "yyyy-MM-dd")
+    late = F.unix_timestamp(F.lit(TODAY), "yyyy-MM-dd") - F.unix_timestamp(F.try_to_timestamp(F.left("stale_after", F.lit(10)), F.lit("yyyy-MM-dd")))
     return n.select("path", T.note_type(F.when(F.col("note_id") % 2 == 0, F.col("note_type")), F.col("path")).alias("type"), F.when(late > 0, T.age(late)).alias("stale_for"), T.ledger_path(F.regexp_replace("path", r"\.md$", "")).alias("key"))
 
 

@@ -84,4 +84,7 @@ def test_activation_against_a_model(spark):
     assert said["b"].startswith("via a in 1 step; score") and said["a"].startswith("words 2.000")
     plain = activation.activate(activation.seeds(lex, "q"), p, "q", steps=0)
     assert {r["node"]: r["score"] for r in plain.collect()} == {"a": 2.0, "c": 0.5}
+    assert activation.activate(activation.seeds(lex.limit(0), "q"), p, "q", s).count() == 0
+    alone = activation.activate(activation.seeds(lex, "q"), p.limit(0), "q", carriers=True).collect()
+    assert {r["node"]: r["score"] for r in alone} == {"a": 2.0, "c": 0.5} and all(r["carrier"] is None for r in alone)
     assert activation.floored(s.where("node = 'b'"), spark.createDataFrame([("g",)], "node string")).agg(F.sum("strength")).first()[0] == 1.0

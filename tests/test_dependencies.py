@@ -34,6 +34,8 @@ def test_imports_resolve(spark):
     many = {(r["src"][2:], r["dst"][2:], r["relation"]) for r in D.import_edges(_files(spark), limit=2).collect()}
     assert ("y/dup.py", "x/dup.py", "imports_ambiguous") in many and len(many) == len(got) + 1
     assert D.import_edges(_files(spark).limit(0)).count() == 0
+    odd = spark.createDataFrame([("r", "x", None, ["a"]), ("r", "y", "", ["", ".", "..", "/"]), ("r", "z", "a.py", [None])], "scope string, file string, path string, imports array<string>")
+    assert D.import_edges(odd).where("src <> 'x'").count() == 0
 
 
 def test_symbol_edges(spark):

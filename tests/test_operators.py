@@ -17,6 +17,9 @@ def test_bm25f_against_a_model(spark, monkeypatch, tmp_path):
     n = df.agg(F.count(F.lit(1)).alias("n"))
     hits = lexical.lookup(df, "key", {"title": F.col("title"), "body": F.col("body")}, cues)
     got = {(r["q"], r["key"]): r["score"] for r in lexical.bm25f(hits, "key", n, cues, "q").collect()}
+    nothing = lexical.lookup(df.limit(0), "key", {"title": F.col("title"), "body": F.col("body")}, cues)
+    assert lexical.bm25f(nothing, "key", df.limit(0).agg(F.count(F.lit(1)).alias("n")), cues, "q").count() == 0 == lexical.overlap_hits(nothing, "key", cues, "q", lexical.OVERLAP_WEIGHTS).count()
+    assert lexical.lookup(df, "key", {"title": F.col("title")}, cues.limit(0)).where("term IS NOT NULL").count() == 0
     # The same from a written index, by literal terms and by a join, and past the size of a broadcast.
     lexical.write_index(df, "key", {"title": F.col("title"), "body": F.col("body")}, "hits_of_docs", str(tmp_path), 4)
     for literal in (400, 0):
