@@ -36,6 +36,11 @@ def fused(rankings: DataFrame, query: str, key: str, weights: dict[str, float] |
     return out.where(F.col("rank") <= limit) if limit else out
 
 
+def contender_depth(weights: list[float], limit: int) -> int:
+    """The place beyond which, in all rankings of these weights, no key of the best ``limit`` stands."""
+    return int(sum(weights) / min(weights) * (RANK_CONSTANT + limit)) - RANK_CONSTANT + 1
+
+
 def _contenders(rankings: DataFrame, query: str, key: str, weights: dict[str, float] | None, limit: int) -> DataFrame:
     """The ranks of keys that some ranking has in front, as far as it must be looked at for the best ``limit`` of the fused
     ranking to be among them.
@@ -47,16 +52,16 @@ def _contenders(rankings: DataFrame, query: str, key: str, weights: dict[str, fl
     each = [float((weights or {}).get(n, 1.0)) for n in names]
     if len(names) > 100 or not each or min(each) <= 0:
         return rankings
-    depth = int(sum(each) / min(each) * (RANK_CONSTANT + limit)) - RANK_CONSTANT + 1
+    depth = contender_depth(each, limit)
     return rankings.join(rankings.where(F.col("rank") <= depth).select(query, key).distinct(), [query, key], "left_semi")
 
 
-def protected(primary: DataFrame, rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
+def protected(primary: DataFrame, rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None, limit: int | None = None, unique: bool = False) -> DataFrame:
     """The first ``keep`` keys of ``primary`` stay in front, the fused rest follows."""
-    return diverse_protected([primary], rankings, query, key, keep, weights, limit)
+    return diverse_protected([primary], rankings, query, key, keep, weights, limit, unique)
 
 
-def diverse_protected(sources: list[DataFrame], rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
+def diverse_protected(sources: list[DataFrame], rankings: DataFrame, query: str, key: str, keep: int = 1, weights: dict[str, float] | None = None, limit: int | None = None, unique: bool = False) -> DataFrame:
     """(query, key, rank): ``keep`` new keys of each source in turn, then the fused rest; only the first ``limit`` if given.
 
     A source's keys that an earlier source already brought are passed over, however many they are.
@@ -68,7 +73,7 @@ def diverse_protected(sources: list[DataFrame], rankings: DataFrame, query: str,
         new = new.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy("rank", key))).where(F.col("pos") <= keep)
         new = new.select(query, key, (F.lit(n * keep) + F.col("pos")).alias("pos"))
         front = new if front is None else front.unionByName(new)
-    rest = fused(rankings, query, key, weights, limit + keep * len(sources) if limit else None)
+    rest = fused(rankings, query, key, weights, limit + keep * len(sources) if limit else None, unique)
     all_keys = reduce(DataFrame.unionByName, [rest.select(query, key), front.select(query, key)]).distinct()
     placed = all_keys.join(front, [query, key], "left").join(rest.select(query, key, F.col("rank").alias("r")), [query, key], "left")
     order = Window.partitionBy(query).orderBy(F.coalesce("pos", F.lit(2**31)), F.coalesce("r", F.lit(2**31)), key)

@@ -52,17 +52,17 @@ def anchors_of(queries: DataFrame, query: str, parts: list[str], text: str, path
     return first.select(query, "anchor", F.row_number().over(Window.partitionBy(query).orderBy("n", "anchor")).cast("long").alias("n"))
 
 
-def routed(rankings: DataFrame, query: str, key: str, route: str) -> DataFrame:
+def routed(rankings: DataFrame, query: str, key: str, route: str, unique: bool = False) -> DataFrame:
     """(query, key, rank) of (query, ranking, key, rank) under a route's weights; unknown rankings weigh nothing there.
 
-    Rankings of no weight still bring their keys, after all others.
+    Rankings of no weight still bring their keys, after all others. ``unique`` says that no ranking repeats a key.
     """
     weights, front = ROUTES[route]
     if not weights:
-        return fusion.fused(rankings, query, key).select(query, key, "rank")
+        return fusion.fused(rankings, query, key, unique=unique).select(query, key, "rank")
     known = rankings.where(F.col("ranking").isin(*weights))
     if not front:
-        return fusion.fused(known, query, key, weights).select(query, key, "rank")
+        return fusion.fused(known, query, key, weights, unique=unique).select(query, key, "rank")
     placed: DataFrame | None = None
     offset = 0
     for name, keep in front:
@@ -72,7 +72,7 @@ def routed(rankings: DataFrame, query: str, key: str, route: str) -> DataFrame:
         own = source.withColumn("pos", F.row_number().over(Window.partitionBy(query).orderBy("rank", key))).where(F.col("pos") <= keep).select(query, key, (F.col("pos") + offset).alias("pos"))
         placed = own if placed is None else placed.unionByName(own)
         offset += keep
-    rest = fusion.fused(known, query, key, weights)
+    rest = fusion.fused(known, query, key, weights, unique=unique)
     joined = rest.join(placed, [query, key], "left")
     order = Window.partitionBy(query).orderBy(F.coalesce("pos", F.lit(2**31)), F.col("rank"))
     return joined.select(query, key, F.row_number().over(order).alias("rank"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activation, graph, learning, lexical
+from quillmesh.operators import activation, blocks, graph, learning, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_OVERLAP, _NOTE_PRELUDE, _cues, _note_hits
@@ -107,13 +107,16 @@ def goal_relevance(spark, sf_dir):
 
 
 def _goal_relevance(spark, sf_dir):
-    from quillmesh.plans.scalars import goal_alignment
+    from quillmesh.plans.scalars import aligned_fields
 
     goals = table(spark, sf_dir, "notes").where("note_id % 100 = 0 AND length(title) > 0").select(F.col("note_id").alias("goal_id"), F.col("title").alias("text"))
     terms = cut(lexical.cue_terms(goals, "goal_id", "text"))
-    r = lexical.overlap_hits(lexical.lookup(tables.notes(spark, sf_dir), "path", tables.note_fields(), terms), "path", terms, "goal_id", lexical.OVERLAP_WEIGHTS)
-    aligned = goal_alignment(spark, sf_dir).select("goal_id", "path")
-    return r.join(aligned, ["goal_id", "path"], "left_semi").groupBy(F.col("path").alias("node")).agg(F.max("score").alias("goal"))
+
+    def best(part):
+        ix = blocks.index(tables.notes(spark, sf_dir), "path", tables.note_fields() | aligned_fields(), part, "goal_id")
+        return blocks.best_goal(ix, blocks.Arm("overlap", lexical.OVERLAP_WEIGHTS), "all", "plain")
+
+    return blocks.over(terms, "goal_id", best).groupBy(F.col("path").alias("node")).agg(F.max("goal").alias("goal"))
 
 
 def _learned(spark, sf_dir):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.operators import fusion, lexical
+from quillmesh.functions import text as T
+from quillmesh.operators import blocks, fusion, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.session import cut, small, table
@@ -49,10 +52,15 @@ def _note_hits(spark: SparkSession, sf_dir: str, cues: DataFrame) -> DataFrame:
     return cut(lexical.lookup(tables.notes(spark, sf_dir), "path", tables.note_fields(), cues))
 
 
+_NOTE_ARMS = {"bm25f": blocks.Arm("bm25f", lexical.BM25F_WEIGHTS, bm25=True), "overlap": blocks.Arm("overlap", lexical.OVERLAP_WEIGHTS)}
+
+
 def bm25f(spark, sf_dir):
-    notes, cues = tables.notes(spark, sf_dir), cut(_cues(spark, sf_dir))
-    scores = lexical.bm25f(_note_hits(spark, sf_dir, cues), "path", _count(notes), cues, "cue_id")
-    return lexical.ranked(scores, "cue_id", "path", TOP).withColumn("rank", F.col("rank").cast("long"))
+    def best(cues: DataFrame) -> DataFrame:
+        return blocks.best(blocks.index(tables.notes(spark, sf_dir), "path", tables.note_fields(), cues, "cue_id"), [_NOTE_ARMS["bm25f"]], TOP)
+
+    out = blocks.over(cut(_cues(spark, sf_dir)), "cue_id", best)
+    return out.select("cue_id", "path", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def document_search(spark, sf_dir):
@@ -71,35 +79,37 @@ _NOTE_BM25 = f"{_NOTE_PRELUDE}, {S.cue_terms(_CUE_SOURCE, 'cue_id', 'text')}, {S
 _NOTE_OVERLAP = f"SELECT cue_id, path, round(sum({S.weight(lexical.OVERLAP_WEIGHTS)}) / max(n_terms), 6) AS score FROM posts JOIN cues USING (term) GROUP BY ALL"
 
 
-def _note_arms(spark, sf_dir) -> DataFrame:
-    notes, cues = tables.notes(spark, sf_dir), cut(_cues(spark, sf_dir))
-    hits = _note_hits(spark, sf_dir, cues)
-    bm = lexical.ranked(lexical.bm25f(hits, "path", _count(notes), cues, "cue_id"), "cue_id", "path")
-    ov = lexical.ranked(lexical.overlap_hits(hits, "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS), "cue_id", "path")
-    both = bm.select("cue_id", F.lit("bm25f").alias("ranking"), "path", "rank").unionByName(ov.select("cue_id", F.lit("overlap").alias("ranking"), "path", "rank"))
-    return cut(both)  # every fusion reads the arms several times
+def _note_arms(spark, sf_dir, limit: int) -> DataFrame:
+    """(cue_id, ranking, path, rank) of the notes that can be among the best ``limit`` of both rankings fused."""
+    arms = list(_NOTE_ARMS.values())
+
+    def front(cues: DataFrame) -> DataFrame:
+        ix = blocks.index(tables.notes(spark, sf_dir), "path", tables.note_fields(), cues, "cue_id")
+        return blocks.contenders(ix, arms, fusion.contender_depth([1.0] * len(arms), limit))
+
+    return blocks.over(cut(_cues(spark, sf_dir)), "cue_id", front).drop("score")
 
 
 def rrf(spark, sf_dir):
     """BM25F and overlap, fused."""
-    return fusion.fused(_note_arms(spark, sf_dir), "cue_id", "path", limit=TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
+    return fusion.fused(_note_arms(spark, sf_dir, TOP), "cue_id", "path", limit=TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def protected_fusion(spark, sf_dir):
-    arms = _note_arms(spark, sf_dir)
-    out = fusion.protected(arms.where("ranking = 'overlap'"), arms, "cue_id", "path", keep=2, limit=TOP)
+    arms = _note_arms(spark, sf_dir, TOP + 2)
+    out = fusion.protected(arms.where("ranking = 'overlap'"), arms, "cue_id", "path", keep=2, limit=TOP, unique=True)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def diverse_protected(spark, sf_dir):
-    arms = _note_arms(spark, sf_dir)
-    out = fusion.diverse_protected([arms.where("ranking = 'bm25f'"), arms.where("ranking = 'overlap'")], arms, "cue_id", "path", keep=2, limit=TOP)
+    arms = _note_arms(spark, sf_dir, TOP + 4)
+    out = fusion.diverse_protected([arms.where("ranking = 'bm25f'"), arms.where("ranking = 'overlap'")], arms, "cue_id", "path", keep=2, limit=TOP, unique=True)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def complete_ranking(spark, sf_dir):
     """Every note for every cue: the overlapping ones by rank, the rest in order of path."""
-    arms = _note_arms(spark, sf_dir).where("ranking = 'overlap'")
+    arms = lexical.ranked(overlap_rank(spark, sf_dir), "cue_id", "path")
     universe = tables.notes(spark, sf_dir).select("path").join(small(tables.note_cues(spark, sf_dir).select("cue_id")), how="cross")  # a stated query set against all rows
     return fusion.complete(arms, universe, "cue_id", "path").withColumn("rank", F.col("rank").cast("long"))
 
@@ -114,57 +124,52 @@ def _code_cues(spark, sf_dir):
     return lexical.cue_terms(tables.code_cues(spark, sf_dir), "cue_id", "text")
 
 
-def _halve_tests(scores: DataFrame) -> DataFrame:
-    from quillmesh.functions import text as T
+_CODE_ARMS = {"bm25f": blocks.Arm("bm25f", lexical.BM25F_WEIGHTS, bm25=True), "exact": blocks.Arm("exact", lexical.EXACT_WEIGHTS, mean=False), "overlap": blocks.Arm("overlap", lexical.CODE_WEIGHTS)}
+
+
+def _over_code(spark: SparkSession, sf_dir: str, work: Callable[[blocks.Index], DataFrame]) -> DataFrame:
+    """``work`` over the source files, of which tests count half."""
+    test = T.is_test_source(F.substring_index("file", ":", -1))
+    return blocks.over(cut(_code_cues(spark, sf_dir)), "cue_id", lambda cues: work(blocks.index(tables.sources(spark, sf_dir), "file", tables.source_fields(), cues, "cue_id", test)))
 
-    path = F.substring_index("file", ":", -1)
-    return scores.withColumn("score", F.when(T.is_test_source(path), F.col("score") * 0.5).otherwise(F.col("score")))
 
+def code_arms(spark: SparkSession, sf_dir: str, limit: int, arms: tuple[str, ...] = ("bm25f", "exact"), weights: dict[str, float] | None = None, more: Callable[[DataFrame], DataFrame | None] | None = None) -> DataFrame:
+    """(cue_id, ranking, file, score, rank) of the files that can be among the best ``limit`` of the arms fused, with their
+    places in each arm; ``weights`` are those of all rankings to be fused, ``more`` names files that others bring."""
+    depth = fusion.contender_depth(list((weights or dict.fromkeys(arms, 1.0)).values()), limit)
+    return _over_code(spark, sf_dir, lambda ix: blocks.contenders(ix, [_CODE_ARMS[a] for a in arms], depth, more))
 
-def code_arms(spark: SparkSession, sf_dir: str, arms: tuple[str, ...] = ("bm25f", "exact"), top: int | None = None) -> DataFrame:
-    """(cue_id, ranking, file, score, rank) of the arms asked for, whole or the ``top`` of each cue, from one pass over the
-    source files."""
-    files, cues = tables.sources(spark, sf_dir), cut(_code_cues(spark, sf_dir))
-    hits = cut(lexical.lookup(files, "file", tables.source_fields(), cues))
-    scored = {
-        "bm25f": lambda: lexical.bm25f(hits, "file", _count(files), cues, "cue_id"),
-        "exact": lambda: lexical.overlap_hits(hits, "file", cues, "cue_id", lexical.EXACT_WEIGHTS, mean=False),
-        "overlap": lambda: lexical.overlap_hits(hits, "file", cues, "cue_id", lexical.CODE_WEIGHTS),
-    }
-    out = None
-    for name in arms:
-        arm = lexical.ranked(_halve_tests(scored[name]()), "cue_id", "file", top).select("cue_id", F.lit(name).alias("ranking"), "file", "score", "rank")
-        out = arm if out is None else out.unionByName(arm)
-    return cut(out)
+
+def _code_best(spark: SparkSession, sf_dir: str, arm: str) -> DataFrame:
+    out = _over_code(spark, sf_dir, lambda ix: blocks.best(ix, [_CODE_ARMS[arm]], TOP))
+    return out.select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def code_overlap_rank(spark, sf_dir):
-    return code_arms(spark, sf_dir, ("overlap",), TOP).select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
+    return _code_best(spark, sf_dir, "overlap")
 
 
 def exact_rank(spark, sf_dir):
-    return code_arms(spark, sf_dir, ("exact",), TOP).select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
+    return _code_best(spark, sf_dir, "exact")
 
 
 def code_bm25f(spark, sf_dir):
-    return code_arms(spark, sf_dir, ("bm25f",), TOP).select("cue_id", "file", "score", F.col("rank").cast("long").alias("rank"))
+    return _code_best(spark, sf_dir, "bm25f")
 
 
 def lexical_hybrid(spark, sf_dir):
-    arms = code_arms(spark, sf_dir).drop("score")
+    arms = code_arms(spark, sf_dir, TOP).drop("score")
     return fusion.fused(arms, "cue_id", "file", limit=TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 def hybrid(spark, sf_dir):
     """The default code search: the best BM25F file stays in front, the rest is fused with the exact ranking."""
-    arms = code_arms(spark, sf_dir).drop("score")
-    out = fusion.protected(arms.where("ranking = 'bm25f'"), arms, "cue_id", "file", keep=1, limit=TOP)
+    arms = code_arms(spark, sf_dir, TOP + 1).drop("score")
+    out = fusion.protected(arms.where("ranking = 'bm25f'"), arms, "cue_id", "file", keep=1, limit=TOP, unique=True)
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 def symbol_rank(spark, sf_dir):
-    from quillmesh.functions import text as T
-
     files = tables.sources(spark, sf_dir)
     labels = files.select("file", F.explode(F.array_union(F.coalesce("symbols", F.array().cast("array<string>")), F.array(T.base_name(F.col("path"))))).alias("label"))
     scores = lexical.symbol_scores(labels, "file", "label", tables.code_cues(spark, sf_dir), "cue_id", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activation, extract, fusion, graph, lexical, packs, recall
+from quillmesh.operators import activation, blocks, extract, fusion, graph, lexical, packs, recall
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.graphs import _ACTIVATE, _EDGES, _STATE, _USED, _activated, note_edges, note_state, used_with
@@ -24,10 +24,15 @@ def facet_recall(spark, sf_dir):
     """Notes for each held-out question over all its cues, weighted."""
     c = recall.cues(tables.note_cues(spark, sf_dir), "cue_id", "text")
     facet = c.select(F.concat_ws(":", "cue_id", "n").alias("facet_id"), "cue", "weight", "cue_id")
-    terms = cut(lexical.cue_terms(facet, "facet_id", "cue"))
-    hits = lexical.lookup(tables.notes(spark, sf_dir), "path", tables.note_fields(), terms)
-    s = lexical.overlap_hits(hits, "path", terms, "facet_id", lexical.OVERLAP_WEIGHTS).join(facet.drop("cue"), "facet_id")
-    return s.groupBy("cue_id", "path").agg(F.sum(F.col("weight").cast("decimal(2,1)") * F.col("score").cast("decimal(18,6)")).cast("double").alias("score"), F.count(F.lit(1)).alias("facets"))
+    facet = cut(facet)
+
+    def sums(terms):
+        ix = blocks.index(tables.notes(spark, sf_dir), "path", tables.note_fields(), terms.drop("cue_id"), "facet_id")
+        own = facet.join(terms.select("facet_id").distinct(), "facet_id", "left_semi").select("facet_id", "cue_id", "weight")
+        return blocks.weighted_sums(ix, blocks.Arm("overlap", lexical.OVERLAP_WEIGHTS), own, "cue_id", "weight")
+
+    terms = lexical.cue_terms(facet, "facet_id", "cue").join(facet.select("facet_id", "cue_id"), "facet_id")
+    return blocks.over(cut(terms), "cue_id", sums).select("cue_id", "path", "score", F.col("n").alias("facets"))
 
 
 def _chosen(spark, sf_dir):
@@ -74,8 +79,8 @@ def compact_pack(spark, sf_dir):
 
 def code_pack(spark, sf_dir):
     """The five best files of the hybrid ranking for each question, as one page of excerpts."""
-    arms = code_arms(spark, sf_dir, ("bm25f", "exact"))
-    best = cut(fusion.protected(arms.where("ranking = 'bm25f'").drop("score"), arms.drop("score"), "cue_id", "file", keep=1).where("rank <= 5"))
+    arms = code_arms(spark, sf_dir, 6)
+    best = cut(fusion.protected(arms.where("ranking = 'bm25f'").drop("score"), arms.drop("score"), "cue_id", "file", keep=1, limit=5, unique=True))
     found = arms.join(best.select("cue_id", "file"), ["cue_id", "file"], "left_semi").groupBy("cue_id", "file").agg(F.array_sort(F.collect_list(F.struct(F.col("ranking").alias("arm"), F.col("rank").cast("int").alias("rank")))).alias("arms"))
     ranked = best.join(found, ["cue_id", "file"]).select("cue_id", F.col("file").alias("path"), "rank", "arms")
     files = tables.sources(spark, sf_dir).select(F.col("file").alias("path"), "text", F.transform("symbol_locations", lambda s: F.struct(s["symbol"].alias("symbol"), s["line"].alias("line"))).alias("symbols"))

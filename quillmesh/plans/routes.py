@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
@@ -17,8 +19,7 @@ from quillmesh.session import cut, table
 TOP = 10
 
 
-def _graph_arm(spark, sf_dir, arms):
-    both = graph.adjacency(cut(source_graph(spark, sf_dir)))
+def _graph_arm(spark, sf_dir, arms, both):
     top = arms.where("rank <= 10").select("cue_id", "ranking", "file", "rank")
     seeds = fusion.fused(top, "cue_id", "file", limit=15).select("cue_id", F.col("file").alias("node"), F.col("score").alias("amount"))
     reached = graph.walk(seeds, graph.shares(both), factors=[0.6, 0.36], query="cue_id").withColumn("walk", F.round("walk", 12))
@@ -30,25 +31,42 @@ def _symbol_arm(spark, sf_dir):
     return s.select("cue_id", F.lit("symbol").alias("ranking"), "file", F.row_number().over(Window.partitionBy("cue_id").orderBy(F.col("score").desc(), "length", "file")).alias("rank"))
 
 
+def _fused_with(spark, sf_dir, symbols=None):
+    """BM25F, exact, graph and, if given, symbol rankings fused: only files that one of them has in front are placed."""
+    edges = cut(source_graph(spark, sf_dir))
+    weights = {"bm25f": 1.0, "exact": 1.0} | ({} if edges.isEmpty() else {"graph": 0.5}) | ({} if symbols is None else {"symbol": 1.0})
+    others = [] if symbols is None else [symbols]
+    depth = fusion.contender_depth(list(weights.values()), TOP)
+
+    def more(front):
+        brought = [] if symbols is None else [symbols]
+        if "graph" in weights:
+            brought.append(cut(_graph_arm(spark, sf_dir, front, graph.adjacency(edges))))
+            others.append(brought[-1])
+        return reduce(DataFrame.unionByName, brought).where(F.col("rank") <= depth).select("cue_id", "file") if brought else None
+
+    arms = code_arms(spark, sf_dir, TOP, weights=weights, more=more).select("cue_id", "ranking", "file", "rank")
+    whole = reduce(DataFrame.unionByName, others, arms)
+    return fusion.fused(whole, "cue_id", "file", {"graph": 0.5}, TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
+
+
 def graph_fusion(spark, sf_dir):
     """BM25F and exact rankings fused with two steps over the dependencies, at half weight."""
-    arms = code_arms(spark, sf_dir)
-    all_arms = arms.select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms))
-    return fusion.fused(cut(all_arms), "cue_id", "file", {"graph": 0.5}, TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
+    return _fused_with(spark, sf_dir)
 
 
 def structural_fusion(spark, sf_dir):
     """The same with the symbol ranking at full weight."""
-    arms = code_arms(spark, sf_dir)
-    all_arms = arms.select("cue_id", "ranking", "file", "rank").unionByName(_graph_arm(spark, sf_dir, arms)).unionByName(_symbol_arm(spark, sf_dir))
-    return fusion.fused(cut(all_arms), "cue_id", "file", {"graph": 0.5}, TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
+    return _fused_with(spark, sf_dir, cut(_symbol_arm(spark, sf_dir)))
 
 
 def routed_comment(spark, sf_dir):
     """The comment route over our rankings: overlap stands for the current one, BM25F for the semantic, exact for the map."""
+    route, keep = routing.ROUTES["comment"][0], sum(n for _, n in routing.ROUTES["comment"][1])
+    stands = {"overlap": "current", "bm25f": "semantic", "exact": "repo_map"}
     name = F.when(F.col("ranking") == "overlap", "current").when(F.col("ranking") == "bm25f", "semantic").otherwise("repo_map")
-    arms = code_arms(spark, sf_dir, ("bm25f", "exact", "overlap")).select("cue_id", name.alias("ranking"), "file", "rank")
-    return routing.routed(cut(arms), "cue_id", "file", "comment").where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
+    arms = code_arms(spark, sf_dir, TOP + keep, ("bm25f", "exact", "overlap"), {arm: route[as_] for arm, as_ in stands.items()}).select("cue_id", name.alias("ranking"), "file", "rank")
+    return routing.routed(arms, "cue_id", "file", "comment", unique=True).where(F.col("rank") <= TOP).withColumn("rank", F.col("rank").cast("long"))
 
 
 def eligible_entities(spark, sf_dir):

@@ -79,14 +79,18 @@ def current_notes(spark, sf_dir):
     return tables.notes(spark, sf_dir).select("path", "title").join(superseded(spark, sf_dir), "path", "left_anti")
 
 
+def aligned_fields():
+    """What a note says, whole and outside addresses."""
+    whole = F.concat_ws(" ", "title", F.array_join("tags", " "), "description", "body")
+    return {"all": whole, "plain": F.array_join(F.filter(F.split(whole, r"\s+"), lambda w: ~w.contains("/") & ~F.lower(w).startswith("www.")), " ")}
+
+
 def goal_alignment(spark, sf_dir):
     """Notes that a goal (the title of a pinned note whose id is divisible by 100) is about: two terms in common, or
     one that stands outside addresses."""
     goals = table(spark, sf_dir, "notes").where("note_id % 100 = 0 AND length(title) > 0").select(F.col("note_id").alias("goal_id"), "title")
     terms = cut(lexical.cue_terms(goals, "goal_id", "title"))
-    whole = F.concat_ws(" ", "title", F.array_join("tags", " "), "description", "body")
-    plain = F.array_join(F.filter(F.split(whole, r"\s+"), lambda w: ~w.contains("/") & ~F.lower(w).startswith("www.")), " ")
-    hits = lexical.lookup(tables.notes(spark, sf_dir), "path", {"all": whole, "plain": plain}, terms).where("term IS NOT NULL").join(terms, "term")  # by term, not all against all
+    hits = lexical.lookup(tables.notes(spark, sf_dir), "path", aligned_fields(), terms).where("term IS NOT NULL").join(terms, "term")  # by term, not all against all
     per = hits.groupBy("goal_id", "path").agg(F.count_if(F.exists("fields", lambda f: f["field"] == "all")).alias("matched"), F.count_if(F.exists("fields", lambda f: f["field"] == "plain")).alias("outside"))
     return per.where("matched >= 2 OR outside >= 1").select("goal_id", "path", "matched")
 
