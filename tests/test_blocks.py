@@ -24,7 +24,7 @@ def tables(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bm25f", "rrf", "hybrid", "goal_relevance", "facet_recall", "code_pack", "code_excerpt", "lexical_hybrid", "diverse_protected", "protected_fusion", "routed_comment"])
+@pytest.mark.parametrize("name", ["bm25f", "rrf", "hybrid", "goal_relevance", "facet_recall", "code_pack", "code_excerpt", "lexical_hybrid", "diverse_protected", "protected_fusion", "routed_comment", "code_bm25f"])
 def test_pairs_of_cues_and_documents_are_not_made(spark, tables, name, monkeypatch):
     def product(*_, **__):
         raise AssertionError("scores of all pairs")
