@@ -21,10 +21,11 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([note(i) for i in range(1, NOTES + 1)], "note_id long, path string, note_type string, title string, description string, tags array<string>, body string, status string, stale_after string, provenance string, pinned boolean, supersedes array<string>, generated_at timestamp").write.parquet(f"{folder}/notes.parquet")
     file = lambda i: (i, 1, "r", f"{'tests' if i % 5 == 0 else 'src'}/queue_{i * 7919 % 1000:04d}.py", " ".join(WORDS[: 1 + i % 7]), "python", ["queue"], [("queue", 1)], [], "planner", at)
     spark.createDataFrame([file(i) for i in range(1, NOTES + 1)], "record_id long, repo_id long, repository string, path string, text string, lang string, symbols array<string>, symbol_locations array<struct<symbol: string, line: int>>, imports array<string>, documentation string, indexed_at timestamp").write.parquet(f"{folder}/source_records.parquet")
+    spark.createDataFrame([], "excerpt_id long, record_id long, repository string, path string, start_line int, end_line int, text string, arms array<struct<arm: string, rank: int>>, relations array<struct<relation: string, symbol: string, provenance: string, target_line: int>>").write.parquet(f"{folder}/code_excerpts.parquet")
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bm25f", "rrf", "hybrid", "goal_relevance", "facet_recall", "code_pack", "code_excerpt", "lexical_hybrid", "diverse_protected", "protected_fusion", "routed_comment", "code_bm25f"])
+@pytest.mark.parametrize("name", ["bm25f", "rrf", "hybrid", "goal_relevance", "facet_recall", "code_pack", "code_excerpt", "lexical_hybrid", "diverse_protected", "protected_fusion", "routed_comment", "code_bm25f", "graph_fusion"])
 def test_pairs_of_cues_and_documents_are_not_made(spark, tables, name, monkeypatch):
     def product(*_, **__):
         raise AssertionError("scores of all pairs")
