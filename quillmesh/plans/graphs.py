@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activation, blocks, graph, learning, lexical
+from quillmesh.operators import activation, blocks, graph, held, learning, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_OVERLAP, _NOTE_PRELUDE, _cues, _note_hits
@@ -126,18 +126,43 @@ def _learned(spark, sf_dir):
     return learning.associations(said.withColumn("session_id", F.coalesce("session_id", F.lit(""))), "session_id", "node", F.col("text")).select("node", F.explode(F.split("tokens", " ")).alias("term"), "w")
 
 
-def _activated(spark, sf_dir, carriers=False):
-    from quillmesh.plans.scalars import superseded
-
+def _channels(spark, sf_dir):
+    """(cues' terms, amounts by similarity, what was learned) of the seeds of each cue."""
     n, cues = tables.notes(spark, sf_dir), cut(_cues(spark, sf_dir))
-    lex = lexical.overlap_hits(_note_hits(spark, sf_dir, cues), "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS).select(F.col("cue_id").alias("query_id"), F.col("path").alias("node"), F.col("score").alias("amount"))
-    lex = activation.damped(lex, n.where(F.array_contains("tags", "test")).select(F.col("path").alias("node")), "query_id")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = small(tables.note_cues(spark, sf_dir).select(F.col("cue_id").alias("query_id")).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("q")), 2_000)
-    held = n.join(vectors, F.col("note_id") == F.col("vec_id")).select(F.col("path").alias("node"), "embedding")
-    near = held.join(asked).select("query_id", "node", F.lit(1.0).alias("weight"), T.cosine(F.col("q"), F.col("embedding")).alias("cosine"))  # a stated query set against all rows
-    learned = snapshot(spark, sf_dir, "learned", lambda: _learned(spark, sf_dir))
-    seeded = activation.seeds(lex, "query_id", superseded(spark, sf_dir).withColumnRenamed("path", "node"), activation.semantic(near, "query_id"), activation.associated(cues.withColumnRenamed("cue_id", "query_id"), learned, "query_id"))
+    embedded = n.join(vectors, F.col("note_id") == F.col("vec_id")).select(F.col("path").alias("node"), "embedding")
+    near = embedded.join(asked).select("query_id", "node", F.lit(1.0).alias("weight"), T.cosine(F.col("q"), F.col("embedding")).alias("cosine"))  # a stated query set against all rows
+    return cues, activation.semantic(near, "query_id"), snapshot(spark, sf_dir, "learned", lambda: _learned(spark, sf_dir))
+
+
+def _gone(spark, sf_dir):
+    from quillmesh.plans.scalars import superseded
+
+    return superseded(spark, sf_dir).withColumnRenamed("path", "node")
+
+
+def _tests(spark, sf_dir):
+    return tables.notes(spark, sf_dir).where(F.array_contains("tags", "test")).select(F.col("path").alias("node"))
+
+
+def scorer(spark, sf_dir):
+    """What scores the notes of one cue after the other in a task, or None where that is too much to be sent to it."""
+    cues, near, learned = _channels(spark, sf_dir)
+    notes = held.hold(tables.notes(spark, sf_dir), "path", tables.note_fields(), tables.note_cues(spark, sf_dir), cues, "cue_id", lexical.OVERLAP_WEIGHTS)
+    if notes is None:
+        return None
+    state = note_state(spark, sf_dir)
+    flow = graph.shares(graph.adjacency(merged_graph(spark, sf_dir)), activation.prior(state))
+    return held.scorer(notes, _tests(spark, sf_dir), _gone(spark, sf_dir), near, learned, flow, state, goal_relevance(spark, sf_dir), "query_id")
+
+
+def joined(spark, sf_dir, carriers=False):
+    """The scores of all cues and notes by joins, for more notes than a task can hold."""
+    cues, near, learned = _channels(spark, sf_dir)
+    lex = lexical.overlap_hits(_note_hits(spark, sf_dir, cues), "path", cues, "cue_id", lexical.OVERLAP_WEIGHTS).select(F.col("cue_id").alias("query_id"), F.col("path").alias("node"), F.col("score").alias("amount"))
+    lex = activation.damped(lex, _tests(spark, sf_dir), "query_id")
+    seeded = activation.seeds(lex, "query_id", _gone(spark, sf_dir), near, activation.associated(cues.withColumnRenamed("cue_id", "query_id"), learned, "query_id"))
     state = note_state(spark, sf_dir)
     return activation.activate(seeded, merged_graph(spark, sf_dir), "query_id", state.select("node", "strength"), goal_relevance(spark, sf_dir), state.where(f"streak >= {activation.WASTE_RUN}").select("node"), carriers=carriers)
 
@@ -145,25 +170,27 @@ def _activated(spark, sf_dir, carriers=False):
 def activate(spark, sf_dir):
     """The complete scorer: lexical, semantic and learned seeds of each cue, three damped steps over the merged graph,
     bounded blend, scaled by strength, goals and waste."""
-    return _activated(spark, sf_dir)
+    known = scorer(spark, sf_dir)
+    return held.activated(known, spark, "query_id") if known else joined(spark, sf_dir)
 
 
 def recall_why(spark, sf_dir):
     """One line on each of the ten best current notes of each cue."""
-    scored = cut(_activated(spark, sf_dir, carriers=True))
+    if known := scorer(spark, sf_dir):
+        return activation.why(held.best(known, spark, "query_id", 10), "query_id")
+    scored = cut(joined(spark, sf_dir, carriers=True))
     return activation.why(scored.join(_top(scored, spark, sf_dir).select("query_id", "node"), ["query_id", "node"], "left_semi"), "query_id")
 
 
 def _top(scored, spark, sf_dir, k=10):
-    from quillmesh.plans.scalars import superseded
-
-    current = scored.where("score > 0").join(superseded(spark, sf_dir).withColumnRenamed("path", "node"), "node", "left_anti")
+    current = scored.where("score > 0").join(_gone(spark, sf_dir), "node", "left_anti")
     return current.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "node")).cast("long")).where(f"rank <= {k}")
 
 
 def recall_topk(spark, sf_dir):
     """The ten best current notes of each cue."""
-    return _top(activate(spark, sf_dir), spark, sf_dir)
+    known = scorer(spark, sf_dir)
+    return held.best(known, spark, "query_id", 10).select("node", "query_id", "score", "rank") if known else _top(joined(spark, sf_dir), spark, sf_dir)
 
 
 def co_use(spark, sf_dir):

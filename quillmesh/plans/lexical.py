@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import blocks, fusion, lexical
+from quillmesh.operators import blocks, fusion, held, lexical
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.session import cut, small, table
@@ -109,8 +109,11 @@ def diverse_protected(spark, sf_dir):
 
 def complete_ranking(spark, sf_dir):
     """Every note for every cue: the overlapping ones by rank, the rest in order of path."""
+    asked, cues = tables.note_cues(spark, sf_dir), cut(_cues(spark, sf_dir))
+    if known := held.hold(tables.notes(spark, sf_dir), "path", tables.note_fields(), asked, cues, "cue_id", lexical.OVERLAP_WEIGHTS):
+        return held.complete(known, spark, "cue_id", "path")
     arms = lexical.ranked(overlap_rank(spark, sf_dir), "cue_id", "path")
-    universe = tables.notes(spark, sf_dir).select("path").join(small(tables.note_cues(spark, sf_dir).select("cue_id")), how="cross")  # a stated query set against all rows
+    universe = tables.notes(spark, sf_dir).select("path").join(small(asked.select("cue_id")), how="cross")  # a stated query set against all rows
     return fusion.complete(arms, universe, "cue_id", "path").withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activation, blocks, extract, fusion, graph, lexical, packs, recall
+from quillmesh.operators import activation, blocks, extract, fusion, graph, held, lexical, packs, recall
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
-from quillmesh.plans.graphs import _ACTIVATE, _EDGES, _STATE, _USED, _activated, note_edges, note_state, used_with
+from quillmesh.plans.graphs import _ACTIVATE, _EDGES, _STATE, _USED, joined, note_edges, note_state, scorer, used_with
 from quillmesh.plans.lexical import _CUE_SOURCE, _NOTE_PRELUDE, _SOURCES, code_arms, hybrid
 from quillmesh.plans.scalars import superseded
 from quillmesh.session import cut, small, table
@@ -37,10 +37,14 @@ def facet_recall(spark, sf_dir):
 
 def _chosen(spark, sf_dir):
     """The notes that cover most facets among all current notes that a cue reached, with why they were recalled."""
-    scored = cut(_activated(spark, sf_dir, carriers=True))
-    current = scored.where("score > 0").join(superseded(spark, sf_dir).withColumnRenamed("path", "node"), "node", "left_anti")
     n = tables.notes(spark, sf_dir).select(F.col("path").alias("node"), "title", "body", "tags")
     facets = F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.substring_index("node", "/", 1)))
+    if known := scorer(spark, sf_dir):
+        found = cut(held.best(held.with_facets(known, n.select("node", "title", facets.alias("facets"))), spark, "query_id", recall.PACK_NOTES, cover=True))
+        picked = found.select("query_id", "node", F.col("rank").alias("position"), "score")
+        return picked.join(activation.why(found, "query_id"), ["query_id", "node"]).join(n.select("node", "title", "body"), "node")
+    scored = cut(joined(spark, sf_dir, carriers=True))
+    current = scored.where("score > 0").join(superseded(spark, sf_dir).withColumnRenamed("path", "node"), "node", "left_anti")
     rows = current.join(n.select("node", "title", facets.alias("facets")), "node")
     picked = cut(recall.cover_select(rows.select("query_id", "node", "score", "title", "facets"), "query_id", "node", pool=None))
     why = activation.why(scored.join(picked.select("query_id", "node"), ["query_id", "node"], "left_semi"), "query_id")
