@@ -9,7 +9,7 @@ from quillmesh.operators import activation, held, lexical
 from quillmesh.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["activate"]
+NAMES = ["activate", "complete_ranking"]
 
 
 def _rows(spark, name):
