@@ -26,6 +26,8 @@ from quillmesh.session import cut, spread
 HELD = 50_000_000
 #: Rows that the driver takes at once.
 PART = 1_000_000
+#: Rows that leave a task at once.
+SLICE = 32_768
 
 
 class Lists(NamedTuple):
@@ -67,21 +69,21 @@ class Held(NamedTuple):
 
     def place(self, keys: pa.ChunkedArray) -> np.ndarray:
         """The places of given keys, -1 for one that there is not."""
-        return pc.fill_null(pc.index_in(_whole(keys), self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pc.fill_null(pc.index_in(whole_of(keys), self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def units(self, number: int) -> np.ndarray:
         """The overlap score of each document, in millionths."""
         return blocks.units(self.hits.sums(self.terms[number], len(self.keys)) / max(1, self.sizes[number]))
 
 
-def _parts(df: DataFrame, key: str, rows: int, most: int = PART) -> Iterator[pa.Table]:
+def parts(df: DataFrame, key: str, rows: int, most: int = PART) -> Iterator[pa.Table]:
     """The rows of ``df``, of which there are about ``rows``, in parts of about ``most``, so that the driver holds few."""
-    parts = max(1, -(-rows // most))
-    for i in range(parts):
-        yield (df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)).toArrow().combine_chunks()
+    n = max(1, -(-rows // most))
+    for i in range(n):
+        yield (df if n == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow().combine_chunks()
 
 
-def _whole(column: pa.ChunkedArray) -> pa.Array:
+def whole_of(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
@@ -115,22 +117,22 @@ def hold(docs: DataFrame, key: str, fields: dict[str, Column], cues: DataFrame,
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("hits")).first()
     if max(whole["n"], whole["hits"] or 0) > HELD:
         return None
-    keys = _whole(rows.select(key).toArrow().column(0))
+    keys = whole_of(rows.select(key).toArrow().column(0))
     keys = keys.take(pc.sort_indices(keys))
     counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     for r in rows.select(F.explode("ids").alias("id")).groupBy("id").count().collect():
         counts[r["id"] + 1] = r["count"]
     starts = np.cumsum(counts)
     values, worth, free = np.empty(starts[-1], dtype=np.int32), np.empty(starts[-1], dtype=np.float32), starts[:-1].copy()
-    for t in _parts(rows, key, whole["hits"] or 0):
-        lists = _whole(t.column("ids"))
-        doc = np.repeat(pc.index_in(_whole(t.column(key)), keys).to_numpy(), pc.list_value_length(lists).to_numpy())
+    for t in parts(rows, key, whole["hits"] or 0):
+        lists = whole_of(t.column("ids"))
+        doc = np.repeat(pc.index_in(whole_of(t.column(key)), keys).to_numpy(), pc.list_value_length(lists).to_numpy())
         ids = lists.flatten().to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         # The place of a hit is the next free one of its term.
         at = free[ids] + np.arange(len(ids)) - np.searchsorted(ids, ids)
-        values[at], worth[at] = doc[order], _whole(t.column("worth")).flatten().to_numpy()[order]
+        values[at], worth[at] = doc[order], whole_of(t.column("worth")).flatten().to_numpy()[order]
         free += np.bincount(ids, minlength=len(free))
     hits = Lists(starts, values, worth)
     by_cue = {c: (np.array([vocabulary[t] for t in g["term"]], dtype=np.int64), int(g["n_terms"].iloc[0])) for c, g in asked.groupby(cue)}
@@ -147,7 +149,7 @@ def each_cue(spark: SparkSession, known: NamedTuple, n: int, work: Callable[[Nam
         for batch in batches:
             for number in batch.column(0).to_pylist():
                 if (out := work(sent.value, number)) is not None:
-                    yield out
+                    yield from (out.slice(at, SLICE) for at in range(0, out.num_rows, SLICE))
 
     return spark.range(0, n, 1, max(1, min(n, 8 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
 
@@ -206,19 +208,19 @@ def scorer(held: Held, tests: DataFrame, gone: DataFrame, near: DataFrame, learn
     t = learned.toArrow()
     at, weight = held.place(t.column("node")), np.zeros(n)
     weight[at[at >= 0]] = t.column("w").to_numpy()[at >= 0]
-    ids = _whole(t.column("ids"))
+    ids = whole_of(t.column("ids"))
     doc, term = np.repeat(at, pc.list_value_length(ids).to_numpy()), ids.flatten().to_numpy()
     taught = Lists.of(term[doc >= 0], doc[doc >= 0], len(held.vocabulary))
     numbers, at, worth = [], [], []
-    for t in _parts(near.select(query, "node", "amount"), "node", amounts):
-        numbers.append(pc.fill_null(pc.index_in(_whole(t.column(query)), pa.array(held.cues, t.schema.field(query).type)), -1).to_numpy())
+    for t in parts(near.select(query, "node", "amount"), "node", amounts):
+        numbers.append(pc.fill_null(pc.index_in(whole_of(t.column(query)), pa.array(held.cues, t.schema.field(query).type)), -1).to_numpy())
         at.append(held.place(t.column("node")))
         worth.append(t.column("amount").to_numpy())
     number, at, worth = map(np.concatenate, (numbers, at, worth))
     known = (number >= 0) & (at >= 0)
     close = Lists.of(number[known], at[known], len(held.cues), worth[known])
     src, dst, worth = [], [], []
-    for t in _parts(flow.select("src", "dst", "share"), "src", links, PART // 4):
+    for t in parts(flow.select("src", "dst", "share"), "src", links, PART // 4):
         src.append(held.place(t.column("src")).astype(np.int32))
         dst.append(held.place(t.column("dst")).astype(np.int32))
         worth.append(t.column("share").to_numpy())
@@ -239,8 +241,8 @@ def scorer(held: Held, tests: DataFrame, gone: DataFrame, near: DataFrame, learn
 def with_facets(s: Scorer, notes: DataFrame) -> Scorer:
     """The same with what ``recall.cover_select`` reads: notes (node, title, facets)."""
     t = notes.select("node", "title", "facets").toArrow()
-    at = pc.index_in(s.held.keys, _whole(t.column("node")))
-    title, facets = _whole(t.column("title")).take(at), _whole(t.column("facets")).take(at)
+    at = pc.index_in(s.held.keys, whole_of(t.column("node")))
+    title, facets = whole_of(t.column("title")).take(at), whole_of(t.column("facets")).take(at)
     counts = pc.fill_null(pc.list_value_length(facets), 0).to_numpy()
     flat = facets.flatten().dictionary_encode("encode").indices.to_numpy()
     doc = np.repeat(np.arange(len(counts)), counts)

@@ -215,13 +215,9 @@ def _holding(texts: DataFrame, text: str, words: DataFrame) -> DataFrame:
     return out
 
 
-def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue: str, text: str) -> DataFrame:
-    """(cue, key, score, length): each file's best definition name for a cue.
-
-    A term scores by its rarity among all names: 1000-fold where it is the name, 100-fold where it begins it,
-    once inside it, half where the path holds it; the first two count by the squared share of matched terms.
-    Names are compared once per distinct name, not per file.
-    """
+def symbol_terms(labels: DataFrame, key: str, label: str, cues: DataFrame, cue: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The terms that cues ask of names: (cue, term, n) and distinct (term); the names (key, name, low); which distinct
+    ones (low, files) hold which term; and how rare a term is among all names (term, w)."""
     asked = cues.select(cue, F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: ~(w.rlike("^[a-z]+$") & (F.length(w) <= 2))))).alias("term"))
     asked = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(cue)))
     pool = labels.select(key, F.col(label).alias("name"), F.regexp_replace(F.lower(label), r"\(\)$", "").alias("low")).distinct()
@@ -232,6 +228,17 @@ def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue:
     inside = _holding(names, "low", words)
     idf = inside.groupBy("term").agg(F.sum("files").alias("df"))
     rarity = words.join(idf, "term", "left").crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("population") / (1 + F.coalesce("df", F.lit(0)))).alias("w"))
+    return asked, words, pool, inside, rarity
+
+
+def symbol_scores(labels: DataFrame, key: str, label: str, cues: DataFrame, cue: str, text: str) -> DataFrame:
+    """(cue, key, score, length): each file's best definition name for a cue.
+
+    A term scores by its rarity among all names: 1000-fold where it is the name, 100-fold where it begins it,
+    once inside it, half where the path holds it; the first two count by the squared share of matched terms.
+    Names are compared once per distinct name, not per file.
+    """
+    asked, words, pool, inside, rarity = symbol_terms(labels, key, label, cues, cue, text)
     tier = F.when(F.col("low") == F.col("term"), 1000.0).when(F.col("low").startswith(F.col("term")), 100.0).otherwise(0.0)
     by_name = inside.join(rarity, "term").join(asked, "term").groupBy(cue, "low").agg(
         F.sum(tier * F.col("w")).alias("tiered"), F.sum(F.when(tier == 0, F.col("w")).otherwise(0.0)).alias("plain"), F.count(F.lit(1)).alias("matched"), F.max("n").alias("n")

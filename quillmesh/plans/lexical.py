@@ -172,10 +172,14 @@ def hybrid(spark, sf_dir):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-def symbol_rank(spark, sf_dir):
+def symbol_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, label): the names that a file defines, and its own."""
     files = tables.sources(spark, sf_dir)
-    labels = files.select("file", F.explode(F.array_union(F.coalesce("symbols", F.array().cast("array<string>")), F.array(T.base_name(F.col("path"))))).alias("label"))
-    scores = lexical.symbol_scores(labels, "file", "label", tables.code_cues(spark, sf_dir), "cue_id", "text")
+    return files.select("file", F.explode(F.array_union(F.coalesce("symbols", F.array().cast("array<string>")), F.array(T.base_name(F.col("path"))))).alias("label"))
+
+
+def symbol_rank(spark, sf_dir):
+    scores = lexical.symbol_scores(symbol_labels(spark, sf_dir), "file", "label", tables.code_cues(spark, sf_dir), "cue_id", "text")
     return scores.where("score > 0")
 
 

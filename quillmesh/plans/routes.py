@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import fusion, graph, relations, routing
+from quillmesh.operators import fusion, graph, relations, routing, symbols
 from quillmesh.plans import sqltext as S
 from quillmesh.plans import tables
 from quillmesh.plans.dependencies import source_graph
 from quillmesh.plans.graphs import _walk_sql
-from quillmesh.plans.lexical import _CODE, _SYMBOLS, code_arms, symbol_rank
+from quillmesh.plans.lexical import _CODE, _SYMBOLS, code_arms, symbol_labels, symbol_rank
 from quillmesh.session import cut, table
 
 TOP = 10
@@ -31,22 +31,27 @@ def _symbol_arm(spark, sf_dir):
     return s.select("cue_id", F.lit("symbol").alias("ranking"), "file", F.row_number().over(Window.partitionBy("cue_id").orderBy(F.col("score").desc(), "length", "file")).alias("rank"))
 
 
-def _fused_with(spark, sf_dir, symbols=None):
-    """BM25F, exact, graph and, if given, symbol rankings fused: only files that one of them has in front are placed."""
+def _fused_with(spark, sf_dir, leading=None, placed=None):
+    """BM25F, exact, graph and, if given, symbol rankings fused: only files that one of them has in front are placed.
+    ``leading`` gives the symbol ranking down to a depth, ``placed`` the ranks of given (cue_id, file) in it."""
     edges = cut(source_graph(spark, sf_dir))
-    weights = {"bm25f": 1.0, "exact": 1.0} | ({} if edges.isEmpty() else {"graph": 0.5}) | ({} if symbols is None else {"symbol": 1.0})
-    others = [] if symbols is None else [symbols]
-    depth = fusion.contender_depth(list(weights.values()), TOP)
+    weights = {"bm25f": 1.0, "exact": 1.0} | ({} if edges.isEmpty() else {"graph": 0.5}) | ({} if leading is None else {"symbol": 1.0})
+    depth, others = fusion.contender_depth(list(weights.values()), TOP), []
+    ahead = None if leading is None else cut(leading(depth))
 
     def more(front):
-        brought = [] if symbols is None else [symbols]
+        brought = [] if ahead is None else [ahead.select("cue_id", "file")]
         if "graph" in weights:
-            brought.append(cut(_graph_arm(spark, sf_dir, front, graph.adjacency(edges))))
-            others.append(brought[-1])
-        return reduce(DataFrame.unionByName, brought).where(F.col("rank") <= depth).select("cue_id", "file") if brought else None
+            others.append(cut(_graph_arm(spark, sf_dir, front, graph.adjacency(edges))))
+            brought.append(others[-1].where(F.col("rank") <= depth).select("cue_id", "file"))
+        return reduce(DataFrame.unionByName, brought) if brought else None
 
     arms = code_arms(spark, sf_dir, TOP, weights=weights, more=more).select("cue_id", "ranking", "file", "rank")
     whole = reduce(DataFrame.unionByName, others, arms)
+    if ahead is not None:
+        whole = cut(whole)
+        pairs = whole.select("cue_id", "file").unionByName(ahead.select("cue_id", "file"))
+        whole = whole.unionByName(placed(pairs).select("cue_id", F.lit("symbol").alias("ranking"), "file", "rank"))
     return fusion.fused(whole, "cue_id", "file", {"graph": 0.5}, TOP, unique=True).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -57,7 +62,11 @@ def graph_fusion(spark, sf_dir):
 
 def structural_fusion(spark, sf_dir):
     """The same with the symbol ranking at full weight."""
-    return _fused_with(spark, sf_dir, cut(_symbol_arm(spark, sf_dir)))
+    known = symbols.hold(symbol_labels(spark, sf_dir), "file", "label", tables.code_cues(spark, sf_dir), "cue_id", "text")
+    if known:
+        return _fused_with(spark, sf_dir, lambda depth: symbols.front(known, spark, "cue_id", "file", depth), lambda pairs: symbols.placed(known, pairs, "cue_id", "file"))
+    arm = cut(_symbol_arm(spark, sf_dir))
+    return _fused_with(spark, sf_dir, lambda depth: arm.where(F.col("rank") <= depth), lambda pairs: arm.join(pairs.distinct(), ["cue_id", "file"], "left_semi"))
 
 
 def routed_comment(spark, sf_dir):

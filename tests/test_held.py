@@ -9,7 +9,7 @@ from quillmesh.operators import activation, held, lexical
 from quillmesh.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["activate", "complete_ranking"]
+NAMES = ["activate", "complete_ranking", "structural_fusion"]
 
 
 def _rows(spark, name):
@@ -26,9 +26,10 @@ def test_no_scores_of_all_pairs_are_made(spark, name, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(lexical, "overlap_hits", product)
         m.setattr(activation, "seeds", product)
+        m.setattr(lexical, "symbol_scores", product)
         got = _rows(spark, name)
     assert got
-    if name in ("activate", "cover_select", "complete_ranking"):  # what is too much to be sent is joined
+    if name in ("activate", "cover_select", "complete_ranking", "structural_fusion"):  # what is too much to be sent is joined
         monkeypatch.setattr(held, "HELD", 0)
         assert _rows(spark, name) == got
 
