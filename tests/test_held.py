@@ -9,7 +9,7 @@ from quillmesh.operators import activation, held, lexical
 from quillmesh.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["activate", "complete_ranking", "structural_fusion", "recall_topk", "recall_why", "cover_select", "context_pack"]
+NAMES = ["activate", "complete_ranking", "structural_fusion", "recall_topk", "recall_why", "cover_select", "context_pack", "compact_pack"]
 
 
 def _rows(spark, name):
