@@ -17,6 +17,8 @@ CONFIDENCE = {"extracted": 1.0, "inferred": 0.5, "ambiguous": 0.2}
 OTHER_CONFIDENCE = 0.5
 BASE_PRIOR, DAMPING, STEPS = 0.25, 0.5, 3
 WALK_GAIN_CAP, ORPHAN_CAP = 0.5, 0.4
+#: Amounts of this and less are dropped.
+LEAST = 1e-9
 
 
 def mask_code(body: Column) -> Column:

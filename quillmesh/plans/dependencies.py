@@ -9,7 +9,7 @@ from quillmesh.operators import dependencies as D
 from quillmesh.operators import graph
 from quillmesh.plans import tables
 from quillmesh.plans.lexical import _SOURCES
-from quillmesh.session import cut, snapshot, table
+from quillmesh.session import cut, small, snapshot, table
 
 SEED_FILES = 10
 
@@ -23,11 +23,24 @@ def _edges(spark, sf_dir):
     return snapshot(spark, sf_dir, "record_edges", lambda: _record_edges(spark, sf_dir))
 
 
+def _called(calls):
+    return calls.select("scope", F.col("file").alias("src"), "at", F.lit("calls").alias("relation"), F.col("target").alias("symbol"))
+
+
 def _record_edges(spark, sf_dir):
     files = tables.records(spark, sf_dir)
-    calls = tables.record_calls(spark, sf_dir).select("scope", F.col("file").alias("src"), "at", F.lit("calls").alias("relation"), F.col("target").alias("symbol"))
     defined = files.select("scope", F.explode("symbols").alias("symbol"), "file")
-    return D.import_edges(files).unionByName(D.symbol_edges(calls, defined, per_file=None))
+    return D.import_edges(files).unionByName(D.symbol_edges(_called(tables.record_calls(spark, sf_dir)), defined, per_file=None))
+
+
+def _edges_near(spark, sf_dir, near):
+    """Those of ``_edges`` that start or end in the files of ``near`` (file): most files are neither joined nor shuffled."""
+    files = tables.records(spark, sf_dir)
+    defined = files.select("scope", F.explode("symbols").alias("symbol"), "file")
+    targets = small(defined.join(near, "file", "left_semi").select(F.col("symbol").alias("target")).distinct())
+    calls = cut(_called(tables.record_calls(spark, sf_dir, files=near).unionByName(tables.record_calls(spark, sf_dir, targets=targets))).distinct())
+    symbols = small(calls.select("scope", "symbol").distinct())
+    return D.import_edges(files, near=near).unionByName(D.symbol_edges(calls, defined.join(symbols, ["scope", "symbol"], "left_semi"), per_file=None))
 
 
 def dependencies(spark, sf_dir):
@@ -47,7 +60,7 @@ def ambiguous_dependencies(spark, sf_dir):
 def dependency_walk(spark, sf_dir):
     """Two steps in both directions from the files of the customers whose key is divisible by 100."""
     anchors = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.expr("concat('crm/customers/c', c_custkey, '.js')").alias("node"))
-    return D.dependency_ranking(cut(D.weighted(_edges(spark, sf_dir))), anchors, "query_id")
+    return D.dependency_ranking(lambda near: cut(D.weighted(_edges_near(spark, sf_dir, near))), anchors, "query_id")
 
 
 def _order_anchors(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.session import snapshot, table
+from quillmesh.session import small, snapshot, table
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,18 +61,31 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def record_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_calls(spark: SparkSession, sf_dir: str, files: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(scope, file, label, target, at): an order's lines call their supplier and their part's brand by name, a supplier
-    and a customer their nation, a nation its region."""
+    and a customer their nation, a nation its region; only those of given files (file) and to given targets (target)."""
     t = lambda name: table(spark, sf_dir, name)
-    n, r, lines = t("nation"), t("region"), t("lineitem")
-    sold = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    order = sold.select(F.expr("concat('shop/orders/o', l_orderkey, '.py')").alias("file"), F.expr("concat('Order#', l_orderkey, '.line', l_linenumber)").alias("label"), F.explode(F.array("s_name", "p_brand")).alias("target"), F.col("l_linenumber").cast("long").alias("at"))
+    n, r = t("nation"), t("region")
+    lines = t("lineitem").select("l_suppkey", "l_partkey", F.expr("concat('shop/orders/o', l_orderkey, '.py')").alias("file"), F.expr("concat('Order#', l_orderkey, '.line', l_linenumber)").alias("label"), F.col("l_linenumber").cast("long").alias("at"))
+    of = lambda df: df if files is None else df.join(files, "file", "left_semi")
+    to = lambda df: df if targets is None else df.join(targets, "target", "left_semi")
+    suppliers, parts = t("supplier").select("s_suppkey", "s_name"), t("part").select("p_partkey", "p_brand")
     one = F.lit(1).cast("long").alias("at")
+    if targets is None:
+        sold = of(lines).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        orders = [sold.select("file", "label", F.explode(F.array("s_name", "p_brand")).alias("target"), "at")]
+    else:  # the lines that call no such name are not joined
+        orders, columns = [], ("file", "label", "target", "at")
+        by_supplier = small(to(suppliers.select("s_suppkey", F.col("s_name").alias("target"))))
+        if not by_supplier.isEmpty():
+            orders.append(of(lines).join(by_supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).select(*columns))
+        by_part = small(to(parts.select("p_partkey", F.col("p_brand").alias("target"))))
+        if not by_part.isEmpty():
+            orders.append(of(lines).join(by_part, F.col("l_partkey") == F.col("p_partkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(*columns))
     supplier = t("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.expr("concat('erp/suppliers/s', s_suppkey, '.java')").alias("file"), F.col("s_name").alias("label"), F.col("n_name").alias("target"), one)
     customer = t("customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.expr("concat('crm/customers/c', c_custkey, '.js')").alias("file"), F.col("c_name").alias("label"), F.col("n_name").alias("target"), one)
     nation = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.expr("concat('lib/geo/nations/n', n_nationkey, '.py')").alias("file"), F.col("n_name").alias("label"), F.col("r_name").alias("target"), one)
-    return reduce(DataFrame.unionByName, (order, supplier, customer, nation)).withColumn("scope", F.lit("shop"))
+    return reduce(DataFrame.unionByName, (*orders, *(to(of(df)).select("file", "label", "target", "at") for df in (supplier, customer, nation)))).withColumn("scope", F.lit("shop"))
 
 
 def code_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
