@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.session import small, snapshot, table
 
 
+def _latest(rows: DataFrame, keys: list[str], at: str, number: str) -> DataFrame:
+    """The latest row of each key, of the same time the one of the largest number. Only the keys are put side by side, and
+    the few rows that give way are taken out; where they are many, or one cannot be told from what stays, whole rows are."""
+    order = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col(number).desc())
+    older = rows.select(*keys, at, number).withColumns({"rn": F.row_number().over(order), "rk": F.rank().over(order)}).where("rn > 1")
+    older = small(older.select("rk", *(F.col(c).alias(f"_{c}") for c in (*keys, at, number))))
+    if older.where("rk = 1").isEmpty():
+        return rows.join(older, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, at, number))), "left_anti")
+    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per note path: the latest version."""
-    latest = Window.partitionBy("path").orderBy(F.col("generated_at").desc(), F.col("note_id").desc())
-    return snapshot(spark, sf_dir, "notes", lambda: table(spark, sf_dir, "notes").withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn"))
+    return snapshot(spark, sf_dir, "notes", lambda: _latest(table(spark, sf_dir, "notes"), ["path"], "generated_at", "note_id"))
 
 
 NOTE_FIELDS = {"title": F.col, "tags": F.col}
@@ -31,8 +41,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "source_records").where(F.col("path").isNotNull()).withColumn("path", T.clean_path(F.col("path")))
-    latest = Window.partitionBy("repository", "path").orderBy(F.col("indexed_at").desc(), F.col("record_id").desc())
-    rows = rows.withColumn("rn", F.row_number().over(latest)).where("rn = 1").drop("rn")
+    rows = _latest(rows, ["repository", "path"], "indexed_at", "record_id")
     return rows.withColumn("file", F.concat("repository", F.lit(":"), "path"))
 
 

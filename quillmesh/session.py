@@ -81,7 +81,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,11 +106,12 @@ TASK_BYTES = 64 * 2**20
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if it is estimated to be too small to have them by its size: a
-    pass in Python over a small table would else run in one task. A large table stays as it is and is not shuffled.
+    pass in Python over a small table would else run in one task. What lies in a file for every core, or is large, stays
+    as it is and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * TASK_BYTES else df
+    return df.repartition(cores) if size < cores * TASK_BYTES and len(df.inputFiles()) < cores else df
 
 
 #: Rows up to which a side of a join is sent to every task.

@@ -5,10 +5,13 @@ import datetime
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import blocks, fusion, lexical
 from quillmesh.plans.catalog import QUERIES
+from quillmesh.plans.tables import _latest
+from quillmesh.session import cut, release, spread
 
 WORDS = ["queue", "planner", "tunnel", "ledger", "shard", "cursor", "beacon", "manifest"]
 ARMS = [blocks.Arm("bm25f", lexical.BM25F_WEIGHTS, bm25=True), blocks.Arm("overlap", lexical.OVERLAP_WEIGHTS)]
@@ -60,6 +63,64 @@ def test_places_are_those_of_all_pairs(spark, monkeypatch):
     assert sorted(fusion.fused(blocks.contenders(ix, ARMS, depth), "cue", "key", limit=5, unique=True).collect()) == sorted(whole)
 
 
+def _docs_and_cues(spark):
+    docs = spark.createDataFrame([(f"k{i * 37 % 300:03d}", WORDS[i % 8], " ".join(WORDS[: i % 9] * (i % 4)) or None, i % 5 == 0) for i in range(300)], "key string, title string, body string, half boolean")
+    cues = spark.createDataFrame([(c, t, 3) for c in range(4) for t in (WORDS[c], WORDS[c + 1], "nowhere")], "cue long, term string, n_terms long")
+    return docs, {"title": F.col("title"), "body": F.col("body")}, cues
+
+
+@pytest.mark.parametrize("order", ["half", "size(ids)"])
+def test_a_block_lets_out_nothing_behind_the_front(spark, monkeypatch, order):
+    """The leaders of many blocks are fewer than the front of each block, and the front of all is among them, also where it
+    lies in one block and scores are equal."""
+    docs, fields, cues = _docs_and_cues(spark)
+    monkeypatch.setattr(blocks, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(blocks, "FEW", 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        ix = blocks.index(docs, "key", fields, cues, "cue", F.col("half"))
+        ix = ix._replace(rows=ix.rows.coalesce(1).sortWithinPartitions(F.expr(order)))
+        bounded = cut(blocks._leaders(ix, ARMS, 12))
+        monkeypatch.setattr(blocks, "FEW", 12)
+        whole = cut(blocks._leaders(ix, ARMS, 12))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(blocks._ranked(ix, bounded, ARMS, 12).collect()) == sorted(blocks._ranked(ix, whole, ARMS, 12).collect())
+    assert bounded.count() < whole.count() / 3
+
+
+def test_a_place_leaves_a_task_as_a_number(spark):
+    """Neither the names of what is placed nor a count of every block are shuffled."""
+    docs, fields, cues = _docs_and_cues(spark)
+    ix = blocks.index(docs.repartition(3), "key", fields, cues, "cue")
+    plan = blocks.placed(ix, ARMS, blocks._leaders(ix, ARMS, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(at#" in plan and "hashpartitioning(cue#" not in plan
+
+
+@pytest.mark.parametrize("name", ["hybrid"])
+def test_texts_stay_where_they_are_read(spark, tables, name, monkeypatch):
+    """Tables in files enough for all cores are neither shuffled for their latest rows nor spread."""
+
+    def shuffled(*_):
+        raise AssertionError("texts are shuffled")
+
+    release(spark)
+    monkeypatch.setattr(DataFrame, "repartition", shuffled)
+    assert QUERIES[name](spark, tables).count() > 0
+
+
+def test_only_keys_are_shuffled_for_the_latest_rows(spark):
+    """What stays of each path is found by the keys; a copy that nothing tells from what stays is dropped nevertheless."""
+    rows = spark.createDataFrame([("a", 1, 1, "old"), ("a", 2, 1, "low"), ("a", 2, 2, "new"), (None, None, 5, "none"), (None, 1, 4, "some"), ("b", 1, 1, "only")], "path string, at long, id long, body string")
+    kept = _latest(rows, ["path"], "at", "id")
+    assert sorted(r["body"] for r in kept.collect()) == ["new", "only", "some"]
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["body"] for r in _latest(rows.union(rows), ["path"], "at", "id").collect()) == ["new", "only", "some"]
+    many = cut(spark.range(1000).repartition(spark.sparkContext.defaultParallelism))
+    assert "Exchange" not in spread(many)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in spread(cut(spark.range(1000).coalesce(1)))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_halves_are_rounded_up():
     assert blocks.units(blocks.np.array([0.0078125, 0.0000005, 1.0000004, 2.5])).tolist() == [7813, 1, 1000000, 2500000]
 
