@@ -81,21 +81,28 @@ def compact_pack(spark, sf_dir):
     return _packs(spark, sf_dir, compact=True)
 
 
+def _texts(spark, sf_dir, chosen):
+    """(file, text, symbols) of the chosen files; the texts of all others are not joined."""
+    symbols = F.transform("symbol_locations", lambda s: F.struct(s["symbol"].alias("symbol"), s["line"].alias("line")))
+    files = tables.sources(spark, sf_dir).join(small(chosen.select("file").distinct()), "file", "left_semi")
+    return files.select("file", "text", symbols.alias("symbols"))
+
+
 def code_pack(spark, sf_dir):
     """The five best files of the hybrid ranking for each question, as one page of excerpts."""
     arms = code_arms(spark, sf_dir, 6)
     best = cut(fusion.protected(arms.where("ranking = 'bm25f'").drop("score"), arms.drop("score"), "cue_id", "file", keep=1, limit=5, unique=True))
     found = arms.join(best.select("cue_id", "file"), ["cue_id", "file"], "left_semi").groupBy("cue_id", "file").agg(F.array_sort(F.collect_list(F.struct(F.col("ranking").alias("arm"), F.col("rank").cast("int").alias("rank")))).alias("arms"))
     ranked = best.join(found, ["cue_id", "file"]).select("cue_id", F.col("file").alias("path"), "rank", "arms")
-    files = tables.sources(spark, sf_dir).select(F.col("file").alias("path"), "text", F.transform("symbol_locations", lambda s: F.struct(s["symbol"].alias("symbol"), s["line"].alias("line"))).alias("symbols"))
+    files = _texts(spark, sf_dir, best).withColumnRenamed("file", "path")
     out = packs.code_packs(tables.code_cues(spark, sf_dir).select("cue_id", F.col("text").alias("question")), ranked, files, "cue_id", 5)
     return out.select("cue_id", "context", "tokens", F.array_join("packed", ",").alias("packed"), F.array_join("omitted", ",").alias("omitted"))
 
 
 def code_excerpt(spark, sf_dir):
     """Where the files of the hybrid ranking speak to their question."""
-    best = cut(hybrid(spark, sf_dir)).where("rank <= 5")
-    files = tables.sources(spark, sf_dir).select("file", "text", F.transform("symbol_locations", lambda s: F.struct(s["symbol"].alias("symbol"), s["line"].alias("line"))).alias("symbols"))
+    best = cut(hybrid(spark, sf_dir).where("rank <= 5"))
+    files = _texts(spark, sf_dir, best)
     q = tables.code_cues(spark, sf_dir).select("cue_id", F.col("text").alias("question"))
     return recall.excerpts(best.join(files, "file").join(q, "cue_id"), "cue_id", "file")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import blocks, fusion, lexical
+from quillmesh.plans import packs
 from quillmesh.plans.catalog import QUERIES
 from quillmesh.plans.tables import _latest
 from quillmesh.session import cut, release, spread
@@ -97,7 +98,7 @@ def test_a_place_leaves_a_task_as_a_number(spark):
     assert "hashpartitioning(at#" in plan and "hashpartitioning(cue#" not in plan
 
 
-@pytest.mark.parametrize("name", ["hybrid", "protected_fusion", "diverse_protected"])
+@pytest.mark.parametrize("name", ["hybrid", "protected_fusion", "diverse_protected", "code_pack"])
 def test_texts_stay_where_they_are_read(spark, tables, name, monkeypatch):
     """Tables in files enough for all cores are neither shuffled for their latest rows nor spread."""
 
@@ -121,6 +122,14 @@ def test_only_keys_are_shuffled_for_the_latest_rows(spark):
     assert "Exchange" in spread(cut(spark.range(1000).coalesce(1)))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_only_the_texts_of_chosen_files_are_joined(spark, tables):
+    chosen = spark.createDataFrame([(1, "r:src/queue_0919.py"), (2, "r:src/queue_0919.py")], "cue_id long, file string")
+    texts = packs._texts(spark, tables, chosen)
+    assert [r["file"] for r in texts.collect()] == ["r:src/queue_0919.py"]
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_halves_are_rounded_up():
     assert blocks.units(blocks.np.array([0.0078125, 0.0000005, 1.0000004, 2.5])).tolist() == [7813, 1, 1000000, 2500000]
 
