@@ -98,7 +98,7 @@ def test_a_place_leaves_a_task_as_a_number(spark):
     assert "hashpartitioning(at#" in plan and "hashpartitioning(cue#" not in plan
 
 
-@pytest.mark.parametrize("name", ["hybrid", "protected_fusion", "diverse_protected", "code_pack", "code_excerpt", "graph_fusion", "routed_comment", "lexical_hybrid", "code_bm25f"])
+@pytest.mark.parametrize("name", ["hybrid", "protected_fusion", "diverse_protected", "code_pack", "code_excerpt", "graph_fusion", "routed_comment", "lexical_hybrid", "code_bm25f", "goal_relevance"])
 def test_texts_stay_where_they_are_read(spark, tables, name, monkeypatch):
     """Tables in files enough for all cores are neither shuffled for their latest rows nor spread."""
 
